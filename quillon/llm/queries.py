@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import ann_blocks, exact_topk, mixture, simhash_pivots
+from quillon.llm import ann_blocks, exact_topk, license_templates, line_templates, mixture, packing, pii_crf, quality_cnn, simhash_pivots, token_scan
 from quillon.llm.common import table
 
 
@@ -15,6 +15,35 @@ def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann_blocks.nearest(table(spark, sf_dir, "embeddings"), k=10, every=100)
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    net = quality_cnn.learnt(docs, table(spark, sf_dir, "labels"), ~quality_cnn.held_out())
+    scored = quality_cnn.scored(docs, net).select("doc_id", quality_cnn.held_out().alias("held_out"), "score")
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii_crf.spans(docs, pii_crf.learnt(docs))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_scan.token_counts(table(spark, sf_dir, "documents"))
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_templates.scanned(table(spark, sf_dir, "documents"))
+
+
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_templates.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_pivots.near_duplicates(table(spark, sf_dir, "documents"), width=3, radius=3)
     return found.select("doc_id", simhash_pivots.hexadecimal().alias("fingerprint"), "component_id")
@@ -32,8 +61,14 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_nearest": op1_nearest,
+        "op2_quality": op2_quality,
+        "op3_pii": op3_pii,
+        "op4_token_counts": op4_token_counts,
+        "op5_licenses": op5_licenses,
         "op6_simhash": op6_simhash,
         "op7_mixture": op7_mixture,
+        "op8_lines": op8_lines,
+        "op9_packing": op9_packing,
         "op10_topk": op10_topk,
     }
 

@@ -24,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillon.llm.common import tasks, text_bytes, written
 
@@ -31,8 +32,8 @@ from quillon.llm.common import tasks, text_bytes, written
 TILE = 1024
 #: Reference fingerprints: seeded random ones, so about half of the bits of any other differ.
 PIVOTS = np.random.default_rng(64).integers(0, 2**64, 24, dtype=np.uint64)
-#: A band key should have so many values for each fingerprint at least.
-SPREAD = 0.25
+#: A band key should have so many values for each fingerprint at least (buckets of about 128).
+SPREAD = 1 / 128
 #: Shingles that are hashed and summed at a time.
 SUM_AT_ONCE = 1 << 16
 
@@ -55,16 +56,17 @@ def fingerprint(text: bytes, width: int) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big", signed=True)
 
 
-def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) for each row."""
+def fingerprints(docs: DataFrame, width: int = 3, id_col: str | Column = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fp) for each row; ids that are named by a column become long, others keep their type."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = [fingerprint(x.as_py(), width) for x in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
-    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text"))
-    return read.mapInArrow(run, "doc_id long, fp long")
+    ids = F.col(id_col).cast("long") if isinstance(id_col, str) else id_col
+    read = docs.select(ids.alias("doc_id"), text_bytes(text_col).alias("text"))
+    return read.mapInArrow(run, T.StructType([T.StructField("doc_id", read.schema["doc_id"].dataType), T.StructField("fp", T.LongType())]))
 
 
 def band_masks(bands: int) -> list[int]:
@@ -219,13 +221,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return links.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, id_col: str | Column = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) for each row of ``docs``.
 
     Words are runs of anything but space and U+0009-U+000D, A-Z lower-cased; shingles are
     ``width`` words, repeats included; shorter texts are one shingle. Null and empty texts, and
     those without words, have fingerprint zero and link like any other. component_id is the
-    smallest doc_id that is reached over links of ``radius`` differing bits or fewer; null ids are
+    smallest id that is reached over links of ``radius`` differing bits or fewer; null ids are
     larger than all others, and a component of none but null ids has null. Repeated rows each get
     their row. Other columns are ignored. An empty table gives no rows.
     """

@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillon.plans import metric_queries, search_queries, store_queries
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return next(iter(queries().values()))(spark, sf_dir)
+    return search_queries.search_budget(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return search_queries.QUERIES | store_queries.QUERIES | metric_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return search_queries.SQL | store_queries.SQL | metric_queries.SQL

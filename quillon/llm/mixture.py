@@ -7,8 +7,9 @@ sums over the sources (a row each) solve it in one pass.
 
 A source's target is a number of whole repetitions of all its documents and a fraction: documents
 in a seeded order are taken once more until the fraction is reached, the last of them in part.
-The order is cut into BUCKETS; sums by bucket find the bucket in which the fraction ends, and only
-that bucket's rows are put in order, so no task sees a whole source.
+Where the fraction ends is found digit by digit of the seeded hash: sums of a source's 256 buckets
+find the bucket, sums of that bucket's 256 parts the part, and only the part's rows are put in
+order, so no task sees a whole source.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import word_count, written
 
-#: Hexadecimal digits of the seeded hash that number the buckets of a source.
-BUCKET_DIGITS = 4
+#: Hexadecimal digits of the seeded hash that each step looks at, and the number of steps.
+DIGITS, STEPS = 2, 2
 #: Sources up to which their table (a row of about 60 bytes each) is broadcast.
 BROADCAST_SOURCES = 50_000
 
@@ -53,6 +54,36 @@ def seeded(seed: int, id_col: str = "doc_id") -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
 
 
+def with_params(placed: DataFrame, params: DataFrame) -> DataFrame:
+    """Each row with its source's one row of ``params`` (written).
+
+    A broadcast where the table is small, else a join that adaptive execution splits at a hot source.
+    """
+    p = (F.broadcast(params) if params.count() <= BROADCAST_SOURCES else params).alias("p")
+    d = placed.alias("d")
+    names = [c for c in params.columns if c != "source"]
+    return d.join(p, F.col("d.source").eqNullSafe(F.col("p.source"))).select("d.*", *[f"p.{c}" for c in names])
+
+
+def narrowed(placed: DataFrame, params: DataFrame, step: int) -> DataFrame:
+    """``params`` with the next digits of the prefix in which a source's fraction ends.
+
+    start is the size of all that stands before the prefix. A source that needs nothing keeps an
+    empty prefix.
+    """
+    inside = with_params(placed, params).filter((F.col("need") > 0) & F.col("place").startswith(F.col("prefix")))
+    digits = F.substring("place", 1 + DIGITS * step, DIGITS)
+    sums = inside.groupBy("source", digits.alias("digits")).agg(F.sum("size").alias("bucket_size"), F.first("need").alias("need"), F.first("start").alias("start"))
+    upto = F.col("start") + F.sum("bucket_size").over(Window.partitionBy("source").orderBy("digits"))
+    ends = sums.withColumn("upto", upto).filter(F.col("upto") >= F.col("need"))
+    ends = ends.groupBy("source").agg(F.min(F.struct("digits", (F.col("upto") - F.col("bucket_size")).alias("start"))).alias("end"))
+    p, e = params.alias("p"), ends.alias("e")
+    both = p.join(e, F.col("p.source").eqNullSafe(F.col("e.source")), "left")
+    kept = [F.col(f"p.{c}") for c in params.columns if c not in ("prefix", "start")]
+    prefix = F.coalesce(F.concat("p.prefix", "e.end.digits"), F.col("p.prefix"))
+    return both.select(*kept, prefix.alias("prefix"), F.coalesce("e.end.start", "p.start").alias("start"))
+
+
 def mix(sizes: DataFrame, share: float = 1.5, epochs: float = 2.0, weights: tuple[float, ...] = (5.0, 2.0, 1.0), seed: int = 7) -> DataFrame:
     """For each row of ``sizes`` (doc_id, source, size; re-readable): what the mix takes of it.
 
@@ -67,29 +98,14 @@ def mix(sizes: DataFrame, share: float = 1.5, epochs: float = 2.0, weights: tupl
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     targets = targets.withColumn("whole", F.floor(ratio).cast("long"))
     targets = targets.withColumn("need", F.greatest(F.lit(0).cast("long"), F.round("target").cast("long") - F.col("whole") * F.col("source_size")))
-    placed = sizes.withColumn("place", seeded(seed)).withColumn("bucket", F.conv(F.substring("place", 1, BUCKET_DIGITS), 16, 10).cast("int"))
-    in_bucket = placed.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
-    order = Window.partitionBy("source").orderBy("bucket")
-    in_bucket = in_bucket.withColumn("upto", F.sum("bucket_size").over(order))
-    t, b = targets.alias("t"), in_bucket.alias("b")
-    last = b.join(t, F.col("b.source").eqNullSafe(F.col("t.source"))).filter((F.col("upto") >= F.col("need")) & (F.col("need") > 0))
-    last = last.groupBy(F.col("b.source").alias("source")).agg(
-        F.min(F.struct(F.col("b.bucket").alias("bucket"), (F.col("upto") - F.col("bucket_size")).alias("start"))).alias("last")
-    )
-    l = last.alias("l")
-    params = written(
-        t.join(l, F.col("t.source").eqNullSafe(F.col("l.source")), "left").select(
-            F.col("t.source").alias("source"), "source_size", "target", "whole", "need",
-            F.coalesce(F.col("l.last.bucket"), F.lit(-1)).alias("last_bucket"), F.coalesce(F.col("l.last.start"), F.lit(0).cast("long")).alias("start"),
-        )
-    )
-    # Each row meets its source's one row: a broadcast where the table is small, else a join that
-    # adaptive execution splits at a hot source.
-    p = (F.broadcast(params) if params.count() <= BROADCAST_SOURCES else params).alias("p")
-    d = placed.alias("d")
-    joined = d.join(p, F.col("d.source").eqNullSafe(F.col("p.source"))).select("d.*", "p.source_size", "p.target", "p.whole", "p.need", "p.last_bucket", "p.start")
-    other = joined.filter("bucket != last_bucket").withColumn("part", F.when(F.col("bucket") < F.col("last_bucket"), F.col("size")).otherwise(F.lit(0).cast("long")))
-    inside = joined.filter("bucket = last_bucket")
+    placed = sizes.withColumn("place", seeded(seed))
+    params = written(targets.withColumn("prefix", F.lit("")).withColumn("start", F.lit(0).cast("long")))
+    for step in range(STEPS):
+        params = written(narrowed(placed, params, step))
+    joined = with_params(placed.withColumn("bucket", F.substring("place", 1, DIGITS * STEPS)), params)
+    # A source without a fraction has no prefix, which is less than any bucket.
+    other = joined.filter("bucket != prefix").withColumn("part", F.when(F.col("bucket") < F.col("prefix"), F.col("size")).otherwise(F.lit(0).cast("long")))
+    inside = joined.filter("bucket = prefix")
     before = Window.partitionBy("source").orderBy("place", "size").rowsBetween(Window.unboundedPreceding, -1)
     left = F.col("need") - F.col("start") - F.coalesce(F.sum("size").over(before), F.lit(0).cast("long"))
     inside = inside.withColumn("part", F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), left)))

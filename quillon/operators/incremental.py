@@ -51,3 +51,29 @@ def checked_unique(items: DataFrame) -> DataFrame:
     if twice:
         raise DuplicatePath(twice[0].path)
     return items
+
+
+class NotForgotten(ValueError):
+    pass
+
+
+def forgotten(items: DataFrame, path: str, principal: str) -> DataFrame:
+    """``items`` without one path; only a human may ask, for a path inside the store that there is."""
+    if not principal.startswith("human:"):
+        raise NotForgotten("only a human may forget an item")
+    if path.startswith("/") or ".." in path.split("/") or items.filter(F.col("path") == path).isEmpty():
+        raise NotForgotten(path)
+    return items.filter(F.col("path") != path)
+
+
+def forgotten_device(recipients: DataFrame, device: str, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Recipients without a device, and the private items that have to be encrypted anew; one recipient must be left."""
+    left = recipients.filter(F.col("label") != f"device:{device}")
+    if left.isEmpty():
+        raise NotForgotten("no recipient would be left")
+    return left, items.filter(F.col("visibility") == "private").select("path")
+
+
+def purged(history: DataFrame, path: str) -> DataFrame:
+    """A history of (revision, path, ...) without any version of a path."""
+    return history.filter(F.col("path") != path)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import analyze
-from quillon.operators import graph
+from quillon.operators import graph, incremental
 from quillon.plans.tables import ranked, within_budget
 
 WEIGHTS = {"title": 2.0, "body": 1.0, "tags": 2.0}
@@ -138,6 +138,21 @@ class Index:
         # Ranges of terms: a hot term's rows spread over neighbouring files through the path.
         self.postings().repartitionByRange("term", "path").sortWithinPartitions("term", "path").write.parquet(f"{path}/postings")
 
+    def refreshed(self, upserts: DataFrame, deleted: DataFrame) -> Index:
+        """The index after a change set: only the upserted items are analysed.
+
+        ``upserts`` has the items' columns and ordinal (the last of a path wins), ``deleted`` paths.
+        """
+        fresh = Index.of(incremental.applied(self.items.limit(0), upserts, deleted), self.analyser)
+        touched = upserts.select("path").unionByName(deleted.select("path")).distinct()
+
+        def renewed(old: DataFrame, new: DataFrame) -> DataFrame:
+            return old.join(touched, "path", "left_anti").unionByName(new.select(*old.columns))
+
+        return Index(
+            renewed(self.items, fresh.items), self.analyser, None, renewed(self.postings(), fresh.postings()), renewed(self.lengths, fresh.lengths)
+        )
+
     @staticmethod
     def read(spark: SparkSession, path: str, analyser: str = "stemmed") -> Index:
         read = lambda n: spark.read.parquet(f"{path}/{n}")

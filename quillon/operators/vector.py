@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -84,3 +84,16 @@ def with_embeddings(items: DataFrame, vectors: DataFrame) -> DataFrame:
     v = vectors.select("path", F.col("embedding").alias("__new"))
     both = items.join(v, "path", "left").withColumn("embedding", F.coalesce("__new", "embedding"))
     return both.select(*items.columns)
+
+
+def embedded_by(items: DataFrame, embed: Callable[[list[str]], list[list[float] | None]]) -> DataFrame:
+    """``items`` with embeddings of "title, blank line, body" by ``embed``, which gets a batch of texts in a task.
+
+    A text that it cannot embed (None) stays without a vector.
+    """
+
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for t in texts:
+            yield pd.Series(embed(list(t)), dtype=object)
+
+    return items.withColumn("embedding", F.pandas_udf(run, "array<float>")(F.concat("title", F.lit("\n\n"), "body")))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillon.operators import graph, materialize, search, vector
 from quillon.operators.search import All, Any, Filter, Index, Near, Phrase, Prefix, Term, Without
 from quillon.plans.driver_tables import EDGES_SQL, ITEMS_SQL, edges, items, table
+from quillon.plans.tables import shared_dir
 from quillon.sources import sinks
 
 QUERIES, SQL = {}, {}
@@ -75,6 +76,26 @@ def search_any(spark, sf_dir):
     return shown(search.search(plain_index(spark, sf_dir), Any(Term("mit"), Term("gnu")), Filter(limit=50)))
 
 
+@query(ranked_sql([term_sql("mit"), term_sql("gnu")], "m0 OR m1", limit=50))
+def search_stored(spark, sf_dir):
+    """The same over an index that is written once and read again, by ranges of terms."""
+    import uuid
+
+    path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    plain_index(spark, sf_dir).write(path)
+    return shown(search.search(Index.read(spark, path, "plain"), Any(Term("mit"), Term("gnu")), Filter(limit=50)))
+
+
+@query(ranked_sql([term_sql("license"), term_sql("version")], "m0 AND m1", limit=50).replace("SELECT path, 'body', regexp_extract_all(body", "SELECT path, 'body', regexp_extract_all(CASE WHEN doc_id % 9 = 1 THEN 'license version' ELSE body END")
+       .replace("FROM documents d)", "FROM documents d WHERE d.doc_id % 9 <> 2)"))
+def search_refreshed(spark, sf_dir):
+    """A search after a change set: ninths of the items are rewritten and deleted."""
+    index = plain_index(spark, sf_dir)
+    rewritten = index.items.filter("doc_id % 9 = 1").withColumn("body", F.lit("license version")).withColumn("ordinal", F.lit(1))
+    after = index.refreshed(rewritten, index.items.filter("doc_id % 9 = 2").select("path"))
+    return shown(search.search(after, search.words("license version"), Filter(limit=50)))
+
+
 @query(ranked_sql([term_sql("license"), term_sql("apache")], "m0 AND NOT m1", limit=50, silent=(1,)))
 def search_without(spark, sf_dir):
     return shown(search.search(plain_index(spark, sf_dir), Without(Term("license"), Term("apache")), Filter(limit=50)))

@@ -2,9 +2,10 @@ import random
 import sqlite3
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillon.functions import analyze
-from quillon.operators import search, vector
+from quillon.operators import incremental, search, vector
 from quillon.operators.search import All, Any, Filter, Index, Near, Phrase, Prefix, Term, Without
 
 WORDS = "rust static running runs runner memory café naïve context index merged merging policy policies store stores don_t a-b 100.5".split()
@@ -63,6 +64,17 @@ def test_stored_index_gives_the_same(spark, index, tmp_path):
         assert sorted(search.matches(again, q).collect()) == sorted(search.matches(index, q).collect())
 
 
+def test_refreshed_index_equals_a_new_one(spark, index):
+    items = index.items
+    upserts = items.filter("tier = 1").selectExpr("*", "1 as ordinal").unionByName(items.filter("tier = 1").selectExpr("*", "2 as ordinal").withColumn("body", F.lit("memory of rust")))
+    deleted = items.filter("tokens = 20 and tier != 1").select("path")
+    after = index.refreshed(upserts, deleted)
+    anew = Index.of(incremental.applied(items, upserts, deleted), "stemmed")
+    for q in (Term("memory"), Phrase("static rust")):
+        round_ = lambda i: sorted((r.path, round(r.score, 9)) for r in search.matches(i, q).collect())  # noqa: B023, E731
+        assert round_(after) == round_(anew)
+
+
 def test_filters_limit_and_budget(index):
     q = Term("memory")
     every = search.search(index, q).collect()
@@ -112,3 +124,9 @@ def test_vectors(spark):
     again = spark.createDataFrame([([1.5, -2.0],)], "v array<float>").select(vector.decoded(vector.encoded("v")).alias("v")).first().v
     assert again == [1.5, -2.0]
     assert vector.with_embeddings(items, spark.createDataFrame([("f", [3.0]), ("zz", [1.0])], "path string, embedding array<float>")).filter("path = 'f'").first().embedding == [3.0]
+
+
+def test_embedder_runs_in_batches(spark):
+    items = spark.createDataFrame([("a", "T", "body"), ("b", "", "")], "path string, title string, body string")
+    got = vector.embedded_by(items, lambda texts: [[float(len(t))] if t.strip() else None for t in texts]).collect()
+    assert {r.path: r.embedding for r in got} == {"a": [7.0], "b": None}

@@ -223,3 +223,17 @@ def test_refusals(spark):
     with pytest.raises(control_plane.Refused):
         control_plane.unique_slugs(spark.createDataFrame([("a",), ("a",)], "slug string"))
     assert one(spark, control_plane.suffix_of(F.lit("/t/info/refs"))) == "info/refs"
+
+
+def test_forgetting(spark):
+    items = items_of(spark, [("a.md", "A", "x", [], 0, 1), ("b.md", "B", "y", [], 0, 1)]).withColumn("visibility", F.when(F.col("path") == "a.md", "private"))
+    assert [r.path for r in incremental.forgotten(items, "a.md", "human:me").collect()] == ["b.md"]
+    for path, who in (("a.md", "agent:x"), ("../a.md", "human:me"), ("gone.md", "human:me")):
+        with pytest.raises(incremental.NotForgotten):
+            incremental.forgotten(items, path, who)
+    recipients = spark.createDataFrame([("age1a", "device:one"), ("age1b", "device:two")], "recipient string, label string")
+    left, again = incremental.forgotten_device(recipients, "one", items)
+    assert left.count() == 1 and [r.path for r in again.collect()] == ["a.md"]
+    with pytest.raises(incremental.NotForgotten):
+        incremental.forgotten_device(left, "two", items)
+    assert incremental.purged(items, "a.md").count() == 1

@@ -2,42 +2,34 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.plans.tables import shared_dir, written  # noqa: F401  (for the operators)
+
 #: White space that separates words: space and U+0009 to U+000D.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where that is unset (a local test session) a temporary folder is made and kept.
-    """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="quillon-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, which cuts its lineage.
+#: Bytes of rows that a Python worker gets at a time; a batch ends with the row that reaches it.
+BATCH_BYTES = 4 << 20
 
-    Unlike ``checkpoint()`` the plan runs once, and later reads prune columns. A lost executor
-    costs nothing, since the files outlive it.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quillon-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds what Python workers and their executor hold of texts at a time, unless the session's bound is lower.
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    The session's own limit is 64 MB, which each worker then holds several times over.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    text = str(spark.conf.get(key)).lower().removesuffix("b")
+    unit = {"k": 10, "m": 20, "g": 30}.get(text[-1:], 0)
+    now = int(text.rstrip("kmg") or 0) << unit
+    if now <= 0 or now > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def text_or_empty(column: str = "text") -> Column:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import text_bytes
+from quillon.llm.common import bounded_batches, text_bytes
 
 # The phrases and their labels.
 PHRASES = {
@@ -175,5 +175,6 @@ def scanned(docs: DataFrame, scanner: Scanner | None = None) -> DataFrame:
             cols = [pa.array([f[i] for f in found], kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"])
 
+    bounded_batches(docs.sparkSession)
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
     return read.mapInArrow(run, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")

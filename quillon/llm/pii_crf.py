@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import text_bytes
+from quillon.llm.common import bounded_batches, text_bytes
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = 1 + len(KINDS)  # 0: none
@@ -232,6 +232,7 @@ def learnt(docs: DataFrame, sample: int = 3000, smooth: float = 1.0) -> Field:
         cols = [list(c) for c in zip(*((*k, n) for k, n in found.items()))] or [[], [], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["what", "a", "b", "n"])
 
+    bounded_batches(docs.sparkSession)
     ids = docs.select("doc_id").filter("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct()
     texts = docs.select("doc_id", text_bytes().alias("text")).join(F.broadcast(ids), "doc_id").select("text")
     counted = texts.mapInArrow(count, "what long, a long, b long, n long").groupBy("what", "a", "b").agg(F.sum("n").alias("n")).collect()
@@ -288,5 +289,6 @@ def spans(docs: DataFrame, field: Field) -> DataFrame:
                 ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans"],
             )
 
+    bounded_batches(docs.sparkSession)
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
     return read.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import text_bytes
+from quillon.llm.common import bounded_batches, text_bytes
 
 CHUNK, OVERLAP = 512, 32
 EMBED, WIDTH, STRIDE, FILTERS, HIDDEN = 6, 8, 2, 24, 16
@@ -179,6 +179,7 @@ def learnt(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = 300
     hash of the id, so every run takes the same. Without labelled rows all scores are those of an
     untrained output of one half. If all labels agree, the network learns that one.
     """
+    bounded_batches(docs.sparkSession)
     rows = labels.filter(usable & F.col("quality").isin(0, 1)).select("doc_id", "quality").distinct()
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
 
@@ -206,6 +207,7 @@ def scored(docs: DataFrame, net: Network, text_col: str = "text", name: str = "s
     Only the whole text counts; null and empty texts are one empty chunk. All columns of ``docs``
     are kept; a column called ``name`` is replaced.
     """
+    bounded_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c != name]
 
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import tasks, text_bytes, written
+from quillon.llm.common import bounded_batches, tasks, text_bytes, written
 
 #: Members of a bucket that one task compares directly; larger buckets are dealt into tiles.
 TILE = 1024
@@ -64,6 +64,7 @@ def fingerprints(docs: DataFrame, width: int = 3, id_col: str | Column = "doc_id
             fps = [fingerprint(x.as_py(), width) for x in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
+    bounded_batches(docs.sparkSession)
     ids = F.col(id_col).cast("long") if isinstance(id_col, str) else id_col
     read = docs.select(ids.alias("doc_id"), text_bytes(text_col).alias("text"))
     return read.mapInArrow(run, T.StructType([T.StructField("doc_id", read.schema["doc_id"].dataType), T.StructField("fp", T.LongType())]))

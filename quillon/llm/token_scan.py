@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import text_or_empty, written
+from quillon.llm.common import bounded_batches, text_or_empty, written
 
 #: Tokens in a block, and blocks in a group of the scan.
 BLOCK_TOKENS, SCAN_GROUP = 1 << 18, 1024
@@ -81,6 +81,7 @@ def token_files(docs: DataFrame, vocabulary: str = VOCABULARY, separator: int =
         if size:
             yield rows([np.concatenate(pending).tobytes()], block, [], 0)
 
+    bounded_batches(docs.sparkSession)
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     both = written(read.mapInArrow(run, BLOCKS + ", ordinal long, doc_id long"))
     return both.filter("tokens is not null").select("file", "block", "tokens"), both.filter("ordinal is not null").select("file", "ordinal", "doc_id")

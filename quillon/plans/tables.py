@@ -18,8 +18,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: one run of its plan, and no lineage behind it."""
+def written(df: DataFrame, compact: bool = False) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: one run of its plan, and no lineage behind it.
+
+    ``compact`` first rebalances the rows, so that a small table becomes a few files rather than
+    one for each task; a large one stays spread over files of the advisory partition size.
+    """
+    df = df.hint("rebalance") if compact else df
     path = f"{shared_dir(df.sparkSession)}/quillon-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.plans.tables import written
+
 
 @dataclass(frozen=True)
 class Tier:
@@ -96,7 +98,8 @@ def evicted(tier: DataFrame, keys: list[str], shape: Tier) -> DataFrame:
 
 def rings(samples: DataFrame, keys: list[str], tiers: tuple[Tier, ...] = TIERS) -> DataFrame:
     """(keys, tier, slot, bucket, n, sum, min, max, last, open) of all tiers."""
-    out, level = None, buckets(samples, keys, tiers[0].step)
+    # Read by all tiers: a row for each bucket, not for each sample.
+    out, level = None, written(buckets(samples, keys, tiers[0].step))
     for i, shape in enumerate(tiers):
         level = folded(level, keys, shape.step) if i else level
         part = evicted(level, keys, shape)

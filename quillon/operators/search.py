@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import analyze
 from quillon.operators import graph, incremental
-from quillon.plans.tables import ranked, within_budget
+from quillon.plans.tables import ranked, within_budget, written
 
 WEIGHTS = {"title": 2.0, "body": 1.0, "tags": 2.0}
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -102,7 +102,7 @@ class Filter:
 
 @dataclass
 class Index:
-    """``postings`` may be narrowed to a query's terms before they are exploded, if it comes from items."""
+    """Stored postings, or analysed items of which a query takes its own terms only."""
 
     items: DataFrame
     analyser: str
@@ -119,18 +119,24 @@ class Index:
         lengths = analysed.select("path", sum((F.size(n) for n in WEIGHTS), F.lit(0)).alias("length"))
         return Index(items, analyser, analysed, None, lengths)
 
+    def _places(self, wanted) -> Column:
+        parts = []
+        for name in WEIGHTS:
+            places = F.transform(F.col(name), lambda t, i: F.struct(t.alias("term"), i.alias("position")))
+            parts.append(_in_field(F.filter(places, lambda p: wanted(p["term"])) if wanted else places, name))
+        return F.concat(*parts)
+
+    def narrowed(self, wanted) -> Index:
+        """The index of the wanted terms only, by one pass over the items; lengths stay those of all terms."""
+        length = sum((F.size(n) for n in WEIGHTS), F.lit(0)).alias("length")
+        table = written(self.analysed.select("path", length, self._places(wanted).alias("places")))
+        return Index(self.items, self.analyser, None, _grouped(table.select("path", F.explode("places").alias("p"))), table.select("path", "length"))
+
     def postings(self, wanted=None) -> DataFrame:
         """(term, path, field, positions); ``wanted`` is a condition on a term as a function of a column."""
         if self.stored is not None:
             return self.stored.filter(wanted(F.col("term"))) if wanted else self.stored
-        parts = []
-        for name in WEIGHTS:
-            places = F.transform(F.col(name), lambda t, i: F.struct(t.alias("term"), i.alias("position")))
-            if wanted:
-                places = F.filter(places, lambda p: wanted(p["term"]))
-            parts.append(_in_field(places, name))
-        each = self.analysed.select("path", F.explode(F.concat(*parts)).alias("p")).select("path", "p.*")
-        return each.groupBy("term", "path", "field").agg(F.sort_array(F.collect_list("position")).alias("positions"))
+        return _grouped(self.analysed.select("path", F.explode(self._places(wanted)).alias("p")))
 
     def write(self, path: str) -> None:
         self.items.write.parquet(f"{path}/items")
@@ -163,6 +169,11 @@ def _in_field(places: Column, name: str) -> Column:
     return F.transform(places, lambda p: F.struct(p["term"].alias("term"), p["position"].alias("position"), F.lit(name).alias("field")))
 
 
+def _grouped(exploded: DataFrame) -> DataFrame:
+    each = exploded.select("path", "p.*")
+    return each.groupBy("term", "path", "field").agg(F.sort_array(F.collect_list("position")).alias("positions"))
+
+
 def _shifted(positions: Column, by: int) -> Column:
     return F.transform(positions, lambda p: p - by)
 
@@ -221,6 +232,7 @@ def matches(index: Index, query) -> DataFrame:
             out |= t.startswith(p)
         return out
 
+    index = index.narrowed(wanted) if index.stored is None else index
     postings = index.postings(wanted)
     hits, ids, n = [], {}, 0  # hits: (leaf, path, f, counted); counted leaves give n of another
     weight = F.create_map(*[x for k, w in WEIGHTS.items() for x in (F.lit(k), F.lit(w))])[F.col("field")]
@@ -302,7 +314,7 @@ def context(index: Index, edges: DataFrame, query, where: Filter = Filter()) ->
     The best CONTEXT_HITS hits come first; neighbours of the first CONTEXT_SEEDS follow by seed,
     distance, tier and path, each item where it first appears. Neighbours are filtered by tier only.
     """
-    hits = search(index, query, replace(where, limit=CONTEXT_HITS, budget=None))
+    hits = written(search(index, query, replace(where, limit=CONTEXT_HITS, budget=None)))
     seeds = hits.filter(F.col("rank") <= CONTEXT_SEEDS).select("path", F.col("rank").alias("seed"))
     reached = graph.neighbours(edges, seeds, CONTEXT_DEPTH)
     meta = index.items.filter(F.lit(True) if where.tier is None else F.col("tier") <= where.tier).select("path", "title", "tier", "tokens")

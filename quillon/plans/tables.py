@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +31,15 @@ def written(df: DataFrame, compact: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def reused(df: DataFrame) -> DataFrame:
+    """``df`` kept on the executors' disks for several readers of one query.
+
+    What a lost executor held is computed again from its lineage, which this does not cut; for
+    loops use ``written``. ``spark.catalog.clearCache()`` frees all of it.
+    """
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def ranked(df: DataFrame, order: list, limit: int) -> DataFrame:
     """The first ``limit`` rows with a column rank from 1. Only those rows are numbered in one task."""
     top = df.orderBy(*order).limit(limit)

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import word_count, written
+from quillon.llm.common import reused, word_count, written
 
 #: Hexadecimal digits of the seeded hash that each step looks at, and the number of steps.
 DIGITS, STEPS = 2, 2
@@ -115,7 +115,7 @@ def mix(sizes: DataFrame, share: float = 1.5, epochs: float = 2.0, weights: tupl
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """``mix`` over a documents table; sizes are numbers of words, null texts have none."""
-    sizes = written(docs.select(F.col("doc_id"), F.col("source"), word_count().alias("size")))
+    sizes = reused(docs.select(F.col("doc_id"), F.col("source"), word_count().alias("size")))
     return mix(sizes, **options)
 
 

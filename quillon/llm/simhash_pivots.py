@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import bounded_batches, tasks, text_bytes, written
+from quillon.llm.common import bounded_batches, reused, tasks, text_bytes, written
 
 #: Members of a bucket that one task compares directly; larger buckets are dealt into tiles.
 TILE = 1024
@@ -232,7 +232,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, id_col: st
     larger than all others, and a component of none but null ids has null. Repeated rows each get
     their row. Other columns are ignored. An empty table gives no rows.
     """
-    each = written(fingerprints(docs, width, id_col, text_col))
+    each = reused(fingerprints(docs, width, id_col, text_col))
     return grouped(each, radius)
 
 
@@ -244,7 +244,7 @@ def grouped(each: DataFrame, radius: int) -> DataFrame:
     pairs = roots.select(F.col("node").alias("fp"), "root").unionByName(roots.select(F.col("root").alias("fp"), "root").distinct())
     members = distinct.join(pairs, "fp", "left").filter((F.col("n") > 1) | F.col("root").isNotNull()).withColumn("root", F.coalesce("root", "fp"))
     smallest = members.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of = written(members.join(smallest, "root").select("fp", "component_id"))
+    of = written(members.join(smallest, "root").select("fp", "component_id"), compact=True)
     # A fingerprint may have a third of all rows; adaptive execution splits that key of this join.
     out = each.join(of, "fp", "left")
     return out.select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -59,7 +59,7 @@ def test_field_carries_labels_to_repeated_tokens(spark):
 
 def test_awkward_tables(spark):
     field = learnt(spark)
-    rows = [(1, None), (2, ""), (None, "a@b.cd"), (3, "1.1.1.1 " * 20000), (3, "1.1.1.1"), (4, "9" * 100000), (5, " +123456789 ")]
+    rows = [(1, None), (2, ""), (None, "a@b.cd"), (3, "1.1.1.1 " * 2000), (3, "1.1.1.1"), (4, "9" * 3000), (5, " +123456789 ")]
     docs = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], SCHEMA)
     got = p.spans(docs, field).collect()
     want = [(i, *[sum(k == s[0] for s in brute(t or "")) for k in range(4)]) for i, t in rows]

@@ -54,6 +54,13 @@ def tenant_rings(spark, sf_dir):
     return r.groupBy("tenant_id", "name", "tier").agg(F.count("*").alias("slots"), F.sum("n").alias("n"), F.round(F.sum("sum"), 6).alias("total"), F.min("min").alias("low"), F.max("max").alias("high"))
 
 
+@query(f"WITH {ring_sql('name')} SELECT name, tier, count(*) AS slots FROM ring WHERE tier <> 1 GROUP BY name, tier")
+def reset_tier(spark, sf_dir):
+    """Slots that are left when the middle tier gets another shape."""
+    ring = metrics.without_tier(metrics.rings(samples(spark, sf_dir), ["name"]), 1)
+    return ring.groupBy("name", "tier").agg(F.count("*").alias("slots"))
+
+
 WEEK = 7 * 86400
 
 

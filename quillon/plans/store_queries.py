@@ -344,3 +344,56 @@ def tenant_snapshots(spark, sf_dir):
     text = F.when(k % 7 == 0, F.concat(s("age-encryption.org/v1\n"), k)).otherwise(F.concat(s("---\nvisibility: "), F.when(k % 5 == 0, "private").otherwise("team"), s("\n---\n"), "s_name"))
     blobs = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("tenant_id"), F.concat(s("a/"), k, F.when(k % 11 == 0, ".txt").otherwise(".md")).alias("path"), text.cast("binary").alias("content"))
     return files.snapshot(blobs, "2024-05-01")[1]
+
+
+@query("""SELECT 'inbox/' || trim(regexp_replace(lower(role || ' turn ' || turn), '[^a-z0-9]+', '-', 'g'), '-') || '-' || (conv_id * 1000 + turn) || '.md' AS path,
+  md5('---' || chr(10) || 'title: "' || role || ' turn ' || turn || '"' || chr(10) || 'type: feedback' || chr(10) || CASE WHEN turn % 2 = 0 THEN 'scope: user' || chr(10) ELSE '' END
+  || 'provenance:' || chr(10) || '  actor: "agent:' || conv_id || '"' || chr(10) || '  source: conversation' || chr(10) || 'confidence: proposed' || chr(10) || '---' || chr(10)
+  || chr(10) || coalesce(text, '') || chr(10)) AS md5 FROM conversations""")
+def remembered_items(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    title = F.concat("role", s(" turn "), "turn")
+    text = frontmatter.remembered(title, s("feedback"), F.when(F.col("turn") % 2 == 0, "user"), F.concat(s("agent:"), "conv_id"), F.coalesce("text", s("")))
+    return c.select(derive.inbox_path(title, F.col("conv_id") * 1000 + F.col("turn")).alias("path"), F.md5(text).alias("md5"))
+
+
+@query("SELECT o_orderkey, strftime(CAST('1970-01-01' AS DATE) + CAST(o_orderkey % 40000 - 9000 AS INTEGER), '%Y-%m-%d') AS day FROM orders")
+def civil_dates(spark, sf_dir):
+    k = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select("o_orderkey", derive.civil_date(k % 40000 - 9000).alias("day"))
+
+
+@query("""SELECT s_suppkey AS device_id, CASE WHEN s_suppkey % 5 = 0 THEN 'N' || s_suppkey WHEN s_suppkey % 3 <> 0 THEN 'S' || s_suppkey END AS serial FROM supplier""")
+def certified_devices(spark, sf_dir):
+    issued = table(spark, sf_dir, "supplier").filter("s_suppkey % 5 = 0").select(F.col("s_suppkey").alias("device_id"), F.concat(s("N"), "s_suppkey").alias("serial"))
+    return control_plane.with_certificates(devices(spark, sf_dir), issued).select("device_id", "serial")
+
+
+@query("""SELECT o_orderkey AS grant_id FROM orders WHERE o_custkey % 10 = 3 AND o_orderkey % 900 + 600 > 1000""")
+def live_grants(spark, sf_dir):
+    """Grants of ten minutes that a code finds, by either kind of code."""
+    k = F.col("o_orderkey")
+    code = F.concat(s("c"), F.col("o_custkey") % 10)
+    grants = table(spark, sf_dir, "orders").select(
+        k.alias("grant_id"), F.when(k % 2 == 0, code).alias("device_code"), F.when(k % 2 == 1, code).alias("user_code"), (k % 900 + control_plane.GRANT_SECONDS).alias("expires_at")
+    )
+    return control_plane.live_grants(grants, s("c3"), 1000).select("grant_id")
+
+
+@query("""SELECT c_custkey, replace(lower(n_name), ' ', '-') AS tenant, 'objects/' || c_custkey AS suffix FROM customer JOIN nation ON n_nationkey = c_nationkey""")
+def routes(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.lower(F.replace("n_name", s(" "), s("-"))).alias("slug"))
+    url = F.concat(s("/"), "slug", s("/objects/"), "c_custkey")
+    return table(spark, sf_dir, "customer").join(n, "c_nationkey").select("c_custkey", control_plane.tenant_of(url).alias("tenant"), control_plane.suffix_of(url).alias("suffix"))
+
+
+@query("""SELECT c_custkey, c_custkey % 3 = 0 OR c_custkey % 4 = 1 AS allowed FROM customer""")
+def promotion_rights(spark, sf_dir):
+    k = F.col("c_custkey")
+    who = F.when(k % 3 == 0, F.concat(s("human:"), k)).when(k % 4 == 1, "agent:trusted").otherwise("agent:other")
+    return table(spark, sf_dir, "customer").select("c_custkey", derive.may_promote(who, ["agent:trusted"]).alias("allowed"))
+
+
+@query(f"""WITH {ITEMS_SQL} SELECT path, visibility = 'private' AS encrypt FROM items""")
+def files_to_encrypt(spark, sf_dir):
+    return items(spark, sf_dir).select("path", derive.needs_encryption(F.col("body").cast("binary"), F.col("visibility")).alias("encrypt"))

@@ -130,7 +130,8 @@ def repeated_documents(docs: DataFrame, **options) -> DataFrame:
     times = taken.groupBy("doc_id", "source").agg(
         F.max((F.col("whole") + F.when((F.col("part") > 0) & (2 * F.col("part") >= F.col("size")), 1).otherwise(0))).cast("int").alias("times")
     )
-    t, d = times.filter("times > 0").alias("t"), docs.alias("d")
+    # Hashing the small side spares sorting the texts.
+    t, d = times.filter("times > 0").hint("shuffle_hash").alias("t"), docs.alias("d")
     same = F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("d.source").eqNullSafe(F.col("t.source"))
     both = d.join(t, same).select("d.*", F.col("t.times").alias("__times"))
     return both.withColumn("__times", F.explode(F.array_repeat(F.lit(0), F.col("__times")))).select(*[F.col(f"`{c}`") for c in docs.columns])

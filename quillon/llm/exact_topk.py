@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from quillon.llm import grid
 
-DIMENSION_BLOCK, QUERY_TILE = 16, 256
+#: Dimensions of a block; first partial products that are held at a time.
+DIMENSION_BLOCK, PRODUCTS = 16, 1 << 21
 
 
 def integers(x: np.ndarray) -> np.ndarray:
@@ -64,8 +65,9 @@ def best_in_cell(k: int):
             # Lengths of what remains of the candidates and queries after each block.
             c_rest = [np.sqrt((columns[a + DIMENSION_BLOCK :] ** 2).sum(axis=0)) for a in cuts]
             q_rest = [np.sqrt((q[:, a + DIMENSION_BLOCK :] ** 2).sum(axis=1)) for a in cuts]
-            for at in range(0, len(q), QUERY_TILE):
-                tile = slice(at, at + QUERY_TILE)
+            queries_at_once = max(1, PRODUCTS // max(1, len(c)))
+            for at in range(0, len(q), queries_at_once):
+                tile = slice(at, at + queries_at_once)
                 first = q[tile, :DIMENSION_BLOCK] @ columns[:DIMENSION_BLOCK]
                 for i in range(first.shape[0]):
                     query = at + i

@@ -14,9 +14,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Most queries and candidates in a cell, on average.
-QUERY_BLOCK, CANDIDATE_BLOCK = 16384, 16384
+QUERY_BLOCK, CANDIDATE_BLOCK = 32768, 65536
 #: Least number of candidate blocks, for tasks enough on small tables.
 LEAST_BLOCKS = 24
 
@@ -26,7 +27,9 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str, zero_ok: bool) -> D
 
     ``zero_ok`` admits vectors whose components are all zero (and empty ones).
     """
-    v = F.col(vector_col).cast("array<double>")
+    # float32 vectors travel as such; tasks compute in float64.
+    floats = isinstance(vectors.schema[vector_col].dataType.elementType, T.FloatType)
+    v = F.col(vector_col) if floats else F.col(vector_col).cast("array<double>")
     ok = F.col(id_col).isNotNull() & v.isNotNull()
     ok &= F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), F.lit(False)))
     if not zero_ok:
@@ -77,7 +80,7 @@ def matrices(block: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     if isinstance(v, pa.ChunkedArray):
         v = v.chunk(0) if v.num_chunks else pa.array([], v.type)
     lengths = np.diff(v.offsets.to_numpy())
-    flat = v.values.to_numpy(zero_copy_only=False)
+    flat = v.values.to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
     starts = v.offsets.to_numpy()[:-1]
     out = {}
     for d in np.unique(lengths):

@@ -2,17 +2,15 @@
 
 Fields that vary (tokens with a digit) become wildcards. A tree of fixed depth parses each line by
 its number of tokens and its leading tokens to a leaf; within a leaf, lines that agree in most
-places with a leading line form one template, whose other places are wildcards too. A template
-that recurs in MIN_DOCUMENTS different texts or more is boilerplate: it stays where it stands first
-and goes everywhere else. Exact copies of a document count as one text and are treated alike, so
-they stay copies for a later stage.
+places are linked, and what links connect is one template, whose other places are wildcards too. A
+template that recurs in MIN_DOCUMENTS different texts or more is boilerplate: it stays where it
+stands first and goes everywhere else. Exact copies of a document count as one text and are treated
+alike, so they stay copies for a later stage.
 
 Lines are counted by their hashes. Texts of lines are looked at again only in leaves that hold
-several different lines, and a leaf is clustered in linear time: two lines that differ in at most d
-places agree in one of d + 1 segments, so a line meets only leaders that share a segment with it.
-Crowded leaves are dealt into parts of about CROWDED lines that are clustered on their own; the
-parts' leaders, far fewer where lines resemble each other, are clustered again, in one more level
-of the tree: by their last tokens.
+several different lines. Two lines that differ in at most d places agree in one of d + 1 segments
+behind the leading tokens, so lines are dealt by leaf and segment and meet only there; the result
+is the same for leaves of any size.
 """
 
 from __future__ import annotations
@@ -27,14 +25,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import bounded_batches, reused, text_bytes, text_or_empty, written
+from quillon.llm.common import bounded_batches, reused, tasks, text_bytes, text_or_empty, written
+from quillon.llm.simhash_pivots import components
 
 #: Different texts in which a template recurs; least tokens of a line that counts.
 MIN_DOCUMENTS, MIN_TOKENS = 3, 3
 #: Leading tokens of the tree, and the share of places in which lines of a template agree.
 DEPTH, AGREE = 3, 0.75
-#: Different lines in a leaf beyond which it is clustered in parts.
-CROWDED = 64
+#: Lines of a bucket that one task compares directly; larger buckets are dealt into tiles.
+CROWDED = 1024
 #: Rows of a table that is broadcast at most, at about 16 bytes each.
 BROADCAST_ROWS = 500_000
 
@@ -116,42 +115,87 @@ def clustered(lines: list[list]) -> list[int]:
     return out
 
 
-def merged(rows: DataFrame) -> DataFrame:
-    """(h, template) for the lines that share a template with another; ``rows`` has leaf, h, line."""
+def segment_keys(leaf: int, tokens: list[bytes]) -> list[int]:
+    """Keys of which two lines of a leaf share one at least if they differ in at most (1 - AGREE) of their places.
+
+    The leading tokens, which all lines of a leaf share, are not among the segments.
+    """
+    rest = tokens[DEPTH:]
+    d = int((1 - AGREE) * len(tokens))
+    if len(rest) <= d:
+        return [leaf]
+    cuts = np.linspace(0, len(rest), d + 2).astype(int).tolist()
+    digest = xxhash.xxh64_intdigest
+    return [int(np.uint64(digest(b"%d %d " % (leaf, s) + b" ".join(rest[a:b]))).view(np.int64)) for s, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+
+
+def bucket_links(hs: list[int], lines: list[bytes]) -> list[tuple[int, int]]:
+    """Links that connect what lines of equal numbers of tokens within the distance connect.
+
+    Each line that is reached meets only those that are not yet.
+    """
+    vocabulary: dict[bytes, int] = {}
+    rows = np.array([[vocabulary.setdefault(t, len(vocabulary)) for t in x.split(b" ")] for x in lines], np.int32)
+    d = int((1 - AGREE) * rows.shape[1])
+    out, left, queue = [], np.arange(len(hs)), []
+    while len(left):
+        if not queue:
+            queue, left = [int(left[0])], left[1:]
+        i = queue.pop()
+        near = (rows[left] != rows[i]).sum(axis=1) <= d
+        out += [(hs[i], hs[j]) for j in left[near].tolist()]
+        queue += left[near].tolist()
+        left = left[~near]
+    return out
+
+
+def linked(rows: DataFrame) -> DataFrame:
+    """(a, b): links between lines, whose components are those of all close pairs; ``rows`` (re-readable) has leaf, h, line.
+
+    Buckets beyond CROWDED lines are dealt into tiles of two chunks each, so that two lines of a
+    bucket meet in a tile at least.
+    """
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(h, k) for leaf, h, line in zip(*(batch.column(c).to_pylist() for c in ("leaf", "h", "line"))) for k in segment_keys(leaf, line.split(b" "))]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["h", "key"])
+
+    keyed = reused(rows.select("leaf", "h", "line").mapInArrow(keys, "h long, key long"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").withColumn("chunks", F.ceil(F.col("n") / CROWDED))
+    chunk = F.pmod(F.xxhash64("h"), F.col("chunks"))
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda x: F.xxhash64("key", F.least(x, chunk), F.greatest(x, chunk)))
+    tiles = keyed.join(shared, "key").select("h", F.explode(F.when(F.col("chunks") == 1, F.array("key")).otherwise(pairs)).alias("tile"))
+    tiles = tiles.join(rows.select("h", "line"), "h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leaf, hs, lines = None, [], []
+        tile, hs, lines = None, [], []
 
         def close() -> pa.RecordBatch:
-            pairs = [(hs[i], hs[j]) for i, j in enumerate(clustered(lines))] if len(lines) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs if p[0] != p[1]], pa.int64()) for k in (0, 1)], ["h", "template"])
+            out = bucket_links(hs, lines)
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
         for batch in batches:
-            for x, h, line in zip(*(batch.column(c).to_pylist() for c in ("leaf", "h", "line"))):
-                if x != leaf and lines:
+            for x, h, line in zip(*(batch.column(c).to_pylist() for c in ("tile", "h", "line"))):
+                if x != tile and lines:
                     yield close()
                     hs, lines = [], []
-                leaf = x
+                tile = x
                 hs.append(h)
-                lines.append(line.split(b" "))
+                lines.append(line)
         if lines:
             yield close()
 
-    return rows.repartition("leaf").sortWithinPartitions("leaf", "line").select("leaf", "h", "line").mapInArrow(run, "h long, template long")
+    return tiles.repartition(tasks(rows.sparkSession), "tile").sortWithinPartitions("tile").select("tile", "h", "line").mapInArrow(run, "a long, b long").distinct()
 
 
 def templates(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """(h, template) for lines whose template is not just themselves."""
     per_leaf = lines.groupBy("leaf", "h").agg(F.lit(1)).groupBy("leaf").agg(F.count("*").alias("different"))
-    shared = small(written(per_leaf.filter("different > 1"), compact=True))
-    again = parsed(docs).join(shared, "leaf").groupBy("leaf", "h").agg(F.first("line").alias("line"), F.first("different").alias("different"))
+    shared = small(written(per_leaf.filter("different > 1").select("leaf"), compact=True))
+    again = parsed(docs).join(shared, "leaf").groupBy("leaf", "h").agg(F.first("line").alias("line"))
     again = written(again, compact=True)
-    part = F.pmod(F.xxhash64("h"), F.ceil(F.col("different") / CROWDED))
-    first = written(merged(again.select(F.xxhash64("leaf", part).alias("leaf"), "h", "line")), compact=True)
-    leaders = again.filter(F.col("different") > CROWDED).join(first.select("h"), "h", "left_anti")
-    second = written(merged(leaders.select(F.xxhash64("leaf", F.substring_index(F.col("line").cast("string"), " ", -2)).alias("leaf"), "h", "line")), compact=True)
-    onward = second.select(F.col("h").alias("template"), F.col("template").alias("onward"))
-    return first.join(onward, "template", "left").select("h", F.coalesce("onward", "template").alias("template")).unionByName(second)
+    return components(linked(again)).select(F.col("node").alias("h"), F.col("root").alias("template"))
 
 
 def drops(docs: DataFrame) -> DataFrame:

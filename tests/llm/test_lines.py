@@ -100,3 +100,16 @@ def test_crowded_leaves_are_clustered_in_parts(spark, monkeypatch):
 def test_clusters_share_most_places():
     lines = ["a b c d e f g h", "a b c d e f g x", "a b c y e f g x", "z b c d q f w h"]
     assert lt.clustered([x.split() for x in lines]) == [0, 0, 0, 3]
+
+
+def test_varying_endings_meet_in_leaves_of_any_size(spark, monkeypatch):
+    """Lines of a crowded leaf whose last tokens vary are one template, as in a small leaf."""
+    names = [f"{a}{b}" for a in "abcdefghij" for b in "abcdefgh"]
+    rows = [(i, f"the same three lead {x} many equal words and then ends {x}y") for i, x in enumerate(names)]
+    rows += [(100 + i, f"the same three {x} only {x}k some {x}l few {x}m of {x}n words {x}o") for i, x in enumerate(names)]
+    docs = spark.createDataFrame([(i, t, 1, "x", 2) for i, t in rows], SCHEMA)
+    for crowded in (5, 64, 1024):
+        monkeypatch.setattr(lt, "CROWDED", crowded)
+        compare(spark, rows)
+        kept = {r.doc_id for r in lt.deduplicated(docs, emptied=False).collect()}
+        assert kept == {0, *(100 + i for i in range(len(names)))}

@@ -2,7 +2,9 @@
 
 Fields that vary (tokens with a digit) become wildcards. A tree of fixed depth parses each line by
 its number of tokens and its leading tokens to a leaf; within a leaf, lines that agree in most
-places are linked, and what links connect is one template, whose other places are wildcards too. A
+places, LEAST_COMMON of them words behind the leading ones, are linked, and what links connect is
+one template, whose other places are wildcards too. Lines of nothing but variable fields are
+templates of their own, with their fields. A
 template that recurs in MIN_DOCUMENTS different texts or more is boilerplate: it stays where it
 stands first and goes everywhere else. Exact copies of a document count as one text and are treated
 alike, so they stay copies for a later stage.
@@ -32,6 +34,8 @@ from quillon.llm.simhash_pivots import components
 MIN_DOCUMENTS, MIN_TOKENS = 3, 3
 #: Leading tokens of the tree, and the share of places in which lines of a template agree.
 DEPTH, AGREE = 3, 0.75
+#: Places behind the leading tokens, wildcards aside, in which linked lines agree at least.
+LEAST_COMMON = 5
 #: Lines of a bucket that one task compares directly; larger buckets are dealt into tiles.
 CROWDED = 1024
 #: Rows of a table that is broadcast at most, at about 16 bytes each.
@@ -77,13 +81,13 @@ def parsed(docs: DataFrame) -> DataFrame:
                     tokens = line.split()
                     if len(tokens) < MIN_TOKENS:
                         continue
-                    if has_digit(line):
-                        tokens = [WILD if has_digit(t) else t for t in tokens]
-                    line = b" ".join(tokens)
+                    masked = [WILD if has_digit(t) else t for t in tokens] if has_digit(line) else tokens
+                    own = all(t == WILD for t in masked)
+                    line = b" ".join(tokens if own else masked)
                     place.append(k)
                     number.append(n)
                     hashes.append(digest(line))
-                    leaves.append(digest(b"%d " % len(tokens) + b" ".join(tokens[:DEPTH])))
+                    leaves.append(digest(b"own " + line if own else b"%d " % len(tokens) + b" ".join(masked[:DEPTH])))
                     lines.append(line)
                 if len(lines) >= LINES_AT_ONCE:
                     yield rows()
@@ -137,12 +141,15 @@ def bucket_links(hs: list[int], lines: list[bytes]) -> list[tuple[int, int]]:
     vocabulary: dict[bytes, int] = {}
     rows = np.array([[vocabulary.setdefault(t, len(vocabulary)) for t in x.split(b" ")] for x in lines], np.int32)
     d = int((1 - AGREE) * rows.shape[1])
+    said = rows != vocabulary.get(WILD, -1)
+    said[:, :DEPTH] = False
     out, left, queue = [], np.arange(len(hs)), []
     while len(left):
         if not queue:
             queue, left = [int(left[0])], left[1:]
         i = queue.pop()
-        near = (rows[left] != rows[i]).sum(axis=1) <= d
+        same = rows[left] == rows[i]
+        near = ((~same).sum(axis=1) <= d) & ((same & said[i]).sum(axis=1) >= LEAST_COMMON)
         out += [(hs[i], hs[j]) for j in left[near].tolist()]
         queue += left[near].tolist()
         left = left[~near]

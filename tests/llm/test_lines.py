@@ -113,3 +113,9 @@ def test_varying_endings_meet_in_leaves_of_any_size(spark, monkeypatch):
         compare(spark, rows)
         kept = {r.doc_id for r in lt.deduplicated(docs, emptied=False).collect()}
         assert kept == {0, *(100 + i for i in range(len(names)))}
+
+
+def test_short_and_all_number_lines_need_their_own_wording(spark):
+    rows = [(i, f"Thor the haan {x}.\n{x} said so\n{i} {i + 1} {i + 2}\n7 8 9\nTurn to page {i} now") for i, x in enumerate("eaesing eron for mern".split())]
+    got = {r.doc_id: r.text for r in lt.deduplicated(spark.createDataFrame([(i, t, 1, "x", 2) for i, t in rows], SCHEMA)).collect()}
+    assert got == {i: t if i == 0 else "\n".join(t.split("\n")[:3]) for i, t in rows}

@@ -32,6 +32,8 @@ from quillon.llm.simhash_pivots import components
 
 #: Different texts in which a template recurs; least tokens of a line that counts.
 MIN_DOCUMENTS, MIN_TOKENS = 3, 3
+#: Of ``every`` line: texts in which a long one recurs, and what is long: tokens, or bytes where there are few spaces.
+LONG_DOCUMENTS, LONG_TOKENS, LONG_BYTES = 2, 50, 300
 #: Leading tokens of the tree, and the share of places in which lines of a template agree.
 DEPTH, AGREE = 3, 0.75
 #: Places behind the leading tokens, wildcards aside, in which linked lines agree at least.
@@ -51,8 +53,11 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def parsed(docs: DataFrame) -> DataFrame:
-    """A row for each line of enough tokens: doc (key), doc_id, content, line_no, h, leaf, line (masked).
+def parsed(docs: DataFrame, every: bool = False) -> DataFrame:
+    """A row for each line of enough tokens: doc (key), doc_id, content, line_no, h, leaf, least, line (masked).
+
+    ``every``: lines of fewer tokens too, as they are and in leaves of their own, and a long line
+    needs to stand in fewer texts (least).
 
     Lines are bytes here; splitting and hashing them is several times cheaper in Python than by
     regular expressions of Spark's.
@@ -64,37 +69,40 @@ def parsed(docs: DataFrame) -> DataFrame:
         F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), text).alias("doc"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc_id"), F.xxhash64(text).alias("content"), text_bytes().alias("text"),
     )
-    names = ("doc", "doc_id", "content", "line_no", "h", "leaf", "line")
+    names = ("doc", "doc_id", "content", "line_no", "h", "leaf", "least", "line")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         has_digit, digest = re.compile(b"[0-9]").search, xxhash.xxh64_intdigest
         for batch in batches:
-            place, number, hashes, leaves, lines = [], [], [], [], []
+            place, number, hashes, leaves, least, lines = [], [], [], [], [], []
 
             def rows() -> pa.RecordBatch:
                 own = [batch.column(c).take(pa.array(place, pa.int64())) for c in names[:3]]  # noqa: B023
                 made = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (hashes, leaves)]  # noqa: B023
-                return pa.RecordBatch.from_arrays([*own, pa.array(number, pa.int32()), *made, pa.array(lines, pa.binary())], list(names))  # noqa: B023
+                return pa.RecordBatch.from_arrays([*own, pa.array(number, pa.int32()), *made, pa.array(least, pa.int32()), pa.array(lines, pa.binary())], list(names))  # noqa: B023
 
             for k, text in enumerate(batch.column("text")):
                 for n, line in enumerate(text.as_py().split(b"\n")):
                     tokens = line.split()
-                    if len(tokens) < MIN_TOKENS:
+                    short = len(tokens) < MIN_TOKENS
+                    if not tokens or (short and not every):
                         continue
                     masked = [WILD if has_digit(t) else t for t in tokens] if has_digit(line) else tokens
-                    own = all(t == WILD for t in masked)
+                    own = short or all(t == WILD for t in masked)
                     line = b" ".join(tokens if own else masked)
                     place.append(k)
                     number.append(n)
                     hashes.append(digest(line))
                     leaves.append(digest(b"own " + line if own else b"%d " % len(tokens) + b" ".join(masked[:DEPTH])))
+                    is_long = len(tokens) >= LONG_TOKENS or (short and len(line) >= LONG_BYTES)
+                    least.append(LONG_DOCUMENTS if every and is_long else MIN_DOCUMENTS)
                     lines.append(line)
                 if len(lines) >= LINES_AT_ONCE:
                     yield rows()
-                    place, number, hashes, leaves, lines = [], [], [], [], []
+                    place, number, hashes, leaves, least, lines = [], [], [], [], [], []
             yield rows()
 
-    return keyed.mapInArrow(run, "doc long, doc_id long, content long, line_no int, h long, leaf long, line binary")
+    return keyed.mapInArrow(run, "doc long, doc_id long, content long, line_no int, h long, leaf long, least int, line binary")
 
 
 def clustered(lines: list[list]) -> list[int]:
@@ -205,13 +213,13 @@ def templates(docs: DataFrame, lines: DataFrame) -> DataFrame:
     return components(linked(again)).select(F.col("node").alias("h"), F.col("root").alias("template"))
 
 
-def drops(docs: DataFrame) -> DataFrame:
+def drops(docs: DataFrame, every: bool = False) -> DataFrame:
     """(doc, dropped): the numbers of the lines that each document loses."""
-    lines = reused(parsed(docs).select("doc", "doc_id", "content", "line_no", "h", "leaf"))
+    lines = reused(parsed(docs, every).select("doc", "doc_id", "content", "line_no", "h", "leaf", "least"))
     of = small(written(templates(docs, lines), compact=True))
     lines = lines.join(of, "h", "left").withColumn("template", F.coalesce("template", "h"))
-    once = lines.groupBy("template", "content").agg(F.min(F.struct("doc_id", "line_no", "content")).alias("first"))
-    recurring = once.groupBy("template").agg(F.count("*").alias("texts"), F.min("first").alias("first")).filter(F.col("texts") >= MIN_DOCUMENTS)
+    once = lines.groupBy("template", "content").agg(F.min(F.struct("doc_id", "line_no", "content")).alias("first"), F.min("least").alias("least"))
+    recurring = once.groupBy("template").agg(F.count("*").alias("texts"), F.min("first").alias("first"), F.min("least").alias("least")).filter("texts >= least")
     recurring = small(written(recurring.select("template", F.col("first.content").alias("keeper"), F.col("first.line_no").alias("keeper_line")), compact=True))
     gone = lines.join(recurring, "template").filter((F.col("content") != F.col("keeper")) | (F.col("line_no") != F.col("keeper_line")))
     return gone.groupBy("doc").agg(F.collect_set("line_no").alias("dropped"))
@@ -233,16 +241,17 @@ def without(text_col: str = "text", dropped_col: str = "dropped") -> Column:
     return F.pandas_udf(run, "string")(F.col(text_col), F.col(dropped_col))
 
 
-def deduplicated(docs: DataFrame, emptied: bool = True, counts: bool = False) -> DataFrame:
+def deduplicated(docs: DataFrame, emptied: bool = True, counts: bool = False, every: bool = False) -> DataFrame:
     """``docs`` (re-readable) without recurring template lines; columns are those of ``docs``.
 
     A recurring line stays where it stands first: in the text with the smallest doc_id (null is
     largest), at its smallest line number, and in exact copies of that text. Lines of fewer than
-    MIN_TOKENS tokens always stay. Null texts stay null. ``emptied`` keeps documents that lose all
+    MIN_TOKENS tokens stay, unless ``every``: then they go where they recur as they are, and a long
+    line goes from its LONG_DOCUMENTS-th text on. Blank lines and null texts stay. ``emptied`` keeps documents that lose all
     their lines, as empty texts; otherwise they go. ``counts`` adds n_lines and n_dropped.
     """
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), text_or_empty())
-    gone = drops(docs).select(F.col("doc").alias("__doc"), F.col("dropped").alias("__dropped"))
+    gone = drops(docs, every).select(F.col("doc").alias("__doc"), F.col("dropped").alias("__dropped"))
     # Hashing the short lists of dropped lines spares sorting the texts.
     both = docs.withColumn("__doc", key).join(gone.hint("shuffle_hash"), "__doc", "left")
     lost_all = F.col("__dropped").isNotNull() & (F.size("__dropped") >= F.size(F.split("text", "\n")))

@@ -119,3 +119,12 @@ def test_short_and_all_number_lines_need_their_own_wording(spark):
     rows = [(i, f"Thor the haan {x}.\n{x} said so\n{i} {i + 1} {i + 2}\n7 8 9\nTurn to page {i} now") for i, x in enumerate("eaesing eron for mern".split())]
     got = {r.doc_id: r.text for r in lt.deduplicated(spark.createDataFrame([(i, t, 1, "x", 2) for i, t in rows], SCHEMA)).collect()}
     assert got == {i: t if i == 0 else "\n".join(t.split("\n")[:3]) for i, t in rows}
+
+
+def test_every_line_counts(spark):
+    """Short and unspaced lines go from the third text on or stay, long ones go from the second."""
+    long, unspaced = " ".join(f"word{'abcdefghij'[i % 10]}{'klmnop'[i // 10]}" for i in range(52)), "漢字" * 60
+    rows = [(1, f"Les.\n{long}\nown\nand one\n短い行"), (2, f"Les.\n{long}\n{unspaced}\n\nand one\n短い行"), (3, f"Les.\n{unspaced}\nhere\n\n短い行"), (4, "5\n\n6")]
+    docs = spark.createDataFrame([(i, t, 1, "x", 2) for i, t in rows], SCHEMA)
+    got = {r.doc_id: r.text for r in lt.deduplicated(docs, every=True).collect()}
+    assert got == {1: rows[0][1], 2: f"{unspaced}\n\nand one", 3: "here\n", 4: "5\n\n6"}

@@ -14,6 +14,10 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"^{BLANK}+|{BLANK}+$", "")
 
 
+def ascii_lower(c: Column) -> Column:
+    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def is_expired(expires: Column, today: str) -> Column:
     """Dates are ISO text and compare as text; shorter values, and today itself, are not expired."""
     return F.coalesce((F.octet_length(expires) >= 10) & (F.substring(expires, 1, 10) < F.lit(today)), F.lit(False))
@@ -50,8 +54,7 @@ def signer_role(principal: Column) -> Column:
 
 def slug(title: Column) -> Column:
     """ASCII letters and digits in lower case, other runs as one hyphen; ``memory`` if nothing is left."""
-    folded = F.translate(title, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    dashed = F.regexp_replace(F.regexp_replace(folded, "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    dashed = F.regexp_replace(F.regexp_replace(ascii_lower(title), "[^a-z0-9]+", "-"), "^-+|-+$", "")
     return F.coalesce(F.nullif(dashed, F.lit("")), F.lit("memory"))
 
 

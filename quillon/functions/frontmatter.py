@@ -139,12 +139,16 @@ def rendered(get) -> Column:
     return F.concat(F.lit("---\n"), *[F.coalesce(p, F.lit("")) for p in parts], F.lit("---\n"))
 
 
+def rendered_known(known: dict[str, Column]) -> Column:
+    """The block of the fields that are given; all others are absent."""
+    absent = {"tags": F.array().cast("array<string>"), "refs": F.array().cast("array<string>"), "tokens": F.lit(None).cast("long")}
+    return rendered(lambda n: known.get(n, absent.get(n, F.lit(None).cast("string"))))
+
+
 def remembered(title: Column, kind: Column, scope: Column, actor: Column, body: Column) -> Column:
     """The document of a fact noted in a conversation: always proposed, never more."""
     known = {"title": title, "type": kind, "scope": scope, "actor": actor, "source": F.lit("conversation"), "confidence": F.lit("proposed")}
-    empty = F.array().cast("array<string>")
-    absent = {"tags": empty, "refs": empty, "tokens": F.lit(None).cast("long")}
-    return F.concat(rendered(lambda n: known.get(n, absent.get(n, F.lit(None).cast("string")))), F.lit("\n"), body, F.lit("\n"))
+    return F.concat(rendered_known(known), F.lit("\n"), body, F.lit("\n"))
 
 
 # Kinds of imported memories and what they become (type, scope).

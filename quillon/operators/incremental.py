@@ -11,7 +11,8 @@ def classified(tracked: DataFrame, changes: DataFrame, known: DataFrame) -> Data
 
     ``changes`` has kind (added, modified, deleted, renamed), path and old_path. Current files are
     the tracked, added and renamed ones without the deleted and the renamed ones' old paths;
-    Markdown files only. Added: not known. Modified: known and dirty. Deleted: known and gone.
+    Markdown files only. Added: not known. Modified: known, and modified or the target of a rename;
+    a known path that is reported as added is neither. Deleted: known and gone.
     """
     def paths(kind: str, column: str = "path") -> DataFrame:
         return changes.filter(F.col("kind") == kind).select(F.col(column).alias("path"))
@@ -20,7 +21,7 @@ def classified(tracked: DataFrame, changes: DataFrame, known: DataFrame) -> Data
     gone = paths("deleted").unionByName(paths("renamed", "old_path")).distinct()
     current = tracked.select("path").unionByName(appeared).distinct().join(gone, "path", "left_anti")
     current = current.filter(F.col("path").endswith(".md"))
-    dirty = paths("modified").unionByName(appeared).distinct()
+    dirty = paths("modified").unionByName(paths("renamed")).distinct()
     known = known.select("path").distinct()
     added = current.join(known, "path", "left_anti").withColumn("change", F.lit("added"))
     modified = current.join(known, "path", "left_semi").join(dirty, "path", "left_semi").withColumn("change", F.lit("modified"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.functions import frontmatter
+from quillon.functions import derive, frontmatter
 
 SCALARS = ("title", "type", "scope", "workspace", "visibility", "confidence", "expires")
 #: Fields that are taken from ours, whatever theirs has; ``strict`` merges them like scalars.
@@ -51,7 +51,8 @@ def merged_texts(texts: DataFrame, marker: str = "<!-- unmerged -->", strict: bo
     """(path, merged, conflicts) for whole documents base, ours and theirs.
 
     A clean merge is the rendered frontmatter, a line end and the body. With a conflict both
-    documents are kept in full behind ``marker``, each under its actor.
+    documents are kept in full behind ``marker``, each under its actor; the layout of these lines
+    and the marker are this library's own.
     """
     parsed = texts.select("path", "ours", "theirs", *[frontmatter.parsed(F.col(s)).alias(f"__{s}") for s in ("base", "ours", "theirs")])
     fields = merged_fields(parsed.select("path", *[F.col(f"__{s}").alias(s) for s in ("base", "ours", "theirs")]), strict)
@@ -78,14 +79,48 @@ def modify_beats_delete(conflicts: DataFrame) -> DataFrame:
     return kept.select("path", F.lit("keep").alias("action")).unionByName(ask)
 
 
+# The title of the item that asks about a deletion, and who asks.
+QUESTION, RESOLVER = "deletion of %s needs confirmation", "agent:merge-resolver"
+
+
+def deletion_questions(conflicts: DataFrame, nanos: Column, actor: str = RESOLVER) -> DataFrame:
+    """(path, text): an inbox document for each conflict (path, class) of a modification and a deletion.
+
+    The modification stays; the document, a proposed project state, asks whether the file should go.
+    """
+    asked = conflicts.filter(F.col("class").startswith("modify/delete"))
+    title, ours = F.format_string(QUESTION, "path"), F.col("class").endswith("ours")
+    deleter, other = F.when(ours, "our side").otherwise("the other side"), F.when(ours, "the other side's").otherwise("our")
+    body = F.format_string("`%s` was deleted by %s, but %s modification was kept: a deletion always loses to a modification. Should `%s` still be deleted?", "path", deleter, other, "path")
+    text = frontmatter.remembered(title, F.lit("project-state"), F.lit(None).cast("string"), F.lit(actor), body)
+    return asked.select(derive.inbox_path(title, nanos).alias("path"), text.alias("text"))
+
+
+def merged_trees(base: DataFrame, ours: DataFrame, theirs: DataFrame, **options) -> DataFrame:
+    """(path, text, class) of a three-way merge of trees (path, text).
+
+    Where only one side changed, its state counts, also a deletion. Where both did, equal texts are
+    taken, and others are merged. A modification beats a deletion; class then names the deleting
+    side as in CONFLICTS, otherwise it is null.
+    """
+    each = base.select("path", F.col("text").alias("base"))
+    for side, name in ((ours, "ours"), (theirs, "theirs")):
+        each = each.join(side.select("path", F.col("text").alias(name)), "path", "full")
+    b, o, t = F.col("base"), F.col("ours"), F.col("theirs")
+    taken = F.when(o.eqNullSafe(t) | t.eqNullSafe(b), o).when(o.eqNullSafe(b), t)
+    settled = o.eqNullSafe(t) | t.eqNullSafe(b) | o.eqNullSafe(b)
+    none = F.lit(None).cast("string")
+    simple = each.filter(settled).select("path", taken.alias("text"), none.alias("class")).filter("text is not null")
+    one = each.filter(~settled & (o.isNull() | t.isNull())).select("path", F.coalesce(o, t).alias("text"), F.when(o.isNull(), CONFLICTS["DU"]).otherwise(CONFLICTS["UD"]).alias("class"))
+    both = merged_texts(each.filter(~settled & o.isNotNull() & t.isNotNull()), **options).select("path", F.col("merged").alias("text"), none.alias("class"))
+    return simple.unionByName(one).unionByName(both)
+
+
 def folded(base: DataFrame, branches: list[DataFrame], **options) -> DataFrame:
     """Merges (path, text) of each branch into the first, one after the other; the order matters."""
-    current = branches[0]
+    current = branches[0].select("path", "text")
     for other in branches[1:]:
-        texts = base.withColumnRenamed("text", "base").join(current.withColumnRenamed("text", "ours"), "path", "full").join(other.withColumnRenamed("text", "theirs"), "path", "full")
-        one_sided = texts.filter(F.col("ours").isNull() | F.col("theirs").isNull()).select("path", F.coalesce("ours", "theirs").alias("text"))
-        both = merged_texts(texts.filter(F.col("ours").isNotNull() & F.col("theirs").isNotNull()), **options)
-        current = both.select("path", F.col("merged").alias("text")).unionByName(one_sided.filter("text is not null"))
+        current = merged_trees(base, current, other, **options).select("path", "text")
     return current
 
 

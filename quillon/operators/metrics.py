@@ -57,21 +57,26 @@ AGGREGATES = ("n", "sum", "min", "max", "last")
 ARRIVALS = 1 << 20
 
 
-def buckets(samples: DataFrame, keys: list[str], step: int = TIERS[0].step) -> DataFrame:
+def buckets(samples: DataFrame, keys: list[str], step: int = TIERS[0].step, opened: DataFrame | None = None) -> DataFrame:
     """(keys, bucket, n, sum, min, max, last): the finest tier without eviction.
 
     ``samples`` has the keys, value, at (epoch seconds) and arrival (a number, a total order within
     a key). The running maximum runs in two levels, over stretches of ARRIVALS and within each, so
-    a key with a large share of all samples is not one task's.
+    a key with a large share of all samples is not one task's. ``opened`` (keys, bucket) are the
+    buckets that were open before these samples.
     """
+    def same(left: str, right: str, names: list[str]) -> Column:
+        on = F.lit(True)
+        for k in names:
+            on &= F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}"))
+        return on
+
     x = samples.withColumn("own", bucket(F.col("at"), step)).withColumn("stretch", F.floor(F.col("arrival") / ARRIVALS))
     earlier = Window.partitionBy(*keys).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     tops = x.groupBy(*keys, "stretch").agg(F.max("own").alias("top")).withColumn("before", F.max("top").over(earlier)).drop("top")
-    same = [F.col(f"x.{k}").eqNullSafe(F.col(f"t.{k}")) for k in [*keys, "stretch"]]
-    on = same[0]
-    for c in same[1:]:
-        on &= c
-    x = x.alias("x").join(tops.alias("t"), on).select("x.*", "t.before")
+    if opened is not None:
+        tops = tops.alias("t").join(opened.alias("o"), same("t", "o", keys), "left").select(*[f"t.{k}" for k in [*keys, "stretch"]], F.greatest("t.before", "o.bucket").alias("before"))
+    x = x.alias("x").join(tops.alias("t"), same("x", "t", [*keys, "stretch"])).select("x.*", "t.before")
     order = Window.partitionBy(*keys, "stretch").orderBy("arrival").rowsBetween(Window.unboundedPreceding, 0)
     x = x.withColumn("bucket", F.greatest(F.max("own").over(order), F.col("before")))
     in_time = F.when(F.col("own") == F.col("bucket"), F.col("arrival"))
@@ -108,6 +113,11 @@ def rings(samples: DataFrame, keys: list[str], tiers: tuple[Tier, ...] = TIERS)
     return out.select(*keys, "tier", "slot", "bucket", *AGGREGATES, "open")
 
 
+def catalog(samples: DataFrame, keys: tuple[str, ...] = ("name",)) -> DataFrame:
+    """(keys, kind, samples) of all metrics, by name; a metric of two kinds is an error."""
+    return checked_kinds(samples, list(keys)).groupBy(*keys, "kind").agg(F.count("*").alias("samples")).orderBy(*keys)
+
+
 def picked(window: int, tiers: tuple[Tier, ...] = TIERS) -> int:
     """The finest tier that spans ``window`` seconds, else the coarsest."""
     return next((i for i, t in enumerate(tiers) if t.span >= window), len(tiers) - 1)

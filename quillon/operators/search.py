@@ -1,27 +1,30 @@
 """Full-text search over items with column-weighted BM25.
 
-An index is three tables: items (path, title, body, tags and metadata), postings (term, path,
-field, positions) in the order of their terms, so that a query's scan skips row groups of other
-terms, and lengths (path, length). Queries are built from the classes below rather than from text.
-The number of documents, their mean length and a term's document count are those of the whole
-index, whatever filters follow.
+An index is three tables: items (path, title, body, tags and metadata, and length, the number of an
+item's tokens), postings (term, path, field, positions, length) in the order of their terms, so that
+a query's scan skips row groups of other terms, and counts (documents, words), a row for each
+segment. Queries are built from the classes below rather than from text. The number of documents,
+their mean length and a term's document count are those of the whole index, whatever filters follow.
+
+A stored index grows by segments: a change set adds one with the postings of its own items and the
+paths that it replaces or deletes. What a later segment replaces is taken off as a query reads the
+few postings of its terms; ``write`` to a new place merges the segments.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import analyze
 from quillon.operators import graph, incremental
-from quillon.plans.tables import ranked, within_budget, written
+from quillon.plans.tables import ranked, small, within_budget, written
 
 WEIGHTS = {"title": 2.0, "body": 1.0, "tags": 2.0}
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 CONTEXT_HITS, CONTEXT_SEEDS, CONTEXT_DEPTH = 20, 3, 2
-DEFAULT_LIMIT = 1000
 
 
 @dataclass(frozen=True)
@@ -82,105 +85,130 @@ def words(text: str) -> All:
 
 @dataclass(frozen=True)
 class Filter:
-    """Equality on metadata (null never matches), a tier ceiling, then limit, then token budget."""
+    """Equality on metadata (null never matches), a tier ceiling, then limit (None: all hits), then token budget."""
 
     type: str | None = None
     workspace: str | None = None
     visibility: str | None = None
     scope: str | None = None
     tier: int | None = None
-    limit: int = DEFAULT_LIMIT
+    limit: int | None = None
     budget: int | None = None
 
+    def equals(self) -> dict[str, str]:
+        return {n: v for n in ("type", "workspace", "visibility", "scope") if (v := getattr(self, n)) is not None}
+
     def condition(self) -> Column:
         out = F.lit(True)
-        for name in ("type", "workspace", "visibility", "scope"):
-            if getattr(self, name) is not None:
-                out &= F.col(name) == getattr(self, name)
+        for name, value in self.equals().items():
+            out &= F.col(name) == value
         return out if self.tier is None else out & (F.col("tier") <= self.tier)
 
+    def takes_all(self) -> bool:
+        return not self.equals() and self.tier is None
+
+
+def _analysed(items: DataFrame, analyser: str) -> DataFrame:
+    """``items`` with the terms of each field in t_<field>, and length."""
+    run = analyze.ANALYSERS[analyser]
+    tags = F.array_join("tags", " ") if "tags" in items.columns else F.lit("")
+    texts = {"title": F.col("title"), "body": F.col("body"), "tags": tags}
+    x = items.drop("length").select("*", *[run(texts[n]).alias(f"t_{n}") for n in WEIGHTS])
+    return x.withColumn("length", sum((F.size(f"t_{n}") for n in WEIGHTS), F.lit(0)).cast("long"))
+
+
+def _postings(analysed: DataFrame) -> DataFrame:
+    fields = F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.col(f"t_{n}").alias("terms")) for n in WEIGHTS])).alias("x")
+    each = analysed.select("path", "length", fields).select("path", "length", "x.field", F.posexplode("x.terms").alias("position", "term"))
+    grouped = each.groupBy("term", "path", "field").agg(F.sort_array(F.collect_list("position")).alias("positions"), F.first("length").alias("length"))
+    return grouped.select("term", "path", "field", "positions", "length")
+
+
+def _counts(items: DataFrame) -> DataFrame:
+    return items.agg(F.count("*").alias("documents"), F.coalesce(F.sum("length"), F.lit(0)).alias("words"))
+
 
 @dataclass
 class Index:
-    """Stored postings, or analysed items of which a query takes its own terms only."""
-
     items: DataFrame
     analyser: str
-    analysed: DataFrame | None = None
-    stored: DataFrame | None = None
-    lengths: DataFrame | None = field(default=None)
+    postings: DataFrame
+    counts: DataFrame
+    #: Whether a scan of the postings is a scan of stored files, and not an analysis of all texts.
+    stored: bool = False
 
     @staticmethod
     def of(items: DataFrame, analyser: str = "stemmed") -> Index:
-        run = analyze.ANALYSERS[analyser]
-        tags = F.array_join("tags", " ") if "tags" in items.columns else F.lit("")
-        texts = {"title": F.col("title"), "body": F.col("body"), "tags": tags}
-        analysed = items.select("path", *[run(c).alias(n) for n, c in texts.items()])
-        lengths = analysed.select("path", sum((F.size(n) for n in WEIGHTS), F.lit(0)).alias("length"))
-        return Index(items, analyser, analysed, None, lengths)
-
-    def _places(self, wanted) -> Column:
-        parts = []
-        for name in WEIGHTS:
-            places = F.transform(F.col(name), lambda t, i: F.struct(t.alias("term"), i.alias("position")))
-            parts.append(_in_field(F.filter(places, lambda p: wanted(p["term"])) if wanted else places, name))
-        return F.concat(*parts)
-
-    def narrowed(self, wanted) -> Index:
-        """The index of the wanted terms only, by one pass over the items; lengths stay those of all terms."""
-        length = sum((F.size(n) for n in WEIGHTS), F.lit(0)).alias("length")
-        table = written(self.analysed.select("path", length, self._places(wanted).alias("places")))
-        return Index(self.items, self.analyser, None, _grouped(table.select("path", F.explode("places").alias("p"))), table.select("path", "length"))
-
-    def postings(self, wanted=None) -> DataFrame:
-        """(term, path, field, positions); ``wanted`` is a condition on a term as a function of a column."""
-        if self.stored is not None:
-            return self.stored.filter(wanted(F.col("term"))) if wanted else self.stored
-        return _grouped(self.analysed.select("path", F.explode(self._places(wanted)).alias("p")))
+        """An index that analyses the texts anew for each query; ``write`` and ``read`` it for many of them."""
+        x = _analysed(items, analyser)
+        plain = x.select(*items.columns, "length") if "length" not in items.columns else x.select(*items.columns)
+        return Index(plain, analyser, _postings(x), _counts(plain))
+
+    def statistics(self) -> tuple[int, float]:
+        """Number of documents and their mean length."""
+        n, words = self.counts.agg(F.sum("documents"), F.sum("words")).first()
+        return n or 0, (words or 0) / n if n else 0.0
 
     def write(self, path: str) -> None:
-        self.items.write.parquet(f"{path}/items")
-        self.lengths.write.parquet(f"{path}/lengths")
+        """Stores the index below ``path`` as its first and only segment."""
+        items = written(self.items) if not self.stored else self.items
+        self._add_segment(path, 0, items, Index.of(items, self.analyser).postings if not self.stored else self.postings, None, _counts(items))
+
+    @staticmethod
+    def _add_segment(path: str, n: int, items: DataFrame, postings: DataFrame, replaced: DataFrame | None, counts: DataFrame) -> None:
+        items.write.parquet(f"{path}/items/segment={n}")
         # Ranges of terms: a hot term's rows spread over neighbouring files through the path.
-        self.postings().repartitionByRange("term", "path").sortWithinPartitions("term", "path").write.parquet(f"{path}/postings")
+        postings.repartitionByRange("term", "path").sortWithinPartitions("term", "path").write.parquet(f"{path}/postings/segment={n}")
+        if replaced is not None:
+            replaced.select("path").hint("rebalance").write.parquet(f"{path}/replaced/segment={n}")
+        # The counts come last: a segment without them is not read, so a failed change changes nothing.
+        counts.coalesce(1).write.parquet(f"{path}/counts/segment={n}")
+
+    @staticmethod
+    def read(spark: SparkSession, path: str, analyser: str = "stemmed") -> Index:
+        counts = spark.read.parquet(f"{path}/counts")
+        segments = sorted(r[0] for r in counts.select("segment").distinct().collect())
+
+        def live(name: str) -> DataFrame:
+            rows = spark.read.option("basePath", f"{path}/{name}").parquet(*[f"{path}/{name}/segment={n}" for n in segments])
+            if len(segments) > 1:
+                later = spark.read.option("basePath", f"{path}/replaced").parquet(*[f"{path}/replaced/segment={n}" for n in segments[1:]])
+                later = small(later.groupBy("path").agg(F.max("segment").alias("since"))).alias("l")
+                rows = rows.alias("r").join(later, (F.col("r.path") == F.col("l.path")) & (F.col("r.segment") < F.col("l.since")), "left_anti")
+            return rows.drop("segment")
+
+        return Index(live("items"), analyser, live("postings"), counts.drop("segment"), stored=True)
+
+    def changed(self, upserts: DataFrame, deleted: DataFrame) -> tuple[Index, DataFrame, DataFrame]:
+        """The index of the last of each upserted path, the paths that go, and what the counts change by."""
+        fresh = Index.of(incremental.applied(self.items.limit(0).drop("length"), upserts, deleted), self.analyser)
+        touched = upserts.select("path").unionByName(deleted.select("path")).distinct()
+        gone = _counts(self.items.join(touched, "path", "left_semi")).select((-F.col("documents")).alias("documents"), (-F.col("words")).alias("words"))
+        return fresh, touched, fresh.counts.unionByName(gone).agg(F.sum("documents").alias("documents"), F.sum("words").alias("words"))
 
     def refreshed(self, upserts: DataFrame, deleted: DataFrame) -> Index:
         """The index after a change set: only the upserted items are analysed.
 
         ``upserts`` has the items' columns and ordinal (the last of a path wins), ``deleted`` paths.
         """
-        fresh = Index.of(incremental.applied(self.items.limit(0), upserts, deleted), self.analyser)
-        touched = upserts.select("path").unionByName(deleted.select("path")).distinct()
+        fresh, touched, counts = self.changed(upserts, deleted)
 
         def renewed(old: DataFrame, new: DataFrame) -> DataFrame:
             return old.join(touched, "path", "left_anti").unionByName(new.select(*old.columns))
 
-        return Index(
-            renewed(self.items, fresh.items), self.analyser, None, renewed(self.postings(), fresh.postings()), renewed(self.lengths, fresh.lengths)
-        )
+        return Index(renewed(self.items, fresh.items), self.analyser, renewed(self.postings, fresh.postings), self.counts.unionByName(counts), self.stored)
 
-    @staticmethod
-    def read(spark: SparkSession, path: str, analyser: str = "stemmed") -> Index:
-        read = lambda n: spark.read.parquet(f"{path}/{n}")
-        return Index(read("items"), analyser, None, read("postings"), read("lengths"))
-
-
-def _in_field(places: Column, name: str) -> Column:
-    return F.transform(places, lambda p: F.struct(p["term"].alias("term"), p["position"].alias("position"), F.lit(name).alias("field")))
-
-
-def _grouped(exploded: DataFrame) -> DataFrame:
-    each = exploded.select("path", "p.*")
-    return each.groupBy("term", "path", "field").agg(F.sort_array(F.collect_list("position")).alias("positions"))
-
-
-def _shifted(positions: Column, by: int) -> Column:
-    return F.transform(positions, lambda p: p - by)
+    def append(self, path: str, upserts: DataFrame, deleted: DataFrame) -> Index:
+        """Adds a change set to the index that was read from ``path``, as a segment; work grows with the change set.
 
-
-def _close(positions: Column, partners: Column, gap: int) -> Column:
-    """Positions with a partner that has ``gap`` tokens or fewer between."""
-    return F.filter(positions, lambda p: F.exists(partners, lambda r: (p != r) & (F.abs(p - r) <= gap + 1)))
+        One writer at a time: a second one with the same segment number fails at its first table.
+        """
+        spark = self.items.sparkSession
+        fresh, touched, counts = self.changed(upserts, deleted)
+        n = spark.read.parquet(f"{path}/counts").agg(F.max("segment")).first()[0] + 1
+        items = written(fresh.items)
+        self._add_segment(path, n, items, Index.of(items, self.analyser).postings, touched, counts)
+        return Index.read(spark, path, self.analyser)
 
 
 def _leaves(q) -> list:
@@ -192,7 +220,7 @@ def _leaves(q) -> list:
 
 
 def _condition(q, ids: dict[int, list[int]]) -> Column:
-    """Whether a document matches, over the columns m0, m1, ... of the leaves."""
+    """Whether a document matches, over the columns f0, f1, ... of the leaves."""
     if isinstance(q, All):
         out = F.lit(True)
         for p in q.parts:
@@ -207,7 +235,7 @@ def _condition(q, ids: dict[int, list[int]]) -> Column:
         return _condition(q.wanted, ids) & ~_condition(q.unwanted, ids)
     out = F.lit(True)
     for i in ids[id(q)]:
-        out &= F.col(f"m{i}")
+        out &= F.col(f"f{i}") > 0
     return out
 
 
@@ -219,75 +247,103 @@ def _negated(q, below: bool = False) -> set[int]:
     return {id(q)} if below else set()
 
 
+def _weighted(places: Column) -> Column:
+    """The sum of the hits of ``places`` (field, positions), by the weights of their fields."""
+    of = F.create_map(*[x for k, w in WEIGHTS.items() for x in (F.lit(k), F.lit(w))])
+    return F.aggregate(places, F.lit(0.0), lambda s, p: s + of[p["field"]] * F.size(p["positions"]))
+
+
+def _positions(term: str, field: str) -> Column:
+    """Where a term stands in a field of a document; null if nowhere."""
+    return F.get(F.filter("places", lambda p: (p["term"] == term) & (p["field"] == field)), F.lit(0))["positions"]
+
+
+def _shifted(positions: Column, by: int) -> Column:
+    return F.transform(positions, lambda p: p - by)
+
+
+def _close(positions: Column, partners: Column, gap: int) -> Column:
+    """Positions with a partner that has ``gap`` tokens or fewer between."""
+    return F.filter(positions, lambda p: F.exists(partners, lambda r: (p != r) & (F.abs(p - r) <= gap + 1)))
+
+
+def _by_field(found, field: str | None = None) -> Column:
+    """Weighted number of the places that ``found`` gives for each field."""
+    out = F.lit(0.0)
+    for name, weight in WEIGHTS.items():
+        if field in (None, name):
+            out += weight * F.coalesce(F.when(found(name).isNotNull(), F.size(found(name))), F.lit(0))
+    return out
+
+
+def _hits(q, terms: list[str]) -> list[tuple[Column, Column]]:
+    """(f, counted) for each scored part of a leaf, over a document's places of the query's terms.
+
+    f is the weighted number of hits; documents that are counted give the part's document count.
+    """
+    field = getattr(q, "field", None)
+    here = lambda p: F.lit(True) if field is None else p["field"] == field
+    if isinstance(q, Prefix):
+        f = _weighted(F.filter("places", lambda p: p["term"].startswith(analyze.folded(q.text)) & here(p)))
+        return [(f, f > 0)]
+    if isinstance(q, Near):
+        def part(x: str, y: str) -> tuple[Column, Column]:
+            return _by_field(lambda n: _close(_positions(x, n), _positions(y, n), q.gap)), F.exists("places", lambda p: p["term"] == x)
+
+        return [part(*terms), part(*terms[::-1])]
+    if len(terms) < 2:
+        f = _weighted(F.filter("places", lambda p: (p["term"] == terms[0]) & here(p))) if terms else F.lit(0.0)
+        return [(f, f > 0)]
+
+    # A phrase: places of its first word from which all others follow.
+    def starts(name: str) -> Column:
+        out = _positions(terms[0], name)
+        for i, t in enumerate(terms[1:], 1):
+            out = F.array_intersect(out, _shifted(_positions(t, name), i))
+        return out
+
+    f = _by_field(starts, field)
+    return [(f, f > 0)]
+
+
+def _idf(total: int, n: Column) -> Column:
+    idf = F.log((F.lit(float(total)) - n + 0.5) / (n + 0.5))
+    return F.when(idf > 0, idf).otherwise(LEAST_IDF)
+
+
+def _score(idf: Column, f: Column, mean: float) -> Column:
+    return idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("length") / F.lit(float(mean or 1.0))))
+
+
 def matches(index: Index, query) -> DataFrame:
-    """(path, score) of the matching documents."""
+    """(path, score) of the matching documents.
+
+    One scan of the postings of the query's terms gives a row for each document that has any; all
+    parts of the query are expressions over that row.
+    """
     leaves = _leaves(query)
     analysed = {id(q): analyze.query_terms(f"{q.left} {q.right}" if isinstance(q, Near) else q.text, index.analyser) for q in leaves}
     exact = sorted({t for q in leaves if not isinstance(q, Prefix) for t in analysed[id(q)]})
-    prefixes = sorted({analyze.folded(q.text) for q in leaves if isinstance(q, Prefix)})
-
-    def wanted(t: Column) -> Column:
-        out = t.isin(exact) if exact else F.lit(False)
-        for p in prefixes:
-            out |= t.startswith(p)
-        return out
-
-    index = index.narrowed(wanted) if index.stored is None else index
-    postings = index.postings(wanted)
-    hits, ids, n = [], {}, 0  # hits: (leaf, path, f, counted); counted leaves give n of another
-    weight = F.create_map(*[x for k, w in WEIGHTS.items() for x in (F.lit(k), F.lit(w))])[F.col("field")]
+    wanted = F.col("term").isin(exact) if exact else F.lit(False)
+    for p in sorted({analyze.folded(q.text) for q in leaves if isinstance(q, Prefix)}):
+        wanted |= F.col("term").startswith(p)
+    each = index.postings.filter(wanted).groupBy("path").agg(F.collect_list(F.struct("term", "field", "positions")).alias("places"), F.first("length").alias("length"))
+    ids, columns = {}, []
     for q in leaves:
-        ids[id(q)] = []
-        terms = analysed[id(q)]
-        in_field = F.lit(True) if getattr(q, "field", None) is None else F.col("field") == q.field
-        own = postings.filter(in_field)
-        if isinstance(q, Prefix):
-            found = [(own.filter(F.col("term").startswith(analyze.folded(q.text))), F.size("positions"))]
-        elif isinstance(q, Near):
-            a, b = terms
-            rows = own.filter(F.col("term").isin(a, b)).groupBy("path", "field").agg(
-                F.max(F.when(F.col("term") == a, F.col("positions"))).alias("a"), F.max(F.when(F.col("term") == b, F.col("positions"))).alias("b")
-            )
-            found = []
-            for x, y in (("a", "b"), ("b", "a")):
-                found.append((rows, F.coalesce(F.size(_close(F.col(x), F.col(y), q.gap)), F.lit(0))))
-        elif len(terms) == 1 or isinstance(q, Term) and len(terms) < 2:
-            found = [(own.filter(F.col("term") == terms[0]), F.size("positions"))] if terms else [(own.filter(F.lit(False)), F.lit(0))]
-        else:
-            # A phrase: places of its first word from which all others follow.
-            starts = None
-            rows = own.filter(F.col("term").isin(terms)).groupBy("path", "field").agg(
-                *[F.max(F.when(F.col("term") == t, F.col("positions"))).alias(f"t{i}") for i, t in enumerate(terms)]
-            )
-            for i in range(len(terms)):
-                shifted = _shifted(F.col(f"t{i}"), i)
-                starts = shifted if starts is None else F.array_intersect(starts, shifted)
-            found = [(rows, F.coalesce(F.size(starts), F.lit(0)))]
-        for k, (rows, count) in enumerate(found):
-            part = rows.select(F.lit(n).alias("leaf"), "path", (weight * count).alias("f"), (count > 0).alias("hit"))
-            if isinstance(q, Near):
-                bare = own.filter(F.col("term") == terms[k]).select(F.lit(n).alias("leaf"), "path").distinct()
-                hits.append(part.filter("hit").groupBy("leaf", "path").agg(F.sum("f").alias("f"), F.lit(True).alias("own")).join(bare, ["leaf", "path"], "full").withColumn("f", F.coalesce("f", F.lit(0.0))))
-            else:
-                hits.append(part.filter("hit").groupBy("leaf", "path").agg(F.sum("f").alias("f"), F.lit(True).alias("own")))
-            ids[id(q)].append(n)
-            n += 1
-    each = hits[0].select("leaf", "path", "f", "own")
-    for h in hits[1:]:
-        each = each.unionByName(h.select("leaf", "path", "f", "own"))
-    total, mean = index.lengths.agg(F.count("*"), F.avg("length")).first()
-    silent = [i for q in leaves if id(q) in _negated(query) for i in ids[id(q)]]
-    # As many rows as the query has leaves.
-    counts = F.broadcast(each.groupBy("leaf").agg(F.count("*").alias("n")))
-    idf = F.log((F.lit(float(total)) - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    idf = F.when(idf > 0, idf).otherwise(LEAST_IDF)
-    norm = K1 * (1 - B + B * F.col("length") / F.lit(float(mean or 1.0)))
-    score = idf * F.col("f") * (K1 + 1) / (F.col("f") + norm)
-    scored = each.join(counts, "leaf").join(index.lengths, "path")
-    scored = scored.withColumn("s", F.when(F.col("leaf").isin(silent) if silent else F.lit(False), 0.0).otherwise(score))
-    flags = [F.coalesce(F.max(F.when((F.col("leaf") == i) & F.col("own"), True)), F.lit(False)).alias(f"m{i}") for i in range(n)]
-    per_path = scored.groupBy("path").agg(F.sum("s").alias("score"), *flags)
-    return per_path.filter(_condition(query, ids)).select("path", "score")
+        own = _hits(q, analysed[id(q)])
+        ids[id(q)] = list(range(len(columns), len(columns) + len(own)))
+        columns += own
+    each = each.select("path", "length", *[f.alias(f"f{i}") for i, (f, _) in enumerate(columns)], *[c.alias(f"c{i}") for i, (_, c) in enumerate(columns)])
+    if not index.stored:
+        each = written(each, compact=True)
+    n = each.agg(*[F.count_if(f"c{i}").alias(f"c{i}") for i in range(len(columns))]).first()
+    total, mean = index.statistics()
+    silent = {i for q in leaves if id(q) in _negated(query) for i in ids[id(q)]}
+    score = F.lit(0.0)
+    for i in range(len(columns)):
+        if i not in silent:
+            score += F.when(F.col(f"f{i}") > 0, _score(_idf(total, F.lit(n[i])), F.col(f"f{i}"), mean)).otherwise(0.0)
+    return each.filter(_condition(query, ids)).select("path", score.alias("score"))
 
 
 HIT = ["path", "title", "score", "tier", "tokens", "hop_distance", "rank"]
@@ -295,12 +351,37 @@ HIT = ["path", "title", "score", "tier", "tokens", "hop_distance", "rank"]
 
 def search(index: Index, query, where: Filter = Filter()) -> DataFrame:
     """Ranked hits; equal scores stand by path."""
+    found, order = matches(index, query), [F.desc("score"), F.asc("path")]
+    if where.limit is not None and where.takes_all():
+        # Only the rows that stay are looked up.
+        found = F.broadcast(found.orderBy(*order).limit(where.limit))
     meta = index.items.filter(where.condition()).select("path", "title", "tier", "tokens")
-    found = matches(index, query).join(meta, "path").withColumn("hop_distance", F.lit(0))
-    return within_budget(ranked(found, [F.desc("score"), F.asc("path")], where.limit), where.budget).select(*HIT)
+    found = meta.join(found, "path").withColumn("hop_distance", F.lit(0))
+    return within_budget(ranked(found, order, where.limit), where.budget).select(*HIT)
 
 
-def substring(items: DataFrame, text: str, limit: int = DEFAULT_LIMIT) -> DataFrame:
+def search_batch(index: Index, queries: DataFrame, limit: int = 10) -> DataFrame:
+    """(query_id, path, score, rank): the best ``limit`` documents with all words of each query (query_id, text).
+
+    Many queries share one scan of the postings; scores are those of ``search``. A word that a
+    query repeats counts as often. Queries without words have no hits.
+    """
+    run = analyze.ANALYSERS[index.analyser]
+    asked = queries.select("query_id", F.explode(run(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    asked = written(asked.withColumn("needed", F.count("*").over(Window.partitionBy("query_id"))), compact=True)
+    terms = small(written(asked.select("term").distinct(), compact=True))
+    of = F.create_map(*[x for k, w in WEIGHTS.items() for x in (F.lit(k), F.lit(w))])
+    found = index.postings.join(terms, "term").groupBy("term", "path").agg(F.sum(of[F.col("field")] * F.size("positions")).alias("f"), F.first("length").alias("length"))
+    found = written(found, compact=True)
+    total, mean = index.statistics()
+    n = small(written(found.groupBy("term").agg(F.count("*").alias("n")), compact=True))
+    scored = found.join(n, "term").select("term", "path", _score(_idf(total, F.col("n")), F.col("f"), mean).alias("s"))
+    each = scored.join(small(asked), "term").groupBy("query_id", "path").agg(F.sum(F.col("s") * F.col("times")).alias("score"), F.count("*").alias("met"), F.first("needed").alias("needed"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("path"))
+    return each.filter("met = needed").select("query_id", "path", "score", F.row_number().over(order).alias("rank")).filter(F.col("rank") <= limit)
+
+
+def substring(items: DataFrame, text: str, limit: int | None = None) -> DataFrame:
     """Items whose path, title or body holds ``text`` of three characters or more, in any case; by path."""
     whole = F.lower(F.concat_ws("\n", "path", "title", "body"))
     found = items.filter(whole.contains(text.lower()) if len(text) >= 3 else F.lit(False))
@@ -312,9 +393,10 @@ def context(index: Index, edges: DataFrame, query, where: Filter = Filter()) ->
     """Hits, then the neighbours of the first of them, within a token budget.
 
     The best CONTEXT_HITS hits come first; neighbours of the first CONTEXT_SEEDS follow by seed,
-    distance, tier and path, each item where it first appears. Neighbours are filtered by tier only.
+    distance, tier and path, each item where it first appears. Neighbours are filtered by tier
+    only. There is no further limit: ``where.limit`` does not count here.
     """
-    hits = written(search(index, query, replace(where, limit=CONTEXT_HITS, budget=None)))
+    hits = written(search(index, query, Filter(**where.equals(), tier=where.tier, limit=CONTEXT_HITS)))
     seeds = hits.filter(F.col("rank") <= CONTEXT_SEEDS).select("path", F.col("rank").alias("seed"))
     reached = graph.neighbours(edges, seeds, CONTEXT_DEPTH)
     meta = index.items.filter(F.lit(True) if where.tier is None else F.col("tier") <= where.tier).select("path", "title", "tier", "tokens")
@@ -323,4 +405,4 @@ def context(index: Index, edges: DataFrame, query, where: Filter = Filter()) ->
     first = near.groupBy("path").agg(F.min_by(F.struct("title", "score", "tier", "tokens", "hop_distance", "seed"), F.struct("seed", "hop_distance", "tier")).alias("x")).select("path", "x.*")
     both = hits.select(*HIT[:-1], F.lit(0).alias("seed"), F.col("rank").alias("at")).unionByName(first.withColumn("at", F.lit(0)))
     order = [F.asc("seed"), F.asc("at"), F.asc("hop_distance"), F.asc("tier"), F.asc("path")]
-    return within_budget(ranked(both, order, where.limit), where.budget).select(*HIT)
+    return within_budget(ranked(both, order, None), where.budget).select(*HIT)

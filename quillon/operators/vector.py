@@ -51,11 +51,24 @@ def encoded(vector: Column) -> Column:
     return F.pandas_udf(run, "binary")(vector)
 
 
+def similarities(query: list[float]):
+    """``cosine`` of vectors of the query's length with the query, a batch at a time; a null component counts as zero."""
+    q = np.asarray(query, float)
+    norm = float(np.sqrt(q @ q))
+
+    def run(vectors: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for v in vectors:
+            x = np.nan_to_num(np.array(v.tolist(), float).reshape(len(v), len(q)), nan=0.0)
+            norms = np.sqrt((x * x).sum(axis=1)) * norm
+            yield pd.Series(np.divide(x @ q, norms, out=np.zeros(len(x)), where=norms > 0))
+
+    return F.pandas_udf(run, "double")
+
+
 def nearest(items: DataFrame, query: list[float], where: Filter = Filter(), k: int = LIST_LENGTH) -> DataFrame:
     """(path, similarity, rank) of the k most similar items of the query's dimension."""
     eligible = items.filter((F.size("embedding") == len(query)) & where.condition())
-    # Rounded, so that ties do not hang on the order of additions.
-    similarity = cosine(F.col("embedding"), F.array(*[F.lit(float(x)) for x in query]))
+    similarity = similarities(query)(F.col("embedding"))
     return ranked(eligible.select("path", similarity.alias("similarity")), [F.desc("similarity"), F.asc("path")], k)
 
 
@@ -67,9 +80,14 @@ def fused(*lists: DataFrame) -> DataFrame:
     return every.groupBy("path").agg(F.sum(1 / (FUSION_CONSTANT + F.col("rank"))).alias("score"))
 
 
+def stored_dimensions(items: DataFrame) -> DataFrame:
+    """(dimensions, vectors): the dimensions that stored embeddings have, and how many have them."""
+    return items.filter(F.size("embedding") > 0).groupBy(F.size("embedding").alias("dimensions")).agg(F.count("*").alias("vectors"))
+
+
 def hybrid(index: Index, query, vector: list[float], where: Filter = Filter()) -> DataFrame:
     """Fuses the best LIST_LENGTH hits of the text and of the vector search."""
-    stored = [r[0] for r in index.items.filter(F.size("embedding") > 0).select(F.size("embedding")).distinct().collect()]
+    stored = [r.dimensions for r in stored_dimensions(index.items).collect()]
     if len(vector) not in stored:
         raise DimensionMismatch(len(vector), sorted(stored))
     meta = index.items.select("path", "title", "tier", "tokens")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillon.operators import metrics
+from quillon.operators import control_plane, metrics
 from quillon.plans.driver_tables import SAMPLES_SQL, samples
 from quillon.plans.tables import shared_dir
+from quillon.sources import sinks
 from quillon.streaming import metrics as streaming
 
 QUERIES, SQL = {}, {}
@@ -107,7 +108,7 @@ def usage_report(spark, sf_dir):
 
 @query("SELECT event_type AS name, 'counter' AS kind, count(*) AS samples FROM events GROUP BY 1")
 def metric_catalog(spark, sf_dir):
-    return samples(spark, sf_dir).groupBy("name", "kind").agg(F.count("*").alias("samples")).orderBy("name")
+    return metrics.catalog(samples(spark, sf_dir))
 
 
 @query(f"WITH {ring_sql('name')} SELECT name, 0 AS tier, bucket, n, round(s, 6) AS total, round(last, 6) AS last FROM t0 UNION ALL SELECT name, 1, bucket, CAST(n AS BIGINT), round(s, 6), round(last, 6) FROM t1 "
@@ -118,8 +119,27 @@ def streamed_rings(spark, sf_dir):
 
     path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parquet*")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 8).parquet(f"{sf_dir}/events.parquet*")
     given = stream.select(F.col("event_type").alias("name"), "value", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("arrival"))
-    streaming.drained(streaming.fold_forward(given), path)
-    found = streaming.latest(spark.read.parquet(f"{path}/rows"))
+    streaming.fold_forward(given, path).awaitTermination()
+    found = streaming.latest(spark, path)
     return found.select("name", "tier", "bucket", "n", F.round("sum", 6).alias("total"), F.round("last", 6).alias("last"))
+
+
+@query("SELECT strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M') AS minute, event_type AS name, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
+def windowed_events(spark, sf_dir):
+    found = streaming.tumbling(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return found.select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("minute"), F.col("event_type").alias("name"), "n", F.round("sum", 6).alias("total"))
+
+
+@query(window_sql(86400, 1) + """ SELECT name, printf('%-20s %6d calls  %4d errors  avg %7.2fms  min %7.2fms  max %7.2fms', name, n, 0, s / n, lo, hi) AS line FROM w""")
+def usage_lines(spark, sf_dir):
+    x = samples(spark, sf_dir)
+    return sinks.text_usage(metrics.report(metrics.rings(x, ["name"]), metrics.catalog(x).select("name", "kind"), now_of(spark, sf_dir), 86400))
+
+
+@query(f"WITH {ring_sql('tenant_id, name')} SELECT tenant_id, name, tier, count(*) AS slots FROM ring GROUP BY tenant_id, name, tier")
+def configured_rings(spark, sf_dir):
+    """Tenants' rings with the tiers that a table gives."""
+    tiers = control_plane.tiers_of(control_plane.tier_table(spark))
+    return metrics.rings(samples(spark, sf_dir), ["tenant_id", "name"], tiers).groupBy("tenant_id", "name", "tier").agg(F.count("*").alias("slots"))

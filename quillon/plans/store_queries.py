@@ -7,13 +7,16 @@ the tables.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import derive, frontmatter, secrets
-from quillon.operators import control_plane, incremental, merge
+from quillon.operators import control_plane, graph, incremental, materialize, merge
 from quillon.plans.driver_tables import ITEMS_SQL, items, table
-from quillon.sources import files
+from quillon.plans.tables import shared_dir
+from quillon.sources import files, sinks
 
 QUERIES, SQL = {}, {}
 
@@ -74,27 +77,42 @@ def slugs(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", derive.slug(F.concat_ws(" ", "p_name", "p_type")).alias("slug"))
 
 
-@query("""WITH f AS (SELECT conv_id, turn, CASE WHEN turn % 4 = 0 THEN 'project' WHEN turn % 4 = 1 THEN 'feedback' WHEN turn % 4 = 2 THEN 'user' ELSE 'other' END AS kind, role, text FROM conversations)
-SELECT 'inbox/import/projects-c' || conv_id || '-memory-t' || turn || '.md' AS destination,
-  CASE kind WHEN 'project' THEN 'project-state' WHEN 'feedback' THEN 'feedback' ELSE 'knowledge' END AS type,
-  CASE kind WHEN 'project' THEN 'project' WHEN 'feedback' THEN 'project' WHEN 'user' THEN 'user' END AS scope, role || ' ' || turn AS title
-FROM f WHERE conv_id % 5 <> 0""")
-def import_memories(spark, sf_dir):
+_IMPORTED = """WITH f AS (SELECT conv_id, turn, CASE WHEN turn % 4 = 0 THEN 'project' WHEN turn % 4 = 1 THEN 'feedback' WHEN turn % 4 = 2 THEN 'user' ELSE 'other' END AS kind, role, coalesce(text, '') AS text FROM conversations),
+m AS (SELECT 'c' || conv_id || 't' || turn AS stem, role || ' ' || turn AS title, CASE kind WHEN 'project' THEN 'project-state' WHEN 'feedback' THEN 'feedback' ELSE 'knowledge' END AS type,
+  CASE kind WHEN 'project' THEN 'project' WHEN 'feedback' THEN 'project' WHEN 'user' THEN 'user' END AS scope, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS body, conv_id FROM f),
+d AS (SELECT 'inbox/import/memory-' || stem || '.md' AS destination, '---' || chr(10) || 'title: "' || title || '"' || chr(10) || 'type: ' || type || chr(10) || coalesce('scope: ' || scope || chr(10), '')
+  || 'provenance:' || chr(10) || '  source: import' || chr(10) || 'confidence: proposed' || chr(10) || 'updated: "2024-01-01"' || chr(10) || '---' || chr(10) || chr(10) || body || chr(10) AS text,
+  conv_id % 5 = 0 AS there FROM m
+  UNION ALL SELECT 'inbox/import/agents-md.md', '---' || chr(10) || 'title: "AGENTS.md"' || chr(10) || 'type: instruction' || chr(10) || 'provenance:' || chr(10) || '  source: import' || chr(10)
+  || 'confidence: proposed' || chr(10) || '---' || chr(10) || chr(10) || 'Do this.' || chr(10), false)"""
+
+
+def memory_files(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Foreign memory files, root files that are and are not instructions, and the destinations that exist."""
     c = table(spark, sf_dir, "conversations")
     kind = F.element_at(F.array(*[s(k) for k in ("project", "feedback", "user", "other")]), (F.col("turn") % 4 + 1).cast("int"))
-    path = F.concat(s("projects/c"), "conv_id", s("/memory/t"), "turn", s(".md"))
+    stem = F.concat(s("c"), "conv_id", s("t"), "turn")
     text = F.concat(s("---\nname: n\ndescription: \""), "role", s(" "), "turn", s("\"\nmetadata:\n  type: "), kind, s("\n  modified: 2024-01-01\n---\n\n"), F.coalesce("text", s("")))
-    found = c.select(path.alias("path"), text.alias("text"))
-    existing = c.filter("conv_id % 5 = 0").select(F.concat(s("inbox/import/projects-c"), "conv_id", s("-memory-t"), "turn", s(".md")).alias("path"))
-    new = files.imports(found, existing)
-    return new.select("destination", frontmatter.parsed_foreign(F.col("text")).alias("f")).select("destination", "f.type", "f.scope", "f.title")
+    found = c.select(F.concat(s("projects/p"), F.col("conv_id") % 3, s("/memory/"), stem, s(".md")).alias("path"), text.alias("text"))
+    others = spark.createDataFrame([("AGENTS.md", "\n Do this.\n\n"), ("README.md", "not this"), ("sub/AGENTS.md", "nor this"), ("projects/p/memory/deep/x.md", "nor this")], "path string, text string")
+    return found.unionByName(others), c.filter("conv_id % 5 = 0").select(F.concat(s("inbox/import/memory-"), stem, s(".md")).alias("path"))
+
 
+@query(_IMPORTED + " SELECT destination, md5(text) AS text_md5 FROM d WHERE NOT there")
+def import_memories(spark, sf_dir):
+    return files.imports(*memory_files(spark, sf_dir)).select("destination", F.md5("text").alias("text_md5"))
+
+
+@query(_IMPORTED + " SELECT count(*) FILTER (WHERE NOT there) AS imported, count(*) FILTER (WHERE there) AS skipped FROM d")
+def import_counts(spark, sf_dir):
+    return files.import_summary(*memory_files(spark, sf_dir))
 
-@query("""SELECT doc_id, regexp_matches(text, '-----BEGIN [A-Z ]*PRIVATE KEY-----') AS private_key, regexp_matches(text, '\\b(?:AKIA|ASIA)[0-9A-Z]{16}\\b') AS access_key FROM documents
-WHERE text IS NOT NULL""")
+
+@query(f"""SELECT doc_id, {", ".join(f"regexp_matches(coalesce(text, ''), '{p.replace(chr(39), chr(39) * 2)}') AS {n.replace('-', '_')}" for n, p in secrets.RULES.items())},
+  left(nullif(regexp_extract(coalesce(text, ''), '{secrets.RULES["private-key"]}'), ''), 4) || '***' AS excerpt FROM documents""")
 def secret_findings(spark, sf_dir):
-    found = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", secrets.findings(F.col("text")).alias("f"))
-    return found.select("doc_id", F.array_contains("f", "private-key").alias("private_key"), F.array_contains("f", "access-key-id").alias("access_key"))
+    found = table(spark, sf_dir, "documents").select("doc_id", secrets.findings(F.col("text")).alias("f"), secrets.excerpt(F.col("text"), "private-key").alias("excerpt"))
+    return found.select("doc_id", *[F.array_contains("f", n).alias(n.replace("-", "_")) for n in secrets.RULES], "excerpt")
 
 
 def status_lines(spark, sf_dir) -> DataFrame:
@@ -126,25 +144,28 @@ def snapshots(spark, sf_dir):
     d, k = table(spark, sf_dir, "documents"), F.col("doc_id")
     path = F.concat(s("dir with space/"), k, F.when(k % 9 == 0, ".txt").otherwise(".md")).alias("path")
     tracked = d.filter("doc_id % 6 in (0, 1, 2, 5)").select(path)
-    known = d.filter("doc_id % 6 in (0, 2) or doc_id % 12 = 5").select(path).unionByName(d.filter("doc_id % 6 = 3").select(F.concat(s("old/"), k, s(".md")).alias("path")))
+    known = d.filter("doc_id % 6 in (0, 2) or doc_id % 12 in (1, 3, 5)").select(path).unionByName(d.filter("doc_id % 6 = 3").select(F.concat(s("old/"), k, s(".md")).alias("path")))
     return tracked, files.changes(status_lines(spark, sf_dir)), known
 
 
-@query("""WITH p AS (SELECT doc_id AS k, 'dir with space/' || doc_id || CASE WHEN doc_id % 9 = 0 THEN '.txt' ELSE '.md' END AS path FROM documents),
-cur AS (SELECT * FROM p WHERE k % 6 <> 2 AND path LIKE '%.md'),
-known AS (SELECT path FROM p WHERE k % 6 IN (0, 2) OR k % 12 = 5 UNION SELECT 'old/' || k || '.md' FROM p WHERE k % 6 = 3)
-SELECT path, 'added' AS change FROM cur WHERE path NOT IN (SELECT path FROM known)
-UNION ALL SELECT path, 'modified' FROM cur WHERE path IN (SELECT path FROM known) AND k % 6 IN (0, 1, 3, 4, 5)
-UNION ALL SELECT path, 'deleted' FROM known WHERE path NOT IN (SELECT path FROM cur)""")
+#: The classes by sets of paths: what is tracked, what the records say, and what is known.
+_CLASSES = """WITH p AS (SELECT doc_id AS k, 'dir with space/' || doc_id || CASE WHEN doc_id % 9 = 0 THEN '.txt' ELSE '.md' END AS path FROM documents),
+modified AS (SELECT path FROM p WHERE k % 6 IN (0, 5)), added AS (SELECT path FROM p WHERE k % 6 IN (1, 4)), deleted AS (SELECT path FROM p WHERE k % 6 = 2),
+renamed AS (SELECT path AS new, 'old/' || k || '.md' AS old FROM p WHERE k % 6 = 3),
+cur AS (SELECT path FROM ((SELECT path FROM p WHERE k % 6 IN (0, 1, 2, 5) UNION SELECT path FROM added UNION SELECT new FROM renamed) EXCEPT (SELECT path FROM deleted UNION SELECT old FROM renamed)) WHERE path LIKE '%.md'),
+known AS (SELECT path FROM p WHERE k % 6 IN (0, 2) OR k % 12 IN (1, 3, 5) UNION SELECT old FROM renamed),
+dirty AS (SELECT path FROM modified UNION SELECT new FROM renamed),
+classes AS (SELECT path, 'added' AS change FROM (SELECT path FROM cur EXCEPT SELECT path FROM known)
+  UNION ALL SELECT path, 'modified' FROM (SELECT path FROM cur INTERSECT SELECT path FROM known INTERSECT SELECT path FROM dirty)
+  UNION ALL SELECT path, 'deleted' FROM (SELECT path FROM known EXCEPT SELECT path FROM cur))"""
+
+
+@query(_CLASSES + " SELECT path, change FROM classes")
 def classified_changes(spark, sf_dir):
     return incremental.classified(*snapshots(spark, sf_dir))
 
 
-@query("""WITH p AS (SELECT doc_id AS k, 'dir with space/' || doc_id || CASE WHEN doc_id % 9 = 0 THEN '.txt' ELSE '.md' END AS path FROM documents),
-cur AS (SELECT * FROM p WHERE k % 6 <> 2 AND path LIKE '%.md'),
-known AS (SELECT path FROM p WHERE k % 6 IN (0, 2) OR k % 12 = 5 UNION SELECT 'old/' || k || '.md' FROM p WHERE k % 6 = 3)
-SELECT (SELECT count(*) FROM cur WHERE path NOT IN (SELECT path FROM known)) AS added, (SELECT count(*) FROM cur WHERE path IN (SELECT path FROM known)) AS modified,
-       (SELECT count(*) FROM known WHERE path NOT IN (SELECT path FROM cur)) AS deleted, false AS up_to_date""")
+@query(_CLASSES + """ SELECT count(*) FILTER (WHERE change = 'added') AS added, count(*) FILTER (WHERE change = 'modified') AS modified, count(*) FILTER (WHERE change = 'deleted') AS deleted, count(*) = 0 AS up_to_date FROM classes""")
 def change_summary(spark, sf_dir):
     return incremental.summary(incremental.classified(*snapshots(spark, sf_dir)))
 
@@ -320,7 +341,7 @@ def grant_polls(spark, sf_dir):
 
 @query("""WITH d AS (SELECT s_suppkey, s_nationkey FROM supplier WHERE s_suppkey % 3 <> 0 AND s_suppkey % 4 <> 0),
 t AS (SELECT n_nationkey, replace(lower(n_name), ' ', '-') AS slug FROM nation WHERE n_nationkey % 6 <> 0)
-SELECT c_custkey AS request_id, CASE WHEN d.s_suppkey IS NULL THEN 401 WHEN t.slug IS NULL OR t.slug <> replace(lower(n.n_name), ' ', '-') THEN 404 WHEN c_custkey % 8 = 0 THEN 405
+SELECT c_custkey AS request_id, CASE WHEN c_custkey % 8 = 0 THEN 405 WHEN d.s_suppkey IS NULL THEN 401 WHEN t.slug IS NULL OR t.slug <> replace(lower(n.n_name), ' ', '-') THEN 404
   WHEN t.n_nationkey % 5 = 0 THEN 503 ELSE 200 END AS status
 FROM customer JOIN nation n ON n.n_nationkey = c_nationkey LEFT JOIN d ON d.s_suppkey = c_custkey % 12 LEFT JOIN t ON t.n_nationkey = d.s_nationkey""")
 def authorized_requests(spark, sf_dir):
@@ -397,3 +418,215 @@ def promotion_rights(spark, sf_dir):
 @query(f"""WITH {ITEMS_SQL} SELECT path, visibility = 'private' AS encrypt FROM items""")
 def files_to_encrypt(spark, sf_dir):
     return items(spark, sf_dir).select("path", derive.needs_encryption(F.col("body").cast("binary"), F.col("visibility")).alias("encrypt"))
+
+
+def scratch(spark) -> str:
+    """A new folder of a query's own."""
+    return f"{shared_dir(spark)}/query-{uuid.uuid4().hex}"
+
+
+@query(f"WITH {ITEMS_SQL} SELECT path, tier, tokens FROM items WHERE doc_id % 3 <> 0")
+def published_items(spark, sf_dir):
+    """The second of two published versions of an item table."""
+    root, x = scratch(spark), items(spark, sf_dir).select("doc_id", "path", "tier", "tokens")
+    sinks.publish(x, root)
+    sinks.publish(x.filter("doc_id % 3 <> 0"), root)
+    return sinks.published(spark, root).select("path", "tier", "tokens")
+
+
+@query(f"""WITH {ITEMS_SQL}, t AS (SELECT '<context tier="0">' || chr(10) || chr(10) AS block UNION ALL
+SELECT '## ' || title || chr(10) || chr(10) || '<!-- source: ' || path || ' -->' || chr(10) || chr(10) || body || chr(10) || chr(10) FROM items WHERE tier = 0 UNION ALL SELECT '</context>' || chr(10)),
+l AS (SELECT unnest(string_split(left(block, length(block) - 1), chr(10))) AS line FROM t) SELECT line, count(*) AS times FROM l GROUP BY line""")
+def tier_file_lines(spark, sf_dir):
+    """The lines of a tier file that was written and read again."""
+    path = scratch(spark)
+    sinks.write_tier(materialize.blocks(items(spark, sf_dir), 0), path)
+    return spark.read.option("lineSep", "\n").text(path).groupBy(F.col("value").alias("line")).agg(F.count("*").alias("times"))
+
+
+@query(f"WITH {ITEMS_SQL} SELECT path, tier, tokens FROM items")
+def bundled_items(spark, sf_dir):
+    """Items that went out as a bundle and came in again."""
+    path = scratch(spark)
+    sinks.export_bundle({"items": items(spark, sf_dir).select("path", "tier", "tokens"), "labels": table(spark, sf_dir, "labels")}, path)
+    return sinks.import_bundle(spark, path)["items"]
+
+
+@query(f"WITH {ITEMS_SQL} SELECT path FROM items WHERE doc_id <> (SELECT min(doc_id) FROM items)")
+def forgotten_item(spark, sf_dir):
+    x = items(spark, sf_dir)
+    return incremental.forgotten(x, x.orderBy("doc_id").first().path, "human:me").select("path")
+
+
+@query(f"WITH {ITEMS_SQL} SELECT path FROM items WHERE visibility = 'private'")
+def forgotten_device(spark, sf_dir):
+    """What has to be encrypted anew for the devices that are left."""
+    recipients = table(spark, sf_dir, "supplier").select(F.concat(s("age1"), "s_suppkey").alias("recipient"), F.concat(s("device:"), "s_suppkey").alias("label"))
+    return incremental.forgotten_device(recipients, "1", items(spark, sf_dir))[1]
+
+
+@query("SELECT l_orderkey AS revision, 'p/' || l_partkey || '.md' AS path FROM lineitem WHERE l_partkey <> (SELECT min(l_partkey) FROM lineitem)")
+def purged_history(spark, sf_dir):
+    history = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("revision"), F.concat(s("p/"), "l_partkey", s(".md")).alias("path"))
+    least = table(spark, sf_dir, "lineitem").agg(F.min("l_partkey")).first()[0]
+    return incremental.purged(history, f"p/{least}.md")
+
+
+@query("""SELECT s_nationkey AS tenant_id, 'a/' || s_suppkey || '.md' AS path, 2 AS tier, greatest(1, length(s_name) // 4) AS tokens, s_name AS body
+FROM supplier WHERE s_suppkey % 7 <> 0 AND s_suppkey % 11 <> 0 AND s_suppkey % 5 <> 0""")
+def tenant_items(spark, sf_dir):
+    """The items of the tenants' snapshots."""
+    k = F.col("s_suppkey")
+    text = F.when(k % 7 == 0, F.concat(s("age-encryption.org/v1\n"), k)).otherwise(F.concat(s("---\nvisibility: "), F.when(k % 5 == 0, "private").otherwise("team"), s("\n---\n"), "s_name"))
+    blobs = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("tenant_id"), F.concat(s("a/"), k, F.when(k % 11 == 0, ".txt").otherwise(".md")).alias("path"), text.cast("binary").alias("content"))
+    return files.snapshot(blobs, "2024-05-01")[0].select("tenant_id", "path", "tier", "tokens", "body")
+
+
+@query("""WITH i AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 4 = 0 THEN '' WHEN p_partkey % 4 = 1 THEN 'a/b/' ELSE 'a/' END || 'N' || (p_partkey // 2) || '.md' AS path FROM part),
+w AS (SELECT path AS source, unnest(['n' || (k // 2), 'b/N' || (k // 2), 'N' || (k // 2) || '|x', 'nowhere']) AS link FROM i),
+n AS (SELECT source, string_split(link, '|')[1] || '.md' AS file FROM w)
+SELECT DISTINCT source, (SELECT min(path) FROM i WHERE path = file OR lower(right(path, length(file) + 1)) = lower('/' || file)) AS target, 'mentions' AS type FROM n
+WHERE (SELECT min(path) FROM i WHERE path = file OR lower(right(path, length(file) + 1)) = lower('/' || file)) IS NOT NULL""")
+def folder_links(spark, sf_dir):
+    """Names with and without folders, in another case, at the root and below."""
+    k = F.col("p_partkey")
+    n = F.floor(k / 2)
+    path = F.concat(F.when(k % 4 == 0, "").when(k % 4 == 1, "a/b/").otherwise("a/"), s("N"), n, s(".md"))
+    body = F.concat(s("[[n"), n, s("]] [[b/N"), n, s("]] [[N"), n, s("|x]] [[nowhere]]"))
+    return graph.edges_of(table(spark, sf_dir, "part").select(path.alias("path"), body.alias("body"), F.array().cast("array<string>").alias("refs")))
+
+
+@query("""WITH i AS (SELECT 'notes/' || p_partkey || '.md' AS path, p_partkey AS k, (SELECT max(p_partkey) FROM part) AS n FROM part)
+SELECT a.path AS source, 'notes/' || CASE WHEN a.k % 7 = 1 THEN 1 ELSE a.k % a.n + 1 END || '.md' AS target, 'mentions' AS type FROM i a
+WHERE a.k % 5 <> 2 AND CASE WHEN a.k % 7 = 1 THEN (SELECT min(k) FROM i WHERE k = 1 AND k % 5 <> 2) IS NOT NULL ELSE a.k % a.n + 1 IN (SELECT k FROM i) END""")
+def refreshed_links(spark, sf_dir):
+    """Links after a change set: some documents point elsewhere, some are gone; links to the latter dangle."""
+    part, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    n = part.agg(F.max("p_partkey")).first()[0]
+    base = part.select(k.alias("k"), F.concat(s("notes/"), k, s(".md")).alias("path"), F.concat(s("[["), k % n + 1, s("]]")).alias("body"), F.array().cast("array<string>").alias("refs"))
+    edges = graph.edges_of(base)
+    gone = base.filter("k % 5 = 2")
+    changed = base.filter("k % 7 = 1 and k % 5 <> 2").withColumn("body", s("[[1]]"))
+    return graph.refreshed_edges(edges, changed, gone, base.join(gone, "path", "left_anti"))
+
+
+@query("""WITH p AS (SELECT doc_id, 'dir with space/' || doc_id || CASE WHEN doc_id % 9 = 0 THEN '.txt' ELSE '.md' END AS path FROM documents WHERE doc_id % 6 = 5 AND doc_id % 4 <> 1)
+SELECT 'inbox/' || trim(regexp_replace(lower('deletion of ' || path || ' needs confirmation'), '[^a-z0-9]+', '-', 'g'), '-') || '-7.md' AS path,
+  '---' || chr(10) || 'title: "deletion of ' || path || ' needs confirmation"' || chr(10) || 'type: project-state' || chr(10) || 'provenance:' || chr(10) || '  actor: "agent:merge-resolver"' || chr(10)
+  || '  source: conversation' || chr(10) || 'confidence: proposed' || chr(10) || '---' || chr(10) || chr(10) || '`' || path || '` was deleted by our side, but the other side''s modification was kept: '
+  || 'a deletion always loses to a modification. Should `' || path || '` still be deleted?' || chr(10) AS text FROM p""")
+def deletion_questions(spark, sf_dir):
+    found = files.unmerged(status_lines(spark, sf_dir)).select("path", merge.conflict_class(F.col("code")).alias("class"))
+    return merge.deletion_questions(found, s(7))
+
+
+#: State of each side by a number's remainder: b(ase), a change of ours or theirs, or - for nothing.
+_SIDES = ("bbb", "obb", "btb", "-bb", "b-b", "-tb", "o-b", "--b", "o--", "-t-", "oob", "bb-")
+
+
+@query(f"""WITH d AS (SELECT c_custkey AS k, ['{"', '".join(_SIDES)}'][c_custkey % {len(_SIDES)} + 1] AS sides FROM customer),
+x AS (SELECT k, nullif(left(sides, 1), '-') AS o, nullif(substr(sides, 2, 1), '-') AS t, nullif(right(sides, 1), '-') AS b FROM d)
+SELECT 'f/' || k || '.md' AS path, CASE WHEN o IS NOT DISTINCT FROM t OR t IS NOT DISTINCT FROM b THEN o WHEN o IS NOT DISTINCT FROM b THEN t ELSE coalesce(o, t) END || ' ' || k AS text,
+  CASE WHEN o IS NOT DISTINCT FROM t OR t IS NOT DISTINCT FROM b OR o IS NOT DISTINCT FROM b THEN NULL WHEN o IS NULL THEN 'modify/delete by ours' WHEN t IS NULL THEN 'modify/delete by theirs' END AS class
+FROM x WHERE CASE WHEN o IS NOT DISTINCT FROM t OR t IS NOT DISTINCT FROM b THEN o WHEN o IS NOT DISTINCT FROM b THEN t ELSE coalesce(o, t) END IS NOT NULL""")
+def merged_trees(spark, sf_dir):
+    """Three-way merge of trees where sides add, change and delete files: only a modification beats a deletion."""
+    k = F.col("c_custkey")
+    sides = F.element_at(F.array(*[s(x) for x in _SIDES]), (k % len(_SIDES) + 1).cast("int"))
+    c = table(spark, sf_dir, "customer").select(k.alias("k"), sides.alias("sides"), F.concat(s("f/"), k, s(".md")).alias("path"))
+
+    def tree(place: int) -> DataFrame:
+        state = F.substring("sides", place, 1)
+        return c.filter(state != "-").select("path", F.concat(state, s(" "), "k").alias("text"))
+
+    return merge.merged_trees(tree(3), tree(1), tree(2))
+
+
+@query("""SELECT 'd' || l_orderkey AS path, CASE WHEN l_orderkey % 3 = 0 THEN 'second' WHEN l_orderkey % 5 = 0 THEN 'third' ELSE 'base' END AS text FROM (SELECT DISTINCT l_orderkey FROM lineitem)
+WHERE l_orderkey % 3 = 0 OR l_orderkey % 7 <> 0""")
+def folded_branches(spark, sf_dir):
+    """Three branches of one base: the first changes nothing, the second changes thirds, the third fifths of the others and deletes sevenths."""
+    k = F.col("l_orderkey")
+    keys = table(spark, sf_dir, "lineitem").select(k).distinct().withColumn("path", F.concat(s("d"), k))
+    branch = lambda text, rows: rows.select("path", text.alias("text"))
+    base = branch(s("base"), keys)
+    second = branch(F.when(k % 3 == 0, "second").otherwise("base"), keys)
+    third = branch(F.when((k % 5 == 0) & (k % 3 != 0), "third").otherwise("base"), keys.filter("l_orderkey % 7 <> 0"))
+    return merge.folded(base, [base, second, third])
+
+
+@query("""SELECT n_nationkey + 1 AS tenant_id, lower(n_name) AS slug FROM nation UNION ALL
+SELECT (SELECT max(n_nationkey) + 1 FROM nation) + row_number() OVER (ORDER BY 'r-' || lower(r_name)), 'r-' || lower(r_name) FROM region""")
+def created_tenants(spark, sf_dir):
+    old = table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 1).cast("long").alias("tenant_id"), F.lower("n_name").alias("slug"), F.lit(True).alias("always_warm"), F.lit(False).alias("running"))
+    return control_plane.created_tenants(old, table(spark, sf_dir, "region").select(F.concat(s("r-"), F.lower("r_name")).alias("slug"))).select("tenant_id", "slug")
+
+
+def keyed_devices(spark, sf_dir) -> DataFrame:
+    k = F.col("s_suppkey").cast("long")
+    return table(spark, sf_dir, "supplier").select(k.alias("device_id"), F.col("s_nationkey").cast("long").alias("tenant_id"), F.concat(s("key "), k).alias("public_key"), F.concat(s("S"), k).alias("serial"), F.lit(None).cast("long").alias("revoked_at"))
+
+
+@query("""WITH d AS (SELECT s_suppkey AS device_id, s_nationkey AS tenant_id, 'key ' || s_suppkey AS public_key FROM supplier),
+fresh AS (SELECT (SELECT max(s_suppkey) FROM supplier) + row_number() OVER (ORDER BY 'new ' || c_custkey) AS device_id, c_nationkey AS tenant_id, 'new ' || c_custkey AS public_key FROM customer),
+every AS (SELECT * FROM d UNION ALL SELECT * FROM fresh)
+SELECT q.public_key, device_id, tenant_id FROM (SELECT public_key FROM every UNION ALL SELECT 'unknown') q LEFT JOIN every e ON e.public_key = q.public_key""")
+def registered_devices(spark, sf_dir):
+    """Devices by their keys after some were registered, and a key that nobody has."""
+    keys = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("tenant_id"), F.concat(s("new "), "c_custkey").alias("public_key"))
+    every = control_plane.registered_devices(keyed_devices(spark, sf_dir), keys)
+    asked = every.select("public_key").unionByName(spark.createDataFrame([("unknown",)], "public_key string"))
+    return control_plane.found(every, asked, "public_key").select("public_key", "device_id", "tenant_id")
+
+
+@query("""WITH g AS (SELECT o_orderkey AS grant_id, o_custkey % 25 AS tenant_id, CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey % (SELECT count(*) FROM supplier) + 1 WHEN o_orderkey % 4 = 1 THEN -1 END AS device_id FROM orders),
+open_ones AS (SELECT grant_id, 'p' || grant_id || 'a' AS public_key FROM g WHERE grant_id % 3 = 0 AND (device_id IS NULL OR device_id NOT IN (SELECT s_suppkey FROM supplier))),
+n AS (SELECT grant_id, (SELECT max(s_suppkey) FROM supplier) + row_number() OVER (ORDER BY public_key) AS new_id FROM open_ones)
+SELECT g.grant_id, tenant_id, coalesce(new_id, device_id) AS device_id FROM g LEFT JOIN n ON n.grant_id = g.grant_id""")
+def approved_grants(spark, sf_dir):
+    """Grants after thirds of them were approved twice; those that have a device keep it."""
+    k = F.col("o_orderkey").cast("long")
+    n = table(spark, sf_dir, "supplier").count()
+    device = F.when(k % 4 == 0, k % n + 1).when(k % 4 == 1, F.lit(-1))
+    grants = table(spark, sf_dir, "orders").select(k.alias("grant_id"), (F.col("o_custkey") % 25).cast("long").alias("tenant_id"), device.cast("long").alias("device_id"))
+    asked = grants.filter("grant_id % 3 = 0").select("grant_id", F.explode(F.array(*[F.concat(s("p"), "grant_id", s(x)) for x in "ab"])).alias("public_key"))
+    return control_plane.approved_grants(grants, keyed_devices(spark, sf_dir), asked)[0]
+
+
+@query("""SELECT (SELECT max(s_suppkey) FROM supplier) + row_number() OVER (ORDER BY 'd' || c_custkey) AS grant_id, c_nationkey AS tenant_id, 1600 AS expires_at FROM customer""")
+def created_grants(spark, sf_dir):
+    old = table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").cast("long").alias("grant_id"), F.col("s_nationkey").cast("long").alias("tenant_id"), s("x").alias("device_code"), s("y").alias("user_code"),
+        F.lit(1).cast("long").alias("expires_at"), F.lit(1).cast("long").alias("device_id"),
+    )
+    asked = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("tenant_id"), F.concat(s("d"), "c_custkey").alias("device_code"), F.concat(s("u"), "c_custkey").alias("user_code"))
+    return control_plane.created_grants(old, asked, 1000).filter("expires_at > 1000").select("grant_id", "tenant_id", "expires_at")
+
+
+@query("""SELECT c_custkey, c_name || ' é<' || c_custkey || '>%zz' AS form, replace(replace(replace(replace(c_name || ' & <"' || c_custkey || '">', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS html,
+'0' || lower(hex(c_custkey)) AS serial FROM customer WHERE c_custkey < 16
+UNION ALL SELECT c_custkey, c_name || ' é<' || c_custkey || '>%zz', replace(replace(replace(replace(c_name || ' & <"' || c_custkey || '">', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'),
+right('0000' || lower(hex(c_custkey)), 2 * ((length(hex(c_custkey)) + 1) // 2)) FROM customer WHERE c_custkey >= 16""")
+def decoded_forms(spark, sf_dir):
+    """Form values, HTML texts and certificate serials."""
+    k = F.col("c_custkey")
+    form = control_plane.form_decoded(F.concat(F.replace("c_name", s("#"), s("%23")), s("+%C3%a9%3C"), k, s("%3e%zz")))
+    html = control_plane.html_escaped(F.concat("c_name", s(" & <\""), k, s("\">")))
+    digits = F.hex(k)
+    serial = F.unhex(F.when(F.length(digits) % 2 == 1, F.concat(s("0"), digits)).otherwise(digits))
+    return table(spark, sf_dir, "customer").select("c_custkey", form.alias("form"), html.alias("html"), control_plane.serial_hex(serial).alias("serial"))
+
+
+@query("""SELECT 'origin/sync/d' || s_suppkey AS name, 'other device' AS what FROM supplier WHERE s_suppkey <> 3 AND s_suppkey % 2 = 1
+UNION ALL SELECT 'other/sync/d' || s_suppkey, 'below' FROM supplier WHERE s_suppkey % 2 = 0""")
+def device_refs(spark, sf_dir):
+    k = F.col("s_suppkey")
+    refs = table(spark, sf_dir, "supplier").select(F.concat(F.when(k % 2 == 1, "origin").otherwise("other"), s("/sync/d"), k).alias("name"))
+    other = control_plane.other_device_refs(refs, "origin", "d3").withColumn("what", s("other device"))
+    return other.unionByName(control_plane.refs_below(refs, "other").withColumn("what", s("below")))
+
+
+@query("SELECT tier, step, slots FROM (VALUES (0, 60, 360), (1, 900, 1344), (2, 21600, 1460)) t(tier, step, slots) WHERE EXISTS (SELECT 1 FROM events)")
+def tier_config(spark, sf_dir):
+    """The tiers that a control plane starts with, where there are events to keep."""
+    return control_plane.tier_table(spark).join(table(spark, sf_dir, "events").select(F.lit(True).alias("x")).limit(1)).drop("x")

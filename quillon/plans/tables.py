@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -19,6 +21,38 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_paths: list[str] = []
+_kept: list[DataFrame] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables that ``written`` and ``reused`` make inside, once the block is left.
+
+    What a query returns reads its tables when it runs, so the block must hold the action as well.
+    """
+    paths, kept = len(_paths), len(_kept)
+    try:
+        yield
+    finally:
+        for df in _kept[kept:]:
+            df.unpersist()
+        del _kept[kept:]
+        for path in _paths[paths:]:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        del _paths[paths:]
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have."""
+    have = {c.lower() for c in df.columns}
+    name = f"__{name}"
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def written(df: DataFrame, compact: bool = False) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: one run of its plan, and no lineage behind it.
 
@@ -27,28 +61,76 @@ def written(df: DataFrame, compact: bool = False) -> DataFrame:
     """
     df = df.hint("rebalance") if compact else df
     path = f"{shared_dir(df.sparkSession)}/quillon-{uuid.uuid4().hex}"
+    _paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_stored: dict[tuple[str, str], str] = {}
+
+
+def stored_once(spark: SparkSession, name: str, write: Callable[[str], None], anew: bool = False) -> str:
+    """The folder where ``write`` put what ``name`` stands for: the first call of an application writes it, others find it."""
+    key = (spark.sparkContext.applicationId, name)
+    if anew or key not in _stored:
+        path = f"{shared_dir(spark)}/quillon-{uuid.uuid4().hex}"
+        write(path)
+        _stored[key] = path
+    return _stored[key]
+
+
 def reused(df: DataFrame) -> DataFrame:
     """``df`` kept on the executors' disks for several readers of one query.
 
     What a lost executor held is computed again from its lineage, which this does not cut; for
-    loops use ``written``. ``spark.catalog.clearCache()`` frees all of it.
+    loops use ``written``. ``scratch`` or ``spark.catalog.clearCache()`` frees it.
     """
-    return df.persist(StorageLevel.DISK_ONLY)
+    _kept.append(df.persist(StorageLevel.DISK_ONLY))
+    return _kept[-1]
+
+
+#: Rows that one task numbers or adds up in order.
+STRETCH = 1 << 20
+#: Rows of a table that is broadcast at most; rows here are a few numbers or a path.
+BROADCAST_ROWS = 500_000
+
 
+def small(df: DataFrame) -> DataFrame:
+    """``df`` (stored) with a broadcast hint if it has few rows; otherwise Spark joins by a shuffle and splits hot keys."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
-def ranked(df: DataFrame, order: list, limit: int) -> DataFrame:
-    """The first ``limit`` rows with a column rank from 1. Only those rows are numbered in one task."""
-    top = df.orderBy(*order).limit(limit)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+
+def ranked(df: DataFrame, order: list, limit: int | None) -> DataFrame:
+    """The first ``limit`` rows (None: all) with a column rank from 1; ``order`` is a total order.
+
+    Up to STRETCH rows are numbered in one task. More are sorted by ranges, numbered within their
+    range and moved on by the sizes of the ranges before.
+    """
+    if limit is not None and limit <= STRETCH:
+        return df.orderBy(*order).limit(limit).withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
+    place = F.monotonically_increasing_id()
+    dealt = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", place))
+    part = F.shiftright("__at", 33)
+    sizes = dealt.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    # As many rows as there were partitions.
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = F.broadcast(sizes.select("__part", before.alias("__before")))
+    rank = F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    out = dealt.withColumn("__part", part).join(starts, "__part").withColumn("rank", rank).drop("__at", "__part", "__before")
+    return out if limit is None else out.filter(F.col("rank") <= limit)
 
 
 def within_budget(hits: DataFrame, budget: int | None) -> DataFrame:
-    """The longest prefix by rank whose tokens fit; the first hit always stays. ``hits`` is limited already."""
+    """The longest prefix by rank whose tokens fit; the first hit always stays.
+
+    Tokens are added up in two levels, over stretches of ranks and within each.
+    """
     if budget is None:
         return hits
-    total = F.sum("tokens").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
-    return hits.withColumn("__sum", total).filter((F.col("rank") == 1) | (F.col("__sum") <= budget)).drop("__sum")
+    x = hits.withColumn("__stretch", F.floor((F.col("rank") - 1) / STRETCH))
+    sums = x.groupBy("__stretch").agg(F.sum("tokens").alias("__sum"))
+    before = F.coalesce(F.sum("__sum").over(Window.orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    x = x.join(F.broadcast(sums.select("__stretch", before.alias("__before"))), "__stretch")
+    total = F.col("__before") + F.sum("tokens").over(Window.partitionBy("__stretch").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
+    kept = x.withColumn("__total", total).filter((F.col("rank") == 1) | (F.col("__total") <= budget))
+    return kept.drop("__stretch", "__before", "__total")

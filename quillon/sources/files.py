@@ -92,9 +92,37 @@ def snapshot(blobs: DataFrame, today: str) -> tuple[DataFrame, DataFrame]:
     return kept, counts
 
 
-def imports(files: DataFrame, existing: DataFrame) -> DataFrame:
-    """(destination, path, text) of foreign memory files that are not imported yet."""
-    wanted = F.col("path").rlike(r"^([A-Z]+\.md|projects/[^/]+/memory/[^/]+\.md)$")
-    target = F.concat(F.lit("inbox/import/"), derive.slug(F.regexp_replace("path", r"\.md$", "")), F.lit(".md"))
-    found = files.filter(wanted).select(target.alias("destination"), "path", "text")
-    return found.join(existing.select(F.col("path").alias("destination")), "destination", "left_anti")
+#: Instruction files at a store's root, and what their copies are called; a caller names its own.
+INSTRUCTIONS = {"AGENTS.md": "agents-md"}
+
+
+def imports(files: DataFrame, existing: DataFrame, instructions: dict[str, str] = INSTRUCTIONS, prefix: str = "memory") -> DataFrame:
+    """(destination, path, text): documents for foreign memory files that are not imported yet.
+
+    The root files that ``instructions`` names become instructions under their file's name as
+    title; ``projects/*/memory/*.md`` become ``<prefix>-<stem>`` with what their own frontmatter
+    says. All are proposed, from an import. A destination that exists stays as it is; of several
+    files with one destination the first path counts.
+    """
+    names = F.create_map(*[F.lit(x) for kv in instructions.items() for x in kv]) if instructions else F.lit(None)
+    name = names[F.col("path")] if instructions else F.lit(None).cast("string")
+    stem = F.regexp_extract("path", r"^projects/[^/]+/memory/([^/]*)\.md$", 1)
+    inside = F.col("path").rlike(r"^projects/[^/]+/memory/[^/]+\.md$")
+    target = F.coalesce(name, F.when(inside, F.concat(F.lit(f"{prefix}-"), stem)))
+    found = files.select(F.concat(F.lit("inbox/import/"), target, F.lit(".md")).alias("destination"), "path", "text", name.isNotNull().alias("root")).filter("destination is not null")
+    found = found.groupBy("destination").agg(F.min_by(F.struct("path", "text", "root"), "path").alias("x")).select("destination", "x.*")
+    found = found.join(existing.select(F.col("path").alias("destination")), "destination", "left_anti").withColumn("f", frontmatter.parsed_foreign(F.col("text")))
+    root, f = F.col("root"), lambda n: F.col(f"f.{n}")
+    none = F.lit(None).cast("string")
+    known = {"title": F.when(root, F.col("path")).otherwise(f("title")), "type": F.when(root, "instruction").otherwise(f("type")), "scope": F.when(root, none).otherwise(f("scope"))}
+    known |= {"source": F.lit("import"), "confidence": F.lit("proposed"), "updated": F.when(root, none).otherwise(f("updated"))}
+    body = F.when(root, derive.strip(F.col("text"))).otherwise(f("body"))
+    return found.select("destination", "path", F.concat(frontmatter.rendered_known(known), F.lit("\n"), body, F.lit("\n")).alias("text"))
+
+
+def import_summary(files: DataFrame, existing: DataFrame, **options) -> DataFrame:
+    """One row: how many files an import takes, and how many are there already."""
+    every = imports(files, existing.limit(0), **options).select("destination")
+    there = every.join(existing.select(F.col("path").alias("destination")), "destination", "left_semi").agg(F.count("*").alias("skipped"))
+    new = every.join(existing.select(F.col("path").alias("destination")), "destination", "left_anti").agg(F.count("*").alias("imported"))
+    return new.join(there)

@@ -14,14 +14,15 @@ def publish(items: DataFrame, root: str) -> str:
     """Writes ``items`` as a new version below ``root`` and then points to it.
 
     A failed build (also: a path that occurs twice) leaves the current version as it is. The
-    pointer is a table of one row, appended last, so it works on any store that Spark writes.
+    pointer is a numbered table of one row, written last, so it works on any store that Spark
+    writes; of two publishers with the same number the second fails, and its version is not used.
     """
     checked_unique(items)
     version = f"{root}/versions/{uuid.uuid4().hex}"
     items.write.parquet(version)
     spark = items.sparkSession
     number = _current(spark, root)[0] + 1
-    spark.createDataFrame([(number, version)], "number long, version string").coalesce(1).write.mode("append").parquet(f"{root}/pointer")
+    spark.createDataFrame([(number, version)], "number long, version string").coalesce(1).write.mode("error").parquet(f"{root}/pointer/{number:09d}")
     return version
 
 
@@ -29,7 +30,7 @@ def _current(spark: SparkSession, root: str) -> tuple[int, str | None]:
     from pyspark.errors import AnalysisException
 
     try:
-        row = spark.read.schema("number long, version string").parquet(f"{root}/pointer").orderBy(F.desc("number")).first()
+        row = spark.read.schema("number long, version string").parquet(f"{root}/pointer/*").orderBy(F.desc("number")).first()
     except AnalysisException:
         row = None
     return (row.number, row.version) if row else (0, None)
@@ -74,14 +75,20 @@ def json_hits(hits: DataFrame) -> DataFrame:
     return hits.select("rank", F.to_json(F.struct("path", "title", "score", "tier", "tokens", "hop_distance")).alias("json"))
 
 
+# The layouts of a result line and of a usage line.
+HIT_LINE = "[T%d%s] %s  (score=%.3f, ~%dt)\n     %s"
+COUNTER_LINE = "%-20s %6d calls  %4d errors  avg %7.2fms  min %7.2fms  max %7.2fms"
+GAUGE_LINE = "%-20s %6d samples  last=%.2f  min=%.2f  max=%.2f"
+
+
 def text_hits(hits: DataFrame) -> DataFrame:
     hop = F.when(F.col("hop_distance") > 0, F.concat(F.lit(" +"), F.col("hop_distance"))).otherwise("")
-    line = F.format_string("[T%d%s] %s  (score=%.3f, ~%dt)\n     %s", "tier", hop, "title", "score", "tokens", "path")
+    line = F.format_string(HIT_LINE, "tier", hop, "title", "score", "tokens", "path")
     return hits.select("rank", line.alias("line"))
 
 
 def text_usage(report: DataFrame) -> DataFrame:
     """A line for each metric: calls and errors of counters, the last value of gauges."""
-    counter: Column = F.format_string("%-20s %6d calls  %4d errors  avg %7.2fms  min %7.2fms  max %7.2fms", "name", "calls", "errors", "avg", "min", "max")
-    gauge = F.format_string("%-20s %6d samples  last=%.2f  min=%.2f  max=%.2f", "name", "calls", "last", "min", "max")
+    counter: Column = F.format_string(COUNTER_LINE, "name", "calls", "errors", "avg", "min", "max")
+    gauge = F.format_string(GAUGE_LINE, "name", "calls", "last", "min", "max")
     return report.select("name", F.when(F.col("kind") == "counter", counter).otherwise(gauge).alias("line"))

@@ -2,76 +2,66 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StreamingQuery
 
+from quillon.operators import metrics
 from quillon.operators.metrics import TIERS, Tier
 
-#: Rows of closed and open buckets: (name, tier, bucket, n, sum, min, max, last, version).
-OUTPUT = "name string, tier int, bucket long, n long, sum double, min double, max double, last double, version long"
-STATE = "version long, tier array<int>, bucket array<long>, n array<long>, sum array<double>, min array<double>, max array<double>, last array<double>"
+OPEN = "name string, bucket long"
 
 
-def fold_forward(samples: DataFrame, tiers: tuple[Tier, ...] = TIERS) -> DataFrame:
-    """Streams changed buckets of each metric as its samples (name, value, at, arrival) arrive.
+def fold_forward(samples: DataFrame, path: str, step: int = TIERS[0].step, every: str | None = None) -> StreamingQuery:
+    """Starts a stream of samples (name, value, at, arrival) into the finest buckets below ``path``.
 
-    The state of a metric is its open bucket of each tier. A sample that is older than the open
-    bucket goes into it without becoming its last value; nothing is dropped, so there is no
-    watermark. Each batch sends the buckets that it changed; ``latest`` keeps their newest version.
+    Each micro-batch is reduced by ``metrics.buckets``, which splits a hot metric over tasks, and
+    adds a row for each bucket that it touched. All that goes from batch to batch is the open bucket
+    of each metric, a small table. A sample that is older than the open bucket goes into it without
+    becoming its last value; nothing is dropped, so there is no watermark. A batch that runs again
+    writes the same folder again. Without ``every`` the stream takes what is there and ends. Bound
+    a batch at the source (maxFilesPerTrigger).
     """
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        version, opened = 0, {}
-        if state.exists:
-            version, *columns = state.get
-            opened = {t: list(rest) for t, *rest in zip(*columns)}
-        changed: dict[tuple[int, int], list] = {}
-
-        def put(t: int, bucket: int, part: list) -> None:
-            """part: n, sum, min, max, last (None: not the last value)."""
-            now = opened.get(t)
-            if now and bucket > now[0]:
-                if t + 1 < len(tiers):
-                    put(t + 1, now[0] // tiers[t + 1].step * tiers[t + 1].step, now[1:])
-                now = None
-            if now is None:
-                now = opened[t] = [bucket, *part]
-            else:
-                now[1:5] = [now[1] + part[0], now[2] + part[1], min(now[3], part[2]), max(now[4], part[3])]
-                if bucket == now[0] and part[4] is not None:
-                    now[5] = part[4]
-            changed[t, now[0]] = list(now[1:])
-
-        rows = pd.concat(list(batches)).sort_values("arrival", kind="stable")
-        for at, value in zip(rows["at"], rows["value"]):
-            step = tiers[0].step
-            put(0, int(at) // step * step, [1, float(value), float(value), float(value), float(value)])
-        version += 1
-        flat = [(t, *b) for t, b in sorted(opened.items())]
-        state.update((version, *[list(c) for c in zip(*flat)]))
-        yield pd.DataFrame([(key[0], t, b, *v, version) for (t, b), v in changed.items()], columns=[x.split()[0] for x in OUTPUT.split(", ")])
-
-    keyed = samples.select("name", F.col("value").cast("double").alias("value"), F.col("at").cast("long").alias("at"), F.col("arrival").cast("long").alias("arrival"))
-    return keyed.groupBy("name").applyInPandasWithState(run, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
-
-
-def latest(changes: DataFrame) -> DataFrame:
-    """The newest version of each bucket."""
-    best = changes.groupBy("name", "tier", "bucket").agg(F.max_by(F.struct("n", "sum", "min", "max", "last"), "version").alias("x"))
-    return best.select("name", "tier", "bucket", "x.*")
+    def fold(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        opened = _opened(spark, path, number)
+        rows = batch.select("name", F.col("value").cast("double").alias("value"), F.col("at").cast("long").alias("at"), F.col("arrival").cast("long").alias("arrival"))
+        metrics.buckets(rows, ["name"], step, opened).write.mode("overwrite").parquet(f"{path}/parts/batch={number}")
+        now = spark.read.parquet(f"{path}/parts/batch={number}").select("name", "bucket").unionByName(opened)
+        now.groupBy("name").agg(F.max("bucket").alias("bucket")).coalesce(1).write.mode("overwrite").parquet(f"{path}/open/batch={number}")
+
+    writer = samples.writeStream.foreachBatch(fold).option("checkpointLocation", f"{path}/state")
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def _opened(spark: SparkSession, path: str, number: int) -> DataFrame:
+    """The open bucket of each metric before a batch."""
+    if number == 0:
+        return spark.createDataFrame([], OPEN)
+    try:
+        return spark.read.schema(OPEN).parquet(f"{path}/open/batch={number - 1}")
+    except AnalysisException:
+        return spark.createDataFrame([], OPEN)
+
+
+def latest(spark: SparkSession, path: str, tiers: tuple[Tier, ...] = TIERS) -> DataFrame:
+    """(name, tier, bucket, n, sum, min, max, last): the buckets of all tiers, without eviction, of what has arrived."""
+    parts = spark.read.parquet(f"{path}/parts")
+    in_time = F.when(F.col("last").isNotNull(), F.col("batch"))
+    level = parts.groupBy("name", "bucket").agg(
+        F.sum("n").alias("n"), F.sum("sum").alias("sum"), F.min("min").alias("min"), F.max("max").alias("max"), F.max_by("last", in_time).alias("last")
+    )
+    out = None
+    for i, shape in enumerate(tiers):
+        level = metrics.folded(level, ["name"], shape.step) if i else level
+        part = level.withColumn("tier", F.lit(i))
+        out = part if out is None else out.unionByName(part)
+    return out.select("name", "tier", "bucket", *metrics.AGGREGATES)
 
 
 def tumbling(events: DataFrame, at: str = "ts", width: str = "1 minute", late: str = "1 hour") -> DataFrame:
-    """Plain windowed counts with a watermark, for when dropping what is very late is wanted."""
+    """Plain windowed counts with a watermark, for when dropping what is very late is wanted; a stream or a table."""
     timed = events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late)
     return timed.groupBy(F.window(at, width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("sum"))
-
-
-def drained(stream: DataFrame, path: str) -> None:
-    """Runs a stream over all that is there now and stops; rows go to Parquet below ``path``."""
-    query = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
-    query.awaitTermination()

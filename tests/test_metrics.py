@@ -67,8 +67,8 @@ def test_stream_equals_batch(spark, tmp_path):
         cut = rows[part * len(rows) // 3 : (part + 1) * len(rows) // 3]
         spark.createDataFrame(cut, SCHEMA).coalesce(1).write.mode("append").parquet(source)
     given = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(source)
-    streaming.drained(streaming.fold_forward(given), str(tmp_path / "out"))
-    got = {(r.name, r.tier, r.bucket): (r.n, r["sum"], r["min"], r["max"], r["last"]) for r in streaming.latest(spark.read.parquet(str(tmp_path / "out/rows"))).collect()}
+    streaming.fold_forward(given, str(tmp_path / "out")).awaitTermination()
+    got = {(r.name, r.tier, r.bucket): (r.n, r["sum"], r["min"], r["max"], r["last"]) for r in streaming.latest(spark, str(tmp_path / "out")).collect()}
     wide = tuple(Tier(t.step, 1 << 30) for t in TIERS)
     batch = metrics.rings(spark.createDataFrame(rows, SCHEMA), ["name"], wide)
     assert got == {(r.name, r.tier, r.bucket): (r.n, r["sum"], r["min"], r["max"], r["last"]) for r in batch.collect()}

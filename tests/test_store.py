@@ -149,7 +149,7 @@ def items_of(spark, rows):
 
 
 def test_graph_and_context(spark):
-    rows = [("a.md", "A", "needle [[b]]", [], 0, 10), ("n/b.md", "B", "x", ["../c.md"], 0, 10), ("c.md", "C", "[[A]] [[missing]]", [], 1, 10), ("d.md", "D", "[[b]]", ["gone.md"], 0, 10)]
+    rows = [("a.md", "A", "needle [[b]]", [], 0, 10), ("n/b.md", "B", "x", ["../c.md"], 0, 10), ("c.md", "C", "[[a]] [[A]] [[missing]]", [], 1, 10), ("d.md", "D", "[[b]]", ["gone.md"], 0, 10)]
     items = items_of(spark, rows)
     edges = graph.edges_of(items)
     assert {tuple(r) for r in edges.collect()} == {("a.md", "n/b.md", "mentions"), ("n/b.md", "c.md", "refs"), ("c.md", "a.md", "mentions"), ("d.md", "n/b.md", "mentions"), ("d.md", "gone.md", "refs")}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.plans.tables import reused, shared_dir, written  # noqa: F401  (for the operators)
+from quillon.plans.tables import BROADCAST_ROWS, fresh, reused, scratch, shared_dir, small, written  # noqa: F401  (for the operators)
 
 #: White space that separates words: space and U+0009 to U+000D.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -22,7 +22,8 @@ BATCH_BYTES = 4 << 20
 def bounded_batches(spark: SparkSession) -> None:
     """Bounds what Python workers and their executor hold of texts at a time, unless the session's bound is lower.
 
-    The session's own limit is 64 MB, which each worker then holds several times over.
+    The session's own limit is 64 MB, which each worker then holds several times over. The bound
+    stays set for the session, as plans are lazy: it is read when a query runs, after this returns.
     """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     text = str(spark.conf.get(key)).lower().removesuffix("b")

@@ -3,7 +3,12 @@
 Candidates are laid out vertically, a contiguous column for each dimension. Dimensions are taken
 in blocks, those with the most mass first; after each block a candidate can gain no more than the
 product of the lengths of its and the query's remaining parts. Candidates that cannot reach the
-k-th best lower bound are compacted away before the next block.
+bound of any query of a tile are compacted away before the next block. A query's bound is the k-th
+best of a pilot block, the candidates with the largest lengths, or else of the sums so far.
+
+Sums of integers below 2**53 are exact in double precision; by Cauchy and Schwarz those of two
+vectors are if the product of their lengths is below it. Rows that are longer take the same bounds
+with the rounding error added, and only what is left at the end is summed in whole numbers.
 """
 
 from __future__ import annotations
@@ -15,74 +20,143 @@ from pyspark.sql import functions as F
 
 from quillon.llm import grid
 
-#: Dimensions of a block; first partial products that are held at a time.
+#: Dimensions of a block; partial products that are held at a time.
 DIMENSION_BLOCK, PRODUCTS = 16, 1 << 21
+#: Lengths of queries and candidates up to which all their sums are exact.
+SHORT_QUERY, SHORT_CANDIDATE = 2.0**26, 2.0**27
+#: Components from which all doubles are whole numbers, and exponents that rows are brought below.
+WHOLE, HIGH = 2.0**60, 480
+#: Scores are held to the range of a long.
+LEAST, MOST = -(2**63), 2**63 - 1
 
 
-def integers(x: np.ndarray) -> np.ndarray:
-    """floor(64 x), as whole float64 numbers."""
-    return np.floor(64.0 * x)
-
-
-def best_of(partial: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k largest, ties to the smaller id; ids ascend."""
-    return np.argsort(-partial, kind="stable")[:k]
+def integers(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """floor(64 x) of each row in units of 2**exponent, without rounding, and the exponents, most of them 0."""
+    top = np.abs(x).max(axis=1, initial=0)
+    exponents = np.maximum(0, np.frexp(top)[1] - HIGH)
+    with np.errstate(over="ignore"):
+        small = np.floor(64.0 * np.where(np.abs(x) < WHOLE, x, 0))
+    return np.where(np.abs(x) < WHOLE, np.ldexp(small, -exponents[:, None]), np.ldexp(x, 6 - exponents[:, None])), exponents
 
 
 def whole(x: float) -> int:
     """floor(64 x); large doubles are whole numbers already."""
-    return int(x) * 64 if abs(x) > 2.0**60 else int(np.floor(64.0 * x))
+    return int(x) * 64 if abs(x) >= WHOLE else int(np.floor(64.0 * x))
+
+
+def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k largest, ties to the smaller id."""
+    return np.lexsort((ids, -scores))[:k]
+
 
+class Columns:
+    """Candidates in vertical layout, with the lengths of what remains of them after each block."""
 
-def wide(q: np.ndarray, c: np.ndarray, query_id: int, ids: np.ndarray, k: int):
-    """For components too large for exact float sums: Python integers, the score held to a long."""
-    codes = [whole(x) for x in q]
-    scores = [sum(a * whole(b) for a, b in zip(codes, row)) for row in c]
-    order = sorted((i for i in range(len(ids)) if ids[i] != query_id), key=lambda i: (-scores[i], ids[i]))[:k]
-    return ids[order], np.array([max(-(2**63), min(2**63 - 1, scores[i])) for i in order], dtype=np.int64)
+    def __init__(self, ids: np.ndarray, codes: np.ndarray):
+        self.ids = ids
+        self.order = np.argsort(-(codes * codes).sum(axis=0), kind="stable")
+        self.columns = np.ascontiguousarray(codes[:, self.order].T)
+        self.cuts = list(range(0, codes.shape[1], DIMENSION_BLOCK)) or [0]
+        self.rest = self.remaining(self.columns.T)
+
+    def remaining(self, rows: np.ndarray) -> list[np.ndarray]:
+        return [np.sqrt((rows[:, a + DIMENSION_BLOCK :] ** 2).sum(axis=1)) for a in self.cuts]
+
+    def best(self, query_ids: np.ndarray, q: np.ndarray, bound: np.ndarray, k: int):
+        """(ids, scores) of the k best for each query of a tile; all sums are exact."""
+        q = q[:, self.order]
+        q_rest, ids, rest, at = self.remaining(q), self.ids, self.rest, slice(None)
+        partial = np.zeros((len(q), len(ids)))
+        for b, a in enumerate(self.cuts):
+            partial += q[:, a : a + DIMENSION_BLOCK] @ self.columns[a : a + DIMENSION_BLOCK, at]
+            if b == len(self.cuts) - 1 or len(ids) <= k:
+                continue
+            gain = np.outer(q_rest[b], rest[b][at] * (1 + 1e-12)) + 1e-6
+            limit = bound
+            if np.isnan(limit).any():  # one more than k, as the query's own row may be among them
+                low = partial - gain
+                kth = np.partition(low, len(ids) - k - 1, axis=1)[:, len(ids) - k - 1] if len(ids) > k + 1 else np.full(len(q), -np.inf)
+                limit = np.fmax(limit, kth)
+            keep = (partial + gain >= limit[:, None]).any(axis=0)
+            if 2 * keep.sum() < len(keep):
+                partial, ids = np.ascontiguousarray(partial[:, keep]), ids[keep]
+                at = np.flatnonzero(keep) if isinstance(at, slice) else at[keep]
+        partial[ids == query_ids[:, None]] = -np.inf
+        for i, scores in enumerate(partial):
+            left = np.flatnonzero(scores >= bound[i]) if not np.isnan(bound[i]) else np.flatnonzero(scores > -np.inf)
+            if len(left) > 4 * k:
+                least = np.partition(scores[left], len(left) - k)[len(left) - k]
+                left = left[scores[left] >= least]
+            left = left[best_of(scores[left], ids[left], k)]
+            yield ids[left], scores[left].astype(np.int64)
+
+
+def best_long(query_id: int, q: np.ndarray, raw_q: np.ndarray, q_exp: int, ids: np.ndarray, c: np.ndarray, raw_c: np.ndarray, c_exp: np.ndarray, bound: float, k: int):
+    """(ids, scores) of the k best for one query, for vectors of any finite size; scores are held to a long.
+
+    Blocks of dimensions as above, with bounds that hold the rounding error too. Candidates whose
+    bounds still differ at the end are summed in whole numbers, equal vectors once.
+    """
+    left = np.flatnonzero(ids != query_id)
+    order = np.argsort(-(c * c).sum(axis=0), kind="stable")
+    q, c = q[order], c[:, order]
+    lengths = np.sqrt((q * q).sum()) * np.sqrt((c * c).sum(axis=1))
+    scale = c_exp + q_exp
+    error = np.where((lengths < 2.0**53) & (scale == 0), 0.0, (len(q) + 4) * 2.0**-52 * lengths)
+    partial = np.zeros(len(left))
+    low = high = partial
+    for a in list(range(0, len(q), DIMENSION_BLOCK)) or [0]:
+        b = a + DIMENSION_BLOCK
+        partial = partial + c[left, a:b] @ q[a:b]
+        gain = np.sqrt((q[b:] ** 2).sum()) * np.sqrt((c[left, b:] ** 2).sum(axis=1)) * (1 + 1e-12)
+        gain = np.where(gain > 0, gain + 1e-6, 0.0) + error[left]
+        with np.errstate(over="ignore"):
+            low, high = (np.clip(np.ldexp(x, scale[left]), float(LEAST), float(MOST)) for x in (partial - gain, partial + gain))
+        limit = -np.inf if np.isnan(bound) else bound
+        if len(left) > k:
+            limit = max(limit, np.partition(low, len(left) - k)[len(left) - k])
+        keep = high >= limit
+        left, partial, low, high = left[keep], partial[keep], low[keep], high[keep]
+    known: dict[bytes, int] = {}
+    codes, scores = [whole(x) for x in raw_q], []
+    for j, a, b in zip(left, low, high):
+        if a == b:
+            scores.append(MOST if a >= float(MOST) else int(a))
+            continue
+        key = raw_c[j].tobytes()
+        if key not in known:
+            known[key] = max(LEAST, min(MOST, sum(x * whole(y) for x, y in zip(codes, raw_c[j]))))
+        scores.append(known[key])
+    order = sorted(range(len(left)), key=lambda i: (-scores[i], ids[left[i]]))[:k]
+    return ids[left[order]], np.array([scores[i] for i in order], np.int64)
 
 
 def best_in_cell(k: int):
     def cell(queries: pa.Table, candidates: pa.Table) -> pa.Table:
-        parts, by_length = [], grid.matrices(candidates)
-        for d, (query_ids, q) in grid.matrices(queries).items():
+        parts, by_length, bounds = [], grid.matrices(candidates), grid.bounds_of(queries)
+        for d, (query_ids, raw_q, places) in grid.matrices(queries).items():
             if d not in by_length:
                 continue
-            ids, c = by_length[d]
-            raw_q, raw_c = q, c
-            with np.errstate(over="ignore"):
-                q, c = integers(q), integers(c)
-                too_large = d * np.abs(q).max(initial=0) * np.abs(c).max(initial=0) >= 2**53
-            if too_large:
-                for i in range(len(q)):
-                    j, s = wide(raw_q[i], raw_c, query_ids[i], ids, k)
+            ids, raw_c, _ = by_length[d]
+            bound = bounds[places]
+            (q, q_exp), (c, c_exp) = integers(raw_q), integers(raw_c)
+            short_q = (q_exp == 0) & (np.sqrt((q * q).sum(axis=1)) < SHORT_QUERY)
+            short_c = (c_exp == 0) & (np.sqrt((c * c).sum(axis=1)) < SHORT_CANDIDATE)
+            columns, long_c = Columns(ids[short_c], c[short_c]), np.flatnonzero(~short_c)
+            places = np.flatnonzero(short_q)
+            at_once = max(1, PRODUCTS // max(1, len(columns.ids)))
+            for at in range(0, len(places), at_once):
+                tile = places[at : at + at_once]
+                for i, (j, s) in zip(tile, columns.best(query_ids[tile], q[tile], bound[tile], k)):
+                    if len(long_c):
+                        more = best_long(query_ids[i], q[i], raw_q[i], 0, ids[long_c], c[long_c], raw_c[long_c], c_exp[long_c], bound[i], k)
+                        j, s = (np.concatenate([x, y]) for x, y in zip((j, s), more))
+                        order = sorted(range(len(j)), key=lambda n: (-int(s[n]), j[n]))[:k]
+                        j, s = j[order], s[order]
                     parts.append((np.full(len(j), query_ids[i]), j, s))
-                continue
-            mass = np.argsort(-(c * c).sum(axis=0), kind="stable")
-            columns = np.ascontiguousarray(c[:, mass].T)  # one row for each dimension
-            q = q[:, mass]
-            cuts = list(range(0, d, DIMENSION_BLOCK)) or [0]
-            # Lengths of what remains of the candidates and queries after each block.
-            c_rest = [np.sqrt((columns[a + DIMENSION_BLOCK :] ** 2).sum(axis=0)) for a in cuts]
-            q_rest = [np.sqrt((q[:, a + DIMENSION_BLOCK :] ** 2).sum(axis=1)) for a in cuts]
-            queries_at_once = max(1, PRODUCTS // max(1, len(c)))
-            for at in range(0, len(q), queries_at_once):
-                tile = slice(at, at + queries_at_once)
-                first = q[tile, :DIMENSION_BLOCK] @ columns[:DIMENSION_BLOCK]
-                for i in range(first.shape[0]):
-                    query = at + i
-                    left = np.flatnonzero(ids != query_ids[query])
-                    partial = first[i][left]
-                    for b, a in enumerate(cuts):
-                        if b:
-                            partial = partial + q[query, a : a + DIMENSION_BLOCK] @ columns[a : a + DIMENSION_BLOCK, left]
-                        if len(left) > k and b < len(cuts) - 1:
-                            gain = q_rest[b][query] * c_rest[b][left] * (1 + 1e-12) + 1e-6
-                            kth = np.partition(partial - gain, len(left) - k)[len(left) - k]
-                            keep = partial + gain >= kth
-                            left, partial = left[keep], partial[keep]
-                    order = best_of(partial, ids[left], k)
-                    parts.append((np.full(len(order), query_ids[query]), ids[left][order], partial[order].astype(np.int64)))
+            for i in np.flatnonzero(~short_q):
+                j, s = best_long(query_ids[i], q[i], raw_q[i], int(q_exp[i]), ids, c, raw_c, c_exp, bound[i], k)
+                parts.append((np.full(len(j), query_ids[i]), j, s))
         return grid.found(parts, pa.int64())
 
     return cell
@@ -94,9 +168,11 @@ def best(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id
     Components count as floor(64 x). Returns query_id, rank, vec_id, score. Rows whose id or
     vector is null or whose vector holds null or non-finite components take no part; zero vectors
     do. A query meets candidates of its own length only (empty vectors meet empty ones, score 0).
-    Ties go to the smaller id. Rows that share the query's id are its own; of repeated query rows
-    the one with the smallest vector is searched. Scores beyond a long are held to its range.
-    Other columns are ignored. An empty table gives no rows.
+    Components of any finite size count exactly; scores beyond a long are held to its range, and are
+    ties there. Ties go to the smaller id. Rows that share the query's id are its own; of repeated
+    query rows the one with the smallest vector is searched. Other columns are ignored. An empty
+    table gives no rows.
     """
     rows = grid.usable(vectors, id_col, vector_col, zero_ok=True)
-    return grid.top_k(rows, F.col("id") % every == 0, k, best_in_cell(k), "long", F.desc)
+    length = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    return grid.top_k(rows, F.col("id") % every == 0, k, best_in_cell(k), "long", F.desc, length.desc())

@@ -1,9 +1,13 @@
 """Block matrix join of a query set with all rows of a vector table.
 
 Queries and candidates are dealt into row and column blocks by a hash; each cell of the grid
-holds one block of either and goes to one task at a time. A cell's size is bounded by the block
-sizes, whatever the table's size or skew: candidates are dealt by a hash of all of their row, and
+holds one block of either and goes to one task at a time. A cell's size is bounded in rows and
+bytes, whatever the table's size or skew: candidates are dealt by a hash of all of their row, and
 of the row's place where rows repeat.
+
+Before that, all queries meet a pilot block of PILOT candidates. The k-th best score of the pilot
+goes with its query to every cell as a bound, so what a cell keeps does not hang on the cell alone.
+The pilot is only a source of bounds: it changes what work is done, and not what is found.
 """
 
 from __future__ import annotations
@@ -16,8 +20,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillon.llm.common import written
+
 #: Most queries and candidates in a cell, on average.
 QUERY_BLOCK, CANDIDATE_BLOCK = 32768, 65536
+#: Bytes of float64 vectors in either block of a cell, on average; a row for longer vectors.
+BLOCK_BYTES = 32 << 20
+#: Candidates of the pilot block at most.
+PILOT = 4096
 #: Least number of candidate blocks, for tasks enough on small tables.
 LEAST_BLOCKS = 24
 
@@ -44,37 +54,43 @@ def top_k(
     cell: Callable[[pa.Table, pa.Table], pa.Table],
     score_type: str,
     best_first: Callable[[str], Column],
+    pilot_order: Column,
 ) -> DataFrame:
     """The k best candidates of each query: (query_id, rank, vec_id, score).
 
-    ``cell`` gets the queries and candidates of a cell (id, v) and returns at most k rows
-    (query_id, vec_id, score) a query. Repeated ids: rows that share a query's id are the query's
+    ``cell`` gets the queries (id, v, bound) and candidates (id, v) of a cell and returns at most k
+    rows (query_id, vec_id, score) a query; candidates worse than the bound, where it is not null,
+    may be left out. The pilot is the first PILOT rows by ``pilot_order``. Repeated ids: rows that share a query's id are the query's
     own and are left out; the query is searched once, with the smallest of its vectors. Repeated
     candidates keep a rank each.
     """
-    n, q = rows.agg(F.count("*"), F.count(F.when(is_query, 1))).first()
-    columns = max(LEAST_BLOCKS, -(-n // CANDIDATE_BLOCK))
-    lines = max(1, -(-q // QUERY_BLOCK))
-    queries = (
-        rows.filter(is_query)
-        .groupBy("id")
-        .agg(F.min("v").alias("v"))
-        .withColumn("line", F.pmod(F.xxhash64("id"), F.lit(lines)).cast("int"))
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))
-    )
+    n, q, d = rows.agg(F.count("*"), F.count(F.when(is_query, 1)), F.max(F.size("v"))).first()
+    at_once = max(1, BLOCK_BYTES // (8 * max(1, d or 1)))
+    columns = max(LEAST_BLOCKS, -(-n // min(CANDIDATE_BLOCK, at_once)))
+    lines = max(1, -(-q // min(QUERY_BLOCK, at_once)))
+    schema = f"query_id long, vec_id long, score {score_type}"
+    every_line = F.explode(F.sequence(F.lit(0), F.lit(lines - 1)))
+    queries = written(rows.filter(is_query).groupBy("id").agg(F.min("v").alias("v")).withColumn("line", F.pmod(F.xxhash64("id"), F.lit(lines)).cast("int")))
+    pilot = written(rows.orderBy(pilot_order).limit(min(PILOT, at_once))).withColumn("line", every_line)
+    unbounded = queries.withColumn("bound", F.lit(None).cast(score_type))
+    met = unbounded.groupBy("line").cogroup(pilot.groupBy("line")).applyInArrow(cell, schema)
+    bounds = met.groupBy("query_id").agg(F.count("*").alias("n"), (F.max if best_first is F.asc else F.min)("score").alias("bound")).filter(F.col("n") >= k)
+    # A row for each query; written, so that the pilot runs once.
+    bounds = written(bounds.select(F.col("query_id").alias("id"), "bound"), compact=True)
+    queries = queries.join(bounds, "id", "left")
+    queries = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))
     # The place within the scan parts equal rows, so that no block fills with copies.
     candidates = rows.withColumn(
         "block", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(columns)).cast("int")
-    ).withColumn("line", F.explode(F.sequence(F.lit(0), F.lit(lines - 1))))
-    schema = f"query_id long, vec_id long, score {score_type}"
+    ).withColumn("line", every_line)
     best = queries.groupBy("line", "block").cogroup(candidates.groupBy("line", "block")).applyInArrow(cell, schema)
     order = Window.partitionBy("query_id").orderBy(best_first("score"), "vec_id")
     ranked = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
-def matrices(block: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """ids and float64 rows by vector length, each ordered by id."""
+def matrices(block: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """ids, float64 rows and places in the block by vector length, each ordered by id."""
     ids = block.column("id").combine_chunks().to_numpy(zero_copy_only=False)
     v = block.column("v").combine_chunks()
     if isinstance(v, pa.ChunkedArray):
@@ -86,10 +102,15 @@ def matrices(block: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     for d in np.unique(lengths):
         at = np.flatnonzero(lengths == d)
         at = at[np.argsort(ids[at], kind="stable")]
-        out[int(d)] = ids[at], flat[starts[at][:, None] + np.arange(d)].reshape(len(at), int(d))
+        out[int(d)] = ids[at], flat[starts[at][:, None] + np.arange(d)].reshape(len(at), int(d)), at
     return out
 
 
+def bounds_of(queries: pa.Table) -> np.ndarray:
+    """The queries' bounds as float64, NaN where there is none."""
+    return queries.column("bound").cast(pa.float64(), safe=False).to_numpy(zero_copy_only=False).astype(np.float64)
+
+
 def found(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], score_type: pa.DataType) -> pa.Table:
     columns = [np.concatenate(x) if parts else [] for x in zip(*parts)] or [[], [], []]
     return pa.table({n: pa.array(c, t) for n, c, t in zip(("query_id", "vec_id", "score"), columns, (pa.int64(), pa.int64(), score_type))})

@@ -1,9 +1,11 @@
 import math
+import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
 
-from quillon.llm import ann_blocks, exact_topk
+from quillon.llm import ann_blocks, exact_topk, grid
 
 SCHEMA = "vec_id long, embedding array<float>, rank string, score string, id int"
 
@@ -56,6 +58,59 @@ def test_best_equals_brute_force(spark, vectors):
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in found) == brute_best(vectors, 9, 10)
 
 
+def of_any_size(seed, n=90, d=6):
+    """Vectors with components from denormal to the largest, whole groups of equal ones among them."""
+    r = random.Random(seed)
+    kinds = [
+        lambda: r.gauss(0, 1), lambda: r.choice([1.7e308, -1e308, 1e200, 1.0, 5e-324, -3e-310, 0.0]), lambda: r.gauss(0, 1) * 1e-160,
+        lambda: r.gauss(0, 1) * 10 ** r.uniform(-300, 300), lambda: r.gauss(0, 1) * 1e9, lambda: 1.0,
+    ]
+    return [(i, [k() for _ in range(d)]) for i in range(n) for k in [r.choice(kinds)]]
+
+
+def distance(a, b):
+    """By fractions; infinite beyond the largest double."""
+    square = sum((Fraction(x) - Fraction(y)) ** 2 for x, y in zip(a, b))
+    root = math.isqrt(square.numerator * 4**1100 // square.denominator)
+    try:
+        return float(Fraction(root, 2**1100))
+    except OverflowError:
+        return math.inf
+
+
+def test_components_of_any_finite_size(spark):
+    vectors = [(i, v) for i, v in of_any_size(1) if any(v)] + [(900, [1.0, 2.0]), (901, [1e200, 1.0]), (902, [-1e160, 0.0]), (903, [1.0, 3.0]), (904, [2.0, 2.0])]
+    found = ann_blocks.nearest(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"), k=5, every=3).collect()
+    got = {}
+    for r in found:
+        got.setdefault(r.query_id, []).append((r.score, r.vec_id))
+    for i, v in vectors:
+        if i % 3 == 0:
+            want = sorted((distance(v, w), j) for j, w in vectors if j != i and len(w) == len(v))[:5]
+            assert np.allclose([s for s, _ in sorted(got[i])], [s for s, _ in want], rtol=1e-12, atol=0)
+    assert [j for _, j in sorted(got[900])] == [903, 904, 902, 901]
+
+
+def test_scores_of_any_size(spark):
+    vectors = of_any_size(2, 80)
+    found = exact_topk.best(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"), k=6, every=3).collect()
+    whole = {i: [math.floor(64 * Fraction(x)) for x in v] for i, v in vectors}
+    want = []
+    for i in whole:
+        if i % 3 == 0:
+            scores = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(whole[i], whole[j])))), j) for j in whole if j != i)[:6]
+            want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(scores)]
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in found) == sorted(want)
+
+
+def test_blocks_are_bounded_by_bytes(spark, monkeypatch, vectors):
+    """Small blocks and a small pilot give the same."""
+    for name, value in (("BLOCK_BYTES", 17 * 8 * 40), ("PILOT", 9), ("LEAST_BLOCKS", 2)):
+        monkeypatch.setattr(grid, name, value)
+    found = exact_topk.best(spark.createDataFrame(rows_of(vectors[:160]), SCHEMA), k=9, every=10).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in found) == brute_best(vectors[:160], 9, 10)
+
+
 def test_components_beyond_exact_sums(spark):
     vectors = [(0, [3e17, -2e17]), (1, [2e10, 1.0]), (2, [1.0, 5e9]), (3, [0.5, 0.25])]
     found = exact_topk.best(spark.createDataFrame([(i, v) for i, v in vectors], "vec_id long, embedding array<double>"), k=3, every=20).collect()

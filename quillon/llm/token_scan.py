@@ -11,22 +11,32 @@ SCAN_GROUP blocks and over the groups' sums, so no task sees all blocks of a lar
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import bounded_batches, text_or_empty, written
+from quillon.llm.common import bounded_batches, tasks, text_or_empty, written
 
 #: Tokens in a block, and blocks in a group of the scan.
 BLOCK_TOKENS, SCAN_GROUP = 1 << 18, 1024
+#: Neighbouring blocks of a file that one task reads.
+BLOCKS_TOGETHER = 64
 #: Where the vocabulary lies on the driver; executors get it by broadcast (it is under 2 MB).
 VOCABULARY, SEPARATOR = "/opt/tokenizers/byte_bpe_50k.tiktoken", 50256
 # Fixed value: the pattern that splits text before the merges of the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# Fixed value: what the pattern's \\s stands for (Unicode's white space).
+SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: White space in a row from which it is cut out before the text is split.
+LONG_RUN = 1024
+RUN = re.compile(f"[{SPACES}]{{{LONG_RUN},}}")
 BLOCKS = "file long, block long, tokens binary"
 
 
@@ -37,6 +47,22 @@ def encoding(vocabulary: bytes):
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def encode(enc, text: str) -> list[int]:
+    """The text's identifiers; special tokens are plain text.
+
+    The pattern takes white space in a row as one piece, but for its last character where a word
+    follows. Its matcher backtracks over such a run and fails on millions, so long runs are cut out
+    by that rule and go to the merges as the one piece that they are.
+    """
+    out, at = [], 0
+    for run in RUN.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        out += enc.encode_ordinary(text[at : run.start()])
+        out += enc._encode_single_piece(text[run.start() : end])
+        at = end
+    return out + enc.encode_ordinary(text[at:]) if at else enc.encode_ordinary(text)
+
+
 def token_files(docs: DataFrame, vocabulary: str = VOCABULARY, separator: int = SEPARATOR, width: str = "uint16", block_tokens: int = BLOCK_TOKENS) -> tuple[DataFrame, DataFrame]:
     """Writes ``docs`` as flat token files, one for each input partition.
 
@@ -47,7 +73,7 @@ def token_files(docs: DataFrame, vocabulary: str = VOCABULARY, separator: int =
         held = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, file = encoding(held.value).encode_ordinary, TaskContext.get().partitionId()
+        enc, file = encoding(held.value), TaskContext.get().partitionId()
         pending: list[np.ndarray] = []
         size, block, ordinal = 0, 0, 0
         end = np.array([separator], width)
@@ -68,7 +94,7 @@ def token_files(docs: DataFrame, vocabulary: str = VOCABULARY, separator: int =
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             for x in batch.column("text"):
-                pending += [np.array(encode(x.as_py()), width), end]
+                pending += [np.array(encode(enc, x.as_py()), width), end]
                 size += len(pending[-2]) + 1
                 if size >= block_tokens:
                     flat = np.concatenate(pending)
@@ -87,19 +113,64 @@ def token_files(docs: DataFrame, vocabulary: str = VOCABULARY, separator: int =
     return both.filter("tokens is not null").select("file", "block", "tokens"), both.filter("ordinal is not null").select("file", "ordinal", "doc_id")
 
 
-def read_token_files(spark: SparkSession, path: str, block_bytes: int = 2 * BLOCK_TOKENS) -> DataFrame:
-    """Blocks of existing flat token files (under 2 GB each) in any store that Spark reads; file is the hash of a file's path."""
+def read_token_files(spark: SparkSession, path: str, block_bytes: int = 2 * BLOCK_TOKENS, width: str = "uint16") -> DataFrame:
+    """Blocks of existing flat token files of any size; file is the hash of a file's path.
+
+    Spark lists the files with their lengths and deals out byte ranges, a row each; a task reads
+    only its ranges, by seeking, with pyarrow's file systems. Stores that these do not know are
+    read through Spark instead, a file at a time, which bounds a file by 2 GB there. Ranges end
+    between two identifiers; bytes behind a file's last whole one are not read.
+    """
+    size = np.dtype(width).itemsize
+    step = max(size, block_bytes - block_bytes % size)
+    files = spark.read.format("binaryFile").load(path)
+    names = ["file", "block", "tokens"]
+
+    def batch_of(file: int, block: int, part: bytes) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([file], pa.int64()), pa.array([block], pa.int64()), pa.array([part], pa.binary())], names)
+
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            for file, name, block in zip(*(batch.column(c).to_pylist() for c in ("file", "path", "block"))):
+                if held is None or held[0] != name:
+                    system, inner = store_of(name)
+                    held = name, system.open_input_file(inner)
+                held[1].seek(block * step)
+                part = held[1].read(step)
+                yield batch_of(file, block, part[: len(part) - len(part) % size])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, content in zip(batch.column("file").to_pylist(), batch.column("content")):
                 raw = content.as_buffer()
-                for block, at in enumerate(range(0, raw.size, block_bytes)):
-                    part = raw.slice(at, min(block_bytes, raw.size - at)).to_pybytes()
-                    yield pa.RecordBatch.from_arrays([pa.array([file], pa.int64()), pa.array([block], pa.int64()), pa.array([part], pa.binary())], ["file", "block", "tokens"])
+                raw = raw.slice(0, raw.size - raw.size % size)
+                for block, at in enumerate(range(0, raw.size, step)):
+                    yield batch_of(file, block, raw.slice(at, min(step, raw.size - at)).to_pybytes())
+
+    named = files.select(F.xxhash64("path").alias("file"), "path", "length")
+    first = named.select("path").first()
+    if first is None or not known_store(first.path):
+        return files.select(F.xxhash64("path").alias("file"), "content").mapInArrow(cut, BLOCKS)
+    blocks = F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / step))
+    dealt = named.filter("length > 0").select("file", "path", F.explode(blocks).alias("block"))
+    dealt = dealt.repartition(tasks(spark), F.xxhash64("path", F.floor(F.col("block") / BLOCKS_TOGETHER))).sortWithinPartitions("path", "block")
+    return dealt.mapInArrow(ranges, BLOCKS)
+
+
+def store_of(name: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path as Spark gives it, and the path within it."""
+    if name.startswith("file:"):
+        return pafs.LocalFileSystem(), re.sub("^file:/+", "/", name)
+    return pafs.FileSystem.from_uri(quote(name, safe="/:@"))
+
 
-    files = spark.read.format("binaryFile").load(path).select(F.xxhash64("path").alias("file"), "content")
-    return files.mapInArrow(cut, BLOCKS)
+def known_store(name: str) -> bool:
+    try:
+        store_of(name)
+    except (pa.ArrowInvalid, OSError):
+        return False
+    return True
 
 
 def documents_of(blocks: DataFrame, separator: int = SEPARATOR, width: str = "uint16") -> DataFrame:
@@ -154,7 +225,8 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, separator: int =
     """(doc_id, n_tokens) for each row of ``docs``, by way of flat token files.
 
     Null and empty texts have no tokens. Repeated rows each get their row; other columns are
-    ignored. An empty table gives no rows.
+    ignored. Texts of any length are encoded whole, also tens of megabytes without a space or of
+    nothing else. An empty table gives no rows.
     """
     blocks, order = token_files(docs, vocabulary, separator, **options)
     return order.join(documents_of(blocks, separator), ["file", "ordinal"]).select("doc_id", "n_tokens")

@@ -1,3 +1,6 @@
+import random
+import re
+
 import numpy as np
 import pytest
 
@@ -56,3 +59,32 @@ def test_driver_table(spark, sf):
     encode = t.encoding(open(t.VOCABULARY, "rb").read()).encode_ordinary
     want = {r.doc_id: len(encode(r.text)) for r in docs.collect()}
     assert {r.doc_id: r.n_tokens for r in t.token_counts(docs).collect()} == want
+
+
+def test_long_runs_are_cut_as_the_pattern_cuts_them(monkeypatch):
+    enc, r = t.encoding(open(t.VOCABULARY, "rb").read()), random.Random(0)
+    monkeypatch.setattr(t, "RUN", re.compile(f"[{t.SPACES}]{{3,}}"))
+    for _ in range(2000):
+        text = "".join(r.choice(" \n\t\u3000\x85\x1c\x1fab1.,'s é漢") for _ in range(r.randrange(40)))
+        assert t.encode(enc, text) == enc.encode_ordinary(text)
+
+
+def test_megabytes_without_a_word_or_a_space(spark):
+    texts = [" " * 10_000_000 + "a", "\n" * 10_000_000, "x" * 10_000_000, "a" + " \n" * 1_000_000]
+    one = t.encoding(open(t.VOCABULARY, "rb").read())._encode_single_piece
+    want = [len(one(b" " * 9_999_999)) + len(one(b" a")), len(one(b"\n" * 10_000_000)), len(one(b"x" * 10_000_000)), 1 + len(one(b" \n" * 1_000_000))]
+    got = {r.doc_id: r.n_tokens for r in t.token_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(4)] == want
+
+
+def test_files_are_read_by_ranges(spark, tmp_path, monkeypatch):
+    """Files of several sizes, ranges that do not end with the file, a broken last identifier; also through Spark alone."""
+    r, want = np.random.default_rng(3), []
+    for i, n in enumerate((0, 1, 5000, 100_003)):
+        flat = r.integers(0, 50, n).astype(np.uint16)
+        (tmp_path / f"a b{i}.bin").write_bytes(flat.tobytes() + b"\x07" * (i == 2))
+        want += brute_documents(flat, 0)
+    for known in (True, False):
+        monkeypatch.setattr(t, "known_store", lambda _: known)  # noqa: B023
+        got = t.documents_of(t.read_token_files(spark, str(tmp_path), block_bytes=1001), separator=0).collect()
+        assert sorted(x.n_tokens for x in got) == sorted(want)

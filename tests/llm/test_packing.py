@@ -28,7 +28,7 @@ def test_search_finds_the_tightest_compatible_bin():
     r = random.Random(1)
     for _ in range(60):
         items = [(r.randint(1, 50), r.randrange(8), r.choice(["a", "b", None]), i) for i in range(r.randrange(120))]
-        assert packing.pack(items, 50, 2) == brute_pack(items, 50, 2)
+        assert packing.pack(items, 50, 2, 0.0) == brute_pack(items, 50, 2)
 
 
 def check(rows, got, capacity, limit):
@@ -59,13 +59,40 @@ def test_constraints_and_completeness(spark, monkeypatch):
     rows += [(1000 + i, "the same copy here", "s0") for i in range(300)]
     rows += [(2000, None, None), (2001, "x " * 1000, None), (2002, "x " * 128, "s1"), (None, "a b", "s1"), (2003, "r r", "s2"), (2003, "r r", "s2")]
     docs = spark.createDataFrame([(i, t, s, "b", 1, 2) for i, t, s in rows], SCHEMA)
-    got = packing.packed_documents(docs, capacity=64, source_limit=4).collect()
+    got = packing.packed_documents(docs, capacity=64, source_limit=4, source_share=0.0).collect()
     check(rows, got, 64, 4)
     assert packing.packed_documents(docs.limit(0)).collect() == []
 
 
+def fill(got):
+    held = defaultdict(int)
+    for p in got:
+        if p.bin_id is not None:
+            held[p.bin_id] += p.size
+    return sum(held.values()) / (packing.CAPACITY * len(held))
+
+
 def test_bins_are_well_filled(spark, sf):
     docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")
     rows = [(r.doc_id, r.text, r.source) for r in docs.collect()]
-    bins = check(rows, packing.packed_documents(docs).collect(), packing.CAPACITY, packing.SOURCE_LIMIT)
-    assert sum(p.size for own in bins.values() for p in own) > 0.95 * packing.CAPACITY * len(bins)
+    got = packing.packed_documents(docs).collect()
+    check(rows, got, packing.CAPACITY, 1 << 30)
+    assert fill(got) > 0.95
+
+
+def test_one_source_fills_its_bins(spark):
+    """Short documents of one source, or of one that has nearly all: the share grows with the source."""
+    for other in (0, 30):
+        rows = [(i, f"w{i} " * (5 + i % 40), "rare" if i < other else "hot") for i in range(3000)]
+        got = packing.packed_documents(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+        assert fill(got) > 0.95
+
+
+def test_sources_are_held_to_their_share():
+    items = [(10, i, "a" if i % 10 else "b", i) for i in range(1000)]
+    limits = packing.source_limits(items, 100, 2, 1.5)
+    assert limits == {"a": 14, "b": 2}
+    bins = defaultdict(list)
+    for x, b in zip(items, packing.pack(items, 100, 2, 1.5)):
+        bins[b].append(x[2])
+    assert all(own.count("b") <= 2 and own.count("a") <= 14 for own in bins.values())

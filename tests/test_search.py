@@ -1,3 +1,4 @@
+import os
 import random
 import sqlite3
 
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from quillon.functions import analyze
 from quillon.operators import incremental, search, vector
 from quillon.operators.search import All, Any, Filter, Index, Near, Phrase, Prefix, Term, Without
+from quillon.plans import tables
 
 WORDS = "rust static running runs runner memory café naïve context index merged merging policy policies store stores don_t a-b 100.5".split()
 
@@ -75,6 +77,61 @@ def test_refreshed_index_equals_a_new_one(spark, index):
         assert round_(after) == round_(anew)
 
 
+def test_segments_equal_a_new_index(spark, index, tmp_path):
+    """Two change sets as segments: the second one brings back a path that the first deleted."""
+    path, items = str(tmp_path / "s"), index.items.drop("length")
+    index.write(path)
+    first = items.filter("tier = 1").withColumn("body", F.lit("memory of rust")).withColumn("ordinal", F.lit(1)), items.filter("tokens = 20 and tier != 1").select("path")
+    second = items.filter("tokens = 20").withColumn("title", F.lit("rust again")).withColumn("ordinal", F.lit(1)), items.filter("tokens = 10").select("path")
+    grown, want = Index.read(spark, path), items
+    for change in (first, second):
+        grown, want = grown.append(path, *change), incremental.applied(want, *change)
+    anew = Index.of(want, "stemmed")
+    assert grown.statistics() == pytest.approx(anew.statistics())
+    for q in (Term("memory"), All(Term("rust"), Term("again"))):
+        of = lambda i: sorted((r.path, r.title, round(r.score, 9)) for r in search.search(i, q).collect())  # noqa: B023, E731
+        assert of(grown) == of(anew) and of(grown)
+
+
+def test_batch_of_queries_equals_single_ones(spark, index):
+    asked = {1: "rust memory", 2: "rust rust", 3: "absent rust", 4: "", 5: "Policies"}
+    got = {}
+    for r in search.search_batch(index, spark.createDataFrame(list(asked.items()), "query_id int, text string"), 5).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.path, round(r.score, 9)))
+    for i, text in asked.items():
+        want = [(r["rank"], r.path, round(r.score, 9)) for r in search.search(index, search.words(text), Filter(limit=5)).collect()] if text else []
+        assert sorted(got.get(i, [])) == want
+
+
+def test_ranks_by_ranges(spark, monkeypatch):
+    """More rows than one task numbers: ranks and budgets as in one task."""
+    monkeypatch.setattr(tables, "STRETCH", 7)
+    r = random.Random(1)
+    rows = [(f"p{i:03d}", float(r.randrange(9)), r.randrange(20)) for i in range(200)]
+    df = spark.createDataFrame(rows, "path string, score double, tokens long").repartition(5)
+    order = [F.desc("score"), F.asc("path")]
+    want = [p for p, *_ in sorted(rows, key=lambda x: (-x[1], x[0]))]
+    for limit in (None, 50, 500):
+        assert [x.path for x in sorted(tables.ranked(df, order, limit).collect(), key=lambda x: x["rank"])] == want[:limit]
+    tokens, total, kept = {p: t for p, _, t in rows}, 0, []
+    for p in want:
+        total += tokens[p]
+        if kept and total > 400:
+            break
+        kept.append(p)
+    assert {x.path for x in tables.within_budget(tables.ranked(df, order, None), 400).collect()} == set(kept)
+    assert tables.ranked(df.limit(0), order, None).collect() == []
+
+
+def test_scratch_tables_go(spark):
+    with tables.scratch(spark):
+        df = tables.written(spark.range(5))
+        path = df.inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0]
+        kept = tables.reused(spark.range(3))
+        assert kept.count() == 3 and df.count() == 5
+    assert not os.path.exists(path) and not kept.is_cached
+
+
 def test_filters_limit_and_budget(index):
     q = Term("memory")
     every = search.search(index, q).collect()

@@ -164,6 +164,32 @@ def test_graph_and_context(spark):
     assert {r.source for r in fresh.collect()} == {"a.md", "n/b.md", "c.md"}
 
 
+def test_names_resolve_by_the_ends_of_paths(spark):
+    rows = [(p, "", "", [], 0, 1) for p in ("x/dir/name.md", "dir/other.md", "Z/dir/name.md", "root.md", "a/ROOT.md")] + [("s.md", "", "[[dir/name]] [[DIR/OTHER]] [[other]] [[root]] [[ROOT]] [[ame]]", [], 0, 1)]
+    got = {tuple(r)[:2] for r in graph.edges_of(items_of(spark, rows)).collect()}
+    assert got == {("s.md", "Z/dir/name.md"), ("s.md", "dir/other.md"), ("s.md", "a/ROOT.md")}
+
+
+def test_deletions_and_modifications(spark):
+    tree = lambda **texts: spark.createDataFrame(list(texts.items()), "path string, text string")
+    base, ours, theirs = tree(a="1", b="1", c="1", d="1", e="1"), tree(b="2", c="1", e="1"), tree(a="1", b="2", d="2", e="3", f="new")
+    got = {r.path: (r.text, r["class"]) for r in merge.merged_trees(base, ours, theirs).collect()}
+    assert got == {"b": ("2", None), "d": ("2", "modify/delete by ours"), "e": ("3", None), "f": ("new", None)}
+    asked = merge.deletion_questions(spark.createDataFrame([("d", "modify/delete by ours"), ("b", "content")], "path string, class string"), F.lit(9)).collect()
+    assert [r.path for r in asked] == ["inbox/deletion-of-d-needs-confirmation-9.md"]
+    assert frontmatter.parse(asked[0].text)["type"] == "project-state" and frontmatter.parse(asked[0].text)["confidence"] == "proposed"
+
+
+def test_a_clash_refuses_all(spark):
+    devices = spark.createDataFrame([(1, 1, "k1", "S", None)], "device_id long, tenant_id long, public_key string, serial string, revoked_at long")
+    with pytest.raises(control_plane.Refused):
+        control_plane.registered_devices(devices, spark.createDataFrame([(2, "k2"), (2, "k1")], "tenant_id long, public_key string"))
+    tenants = spark.createDataFrame([(4, "a", True, True)], "tenant_id long, slug string, always_warm boolean, running boolean")
+    with pytest.raises(control_plane.Refused):
+        control_plane.created_tenants(tenants, spark.createDataFrame([("b",), ("b",)], "slug string"))
+    assert control_plane.branch_exists(spark.createDataFrame([("refs/heads/main",)], "name string"), "main")
+
+
 def test_materialized_text(spark):
     items = items_of(spark, [("z.md", "Zebra", "zebra body", [], 0, 1), ("user/a.md", "Apple", "apple body", [], 0, 1), ("q.md", "Q", "not here", [], 1, 1)])
     text = lambda n: "".join(r.block for r in materialize.blocks(items, n).collect())

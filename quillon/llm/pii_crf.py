@@ -261,10 +261,11 @@ def learnt(docs: DataFrame, sample: int = 3000, smooth: float = 1.0) -> Field:
 
 
 def spans(docs: DataFrame, field: Field) -> DataFrame:
-    """For each row: doc_id, n_email, n_ip, n_card, n_phone and base_sha256 (base spans), spans (all).
+    """For each row: doc_id, n_total (all spans), n_added (those of the field), n_email, n_ip, n_card, n_phone and base_sha256 (base spans), spans (all).
 
-    Whole texts are searched; a null text counts as empty and has none. Offsets are code points.
-    Repeated rows each get their row; other columns are ignored.
+    Whole texts are searched, however long; a null text counts as empty and has none. Offsets are
+    code points. Repeated rows each get their row; other columns are ignored. An empty table gives
+    no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,10 +286,13 @@ def spans(docs: DataFrame, field: Field) -> DataFrame:
             digests = [hashlib.sha256(shown(b).encode()).hexdigest() if b else nothing for b in bases]
             everything = [shown(b + m) for b, m in zip(bases, more)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *[pa.array(c, pa.int64()) for c in counts], pa.array(digests), pa.array(everything)],
-                ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans"],
+                [
+                    batch.column("doc_id"), pa.array([len(b) + len(m) for b, m in zip(bases, more)], pa.int64()), pa.array([len(m) for m in more], pa.int64()),
+                    *[pa.array(c, pa.int64()) for c in counts], pa.array(digests), pa.array(everything),
+                ],
+                ["doc_id", "n_total", "n_added", *[f"n_{k}" for k in KINDS], "base_sha256", "spans"],
             )
 
     bounded_batches(docs.sparkSession)
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
-    return read.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return read.mapInArrow(run, "doc_id long, n_total long, n_added long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")

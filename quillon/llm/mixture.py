@@ -8,8 +8,11 @@ sums over the sources (a row each) solve it in one pass.
 A source's target is a number of whole repetitions of all its documents and a fraction: documents
 in a seeded order are taken once more until the fraction is reached, the last of them in part.
 Where the fraction ends is found digit by digit of the seeded hash: sums of a source's 256 buckets
-find the bucket, sums of that bucket's 256 parts the part, and only the part's rows are put in
-order, so no task sees a whole source.
+find the bucket, sums of that bucket's 256 parts the part, and so on while a part has more than
+AT_ONCE rows; only the last part's rows are put in order, so no task sees a whole source. Digits of
+the id's hash come first, then those of the text's and of the row's place, which part rows that
+share an id, or have none. Sources themselves (a row each) are put in order in one task: meant for
+thousands of sources, not for one for each web host.
 """
 
 from __future__ import annotations
@@ -17,10 +20,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import reused, word_count, written
+from quillon.llm.common import fresh, reused, text_or_empty, word_count, written
 
-#: Hexadecimal digits of the seeded hash that each step looks at, and the number of steps.
+#: Hexadecimal digits of the seeded hash that each step looks at, and the least number of steps.
 DIGITS, STEPS = 2, 2
+#: Rows of a source's last part that one task puts in order; more make another step.
+AT_ONCE = 1 << 18
+#: Steps after which all digits are used: those of the id's hash, the size and the tie.
+LAST_STEP = (32 + 16 + 32) // DIGITS
 #: Sources up to which their table (a row of about 60 bytes each) is broadcast.
 BROADCAST_SOURCES = 50_000
 
@@ -73,40 +80,45 @@ def narrowed(placed: DataFrame, params: DataFrame, step: int) -> DataFrame:
     """
     inside = with_params(placed, params).filter((F.col("need") > 0) & F.col("place").startswith(F.col("prefix")))
     digits = F.substring("place", 1 + DIGITS * step, DIGITS)
-    sums = inside.groupBy("source", digits.alias("digits")).agg(F.sum("size").alias("bucket_size"), F.first("need").alias("need"), F.first("start").alias("start"))
+    sums = inside.groupBy("source", digits.alias("digits")).agg(F.sum("size").alias("bucket_size"), F.count("*").alias("n"), F.first("need").alias("need"), F.first("start").alias("start"))
     upto = F.col("start") + F.sum("bucket_size").over(Window.partitionBy("source").orderBy("digits"))
     ends = sums.withColumn("upto", upto).filter(F.col("upto") >= F.col("need"))
-    ends = ends.groupBy("source").agg(F.min(F.struct("digits", (F.col("upto") - F.col("bucket_size")).alias("start"))).alias("end"))
+    ends = ends.groupBy("source").agg(F.min(F.struct("digits", (F.col("upto") - F.col("bucket_size")).alias("start"), "n")).alias("end"))
     p, e = params.alias("p"), ends.alias("e")
     both = p.join(e, F.col("p.source").eqNullSafe(F.col("e.source")), "left")
-    kept = [F.col(f"p.{c}") for c in params.columns if c not in ("prefix", "start")]
+    kept = [F.col(f"p.{c}") for c in params.columns if c not in ("prefix", "start", "n")]
     prefix = F.coalesce(F.concat("p.prefix", "e.end.digits"), F.col("p.prefix"))
-    return both.select(*kept, prefix.alias("prefix"), F.coalesce("e.end.start", "p.start").alias("start"))
+    return both.select(*kept, prefix.alias("prefix"), F.coalesce("e.end.start", "p.start").alias("start"), F.coalesce("e.end.n", "p.n").alias("n"))
 
 
 def mix(sizes: DataFrame, share: float = 1.5, epochs: float = 2.0, weights: tuple[float, ...] = (5.0, 2.0, 1.0), seed: int = 7) -> DataFrame:
-    """For each row of ``sizes`` (doc_id, source, size; re-readable): what the mix takes of it.
+    """For each row of ``sizes`` (doc_id, source, size and perhaps tie; re-readable): what the mix takes of it.
 
     Returns doc_id, source, size, source_size, target, whole (full repetitions), part (words of
     the fractional repetition, at most size) and taken = whole * size + part. The takings of a
-    source sum to its target, rounded. A null source is a source. Equal places of the order (null
-    or repeated ids) stand by size, then as they come, which changes no sum. Empty documents take
-    nothing. An empty table gives no rows.
+    source sum to its target, rounded. A null source is a source. Rows that share an id, or have
+    none, stand by size and then by tie, a string of hexadecimal digits that parts them; equal ones
+    change no sum. Empty documents take nothing. An empty table gives no rows.
     """
     sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = water_fill(sources, share, epochs, weights)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     targets = targets.withColumn("whole", F.floor(ratio).cast("long"))
     targets = targets.withColumn("need", F.greatest(F.lit(0).cast("long"), F.round("target").cast("long") - F.col("whole") * F.col("source_size")))
-    placed = sizes.withColumn("place", seeded(seed))
-    params = written(targets.withColumn("prefix", F.lit("")).withColumn("start", F.lit(0).cast("long")))
-    for step in range(STEPS):
+    # By id, then by size (16 digits order numbers as text), then by tie.
+    tie = "tie" if "tie" in sizes.columns else F.lit("")
+    placed = sizes.withColumn("place", F.concat(seeded(seed), F.lpad(F.hex("size"), 16, "0"), tie))
+    zero = F.lit(0).cast("long")
+    params = written(targets.withColumn("prefix", F.lit("")).withColumn("start", zero).withColumn("n", zero))
+    step = 0
+    while step < STEPS or (step < LAST_STEP and (params.agg(F.max("n")).first()[0] or 0) > AT_ONCE):
         params = written(narrowed(placed, params, step))
-    joined = with_params(placed.withColumn("bucket", F.substring("place", 1, DIGITS * STEPS)), params)
+        step += 1
+    joined = with_params(placed.withColumn("bucket", F.substring("place", 1, DIGITS * step)), params)
     # A source without a fraction has no prefix, which is less than any bucket.
     other = joined.filter("bucket != prefix").withColumn("part", F.when(F.col("bucket") < F.col("prefix"), F.col("size")).otherwise(F.lit(0).cast("long")))
     inside = joined.filter("bucket = prefix")
-    before = Window.partitionBy("source").orderBy("place", "size").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("source").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     left = F.col("need") - F.col("start") - F.coalesce(F.sum("size").over(before), F.lit(0).cast("long"))
     inside = inside.withColumn("part", F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), left)))
     out = other.unionByName(inside)
@@ -114,8 +126,9 @@ def mix(sizes: DataFrame, share: float = 1.5, epochs: float = 2.0, weights: tupl
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """``mix`` over a documents table; sizes are numbers of words, null texts have none."""
-    sizes = reused(docs.select(F.col("doc_id"), F.col("source"), word_count().alias("size")))
+    """``mix`` over a documents table; sizes are numbers of words of whole texts, null texts have none."""
+    tie = F.concat(F.lpad(F.hex(F.xxhash64(text_or_empty())), 16, "0"), F.lpad(F.hex(F.xxhash64(F.monotonically_increasing_id())), 16, "0"))
+    sizes = reused(docs.select(F.col("doc_id"), F.col("source"), word_count().alias("size"), tie.alias("tie")))
     return mix(sizes, **options)
 
 
@@ -133,5 +146,6 @@ def repeated_documents(docs: DataFrame, **options) -> DataFrame:
     # Hashing the small side spares sorting the texts.
     t, d = times.filter("times > 0").hint("shuffle_hash").alias("t"), docs.alias("d")
     same = F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("d.source").eqNullSafe(F.col("t.source"))
-    both = d.join(t, same).select("d.*", F.col("t.times").alias("__times"))
-    return both.withColumn("__times", F.explode(F.array_repeat(F.lit(0), F.col("__times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    name = fresh(docs, "times")
+    both = d.join(t, same).select("d.*", F.col("t.times").alias(name))
+    return both.withColumn(name, F.explode(F.array_repeat(F.lit(0), F.col(name)))).select(*[F.col(f"`{c}`") for c in docs.columns])

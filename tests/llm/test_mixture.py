@@ -64,3 +64,21 @@ def test_repeated_documents_keep_columns(spark):
     assert out.columns == docs.columns
     taken = {(r.doc_id, r.source): r.taken for r in mixture.mix_documents(docs).collect()}
     assert set((r.doc_id, r.source) for r in out.collect()) <= set(taken)
+
+
+def test_rows_without_an_id_are_parted(spark, monkeypatch):
+    """No task orders more than AT_ONCE rows, also where all ids are null, or one; sums stay those of the target."""
+    monkeypatch.setattr(mixture, "AT_ONCE", 8)
+    rows = [(None, f"w{i % 90} " * (1 + i % 9), "a") for i in range(600)] + [(5, "same text", "a")] * 300 + [(i, "x y z", "b") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    widths = []
+    plain = mixture.narrowed
+    monkeypatch.setattr(mixture, "narrowed", lambda *a: widths.append(a[2]) or plain(*a))
+    found = mixture.mix_documents(docs).collect()
+    assert len(widths) > mixture.STEPS and len(found) == len(rows)
+    for source in "ab":
+        own = [r for r in found if r.source == source]
+        assert sum(r.taken for r in own) == round(own[0].target) and all(0 <= r.taken <= 2 * r.size for r in own)
+    again = mixture.mix_documents(docs.repartition(3)).collect()
+    key = lambda r: (r.size, r.taken, r.source)
+    assert sorted(map(key, again)) == sorted(map(key, found))

@@ -28,7 +28,7 @@ def test_gradients_lower_the_loss():
     r = np.random.default_rng(0)
     texts = [[bytes(r.integers(97, 123, 300).astype(np.uint8))] if i % 2 else [b"%%% $$$ " * 40] for i in range(80)]
     labels = np.array([i % 2 for i in range(80)], float)
-    net = q.train(texts, labels, steps=60)
+    net = q.train([b"".join(x) for x in texts], labels, steps=60)
     scores = net.scores([t[0] for t in texts])
     assert scores[labels == 1].min() > 0.5 > scores[labels == 0].max()
 
@@ -53,3 +53,48 @@ def test_held_out_accuracy(spark, sf):
     kept = np.mean([r.predicted for r in got if r.quality == 1])
     found = np.mean([1 - r.predicted for r in got if r.quality == 0])
     assert right > 0.97 and kept > 0.99 and found > 0.85
+
+
+def slow_score(net, text):
+    """The probability by loops over chunks, windows, filters and bytes."""
+    step, evidence = q.CHUNK - q.OVERLAP, []
+    for k in range(max(1, -(-(len(text) - q.OVERLAP) // step))):
+        piece = text[k * step : k * step + q.CHUNK]
+        seen, again, share = set(), 0, []
+        windows = max(1, len(piece) - q.GRAM + 1)
+        for p in range(q.CHUNK):
+            if p + q.GRAM <= len(piece):
+                again += piece[p : p + q.GRAM] in seen
+                seen.add(piece[p : p + q.GRAM])
+            share.append(again / windows if p + q.GRAM <= q.CHUNK else 0.0)
+        piece = piece + bytes(q.CHUNK - len(piece))
+        best = np.full(q.FILTERS, -np.inf)
+        for p in range(0, q.CHUNK - q.WIDTH + 1, q.STRIDE):
+            row = np.concatenate([np.append(net.embed[piece[i]], share[i]) for i in range(p, p + q.WIDTH)])
+            best = np.maximum(best, [float(row @ net.filters[:, f]) for f in range(q.FILTERS)])
+        maxima = np.maximum(best + net.bias, 0)
+        hidden = np.maximum([float(maxima @ net.dense[:, h]) + net.dense_bias[h] for h in range(q.HIDDEN)], 0)
+        evidence.append(float(hidden @ net.out) + net.out_bias[0])
+    return 1 / (1 + np.exp(-np.mean(evidence)))
+
+
+def test_forward_pass_equals_loops():
+    net = q.Network.fresh(5)
+    net.bias[:], net.dense_bias[:], net.out_bias[:] = 0.1, -0.05, 0.2
+    texts = [b"", b"a", b"some words of some words of some words", "é漢 ".encode() * 70, bytes(range(1, 256)) * 3, b"abcdefgh" * 200]
+    assert np.allclose(net.scores(texts), [slow_score(net, t) for t in texts], atol=1e-5)
+
+
+def test_training_sees_whole_texts_within_its_bounds(spark, monkeypatch):
+    """All bytes of the sampled texts reach the training, and no more of them than asked for."""
+    seen = []
+    monkeypatch.setattr(q, "train", lambda texts, labels, **_: seen.append((texts, labels)) or q.Network.fresh(1))
+    rows = [(i, f"{i} " * (50 * i + 1)) for i in range(40)] + [(3, "again"), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    q.learnt(docs, labels, F.lit(True))
+    q.learnt(docs, labels, F.lit(True), sample=10)
+    q.learnt(docs, labels, F.lit(True), sample_bytes=20_000)
+    assert sorted(seen[0][0]) == sorted((t or "").encode() for _, t in rows) and seen[0][1].sum() == sum(i % 2 for i, _ in rows)
+    assert len(seen[1][0]) == 10 and 0 < sum(map(len, seen[2][0])) <= 20_000
+    assert set(seen[2][0]) <= {(t or "").encode() for _, t in rows}

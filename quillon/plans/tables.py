@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -42,6 +43,9 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             p = spark._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
         del _paths[paths:]
+        # What no one refers to any more lets go of its shuffle files.
+        gc.collect()
+        spark._jvm.System.gc()
 
 
 def fresh(df: DataFrame, name: str) -> str:

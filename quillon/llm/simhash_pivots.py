@@ -22,11 +22,12 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import bounded_batches, reused, tasks, text_bytes, written
+from quillon.llm.common import BROADCAST_ROWS, bounded_batches, reused, tasks, text_bytes, written
 
 #: Members of a bucket that one task compares directly; larger buckets are dealt into tiles.
 TILE = 1024
@@ -34,28 +35,42 @@ TILE = 1024
 PIVOTS = np.random.default_rng(64).integers(0, 2**64, 24, dtype=np.uint64)
 #: A band key should have so many values for each fingerprint at least (buckets of about 128).
 SPREAD = 1 / 128
+#: Links (16 bytes each) up to which one task solves them all; more take rounds of joins.
+FOREST_LINKS = 1 << 17
+#: Links of a node beyond which it counts as a hub.
+HUB = 1024
 #: Shingles that are hashed and summed at a time.
 SUM_AT_ONCE = 1 << 16
 
 
-def fingerprint(text: bytes, width: int) -> int:
-    """The fingerprint of one text as a signed 64-bit integer; without words it is zero."""
+def shingle_hashes(text: bytes, width: int) -> list[np.ndarray]:
+    """Hashes (big-endian) of a text's shingles in their order, SUM_AT_ONCE in an array; without words none."""
     words = text.lower().split()  # bytes: A-Z only, and white space as in common.WORD_PATTERN
     if not words:
-        return 0
+        return []
     joined = b" ".join(words)
     n = max(1, len(words) - width + 1)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
     starts = (ends - lengths)[:n].tolist()
     ends = ends[min(width, len(words)) - 1 :].tolist()
-    digest, ones = xxhash.xxh64_digest, np.zeros(64, np.int64)
-    for at in range(0, n, SUM_AT_ONCE):
-        hashed = b"".join([digest(joined[a:b], 42) for a, b in zip(starts[at : at + SUM_AT_ONCE], ends[at : at + SUM_AT_ONCE])])
-        ones += np.unpackbits(np.frombuffer(hashed, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    digest = xxhash.xxh64_digest
+    cuts = [slice(at, at + SUM_AT_ONCE) for at in range(0, n, SUM_AT_ONCE)]
+    return [np.frombuffer(b"".join([digest(joined[a:b], 42) for a, b in zip(starts[c], ends[c])]), ">u8") for c in cuts]
+
+
+def fingerprint_of(hashes: list[np.ndarray]) -> int:
+    """The fingerprint as a signed 64-bit integer; of no shingles it is zero."""
+    ones, n = np.zeros(64, np.int64), sum(map(len, hashes))
+    for part in hashes:
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big", signed=True)
 
 
+def fingerprint(text: bytes, width: int) -> int:
+    return fingerprint_of(shingle_hashes(text, width))
+
+
 def fingerprints(docs: DataFrame, width: int = 3, id_col: str | Column = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp) for each row; ids that are named by a column become long, others keep their type."""
 
@@ -194,14 +209,35 @@ def links(fps: DataFrame, count: int, radius: int) -> DataFrame:
     return tiles.repartition(tasks(spark), "tile").sortWithinPartitions("tile").mapInArrow(run, "a long, b long").distinct()
 
 
+def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of links (u, v): each node takes the least label around it until none changes."""
+    u, v = (np.concatenate(x) for x in zip(*[[b.column(c).to_numpy() for c in ("u", "v")] for b in batches], (np.zeros(0, np.int64),) * 2))
+    nodes = np.unique(np.concatenate([u, v]))
+    u, v, label = np.searchsorted(nodes, u), np.searchsorted(nodes, v), np.arange(len(nodes))
+    while True:
+        less = label.copy()
+        np.minimum.at(less, u, label[v])
+        np.minimum.at(less, v, label[u])
+        less = less[less]
+        if np.array_equal(less, label):
+            break
+        label = less
+    below = label != np.arange(len(nodes))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[below]), pa.array(nodes[label[below]])], ["node", "root"])
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, root) for each node of the links; root is the smallest node that it reaches.
+    """(node, root) for each node of the links but the roots; root is the smallest node that it reaches.
 
-    Alternates large-star and small-star steps; each is a grouped minimum and a join, so that no
-    task or driver ever holds a component. The number of rounds grows with the logarithm of a
-    component's size.
+    Up to FOREST_LINKS links are solved by one task, as one round of joins would cost more. A larger
+    table takes alternating large-star and small-star steps; each is a grouped minimum and a join,
+    so that no task or driver ever holds a component, and the result is the same. The number of
+    rounds grows with the logarithm of a component's size. Nodes with more than HUB links meet theirs by a broadcast, so that no task gets
+    all links of a hub; HUB grows with the number of links, so that hubs are BROADCAST_ROWS at most.
     """
-    links = written(edges.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
+    links = written(edges.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), compact=True)
+    if links.count() <= FOREST_LINKS:
+        return links.coalesce(1).mapInArrow(forest, "node long, root long")
 
     def state(df: DataFrame):
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -209,9 +245,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     before = state(links)
     while before[0]:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
-        large = written(large)
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n").persist(StorageLevel.DISK_ONLY)
+        many = max(HUB, 2 * before[0] // BROADCAST_ROWS)
+        hubs = least.filter(F.col("n") > many)
+        up = both.filter("v > u")
+        if hubs.isEmpty():
+            large = up.join(least, "u").select("u", "v", "m")
+        else:
+            large = up.join(F.broadcast(hubs), "u").select("u", "v", "m")
+            large = large.unionByName(up.join(F.broadcast(hubs.select("u")), "u", "left_anti").join(least.filter(F.col("n") <= many), "u").select("u", "v", "m"))
+        large = written(large.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct())
+        least.unpersist()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
         links = written(small.select("x.u", "x.v").filter("u != v").distinct())
@@ -230,7 +274,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, id_col: st
     those without words, have fingerprint zero and link like any other. component_id is the
     smallest id that is reached over links of ``radius`` differing bits or fewer; null ids are
     larger than all others, and a component of none but null ids has null. Repeated rows each get
-    their row. Other columns are ignored. An empty table gives no rows.
+    their row. Texts of any length are read whole, their shingles SUM_AT_ONCE at a time. Other
+    columns are ignored. An empty table gives no rows.
     """
     each = reused(fingerprints(docs, width, id_col, text_col))
     return grouped(each, radius)

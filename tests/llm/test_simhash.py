@@ -87,3 +87,19 @@ def test_key_masks_miss_no_pair():
         for _ in range(300):
             flips = sum(1 << int(b) for b in np.random.default_rng(_).choice(64, 3, replace=False))
             assert any(flips & m == 0 for m in masks)
+
+
+@pytest.mark.parametrize("forest, hub", [(1 << 17, 1024), (0, 1024), (0, 5)])
+def test_components_by_one_task_and_by_rounds(spark, monkeypatch, forest, hub):
+    """Random links, a long path, a hub and a link of a node with itself."""
+    monkeypatch.setattr(s, "FOREST_LINKS", forest)
+    monkeypatch.setattr(s, "HUB", hub)
+    r = np.random.default_rng(3)
+    links = [(int(a), int(b)) for a, b in r.integers(-300, 300, (150, 2))] + [(1000 + i, 1001 + i) for i in range(40)] + [(-5000, 2000 + i) for i in range(60)] + [(7, 7)]
+    least = {x: x for pair in links for x in pair}
+    for _ in range(len(links)):
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+    got = {x.node: x.root for x in s.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {x: y for x, y in least.items() if x != y}
+    assert s.components(spark.createDataFrame([], "a long, b long")).collect() == []

@@ -10,9 +10,10 @@ stands first and goes everywhere else. Exact copies of a document count as one t
 alike, so they stay copies for a later stage.
 
 Lines are counted by their hashes. Texts of lines are looked at again only in leaves that hold
-several different lines. Two lines that differ in at most d places agree in one of d + 1 segments
-behind the leading tokens, so lines are dealt by leaf and segment and meet only there; the result
-is the same for leaves of any size.
+several different lines long enough to link. Two lines that differ in at most d places agree in one
+of d + 1 segments behind the leading tokens, so lines are dealt by leaf and segment and meet only
+there. The rule is one and the same for leaves and segments of any size; how many rows a segment has
+decides only how many tasks compare them.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import bounded_batches, reused, tasks, text_bytes, text_or_empty, written
-from quillon.llm.simhash_pivots import components
+from quillon.llm.common import bounded_batches, fresh, reused, small, tasks, text_bytes, text_or_empty, written
+from quillon.llm.simhash_pivots import Forest, components
 
 #: Different texts in which a template recurs; least tokens of a line that counts.
 MIN_DOCUMENTS, MIN_TOKENS = 3, 3
@@ -40,27 +41,23 @@ DEPTH, AGREE = 3, 0.75
 LEAST_COMMON = 5
 #: Lines of a bucket that one task compares directly; larger buckets are dealt into tiles.
 CROWDED = 1024
-#: Rows of a table that is broadcast at most, at about 16 bytes each.
-BROADCAST_ROWS = 500_000
 
 #: Lines of documents that Python hands on at a time.
 LINES_AT_ONCE = 1 << 15
+#: Pairs of lines that are compared at a time, about.
+PAIRS_AT_ONCE = 1 << 16
 WILD = b"<*>"
 
 
-def small(df: DataFrame) -> DataFrame:
-    """``df`` (written) with a broadcast hint if it is small; otherwise Spark joins by a shuffle and splits hot keys."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def parsed(docs: DataFrame, every: bool = False) -> DataFrame:
     """A row for each line of enough tokens: doc (key), doc_id, content, line_no, h, leaf, least, line (masked).
 
-    ``every``: lines of fewer tokens too, as they are and in leaves of their own, and a long line
-    needs to stand in fewer texts (least).
+    leaf is null where a line can link to no other. ``every``: lines of fewer tokens too, as they
+    are, and a long line needs to stand in fewer texts (least).
 
     Lines are bytes here; splitting and hashing them is several times cheaper in Python than by
-    regular expressions of Spark's.
+    regular expressions of Spark's. A text is cut at line ends as it is read, and its rows go on in
+    batches of LINES_AT_ONCE, however many lines it has.
     """
     bounded_batches(docs.sparkSession)
     text = text_or_empty()
@@ -72,17 +69,20 @@ def parsed(docs: DataFrame, every: bool = False) -> DataFrame:
     names = ("doc", "doc_id", "content", "line_no", "h", "leaf", "least", "line")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        has_digit, digest = re.compile(b"[0-9]").search, xxhash.xxh64_intdigest
+        has_digit, digest, line_of = re.compile(b"[0-9]").search, xxhash.xxh64_intdigest, re.compile(b"[^\n]*\n?").finditer
         for batch in batches:
             place, number, hashes, leaves, least, lines = [], [], [], [], [], []
 
             def rows() -> pa.RecordBatch:
                 own = [batch.column(c).take(pa.array(place, pa.int64())) for c in names[:3]]  # noqa: B023
-                made = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (hashes, leaves)]  # noqa: B023
+                linked = np.array([x is not None for x in leaves], bool)  # noqa: B023
+                leaf = np.array([x or 0 for x in leaves], np.uint64).view(np.int64)  # noqa: B023
+                made = [pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array(leaf, mask=~linked)]  # noqa: B023
                 return pa.RecordBatch.from_arrays([*own, pa.array(number, pa.int32()), *made, pa.array(least, pa.int32()), pa.array(lines, pa.binary())], list(names))  # noqa: B023
 
             for k, text in enumerate(batch.column("text")):
-                for n, line in enumerate(text.as_py().split(b"\n")):
+                for n, found in enumerate(line_of(text.as_py())):
+                    line = found[0]
                     tokens = line.split()
                     short = len(tokens) < MIN_TOKENS
                     if not tokens or (short and not every):
@@ -93,122 +93,188 @@ def parsed(docs: DataFrame, every: bool = False) -> DataFrame:
                     place.append(k)
                     number.append(n)
                     hashes.append(digest(line))
-                    leaves.append(digest(b"own " + line if own else b"%d " % len(tokens) + b" ".join(masked[:DEPTH])))
+                    leaves.append(None if own or most_apart(masked) < 1 else digest(b"%d " % len(tokens) + b" ".join(masked[:DEPTH])))
                     is_long = len(tokens) >= LONG_TOKENS or (short and len(line) >= LONG_BYTES)
                     least.append(LONG_DOCUMENTS if every and is_long else MIN_DOCUMENTS)
                     lines.append(line)
-                if len(lines) >= LINES_AT_ONCE:
-                    yield rows()
-                    place, number, hashes, leaves, least, lines = [], [], [], [], [], []
+                    if len(lines) >= LINES_AT_ONCE:
+                        yield rows()
+                        place, number, hashes, leaves, least, lines = [], [], [], [], [], []
             yield rows()
 
     return keyed.mapInArrow(run, "doc long, doc_id long, content long, line_no int, h long, leaf long, least int, line binary")
 
 
-def clustered(lines: list[list]) -> list[int]:
-    """For each line (equal numbers of tokens): the place of its leader among ``lines``."""
-    n = len(lines[0])
-    d = int((1 - AGREE) * n)
-    cuts = np.linspace(0, n, d + 2).astype(int).tolist()
-    index: dict[tuple, list[int]] = {}
-    out = []
-    for i, line in enumerate(lines):
-        keys = [(s, *line[a:b]) for s, (a, b) in enumerate(zip(cuts, cuts[1:]))]
-        found = None
-        for leader in sorted({j for k in keys for j in index.get(k, ())}):
-            if sum(x != y for x, y in zip(line, lines[leader])) <= d:
-                found = leader
-                break
-        if found is None:
-            found = i
-            for k in keys:
-                index.setdefault(k, []).append(i)
-        out.append(found)
-    return out
+def most_apart(tokens: list[bytes]) -> int:
+    """In how many places a line can differ from one that it links to; 0: it links to none that differs.
+
+    The leading tokens are equal within a leaf, and LEAST_COMMON words behind them must be.
+    """
+    words = len(tokens) - DEPTH - tokens[DEPTH:].count(WILD)
+    return min(int((1 - AGREE) * len(tokens)), len(tokens) - DEPTH - LEAST_COMMON) if words >= LEAST_COMMON else 0
 
 
 def segment_keys(leaf: int, tokens: list[bytes]) -> list[int]:
-    """Keys of which two lines of a leaf share one at least if they differ in at most (1 - AGREE) of their places.
+    """Keys of which two lines of a leaf share one at least if they can link.
 
-    The leading tokens, which all lines of a leaf share, are not among the segments.
+    Their number hangs on the number of tokens only, so all lines of a leaf are cut alike. The
+    leading tokens, which all lines of a leaf share, are not among the segments.
     """
     rest = tokens[DEPTH:]
-    d = int((1 - AGREE) * len(tokens))
-    if len(rest) <= d:
-        return [leaf]
+    d = min(int((1 - AGREE) * len(tokens)), len(rest) - LEAST_COMMON)
     cuts = np.linspace(0, len(rest), d + 2).astype(int).tolist()
     digest = xxhash.xxh64_intdigest
-    return [int(np.uint64(digest(b"%d %d " % (leaf, s) + b" ".join(rest[a:b]))).view(np.int64)) for s, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+    return [digest(b"%d %d " % (leaf, s) + b" ".join(rest[a:b])) for s, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+
 
+def numbered(lines: list[bytes]) -> np.ndarray:
+    """A number for each token of lines of one length, equal for equal tokens; the wildcard is 0."""
+    vocabulary = {WILD: 0}
+    flat = [vocabulary.setdefault(t, len(vocabulary)) for line in lines for t in line.split(b" ")]
+    return np.array(flat, np.int32).reshape(len(lines), -1)
 
-def bucket_links(hs: list[int], lines: list[bytes]) -> list[tuple[int, int]]:
-    """Links that connect what lines of equal numbers of tokens within the distance connect.
 
-    Each line that is reached meets only those that are not yet.
+def linked_pairs(tokens: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs of rows (``numbered``) link."""
+    a, b = tokens[i], tokens[j]
+    same = a == b
+    agree = same.sum(axis=1) >= tokens.shape[1] - int((1 - AGREE) * tokens.shape[1])
+    common = (same & (a != 0))[:, DEPTH:].sum(axis=1) >= LEAST_COMMON
+    return agree & common
+
+
+def bucket_links(tile: np.ndarray, h: np.ndarray, tokens: np.ndarray, root: np.ndarray, side: np.ndarray) -> list[tuple[int, int]]:
+    """Links that connect, within each tile, what lines that link connect.
+
+    Pairs with the same ``root`` are connected already; of a pair one line at least must be of
+    ``side`` true. Rows are in the order of their tiles. Pairs are compared at growing distances
+    between their places, all tiles at once, and only where the forest of links so far does not
+    connect them.
     """
-    vocabulary: dict[bytes, int] = {}
-    rows = np.array([[vocabulary.setdefault(t, len(vocabulary)) for t in x.split(b" ")] for x in lines], np.int32)
-    d = int((1 - AGREE) * rows.shape[1])
-    said = rows != vocabulary.get(WILD, -1)
-    said[:, :DEPTH] = False
-    out, left, queue = [], np.arange(len(hs)), []
-    while len(left):
-        if not queue:
-            queue, left = [int(left[0])], left[1:]
-        i = queue.pop()
-        same = rows[left] == rows[i]
-        near = ((~same).sum(axis=1) <= d) & ((same & said[i]).sum(axis=1) >= LEAST_COMMON)
-        out += [(hs[i], hs[j]) for j in left[near].tolist()]
-        queue += left[near].tolist()
-        left = left[~near]
+    forest, out = Forest(len(h)), []
+    if len(h) < 2:
+        return out
+    # What is connected already starts as one tree.
+    order = np.lexsort((root, tile))
+    again = (tile[order][1:] == tile[order][:-1]) & (root[order][1:] == root[order][:-1])
+    for a, b in zip(order[:-1][again], order[1:][again]):
+        forest.join(int(a), int(b))
+    last = np.searchsorted(tile, tile, side="right")
+    active, shift = np.arange(len(h) - 1), 1
+    while len(active := active[active + shift < last[active]]):
+        # As many distances at once as give PAIRS_AT_ONCE pairs.
+        upto = shift + max(1, PAIRS_AT_ONCE // len(active))
+        j = active[:, None] + np.arange(shift, min(upto, shift + CROWDED))
+        place, k = np.nonzero(j < last[active][:, None])
+        i, j, shift = active[place], j[place, k], shift + j.shape[1]
+        roots = forest.roots()
+        keep = (roots[i] != roots[j]) & (side[i] | side[j])
+        i, j = i[keep], j[keep]
+        near = linked_pairs(tokens, i, j)
+        for a, b in zip(i[near].tolist(), j[near].tolist()):
+            if forest.join(a, b):
+                out.append((int(h[a]), int(h[b])))
     return out
 
 
-def linked(rows: DataFrame) -> DataFrame:
-    """(a, b): links between lines, whose components are those of all close pairs; ``rows`` (re-readable) has leaf, h, line.
+def compared(rows: DataFrame) -> DataFrame:
+    """(a, b): links within each tile of ``rows`` (tile, h, line, root, side); all lines of a tile are of one length."""
 
-    Buckets beyond CROWDED lines are dealt into tiles of two chunks each, so that two lines of a
-    bucket meet in a tile at least.
-    """
+    def made(x: list[np.ndarray], lines: list[bytes]) -> pa.RecordBatch:
+        tile, h, root, side = x
+        lengths, out = np.array([line.count(b" ") for line in lines]), []
+        for n in np.unique(lengths):
+            at = np.flatnonzero(lengths == n)
+            out += bucket_links(tile[at], h[at], numbered([lines[i] for i in at]), root[at], side[at])
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, lines = [np.zeros(0, np.int64)] * 3 + [np.zeros(0, bool)], []
         for batch in batches:
-            found = [(h, k) for leaf, h, line in zip(*(batch.column(c).to_pylist() for c in ("leaf", "h", "line"))) for k in segment_keys(leaf, line.split(b" "))]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["h", "key"])
+            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("tile", "h", "root", "side")]
+            held, lines = [np.concatenate([a, b]) for a, b in zip(held, columns)], lines + batch.column("line").to_pylist()
+            # Rows come in the order of their tile; only the last tile can go on in the next batch.
+            cut = int(np.searchsorted(held[0], held[0][-1])) if len(lines) else 0
+            if cut:
+                yield made([x[:cut] for x in held], lines[:cut])
+                held, lines = [x[cut:] for x in held], lines[cut:]
+        if lines:
+            yield made(held, lines)
 
-    keyed = reused(rows.select("leaf", "h", "line").mapInArrow(keys, "h long, key long"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").withColumn("chunks", F.ceil(F.col("n") / CROWDED))
-    chunk = F.pmod(F.xxhash64("h"), F.col("chunks"))
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda x: F.xxhash64("key", F.least(x, chunk), F.greatest(x, chunk)))
-    tiles = keyed.join(shared, "key").select("h", F.explode(F.when(F.col("chunks") == 1, F.array("key")).otherwise(pairs)).alias("tile"))
-    tiles = tiles.join(rows.select("h", "line"), "h")
+    dealt = rows.select("tile", "h", "root", "side", "line").repartition(tasks(rows.sparkSession), "tile").sortWithinPartitions("tile")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile, hs, lines = None, [], []
 
-        def close() -> pa.RecordBatch:
-            out = bucket_links(hs, lines)
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+def linked(rows: DataFrame) -> DataFrame:
+    """(a, b): links between lines, whose components are those of all pairs that link; ``rows`` (re-readable) has leaf, h, line.
+
+    A bucket (leaf and segment) of up to CROWDED lines is one tile. A larger one is dealt into
+    chunks, each compared within itself; then one line of each component that a chunk has; and
+    then all lines that are not yet connected to the bucket's largest component meet all others.
+    So a template with many lines costs a few comparisons a line.
+    """
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h, key = [], []
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(np.array(key, np.uint64).view(np.int64))], ["h", "key"])
 
         for batch in batches:
-            for x, h, line in zip(*(batch.column(c).to_pylist() for c in ("tile", "h", "line"))):
-                if x != tile and lines:
-                    yield close()
-                    hs, lines = [], []
-                tile = x
-                hs.append(h)
-                lines.append(line)
-        if lines:
-            yield close()
+            for leaf, x, line in zip(*(batch.column(c) for c in ("leaf", "h", "line"))):
+                own = segment_keys(leaf.as_py(), line.as_py().split(b" "))
+                h += [x.as_py()] * len(own)
+                key += own
+                if len(h) >= LINES_AT_ONCE:
+                    yield made()
+                    h, key = [], []
+        yield made()
+
+    def texts(tiles: DataFrame) -> DataFrame:
+        return tiles.join(rows.select("h", "line"), "h")
 
-    return tiles.repartition(tasks(rows.sparkSession), "tile").sortWithinPartitions("tile").select("tile", "h", "line").mapInArrow(run, "a long, b long").distinct()
+    keyed = reused(rows.select("leaf", "h", "line").mapInArrow(keys, "h long, key long"))
+    shared = reused(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
+    alone = F.col("h").alias("root"), F.lit(True).alias("side")
+    few = keyed.join(small(shared.filter(F.col("n") <= CROWDED).select("key")), "key").select(F.col("key").alias("tile"), "h", *alone)
+    links = written(compared(texts(few)), compact=True)
+    crowded = shared.filter(F.col("n") > CROWDED)
+    if crowded.isEmpty():
+        keyed.unpersist()
+        return links
+
+    # A row for each bucket of more than CROWDED lines.
+    many = written(keyed.join(small(crowded), "key"), compact=True)
+    keyed.unpersist()
+    dealt = lambda x, n: F.pmod(F.xxhash64(x), F.ceil(F.col(n) / CROWDED))
+    links = links.unionByName(compared(texts(many.select(F.xxhash64("key", dealt("h", "n")).alias("tile"), "h", *alone))))
+    one = with_roots(many, links).groupBy("key", "root").agg(F.min("h").alias("h")).select("key", "h")
+    counts = one.groupBy("key").agg(F.count("*").alias("n"))
+    one = one.join(counts, "key").filter("n > 1").select(F.xxhash64("key", dealt("h", "n")).alias("tile"), "h", *alone)
+    links = reused(links.unionByName(compared(texts(one))).distinct())
+    placed = reused(with_roots(many, links))
+    largest = placed.groupBy("key", "root").agg(F.count("*").alias("of")).groupBy("key").agg(F.max_by("root", "of").alias("largest"), (F.sum("of") - F.max("of")).alias("others"))
+    left = placed.join(small(reused(largest.filter("others > 0"))), "key").withColumn("side", F.col("root") != F.col("largest"))
+    everywhere = F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / CROWDED) - 1)
+    of_side = F.sequence(F.lit(0).cast("long"), F.ceil(F.col("others") / CROWDED) - 1)
+    # A tile is a chunk of the others with a chunk of all lines.
+    tiles = F.transform(of_side, lambda x: F.xxhash64("key", x, dealt("h", "n")))
+    tiles = F.when(F.col("side"), F.array_union(tiles, F.transform(everywhere, lambda x: F.xxhash64("key", dealt("h", "others"), x)))).otherwise(tiles)
+    return links.unionByName(compared(texts(left.select(F.explode(tiles).alias("tile"), "h", "root", "side")))).distinct()
+
+
+def with_roots(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """``rows`` with the root of each h's component."""
+    of = reused(components(links).select(F.col("node").alias("h"), "root"))
+    return rows.join(of, "h", "left").withColumn("root", F.coalesce("root", "h"))
 
 
 def templates(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """(h, template) for lines whose template is not just themselves."""
-    per_leaf = lines.groupBy("leaf", "h").agg(F.lit(1)).groupBy("leaf").agg(F.count("*").alias("different"))
-    shared = small(written(per_leaf.filter("different > 1").select("leaf"), compact=True))
+    per_leaf = lines.filter("leaf is not null").groupBy("leaf", "h").agg(F.lit(1)).groupBy("leaf").agg(F.count("*").alias("different"))
+    shared = small(reused(per_leaf.filter("different > 1").select("leaf")))
     again = parsed(docs).join(shared, "leaf").groupBy("leaf", "h").agg(F.first("line").alias("line"))
+    # Written: it cuts the plan, which all that follows would repeat.
     again = written(again, compact=True)
     return components(linked(again)).select(F.col("node").alias("h"), F.col("root").alias("template"))
 
@@ -216,16 +282,16 @@ def templates(docs: DataFrame, lines: DataFrame) -> DataFrame:
 def drops(docs: DataFrame, every: bool = False) -> DataFrame:
     """(doc, dropped): the numbers of the lines that each document loses."""
     lines = reused(parsed(docs, every).select("doc", "doc_id", "content", "line_no", "h", "leaf", "least"))
-    of = small(written(templates(docs, lines), compact=True))
+    of = small(reused(templates(docs, lines)))
     lines = lines.join(of, "h", "left").withColumn("template", F.coalesce("template", "h"))
     once = lines.groupBy("template", "content").agg(F.min(F.struct("doc_id", "line_no", "content")).alias("first"), F.min("least").alias("least"))
     recurring = once.groupBy("template").agg(F.count("*").alias("texts"), F.min("first").alias("first"), F.min("least").alias("least")).filter("texts >= least")
-    recurring = small(written(recurring.select("template", F.col("first.content").alias("keeper"), F.col("first.line_no").alias("keeper_line")), compact=True))
+    recurring = small(reused(recurring.select("template", F.col("first.content").alias("keeper"), F.col("first.line_no").alias("keeper_line"))))
     gone = lines.join(recurring, "template").filter((F.col("content") != F.col("keeper")) | (F.col("line_no") != F.col("keeper_line")))
     return gone.groupBy("doc").agg(F.collect_set("line_no").alias("dropped"))
 
 
-def without(text_col: str = "text", dropped_col: str = "dropped") -> Column:
+def without(text: Column, dropped: Column) -> Column:
     """The text without its dropped lines."""
 
     def run(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -238,27 +304,30 @@ def without(text_col: str = "text", dropped_col: str = "dropped") -> Column:
                 out.append(t)
             yield pd.Series(out, dtype=object)
 
-    return F.pandas_udf(run, "string")(F.col(text_col), F.col(dropped_col))
+    return F.pandas_udf(run, "string")(text, dropped)
 
 
 def deduplicated(docs: DataFrame, emptied: bool = True, counts: bool = False, every: bool = False) -> DataFrame:
-    """``docs`` (re-readable) without recurring template lines; columns are those of ``docs``.
+    """``docs`` (re-readable) without recurring template lines; columns are those of ``docs``, whatever their names.
 
     A recurring line stays where it stands first: in the text with the smallest doc_id (null is
     largest), at its smallest line number, and in exact copies of that text. Lines of fewer than
     MIN_TOKENS tokens stay, unless ``every``: then they go where they recur as they are, and a long
-    line goes from its LONG_DOCUMENTS-th text on. Blank lines and null texts stay. ``emptied`` keeps documents that lose all
-    their lines, as empty texts; otherwise they go. ``counts`` adds n_lines and n_dropped.
+    line goes from its LONG_DOCUMENTS-th text on. Blank lines and null texts stay, empty texts too.
+    Repeated rows (equal doc_id and text) are treated alike and each keep their row. Texts of any
+    length are read whole. ``emptied`` keeps documents that lose all their lines, as empty texts;
+    otherwise they go. ``counts`` adds n_lines and n_dropped. An empty table gives no rows.
     """
+    doc, dropped = fresh(docs, "doc"), fresh(docs, "dropped")
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), text_or_empty())
-    gone = drops(docs, every).select(F.col("doc").alias("__doc"), F.col("dropped").alias("__dropped"))
+    gone = drops(docs, every).select(F.col("doc").alias(doc), F.col("dropped").alias(dropped))
     # Hashing the short lists of dropped lines spares sorting the texts.
-    both = docs.withColumn("__doc", key).join(gone.hint("shuffle_hash"), "__doc", "left")
-    lost_all = F.col("__dropped").isNotNull() & (F.size("__dropped") >= F.size(F.split("text", "\n")))
+    both = docs.withColumn(doc, key).join(gone.hint("shuffle_hash"), doc, "left")
+    lost_all = F.col(dropped).isNotNull() & (F.size(dropped) >= F.size(F.split("text", "\n")))
     if not emptied:
         both = both.filter(~lost_all)
-    columns = [without("text", "__dropped").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    columns = [without(F.col("text"), F.col(dropped)).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
     if counts:
         n_lines = F.size(F.split(text_or_empty(), "\n")).cast("long")
-        columns += [n_lines.alias("n_lines"), F.coalesce(F.size("__dropped"), F.lit(0)).cast("long").alias("n_dropped")]
+        columns += [n_lines.alias("n_lines"), F.coalesce(F.size(dropped), F.lit(0)).cast("long").alias("n_dropped")]
     return both.select(*columns)

@@ -1,6 +1,10 @@
+import random
 import re
 from collections import defaultdict
 
+import numpy as np
+import pytest
+
 from quillon.llm import line_templates as lt
 
 SCHEMA = "doc_id long, text string, doc long, tokens string, n_lines int"
@@ -97,9 +101,49 @@ def test_crowded_leaves_are_clustered_in_parts(spark, monkeypatch):
     compare(spark, rows)
 
 
-def test_clusters_share_most_places():
-    lines = ["a b c d e f g h", "a b c d e f g x", "a b c y e f g x", "z b c d q f w h"]
-    assert lt.clustered([x.split() for x in lines]) == [0, 0, 0, 3]
+def test_pairs_link_by_agreement_and_common_words():
+    lines = ["a b c d e f g h i j", "a b c d e f g h i x", "a b c y e z g h i x", "a b c y w z g h i x", "a b c <*> <*> f g h i j"]
+    tokens = lt.numbered([x.encode() for x in lines])
+    link = lambda i, j: bool(lt.linked_pairs(tokens, np.array([i]), np.array([j]))[0])
+    assert link(0, 1) and link(1, 2) and not link(0, 2) and link(2, 3) and link(0, 4) and not link(1, 3)
+    assert lt.most_apart(b"a b c d e f g h".split()) == 0 and lt.most_apart(b"a b c d e f g h i".split()) == 1
+    assert lt.most_apart(b"a b c <*> e f g <*>".split()) == 0 and lt.most_apart(b"x".split() * 40) == 10
+
+
+@pytest.mark.parametrize("n", [64, 65, 5000])
+def test_one_template_keeps_one_line_wherever_it_varies(spark, n):
+    """Whatever their number, and wherever behind the leading tokens the varying word stands."""
+    name = lambda i: "".join("abcdefghij"[int(c)] for c in str(i))
+    words = "the same three lead many equal words and then it ends".split()
+    rows = []
+    for place in range(lt.DEPTH, len(words)) if n < 5000 else (lt.DEPTH, len(words) - 1):
+        for i in range(n):
+            rows.append((place * 10000 + i, " ".join([*words[: lt.DEPTH - 1], f"of{name(place)}", *words[lt.DEPTH : place], name(i) + "x", *words[place + 1 :]])))
+    kept = [r.doc_id for r in lt.deduplicated(spark.createDataFrame([(i, t, 1, "x", 2) for i, t in rows], SCHEMA), emptied=False).collect()]
+    assert sorted(kept) == sorted({i // 10000 * 10000 for i, _ in rows})
+
+
+def test_crowded_buckets_of_unlike_lines(spark, monkeypatch):
+    """Lines of one leaf that share a segment and little else, some of them of templates, in chunks of a few."""
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdef") for _ in range(5))
+    rows = [(i, " ".join(["in the end", word(), word(), "of all things", word(), word(), word(), word()])) for i in range(80)]
+    rows += [(1000 + i, f"in the end {word()} one template of all things that is the same") for i in range(30)]
+    rows += [(2000 + i, f"in the end one {'xyz'[i % 3]} of all things here {word()} still the same") for i in range(30)]
+    r.shuffle(rows)
+    monkeypatch.setattr(lt, "CROWDED", 24)
+    compare(spark, rows)
+
+
+def test_awkward_tables(spark):
+    """Clashing column names, repeated rows, a text of very many lines, and no rows."""
+    foot = "this line stands at the foot of all pages"
+    many = "\n".join(f"line number {'abcdefghij'[i % 10]} {i} of the long text" for i in range(200_000)) + "\n" + foot
+    rows = [(1, f"a\n{foot}", "p", "q"), (2, f"b\n{foot}", "p", "q"), (2, f"b\n{foot}", "p", "q"), (3, many, "p", "q"), (None, f"c\n{foot}", None, None), (4, None, "p", "q")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __doc string, __DROPPED string")
+    out = lt.deduplicated(docs)
+    got = sorted(((r.doc_id, r.text if r.doc_id != 3 else r.text.count("\n")) for r in out.collect()), key=str)
+    assert out.columns == docs.columns and got == sorted([(1, f"a\n{foot}"), (2, "b"), (2, "b"), (3, 199_999), (None, "c"), (4, None)], key=str)
 
 
 def test_varying_endings_meet_in_leaves_of_any_size(spark, monkeypatch):

@@ -67,7 +67,16 @@ def written(df: DataFrame, compact: bool = False) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/quillon-{uuid.uuid4().hex}"
     _paths.append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._quillon_path = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes a table that ``written`` returned before its block ends; nothing may read it any more."""
+    spark, path = df.sparkSession, df._quillon_path
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 _stored: dict[tuple[str, str], str] = {}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import ann_blocks, exact_topk, license_templates, line_templates, mixture, packing, pii_crf, quality_cnn, simhash_pivots, token_scan
+from quillon.llm import ann_blocks, exact_topk, license_templates, line_templates, mixture, packing, pii_crf, quality_cnn, shallot, simhash_pivots, token_scan
 from quillon.llm.common import table
 
 
@@ -59,6 +59,11 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.best(table(spark, sf_dir, "embeddings"), k=20, every=20)
 
 
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = shallot.clustered(table(spark, sf_dir, "embeddings"), k=40, rounds=5, width=64, scale=256, seed="2")
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_nearest": op1_nearest,
@@ -71,10 +76,39 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_lines": op8_lines,
         "op9_packing": op9_packing,
         "op10_topk": op10_topk,
+        "op13_clusters": op13_clusters,
     }
 
 
+def clusters_sql(k: int = 40, rounds: int = 5) -> str:
+    """One common table expression for the assignment and one for the means of each round."""
+    steps = []
+    for n in range(rounds + 1):
+        steps.append(f"""a{n} AS (
+  SELECT vec_id, e, cluster, distance FROM (
+    SELECT v.vec_id, v.e, c.cluster, d.distance, row_number() OVER (PARTITION BY v.vec_id ORDER BY d.distance, c.cluster) AS r
+    FROM v, c{n} c, LATERAL (SELECT CAST(list_sum(list_transform(list_zip(v.e, c.m), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS distance) d) WHERE r = 1)""")
+        if n < rounds:
+            steps.append(f"""s{n} AS (
+  SELECT cluster, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (SELECT cluster, unnest(e) AS x, unnest(range(64)) AS i FROM a{n}) GROUP BY cluster, i),
+c{n + 1} AS (
+  SELECT c.cluster, coalesce(m.m, c.m) AS m FROM c{n} c
+  LEFT JOIN (SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY i) AS m FROM s{n} GROUP BY cluster) m ON m.cluster = c.cluster)""")
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(floor(256 * x) AS BIGINT)) AS e FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS (
+  SELECT CAST(row_number() OVER (ORDER BY h) - 1 AS INTEGER) AS cluster, e AS m
+  FROM (SELECT e, sha256('2:' || CAST(vec_id AS VARCHAR)) AS h FROM v ORDER BY h LIMIT {k})),
+{", ".join(x.replace(" AS (", " AS MATERIALIZED (", 1) for x in steps)}
+SELECT a.vec_id, a.cluster, a.distance, CAST(sum(a.distance) OVER (PARTITION BY a.cluster) AS BIGINT) AS cluster_inertia,
+       CAST(sum(a.distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.m, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON c.cluster = a.cluster"""
+
+
 ORACLE_SQL = {
+    "op13_clusters": clusters_sql(),
     "op1_nearest": """
 WITH v AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import ann_blocks, exact_topk, license_templates, line_templates, mixture, packing, pii_crf, quality_cnn, shallot, simhash_pivots, token_scan
+from quillon.llm import ann_blocks, exact_topk, language_id, license_templates, line_templates, mixture, packing, pii_crf, quality_cnn, shallot, simhash_pivots, token_scan
 from quillon.llm.common import table
 
 
@@ -59,6 +59,13 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.best(table(spark, sf_dir, "embeddings"), k=20, every=20)
 
 
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.learnt(docs, ~language_id.held_out())
+    found = language_id.identified(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score", "accepted")
+
+
 def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = shallot.clustered(table(spark, sf_dir, "embeddings"), k=40, rounds=5, width=64, scale=256, seed="2")
     return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
@@ -76,6 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_lines": op8_lines,
         "op9_packing": op9_packing,
         "op10_topk": op10_topk,
+        "op12_language": op12_language,
         "op13_clusters": op13_clusters,
     }
 

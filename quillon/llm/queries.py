@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import ann_blocks, exact_topk, language_id, license_templates, line_templates, mixture, packing, pii_crf, quality_cnn, shallot, simhash_pivots, token_scan
+from quillon.llm import ann_blocks, exact_topk, language_id, license_templates, line_templates, mixture, packing, pii_crf, quality_cnn, shallot, simhash_pivots, source_divergence, token_scan
 from quillon.llm.common import table
 
 
@@ -59,6 +59,10 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.best(table(spark, sf_dir, "embeddings"), k=20, every=20)
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audited(table(spark, sf_dir, "documents"), least_docs=10, top=10)
+
+
 def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language_id.learnt(docs, ~language_id.held_out())
@@ -83,6 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_lines": op8_lines,
         "op9_packing": op9_packing,
         "op10_topk": op10_topk,
+        "op11_divergence": op11_divergence,
         "op12_language": op12_language,
         "op13_clusters": op13_clusters,
     }
@@ -116,6 +121,33 @@ FROM a{rounds} a JOIN c{rounds} c ON c.cluster = a.cluster"""
 
 
 ORACLE_SQL = {
+    "op11_divergence": r"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+w AS (SELECT id, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS MATERIALIZED (SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT id) >= 10),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS MATERIALIZED (SELECT w.lang, w.source, w.term, count(*) AS n FROM w JOIN k ON k.lang = w.lang AND k.term = w.term GROUP BY ALL),
+s AS (SELECT lang, source, sum(n) AS n FROM c GROUP BY lang, source),
+p AS MATERIALIZED (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+         CAST(1 + (CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 2)) // (coalesce(s.n, 0) + 2 * v.v) AS BIGINT) AS p
+  FROM g JOIN k ON k.lang = g.lang JOIN v ON v.lang = g.lang LEFT JOIN s ON s.lang = g.lang AND s.source = g.source
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+l AS (
+  SELECT c.lang, c.term, CAST(1 + (CAST(1000000000 AS HUGEINT) * (sum(c.n) + 2)) // (any_value(t.n) + 2 * any_value(v.v)) AS BIGINT) AS q
+  FROM c JOIN v ON v.lang = c.lang JOIN (SELECT lang, sum(n) AS n FROM c GROUP BY lang) t ON t.lang = c.lang GROUP BY c.lang, c.term),
+f AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f.value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL
+  SELECT p.lang, p.source, 'term', p.term, ((p.p - l.q) * (p.p - l.q)) // (p.p + l.q)
+  FROM p JOIN l ON l.lang = p.lang AND l.term = p.term WHERE p.n > 0 AND p.p > l.q),
+o AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM r)
+SELECT lang, source, part, item, value, rank FROM o WHERE part = 'pair' OR rank <= 10""",
     "op13_clusters": clusters_sql(),
     "op1_nearest": """
 WITH v AS (

@@ -28,6 +28,8 @@ BITS, DIMS, SUBWORDS = 16, 16, (2, 3, 4)
 #: Code points that are hashed at a time; longer texts go in such pieces, with no subword lost.
 PIECE = 1 << 19
 CALIBRATION = 5
+#: Parts of a language whose first documents are found before those of all of it.
+SALTS = 64
 UNDETERMINED = "und"
 #: Multipliers of the places of a subword and of the hash (fixed values).
 PLACES, MIX = np.array([2654435761, 2246822519, 3266489917, 668265263], np.uint32), np.uint32(374761393)
@@ -173,7 +175,8 @@ def train(texts: list[str], labels: list[str], epochs: int = 8, rate: float = 0.
                 marks.append(number[label])
                 kept_out.append(i % CALIBRATION == CALIBRATION - 1 and len(texts) >= CALIBRATION)
     marks, kept_out = np.array(marks, int), np.array(kept_out, bool)
-    found = bags(examples)
+    # A few texts at a time: the subwords of all, with their repeats, would be large.
+    found = [bag for at in range(0, len(examples), 32) for bag in bags(examples[at : at + 32])]
     learnt_from = np.flatnonzero(~kept_out)
     steps, step = max(1, epochs * len(learnt_from)), 0
     e, w, bias = model.embeddings, model.weights, model.bias
@@ -228,8 +231,12 @@ def learnt(docs: DataFrame, usable: Column, each: int = 500, sample: int = 4000,
     """
     rows = docs.filter(usable & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     key = [F.col("doc_id").cast("string").alias("i"), F.col("lang").alias("lang"), F.xxhash64("text").alias("h")]
-    in_order = Window.partitionBy("lang").orderBy(F.xxhash64("i"), "i", "h")
-    places = rows.select(*key, F.octet_length("text").alias("n")).withColumn("r", F.row_number().over(in_order)).filter(F.col("r") <= each)
+    in_order = [F.xxhash64("i"), F.col("i"), F.col("h")]
+    # In two levels: what all tasks have of a frequent language goes to one task only when it is little.
+    places = rows.select(*key, F.octet_length("text").alias("n")).withColumn("salt", F.pmod(F.xxhash64("i"), F.lit(SALTS)))
+    for by in (("lang", "salt"), ("lang",)):
+        places = places.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy(*in_order))).filter(F.col("r") <= each)
+    places = places.drop("salt")
     # Rows that repeat stand side by side; they are told apart only here, where they are few.
     chosen = places.distinct().orderBy("r", "lang").limit(sample).collect()
     taken, left = {}, sample_bytes

@@ -33,7 +33,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     n_chars, where the table has it, follows the text.
     """
-    kept = line_templates.deduplicated(docs, emptied=False, every=True)
+    kept = line_templates.deduplicated(docs, line_templates.Rule(every=True), emptied=False)
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
 
 

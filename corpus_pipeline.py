@@ -21,7 +21,13 @@ SHINGLE, RADIUS = 5, 3
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the byte network, learnt on this table's labels, does not reject."""
+    """Documents that the byte network, learnt on this table's labels, does not reject.
+
+    Null and empty texts are scored as one empty chunk, very long ones whole. Repeated rows and ties
+    are scored alike and stay or go together. Without labels all score one half and stay. Labels of
+    ids that are null or missing here count for nothing. An empty table gives none; other columns
+    are carried on, whatever their names.
+    """
     net = quality_cnn.learnt(docs, table(spark, sf_dir, "labels"), ~quality_cnn.held_out())
     score = fresh(docs, "score")
     kept = quality_cnn.scored(docs, net, name=score).filter(F.col(score) >= LEAST_QUALITY)
@@ -31,7 +37,10 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without recurring template lines; those that lose all their lines go.
 
-    n_chars, where the table has it, follows the text.
+    n_chars, where the table has it, follows the text. Null and empty texts stay, exact copies are
+    one text and stay or go together, texts and lines of any length are read whole. Of equally early
+    places of a line (null ids are last) the smaller hash of the text keeps it. An empty table gives
+    none; other columns are carried on, whatever their names.
     """
     kept = line_templates.deduplicated(docs, line_templates.Rule(every=True), emptied=False)
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
@@ -40,9 +49,12 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id (null is largest) of each group of near duplicates.
 
-    Near duplicates share 0.8 or more of their different shingles (Jaccard), or are linked by such.
+    Fingerprints within RADIUS bits are compared first, and candidates by leading shingles find what
+    64 bits cannot tell; every link is verified on the shingles. Near duplicates share 0.8 or more of their different shingles (Jaccard), or are linked by such.
     A document is a doc_id with a text: rows that share both are one document, and of texts that
-    share a doc_id the one with the smallest hash comes first.
+    share a doc_id the one with the smallest hash comes first. Null and empty texts, and texts of
+    fewer words than a shingle, link only to equal word sequences. Texts of any length are read
+    whole. An empty table gives none; other columns are carried on, whatever their names.
     """
     def key() -> Column:
         return F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), F.xxhash64(text_or_empty()).alias("h"))
@@ -55,19 +67,29 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's target asks for."""
+    """Each row as often as its source's target asks for, to within a document a source.
+
+    A null source is a source. Null and empty texts have no words, so the mix takes none of them.
+    Rows that repeat, share an id or have none count each. Texts are never cut. An empty table gives
+    none; other columns are carried on, whatever their names.
+    """
     return mixture.repeated_documents(docs)
 
 
 def pack_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with the bins that they go to."""
+    """The pieces of all documents with the bins that they go to.
+
+    Null and empty texts have no tokens; how they, very long texts (cut into pieces of a bin at
+    most), repeated rows and ties are packed is stated at ``packed_documents``. Other columns are
+    left out. An empty table gives none.
+    """
     return packing.packed_documents(docs)
 
 
 STAGES = [
     ("quality classifier", keep_quality),
     ("line dedup", drop_lines),
-    ("SimHash near-dedup", keep_one_of_each_group),
+    ("SimHash and shingle near-dedup", keep_one_of_each_group),
     ("mixing sources to target weights", mix_sources),
     ("best-fit packing", pack_bins),
 ]

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import fresh, reused, text_or_empty, word_count, written
+from quillon.llm.common import reused, text_or_empty, word_count, written
 
 #: Hexadecimal digits of the seeded hash that each step looks at, and the least number of steps.
 DIGITS, STEPS = 2, 2
@@ -95,7 +95,8 @@ def mix(sizes: DataFrame, share: float = 1.5, epochs: float = 2.0, weights: tupl
     """For each row of ``sizes`` (doc_id, source, size and perhaps tie; re-readable): what the mix takes of it.
 
     Returns doc_id, source, size, source_size, target, whole (full repetitions), part (words of
-    the fractional repetition, at most size) and taken = whole * size + part. The takings of a
+    the fractional repetition, at most size) and taken = whole * size + part, and a column ``row``
+    of ``sizes`` as it is. The takings of a
     source sum to its target, rounded. A null source is a source. Rows that share an id, or have
     none, stand by size and then by tie, a string of hexadecimal digits that parts them; equal ones
     change no sum. Empty documents take nothing. An empty table gives no rows.
@@ -122,30 +123,32 @@ def mix(sizes: DataFrame, share: float = 1.5, epochs: float = 2.0, weights: tupl
     left = F.col("need") - F.col("start") - F.coalesce(F.sum("size").over(before), F.lit(0).cast("long"))
     inside = inside.withColumn("part", F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), left)))
     out = other.unionByName(inside)
-    return out.select("doc_id", "source", "size", "source_size", "target", "whole", "part", (F.col("whole") * F.col("size") + F.col("part")).alias("taken"))
+    row = ["row"] if "row" in sizes.columns else []
+    return out.select("doc_id", "source", "size", "source_size", "target", "whole", "part", (F.col("whole") * F.col("size") + F.col("part")).alias("taken"), *row)
+
+
+def sized(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, source, size (words of the whole text; a null text has none), tie and ``more`` for each row."""
+    tie = F.concat(F.lpad(F.hex(F.xxhash64(text_or_empty())), 16, "0"), F.lpad(F.hex(F.xxhash64(F.monotonically_increasing_id())), 16, "0"))
+    return docs.select(F.col("doc_id"), F.col("source"), word_count().alias("size"), tie.alias("tie"), *more)
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """``mix`` over a documents table; sizes are numbers of words of whole texts, null texts have none."""
-    tie = F.concat(F.lpad(F.hex(F.xxhash64(text_or_empty())), 16, "0"), F.lpad(F.hex(F.xxhash64(F.monotonically_increasing_id())), 16, "0"))
-    sizes = reused(docs.select(F.col("doc_id"), F.col("source"), word_count().alias("size"), tie.alias("tie")))
-    return mix(sizes, **options)
+    return mix(reused(sized(docs)), **options)
 
 
 def repeated_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mixed documents, each as often as the mix takes it.
+    """The mixed documents, each row as often as the mix takes it.
 
     A fractional repetition becomes a whole one where it covers at least half of the text, so no
-    text is cut. Documents that the mix takes nothing of go; rows that share a doc_id and a source
-    are taken alike. Columns are those of ``docs``.
+    text is cut and a source meets its target within one document. Rows that the mix takes nothing
+    of go, empty and null texts among them. Rows that share an id, or have none, count each, equal
+    ones too. Columns are those of ``docs``, whatever their names. An empty table gives no rows.
     """
-    taken = mix_documents(docs, **options)
-    times = taken.groupBy("doc_id", "source").agg(
-        F.max((F.col("whole") + F.when((F.col("part") > 0) & (2 * F.col("part") >= F.col("size")), 1).otherwise(0))).cast("int").alias("times")
-    )
-    # Hashing the small side spares sorting the texts.
-    t, d = times.filter("times > 0").hint("shuffle_hash").alias("t"), docs.alias("d")
-    same = F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("d.source").eqNullSafe(F.col("t.source"))
-    name = fresh(docs, "times")
-    both = d.join(t, same).select("d.*", F.col("t.times").alias(name))
-    return both.withColumn(name, F.explode(F.array_repeat(F.lit(0), F.col(name)))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row")
+    # Written with a place for each row, which a plan that runs again would not repeat.
+    rows = written(sized(docs, row))
+    times = (F.col("whole") + F.when((F.col("part") > 0) & (2 * F.col("part") >= F.col("size")), 1).otherwise(0)).cast("int")
+    taken = mix(rows, **options).filter("taken > 0").select("row", F.explode(F.array_repeat(F.lit(0), times)))
+    return taken.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])

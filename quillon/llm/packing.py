@@ -116,6 +116,10 @@ def packed(sized: DataFrame, capacity: int = CAPACITY, source_limit: int = SOURC
 def packed_documents(docs: DataFrame, capacity: int = CAPACITY, **options) -> DataFrame:
     """``packed`` over a documents table; sizes are words of whole texts, and equal texts are a duplicate cluster.
 
+    Null and empty texts have size zero: one row without a bin. A text of any length is counted
+    whole; one of more than ``capacity`` words becomes full pieces and a rest. Ties of size go to
+    the smaller id, null last. Other columns are ignored. An empty table gives no rows.
+
     Near copies are none: give ``packed`` a cluster column of your own to keep them apart as well.
     """
     sized = docs.select("doc_id", "source", word_count().alias("size"), F.xxhash64(text_or_empty()).alias("cluster"))

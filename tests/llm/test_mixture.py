@@ -82,3 +82,18 @@ def test_rows_without_an_id_are_parted(spark, monkeypatch):
     again = mixture.mix_documents(docs.repartition(3)).collect()
     key = lambda r: (r.size, r.taken, r.source)
     assert sorted(map(key, again)) == sorted(map(key, found))
+
+
+def test_repetitions_meet_their_targets(spark):
+    """Rows without ids, with one id, and equal rows: each source's words come within a document of its target."""
+    rows = [(None, f"w{i % 50} " * (1 + i % 17), "a", i) for i in range(200)] + [(7, "same text here", "b", 1)] * 90 + [(7, f"x{i} y", "b", 2) for i in range(30)]
+    rows += [(i, "one two three four five six", None, 3) for i in range(400)] + [(None, None, "a", 4), (None, "", "a", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, `TAKEN` int")
+    out = mixture.repeated_documents(docs)
+    assert out.columns == docs.columns
+    got = [(r.source, len(r.text.split())) for r in out.collect()]
+    targets = {r.source: r.target for r in mixture.mix_documents(docs).collect()}
+    for source in ("a", "b", None):
+        assert abs(sum(n for s, n in got if s == source) - targets[source]) <= max(n for s, n in got if s == source)
+    again = mixture.repeated_documents(docs)
+    assert sorted(map(str, again.collect())) == sorted(map(str, out.collect()))

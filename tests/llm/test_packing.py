@@ -96,3 +96,14 @@ def test_sources_are_held_to_their_share():
     for x, b in zip(items, packing.pack(items, 100, 2, 1.5)):
         bins[b].append(x[2])
     assert all(own.count("b") <= 2 and own.count("a") <= 14 for own in bins.values())
+
+
+def test_odd_texts(spark):
+    """Null, empty and very long texts, repeated rows and clashing columns: all words of all rows are in pieces."""
+    rows = [(1, None, "a", 1), (2, "", None, 2), (3, "w " * 100_000, "a", 3), (3, "w " * 100_000, "a", 3), (None, "x y", "b", 4), (4, " \n", "b", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, SIZE int")
+    got = packing.packed_documents(docs, capacity=4096).collect()
+    words = lambda i: sum(r.size for r in got if r.doc_id == i)
+    assert [words(i) for i in (1, 2, 3, 4, None)] == [0, 0, 200_000, 0, 2]
+    assert all((r.bin_id is None) == (r.size == 0) and r.size <= 4096 for r in got)
+    assert packing.packed_documents(docs.limit(0)).collect() == []

@@ -22,28 +22,29 @@ def plain(text: Column) -> Column:
     return F.transform(found, F.lower)
 
 
-def _is_consonant(w: str, i: int) -> bool:
-    c = w[i]
-    if c in "aeiou":
-        return False
-    return c != "y" or i == 0 or not _is_consonant(w, i - 1)
+def _consonants(w: str) -> list[bool]:
+    """For each letter whether it is a consonant; a y is one unless it follows one."""
+    out: list[bool] = []
+    for c in w:
+        out.append(c not in "aeiou" and (c != "y" or not out or not out[-1]))
+    return out
 
 
 def _measure(stem: str) -> int:
-    forms = "".join("c" if _is_consonant(stem, i) else "v" for i in range(len(stem)))
+    forms = "".join("c" if x else "v" for x in _consonants(stem))
     return len(re.findall("v+c+", forms))
 
 
 def _has_vowel(stem: str) -> bool:
-    return any(not _is_consonant(stem, i) for i in range(len(stem)))
+    return not all(_consonants(stem))
 
 
 def _doubled(w: str) -> bool:
-    return len(w) > 1 and w[-1] == w[-2] and _is_consonant(w, len(w) - 1)
+    return len(w) > 1 and w[-1] == w[-2] and w[-1] not in "aeiou"
 
 
 def _short_end(w: str) -> bool:
-    return len(w) > 2 and _is_consonant(w, len(w) - 1) and not _is_consonant(w, len(w) - 2) and _is_consonant(w, len(w) - 3) and w[-1] not in "wxy"
+    return _consonants(w)[-3:] == [True, False, True] and w[-1] not in "wxy"
 
 
 # The suffixes of steps 2, 3 and 4 of the published algorithm.
@@ -64,12 +65,12 @@ def _suffix(w: str, suffixes) -> str | None:
 def stem(w: str) -> str:
     if len(w) < 3 or not w.isascii() or not w.isalpha():
         return w
-    if w.endswith("sses") or w.endswith("ies"):
+    if (w.endswith("sses") and len(w) > 4) or (w.endswith("ies") and len(w) > 3):
         w = w[:-2]
     elif w.endswith("s") and not w.endswith("ss"):
         w = w[:-1]
     cut = None
-    if w.endswith("eed"):
+    if w.endswith("eed") and len(w) > 3:
         if _measure(w[:-3]) > 0:
             w = w[:-1]
     elif w.endswith("ed") and _has_vowel(w[:-2]):

@@ -3,7 +3,7 @@
 An index is three tables: items (path, title, body, tags and metadata, and length, the number of an
 item's tokens), postings (term, path, field, positions, length) in the order of their terms, so that
 a query's scan skips row groups of other terms, and counts (documents, words), a row for each
-segment. Queries are built from the classes below rather than from text. The number of documents,
+segment. A query is text (``match``) or built from the classes below. The number of documents,
 their mean length and a term's document count are those of the whole index, whatever filters follow.
 
 A stored index grows by segments: a change set adds one with the postings of its own items and the
@@ -13,8 +13,11 @@ few postings of its terms; ``write`` to a new place merges the segments.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -54,6 +57,31 @@ class Near:
     gap: int = 10
 
 
+@dataclass(frozen=True)
+class Words:
+    """A phrase: strings and whether each is a beginning of words only; each becomes as many words as the analyser makes of it."""
+
+    parts: tuple[tuple[str, bool], ...]
+
+
+@dataclass(frozen=True)
+class Group:
+    """A phrase, or phrases near each other with at most ``gap`` tokens between, in one of ``fields`` (None: any).
+
+    ``first``: the phrase stands at the field's start.
+    """
+
+    phrases: tuple[Words, ...]
+    gap: int = 10
+    fields: frozenset[str] | None = None
+    first: bool = False
+
+
+@dataclass(frozen=True)
+class Nothing:
+    """Matches no document."""
+
+
 @dataclass(frozen=True, init=False)
 class All:
     parts: tuple
@@ -233,18 +261,23 @@ def _condition(q, ids: dict[int, list[int]]) -> Column:
         return out
     if isinstance(q, Without):
         return _condition(q.wanted, ids) & ~_condition(q.unwanted, ids)
-    out = F.lit(True)
+    out = F.lit(not isinstance(q, Nothing))
     for i in ids[id(q)]:
         out &= F.col(f"f{i}") > 0
     return out
 
 
-def _negated(q, below: bool = False) -> set[int]:
-    if isinstance(q, (All, Any)):
-        return set().union(*[_negated(p, below) for p in q.parts], set())
+def _active(q, ids: dict[int, list[int]], above: Column) -> dict[int, Column]:
+    """For each scored leaf the condition under which it adds to a document's score: that all parts above it match.
+
+    What is unwanted adds nothing.
+    """
     if isinstance(q, Without):
-        return _negated(q.wanted, below) | _negated(q.unwanted, True)
-    return {id(q)} if below else set()
+        return _active(q.wanted, ids, above & _condition(q, ids))
+    if isinstance(q, (All, Any)):
+        here = above & _condition(q, ids) if isinstance(q, All) else above
+        return {k: v for p in q.parts for k, v in _active(p, ids, here).items()}
+    return {id(q): above & _condition(q, ids)}
 
 
 def _weighted(places: Column) -> Column:
@@ -276,6 +309,75 @@ def _by_field(found, field: str | None = None) -> Column:
     return out
 
 
+def _swept(lists: list[np.ndarray], sizes: list[int], gap: int) -> list[list[int]]:
+    """Which positions of each phrase stand in a window that has one of every phrase.
+
+    A merged sweep over the sorted lists: a window ends at its last position, and each phrase must
+    start no further before than ``gap`` and its own size. After a window the list whose next
+    position is smallest goes on.
+    """
+    out: list[list[int]] = [[] for _ in lists]
+    at = [0] * len(lists)
+    if not all(len(x) for x in lists):
+        return out
+    while True:
+        end = lists[0][at[0]]
+        moved = True
+        while moved:
+            moved = False
+            for i, x in enumerate(lists):
+                least = end - sizes[i] - gap
+                if x[at[i]] < least:
+                    moved = True
+                    at[i] += int(np.searchsorted(x[at[i] :], least))
+                    if at[i] == len(x):
+                        return out
+                if x[at[i]] > end:
+                    moved, end = True, x[at[i]]
+        for i, x in enumerate(lists):
+            if not out[i] or out[i][-1] != x[at[i]]:
+                out[i].append(int(x[at[i]]))
+        following = [x[k + 1] if k + 1 < len(x) else np.inf for k, x in zip(at, lists)]
+        i = int(np.argmin(following))
+        at[i] += 1
+        if at[i] == len(lists[i]):
+            return out
+
+
+def _near(starts: list[Column], sizes: list[int], gap: int) -> Column:
+    """The positions of each phrase that are near all others, from where each phrase starts in a field."""
+
+    def run(fields: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for x in fields:
+            yield x.map(lambda lists: _swept([np.asarray(p if p is not None else [], np.int64) for p in lists], sizes, gap))
+
+    return F.pandas_udf(run, "array<array<int>>")(F.array(*[F.coalesce(s, F.array().cast("array<int>")) for s in starts]))
+
+
+def _group_hits(q: Group, phrases: list[list[tuple[str, bool]]]) -> list[tuple[Column, Column]]:
+    """(f, counted) for each phrase of a group."""
+    names = [n for n in WEIGHTS if q.fields is None or n in q.fields]
+
+    def places(term: tuple[str, bool], name: str) -> Column:
+        found = F.filter("places", lambda p: (p["term"].startswith(term[0]) if term[1] else p["term"] == term[0]) & (p["field"] == name))
+        return F.array_sort(F.array_distinct(F.flatten(F.transform(found, lambda p: p["positions"]))))
+
+    def starts(phrase: list[tuple[str, bool]], name: str) -> Column:
+        out = places(phrase[0], name)
+        for i, t in enumerate(phrase[1:], 1):
+            out = F.array_intersect(out, _shifted(places(t, name), i))
+        return F.filter(out, lambda p: p == 0) if q.first else out
+
+    alone = {n: [starts(p, n) for p in phrases] for n in names}
+    near = {n: _near(x, [len(p) for p in phrases], q.gap) if len(phrases) > 1 else F.array(*x) for n, x in alone.items()}
+    out = []
+    for i in range(len(phrases)):
+        f = sum((WEIGHTS[n] * F.size(F.get(near[n], F.lit(i))) for n in names), F.lit(0.0))
+        counted = sum((F.size(alone[n][i]) for n in names), F.lit(0)) > 0
+        out.append((f, counted))
+    return out
+
+
 def _hits(q, terms: list[str]) -> list[tuple[Column, Column]]:
     """(f, counted) for each scored part of a leaf, over a document's places of the query's terms.
 
@@ -316,36 +418,60 @@ def _score(idf: Column, f: Column, mean: float) -> Column:
 
 
 def matches(index: Index, query) -> DataFrame:
-    """(path, score) of the matching documents.
+    """(path, score) of the documents that match ``query``, a text or one of the classes above.
 
     One scan of the postings of the query's terms gives a row for each document that has any; all
     parts of the query are expressions over that row.
     """
-    leaves = _leaves(query)
-    analysed = {id(q): analyze.query_terms(f"{q.left} {q.right}" if isinstance(q, Near) else q.text, index.analyser) for q in leaves}
-    exact = sorted({t for q in leaves if not isinstance(q, Prefix) for t in analysed[id(q)]})
+    query = _query(query)
+    leaves = [q for q in _leaves(query) if not isinstance(q, Nothing)]
+    groups = {id(q): [_phrase(p, index.analyser) for p in q.phrases] for q in leaves if isinstance(q, Group)}
+    analysed = {id(q): analyze.query_terms(f"{q.left} {q.right}" if isinstance(q, Near) else q.text, index.analyser) for q in leaves if id(q) not in groups}
+    found = [t for phrases in groups.values() for p in phrases for t in p]
+    exact = sorted({t for q in leaves if not isinstance(q, (Prefix, Group)) for t in analysed[id(q)]} | {t for t, prefix in found if not prefix})
     wanted = F.col("term").isin(exact) if exact else F.lit(False)
-    for p in sorted({analyze.folded(q.text) for q in leaves if isinstance(q, Prefix)}):
+    for p in sorted({analyze.folded(q.text) for q in leaves if isinstance(q, Prefix)} | {t for t, prefix in found if prefix}):
         wanted |= F.col("term").startswith(p)
     each = index.postings.filter(wanted).groupBy("path").agg(F.collect_list(F.struct("term", "field", "positions")).alias("places"), F.first("length").alias("length"))
     ids, columns = {}, []
     for q in leaves:
-        own = _hits(q, analysed[id(q)])
+        own = _group_hits(q, groups[id(q)]) if id(q) in groups else _hits(q, analysed[id(q)])
         ids[id(q)] = list(range(len(columns), len(columns) + len(own)))
         columns += own
     each = each.select("path", "length", *[f.alias(f"f{i}") for i, (f, _) in enumerate(columns)], *[c.alias(f"c{i}") for i, (_, c) in enumerate(columns)])
     if not index.stored:
         each = written(each, compact=True)
-    n = each.agg(*[F.count_if(f"c{i}").alias(f"c{i}") for i in range(len(columns))]).first()
     total, mean = index.statistics()
-    silent = {i for q in leaves if id(q) in _negated(query) for i in ids[id(q)]}
+    if not columns:
+        return each.select("path", F.lit(0.0).alias("score")).filter(F.lit(False))
+    n = each.agg(*[F.count_if(f"c{i}").alias(f"c{i}") for i in range(len(columns))]).first()
+    ids |= {id(q): [] for q in _leaves(query) if isinstance(q, Nothing)}
     score = F.lit(0.0)
-    for i in range(len(columns)):
-        if i not in silent:
-            score += F.when(F.col(f"f{i}") > 0, _score(_idf(total, F.lit(n[i])), F.col(f"f{i}"), mean)).otherwise(0.0)
+    for q, active in _active(query, ids, F.lit(True)).items():
+        for i in ids[q]:
+            score += F.when(active & (F.col(f"f{i}") > 0), _score(_idf(total, F.lit(n[i])), F.col(f"f{i}"), mean)).otherwise(0.0)
     return each.filter(_condition(query, ids)).select("path", score.alias("score"))
 
 
+def _query(query):
+    """A query of these classes, from text too."""
+    if not isinstance(query, str):
+        return query
+    from quillon.operators import match
+
+    return match.query(query)
+
+
+def _phrase(words: Words, analyser: str) -> list[tuple[str, bool]]:
+    """The terms of a phrase, and whether each is a beginning only: the last of a string that is one."""
+    out: list[tuple[str, bool]] = []
+    for text, prefix in words.parts:
+        out += [(t, False) for t in analyze.query_terms(text, analyser)]
+        if out:
+            out[-1] = out[-1][0], prefix
+    return out
+
+
 HIT = ["path", "title", "score", "tier", "tokens", "hop_distance", "rank"]
 
 

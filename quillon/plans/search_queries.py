@@ -119,6 +119,18 @@ def search_without(spark, sf_dir):
     return shown(search.search(stored_index(spark, sf_dir), Without(Term("license"), Term("apache")), Filter(limit=50)))
 
 
+_MIT = "SELECT a.path, a.field, count(*) AS hits FROM tok a JOIN tok b ON a.path = b.path AND a.field = b.field AND b.pos = a.pos + 1 AND b.term = 'license' WHERE a.term = 'mit' GROUP BY a.path, a.field"
+
+
+@query(ranked_sql([
+    _MIT, "SELECT path, field, count(*) AS hits FROM tok WHERE term LIKE 'licen%' AND field = 'body' GROUP BY path, field",
+    "SELECT path, field, count(*) AS hits FROM tok WHERE term = 'the' AND pos = 1 GROUP BY path, field", term_sql("apache", "title"),
+], "(m0 OR m1 OR m2) AND NOT m3", limit=60, silent=(3,)))
+def search_match(spark, sf_dir):
+    """A query as text: a phrase, a beginning in one column, a word at a field's start, and what is unwanted."""
+    return shown(search.search(stored_index(spark, sf_dir), '("MIT license" OR content:licen* OR ^the) NOT title:apache', Filter(limit=60)))
+
+
 @query(ranked_sql(["SELECT a.path, a.field, count(*) AS hits FROM tok a JOIN tok b ON a.path = b.path AND a.field = b.field AND b.pos = a.pos + 1 AND b.term = 'public' "
                    "JOIN tok c ON a.path = c.path AND a.field = c.field AND c.pos = a.pos + 2 AND c.term = 'license' WHERE a.term = 'general' GROUP BY a.path, a.field"], "m0", limit=40))
 def search_phrase(spark, sf_dir):

@@ -186,3 +186,17 @@ def test_embedder_runs_in_batches(spark):
     items = spark.createDataFrame([("a", "T", "body"), ("b", "", "")], "path string, title string, body string")
     got = vector.embedded_by(items, lambda texts: [[float(len(t))] if t.strip() else None for t in texts]).collect()
     assert {r.path: r.embedding for r in got} == {"a": [7.0], "b": None}
+
+
+def test_stems_of_tokens_of_any_kind():
+    """Thousands of made words against SQLite's stemmer; long runs of y stay within Python's stack."""
+    db = sqlite3.connect(":memory:")
+    db.execute("create virtual table t using fts5(x, tokenize='porter unicode61')")
+    db.execute("create virtual table v using fts5vocab(t, 'row')")
+    r, ends = random.Random(1), ["", "s", "ing", "ed", "ness", "y", "ies", "ational", "eed", "ll"]
+    for w in ("".join(r.choice("aeiouyybcdlstz") for _ in range(r.randint(0, 8))) + r.choice(ends) for _ in range(3000)):
+        if w:
+            db.execute("delete from t")
+            db.execute("insert into t values (?)", [w])
+            assert analyze.stem(w) == db.execute("select term from v").fetchone()[0], w
+    assert analyze.stem("y" * 2000 + "ness") and analyze.stem("y" * 5001 + "ing") and analyze.terms("y" * 100_000)

@@ -62,19 +62,39 @@ def poll_states(polls: DataFrame, grants: DataFrame, devices: DataFrame, tenants
     return x.select("poll_id", state.alias("state"))
 
 
-def authorized(requests: DataFrame, devices: DataFrame, tenants: DataFrame) -> DataFrame:
-    """(request_id, status): by method, then certificate serial, device, revocation, tenant and address."""
+def authorized(requests: DataFrame, devices: DataFrame, tenants: DataFrame, started: DataFrame | None = None) -> DataFrame:
+    """(request_id, status, tenant_id, start): by method, then certificate serial, device, revocation, tenant and address.
+
+    A tenant that is not running is started for the request: start is true, and the status is that
+    of a running one unless ``started`` (tenant_id, ok) says that the start failed (503). tenant_id
+    is set where the request reached its tenant, whether or not the start worked.
+    """
     d = devices.select("serial", F.col("tenant_id").alias("d_tenant"), "revoked_at", F.lit(True).alias("d_found"))
     t = tenants.select(F.col("tenant_id").alias("t_id"), "slug", "running")
     x = requests.join(d, "serial", "left").join(t, F.col("d_tenant") == F.col("t_id"), "left")
+    if started is not None:
+        x = x.join(started.select(F.col("tenant_id").alias("t_id"), "ok").distinct(), "t_id", "left")
+    failed = F.coalesce(~F.col("ok"), F.lit(False)) if started is not None else F.lit(False)
+    reached = F.coalesce(F.col("slug") == tenant_of(F.col("url")), F.lit(False))
     status = (
         F.when(~F.coalesce(F.col("method").isin("GET", "POST"), F.lit(False)), 405)
         .when(F.col("serial").isNull() | F.col("d_found").isNull() | F.col("revoked_at").isNotNull(), 401)
-        .when(F.col("t_id").isNull() | (F.col("slug") != tenant_of(F.col("url"))), 404)
-        .when(~F.col("running"), 503)
+        .when(~reached, 404)
+        .when(~F.col("running") & failed, 503)
         .otherwise(200)
     )
-    return x.select("request_id", status.alias("status"))
+    x = x.withColumn("status", status).withColumn("tenant_id", F.when(F.col("status").isin(200, 503), F.col("t_id")))
+    return x.select("request_id", "status", "tenant_id", F.coalesce(F.col("tenant_id").isNotNull() & ~F.col("running"), F.lit(False)).alias("start"))
+
+
+def touched(requests: DataFrame, answers: DataFrame) -> DataFrame:
+    """(tenant_id, last_active): when each tenant was last reached by ``requests`` (request_id, at), from their ``authorized`` answers."""
+    return answers.filter("tenant_id is not null").join(requests.select("request_id", "at"), "request_id").groupBy("tenant_id").agg(F.max("at").alias("last_active"))
+
+
+def starts(answers: DataFrame) -> DataFrame:
+    """(tenant_id): the tenants that ``authorized`` answers ask to start, each once."""
+    return answers.filter("start").select("tenant_id").distinct()
 
 
 def tenant_of(url: Column) -> Column:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import derive, frontmatter
+from quillon.operators.history import History, best_base
+from quillon.plans.tables import written
 
 SCALARS = ("title", "type", "scope", "workspace", "visibility", "confidence", "expires")
 #: Fields that are taken from ours, whatever theirs has; ``strict`` merges them like scalars.
@@ -83,16 +87,14 @@ def modify_beats_delete(conflicts: DataFrame) -> DataFrame:
 QUESTION, RESOLVER = "deletion of %s needs confirmation", "agent:merge-resolver"
 
 
-def deletion_questions(conflicts: DataFrame, nanos: Column, actor: str = RESOLVER) -> DataFrame:
+def deletion_questions(conflicts: DataFrame, nanos: Column, question: Column, actor: str = RESOLVER) -> DataFrame:
     """(path, text): an inbox document for each conflict (path, class) of a modification and a deletion.
 
-    The modification stays; the document, a proposed project state, asks whether the file should go.
+    ``question`` is its body, over path and class; the document is a proposed project state.
     """
     asked = conflicts.filter(F.col("class").startswith("modify/delete"))
-    title, ours = F.format_string(QUESTION, "path"), F.col("class").endswith("ours")
-    deleter, other = F.when(ours, "our side").otherwise("the other side"), F.when(ours, "the other side's").otherwise("our")
-    body = F.format_string("`%s` was deleted by %s, but %s modification was kept: a deletion always loses to a modification. Should `%s` still be deleted?", "path", deleter, other, "path")
-    text = frontmatter.remembered(title, F.lit("project-state"), F.lit(None).cast("string"), F.lit(actor), body)
+    title = F.format_string(QUESTION, "path")
+    text = frontmatter.remembered(title, F.lit("project-state"), F.lit(None).cast("string"), F.lit(actor), question)
     return asked.select(derive.inbox_path(title, nanos).alias("path"), text.alias("text"))
 
 
@@ -124,6 +126,31 @@ def folded(base: DataFrame, branches: list[DataFrame], **options) -> DataFrame:
     return current
 
 
+def folded_tips(history: History, tips: list[str], tree: Callable[[str], DataFrame], **options) -> DataFrame:
+    """(path, text) after merging the commits ``tips`` into the first, one after the other, each from its own base.
+
+    ``tree`` gives the files (path, text) of a commit. A base is the best common ancestor of a tip
+    and of all that is merged so far (of several the one of the largest generation); without one it
+    is an empty tree. A tip that is contained already changes nothing. Each step is written, so the
+    plan of a step holds one merge. Tips are branches, a few.
+    """
+    spark = history.nodes.sparkSession
+    current, merged = tree(tips[0]).select("path", "text"), tips[:1]
+    for tip in tips[1:]:
+        pairs = spark.createDataFrame([(0, 0, x) for x in merged] + [(0, 1, tip)], "pair int, side int, sha string")
+        base = best_base(history, history.merge_bases(pairs)).first()
+        if base is not None and base.sha == tip:
+            continue
+        before = tree(base.sha).select("path", "text") if base is not None else current.limit(0)
+        current, merged = written(merged_trees(before, current, tree(tip), **options).select("path", "text")), [*merged, tip]
+    return current
+
+
+def unsigned_between(commits: DataFrame, history: History, since: DataFrame, until: DataFrame) -> DataFrame:
+    """``unsigned_commits`` of what is reachable from ``until`` (sha) and not from ``since``."""
+    return unsigned_commits(commits.join(history.between(since, until), "sha", "left_semi"), since)
+
+
 def unsigned_commits(commits: DataFrame, since: DataFrame) -> DataFrame:
     """(sha, subject) of commits that are no merges, have no valid signer and are not among ``since``."""
     signed = F.coalesce((F.col("validity") == "G") & (F.col("signer") != ""), F.lit(False))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import analyze
 from quillon.operators import graph, incremental
-from quillon.plans.tables import ranked, small, within_budget, written
+from quillon.plans.tables import BROADCAST_ROWS, ranked, small, within_budget, written
 
 WEIGHTS = {"title": 2.0, "body": 1.0, "tags": 2.0}
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -480,7 +480,8 @@ def search(index: Index, query, where: Filter = Filter()) -> DataFrame:
     found, order = matches(index, query), [F.desc("score"), F.asc("path")]
     if where.limit is not None and where.takes_all():
         # Only the rows that stay are looked up.
-        found = F.broadcast(found.orderBy(*order).limit(where.limit))
+        found = found.orderBy(*order).limit(where.limit)
+        found = F.broadcast(found) if where.limit <= BROADCAST_ROWS else found
     meta = index.items.filter(where.condition()).select("path", "title", "tier", "tokens")
     found = meta.join(found, "path").withColumn("hop_distance", F.lit(0))
     return within_budget(ranked(found, order, where.limit), where.budget).select(*HIT)

@@ -9,14 +9,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.operators.search import HIT, Filter, Index, matches
-from quillon.plans.tables import ranked, within_budget
+from quillon.operators.search import HIT, Filter, Index, matches, search
+from quillon.plans.tables import ranked, within_budget, written
 
 FUSION_CONSTANT, LIST_LENGTH = 60, 40
 
 
 class DimensionMismatch(ValueError):
-    """No stored vector has the query's dimension; ``stored`` lists those there are."""
+    """No eligible vector has the query's dimension; ``stored`` lists those there are in the whole table."""
 
     def __init__(self, query: int, stored: list[int]):
         super().__init__(f"query has {query} dimensions, stored vectors have {stored}")
@@ -85,15 +85,22 @@ def stored_dimensions(items: DataFrame) -> DataFrame:
     return items.filter(F.size("embedding") > 0).groupBy(F.size("embedding").alias("dimensions")).agg(F.count("*").alias("vectors"))
 
 
-def hybrid(index: Index, query, vector: list[float], where: Filter = Filter()) -> DataFrame:
-    """Fuses the best LIST_LENGTH hits of the text and of the vector search."""
-    stored = [r.dimensions for r in stored_dimensions(index.items).collect()]
-    if len(vector) not in stored:
-        raise DimensionMismatch(len(vector), sorted(stored))
+def hybrid(index: Index, query, vector: list[float], where: Filter = Filter(), fall_back: bool = False) -> DataFrame:
+    """Fuses the best LIST_LENGTH hits of the text and of the vector search.
+
+    If the filters leave no vector of the query's dimension this is a DimensionMismatch, or the text
+    search alone with ``fall_back``. Vectors are scanned once; only in that case are their dimensions
+    looked up.
+    """
+    near = written(nearest(index.items, vector, where), compact=True)
+    if near.isEmpty():
+        if fall_back:
+            return search(index, query, where)
+        raise DimensionMismatch(len(vector), sorted(r.dimensions for r in stored_dimensions(index.items).collect()))
     meta = index.items.select("path", "title", "tier", "tokens")
     text = matches(index, query).join(index.items.filter(where.condition()).select("path"), "path", "left_semi")
     text = ranked(text, [F.desc("score"), F.asc("path")], LIST_LENGTH)
-    both = fused(text, nearest(index.items, vector, where)).join(meta, "path").withColumn("hop_distance", F.lit(0))
+    both = fused(text, near).join(meta, "path").withColumn("hop_distance", F.lit(0))
     return within_budget(ranked(both, [F.desc("score"), F.asc("path")], where.limit), where.budget).select(*HIT)
 
 

@@ -13,10 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import derive, frontmatter, secrets
-from quillon.operators import control_plane, graph, incremental, materialize, merge
+from quillon.operators import control_plane, graph, history, incremental, materialize, merge
 from quillon.plans.driver_tables import ITEMS_SQL, items, table
 from quillon.plans.tables import shared_dir
 from quillon.sources import files, sinks
+from quillon.streaming import watch
 
 QUERIES, SQL = {}, {}
 
@@ -339,16 +340,153 @@ def grant_polls(spark, sf_dir):
     return control_plane.poll_states(polls, grants, devices(spark, sf_dir), tenants(spark, sf_dir), NOW)
 
 
-@query("""WITH d AS (SELECT s_suppkey, s_nationkey FROM supplier WHERE s_suppkey % 3 <> 0 AND s_suppkey % 4 <> 0),
-t AS (SELECT n_nationkey, replace(lower(n_name), ' ', '-') AS slug FROM nation WHERE n_nationkey % 6 <> 0)
-SELECT c_custkey AS request_id, CASE WHEN c_custkey % 8 = 0 THEN 405 WHEN d.s_suppkey IS NULL THEN 401 WHEN t.slug IS NULL OR t.slug <> replace(lower(n.n_name), ' ', '-') THEN 404
-  WHEN t.n_nationkey % 5 = 0 THEN 503 ELSE 200 END AS status
-FROM customer JOIN nation n ON n.n_nationkey = c_nationkey LEFT JOIN d ON d.s_suppkey = c_custkey % 12 LEFT JOIN t ON t.n_nationkey = d.s_nationkey""")
-def authorized_requests(spark, sf_dir):
+_ANSWERS = """d AS (SELECT s_suppkey, s_nationkey FROM supplier WHERE s_suppkey % 3 <> 0 AND s_suppkey % 4 <> 0),
+t AS (SELECT n_nationkey, replace(lower(n_name), ' ', '-') AS slug FROM nation WHERE n_nationkey % 6 <> 0),
+x AS (SELECT c_custkey, t.n_nationkey AS tenant, CASE WHEN c_custkey % 8 = 0 THEN 405 WHEN d.s_suppkey IS NULL THEN 401
+    WHEN t.slug IS NULL OR t.slug <> replace(lower(n.n_name), ' ', '-') THEN 404 WHEN t.n_nationkey % 10 = 0 THEN 503 ELSE 200 END AS status
+  FROM customer JOIN nation n ON n.n_nationkey = c_nationkey LEFT JOIN d ON d.s_suppkey = c_custkey % 12 LEFT JOIN t ON t.n_nationkey = d.s_nationkey),
+a AS (SELECT c_custkey AS request_id, status, CASE WHEN status IN (200, 503) THEN tenant END AS tenant_id, status IN (200, 503) AND tenant % 5 = 0 AS start FROM x)"""
+
+
+def requests(spark, sf_dir) -> DataFrame:
     c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
     n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.lower(F.replace("n_name", s(" "), s("-"))).alias("asked"))
-    requests = c.join(n, "c_nationkey").select(k.alias("request_id"), F.concat(s("S"), k % 12).alias("serial"), F.concat(s("/"), "asked", s("/info/refs")).alias("url"), F.when(k % 8 == 0, "PUT").otherwise("GET").alias("method"))
-    return control_plane.authorized(requests, devices(spark, sf_dir), tenants(spark, sf_dir))
+    address = F.concat(s("/"), "asked", s("/info/refs"))
+    return c.join(n, "c_nationkey").select(k.alias("request_id"), F.concat(s("S"), k % 12).alias("serial"), address.alias("url"), F.when(k % 8 == 0, "PUT").otherwise("GET").alias("method"), (k * 3).alias("at"))
+
+
+def answers(spark, sf_dir) -> DataFrame:
+    """A fifth of the tenants is not running; of those with an even key the start fails."""
+    started = tenants(spark, sf_dir).filter("not running").select("tenant_id", (F.col("tenant_id") % 2 != 0).alias("ok"))
+    return control_plane.authorized(requests(spark, sf_dir), devices(spark, sf_dir), tenants(spark, sf_dir), started)
+
+
+@query(f"WITH {_ANSWERS} SELECT request_id, status, coalesce(tenant_id, -1) AS tenant_id, coalesce(start, false) AS start FROM a")
+def authorized_requests(spark, sf_dir):
+    return answers(spark, sf_dir).withColumn("tenant_id", F.coalesce("tenant_id", F.lit(-1)))
+
+
+@query(f"WITH {_ANSWERS} SELECT tenant_id, max(request_id) * 3 AS last_active, bool_or(start) AS start FROM a WHERE tenant_id IS NOT NULL GROUP BY tenant_id")
+def touched_tenants(spark, sf_dir):
+    found = answers(spark, sf_dir)
+    asked = control_plane.starts(found).withColumn("start", F.lit(True))
+    return control_plane.touched(requests(spark, sf_dir), found).join(asked, "tenant_id", "left").withColumn("start", F.coalesce("start", F.lit(False)))
+
+
+# A history: order k has the parents k / 2 and, for every fifth, k / 3; keys that are no orders end it.
+_GRAPH = """e AS (SELECT o_orderkey AS k, o_orderkey // 2 AS p FROM orders WHERE o_orderkey >= 2 UNION SELECT o_orderkey, o_orderkey // 3 FROM orders WHERE o_orderkey >= 3 AND o_orderkey % 5 = 0),
+g AS (SELECT k, p FROM e WHERE p IN (SELECT o_orderkey FROM orders))"""
+
+
+def order_history(spark, sf_dir) -> DataFrame:
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    text = lambda x: F.floor(x).cast("long").cast("string")
+    parents = F.when(k < 2, F.array().cast("array<string>")).when((k >= 3) & (k % 5 == 0), F.array(text(k / 2), text(k / 3))).otherwise(F.array(text(k / 2)))
+    return o.select(k.cast("string").alias("sha"), parents.alias("parents"), (k % 7 == 0).alias("valid"), F.concat(s("Change "), k).alias("message"))
+
+
+def some(spark, sf_dir, condition: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").filter(condition).select(F.col("o_orderkey").cast("string").alias("sha"))
+
+
+_RANGE = f"""WITH RECURSIVE {_GRAPH},
+u(k) AS (SELECT o_orderkey FROM orders WHERE o_orderkey % 97 = 5 UNION SELECT p FROM u JOIN g USING (k)),
+s(k) AS (SELECT o_orderkey FROM orders WHERE o_orderkey % 89 = 3 UNION SELECT p FROM s JOIN g USING (k)),
+r AS (SELECT k FROM u EXCEPT SELECT k FROM s)"""
+
+
+@query(f"{_RANGE} SELECT CAST(k AS VARCHAR) AS sha FROM r")
+def commit_range(spark, sf_dir):
+    h = history.History.of(order_history(spark, sf_dir))
+    return h.between(some(spark, sf_dir, "o_orderkey % 89 = 3"), some(spark, sf_dir, "o_orderkey % 97 = 5"))
+
+
+@query(f"{_RANGE} SELECT CAST(k AS VARCHAR) AS sha, 'Change ' || k AS subject FROM r WHERE k % 7 <> 0 AND NOT (k >= 3 AND k % 5 = 0)")
+def unsigned_arrivals(spark, sf_dir):
+    """Commits of a range that are no merges and have no valid signature."""
+    c = order_history(spark, sf_dir)
+    signed = c.select("sha", "parents", "message", F.when(F.col("valid"), "G").otherwise("N").alias("validity"), s("human:a").alias("signer"))
+    return merge.unsigned_between(signed, history.History.of(c), some(spark, sf_dir, "o_orderkey % 89 = 3"), some(spark, sf_dir, "o_orderkey % 97 = 5"))
+
+
+@query(f"""WITH RECURSIVE {_GRAPH},
+m AS (SELECT max(o_orderkey) AS m FROM orders),
+t AS (SELECT c_custkey AS pair, 0 AS side, (c_custkey * 31) % m AS k FROM customer, m UNION ALL SELECT c_custkey, 1, (c_custkey * 57) % m FROM customer, m),
+a(pair, side, k) AS (SELECT pair, side, k FROM t WHERE k IN (SELECT o_orderkey FROM orders) UNION SELECT pair, side, p FROM a JOIN g USING (k)),
+c AS (SELECT pair, k FROM a GROUP BY pair, k HAVING count(DISTINCT side) = 2)
+SELECT pair, CAST(k AS VARCHAR) AS sha FROM c WHERE NOT EXISTS (SELECT 1 FROM g JOIN c d ON d.k = g.k WHERE d.pair = c.pair AND g.p = c.k)""")
+def merge_bases(spark, sf_dir):
+    """The best common ancestors of a pair of commits for each customer, all pairs at once."""
+    m = table(spark, sf_dir, "orders").agg(F.max("o_orderkey")).first()[0]
+    k = F.col("c_custkey")
+    side = lambda n, by: table(spark, sf_dir, "customer").select(k.alias("pair"), F.lit(n).alias("side"), (k * by % m).cast("string").alias("sha"))
+    return history.History.of(order_history(spark, sf_dir)).merge_bases(side(0, 31).unionByName(side(1, 57)))
+
+
+@query(f"""{_RANGE}
+SELECT CAST(k AS VARCHAR) AS sha, 'new' AS kind FROM r UNION ALL
+SELECT DISTINCT CAST(p AS VARCHAR), 'prerequisite' FROM g WHERE k IN (SELECT k FROM r) AND p NOT IN (SELECT k FROM r)
+UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'ref' FROM orders WHERE o_orderkey % 97 = 5 AND o_orderkey <> 5""")
+def bundled_commits(spark, sf_dir):
+    """An incremental bundle, and what its import adds to a store that has what it builds on."""
+    c, path = order_history(spark, sf_dir), f"{shared_dir(spark)}/bundle-{uuid.uuid4().hex}"
+    h, since = history.History.of(c), some(spark, sf_dir, "o_orderkey % 89 = 3")
+    refs = some(spark, sf_dir, "o_orderkey % 97 = 5").select(F.concat(s("sync/"), "sha").alias("name"), "sha")
+    sinks.export_commits(c, h, refs, path, since)
+    here = c.join(h.between(since, refs.select("sha")), "sha", "left_anti")
+    after, to_merge = sinks.import_commits(here, path, "sync/5")
+    new = after.join(here, "sha", "left_anti").select("sha", s("new").alias("kind"))
+    needed = spark.read.parquet(f"{path}/prerequisites").select("sha", s("prerequisite").alias("kind"))
+    return new.unionByName(needed).unionByName(to_merge.select("sha", s("ref").alias("kind")))
+
+
+@query("""WITH b AS (SELECT p_partkey, p_size FROM part WHERE p_partkey % 11 <> 0), a AS (SELECT p_partkey, CASE WHEN p_partkey % 13 = 0 THEN p_size + 1 ELSE p_size END AS p_size FROM part WHERE p_partkey % 17 <> 0)
+SELECT 'f' || (p_partkey % 37) || '/g' || (p_partkey % 3) || '/' || p_partkey || '.md' AS path,
+  CASE WHEN b.p_size IS NULL THEN 'added' WHEN a.p_size IS NULL THEN 'deleted' ELSE 'modified' END AS change
+FROM b FULL JOIN a USING (p_partkey) WHERE b.p_size IS DISTINCT FROM a.p_size""")
+def tree_changes(spark, sf_dir):
+    """Two revisions of parts in nested folders: only folders whose hashes differ are opened."""
+    k = F.col("p_partkey")
+    folder, inner = F.concat(s("f"), k % 37), F.concat(s("g"), k % 3)
+
+    def revision(parts: DataFrame) -> tuple[DataFrame, str]:
+        hashed = lambda: F.md5(F.array_join(F.sort_array(F.collect_list(F.concat("name", s(":"), "hash"))), ","))
+        leaf = parts.select(folder.alias("folder"), inner.alias("inner"), F.concat(k, s(".md")).alias("name"), F.md5(F.col("p_size").cast("string")).alias("hash"))
+        of_inner = leaf.groupBy("folder", "inner").agg(hashed().alias("tree"))
+        mid = of_inner.select("folder", F.col("inner").alias("name"), F.col("tree").alias("hash"))
+        of_folder = mid.groupBy("folder").agg(hashed().alias("tree"))
+        top = of_folder.select(F.col("folder").alias("name"), F.col("tree").alias("hash"))
+        root = top.agg(hashed().alias("tree")).first()[0]
+        entry = lambda x, kind: x.select("tree", "name", s(kind).alias("kind"), "hash")
+        return (
+            entry(leaf.join(of_inner, ["folder", "inner"]), "blob").unionByName(entry(mid.join(of_folder, "folder"), "tree")).unionByName(entry(top.withColumn("tree", F.lit(root)), "tree")), root
+        )
+
+    p = table(spark, sf_dir, "part")
+    before, b = revision(p.filter("p_partkey % 11 <> 0"))
+    after, a = revision(p.filter("p_partkey % 17 <> 0").withColumn("p_size", F.when(k % 13 == 0, F.col("p_size") + 1).otherwise(F.col("p_size"))))
+    return history.tree_changes(before.unionByName(after).distinct(), b, a).select("path", "change")
+
+
+@query("""WITH v AS (SELECT 1 AS number, doc_id, text FROM documents WHERE doc_id % 7 <> 0
+  UNION ALL SELECT 2, doc_id, CASE WHEN doc_id % 5 = 0 THEN 'edited' ELSE text END FROM documents WHERE doc_id % 11 <> 0
+  UNION ALL SELECT 3, doc_id, CASE WHEN doc_id % 5 = 0 THEN 'edited' ELSE text END FROM documents WHERE doc_id % 2 <> 0),
+n AS (SELECT DISTINCT number FROM v)
+SELECT n.number, d.doc_id || '.md' AS path, CASE WHEN b.doc_id IS NULL THEN 'added' WHEN a.doc_id IS NULL THEN 'deleted' ELSE 'modified' END AS change
+FROM n CROSS JOIN documents d LEFT JOIN v a ON a.number = n.number AND a.doc_id = d.doc_id LEFT JOIN v b ON b.number = n.number - 1 AND b.doc_id = d.doc_id
+WHERE (a.doc_id IS NULL) <> (b.doc_id IS NULL) OR (a.doc_id IS NOT NULL AND a.text IS DISTINCT FROM b.text)""")
+def followed_versions(spark, sf_dir):
+    """Three versions of the documents are published; a stream hands on what each changes."""
+    d, base = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/follow-{uuid.uuid4().hex}"
+    edited = F.when(F.col("doc_id") % 5 == 0, "edited").otherwise(F.col("text"))
+    for rows in (d.filter("doc_id % 7 <> 0"), d.filter("doc_id % 11 <> 0").withColumn("text", edited), d.filter("doc_id % 2 <> 0").withColumn("text", edited)):
+        sinks.publish(rows.select(F.concat("doc_id", s(".md")).alias("path"), F.sha2(F.coalesce("text", s("")), 256).alias("digest")), base)
+
+    def keep(changes: DataFrame, number: int) -> None:
+        changes.withColumn("number", F.lit(number)).write.mode("overwrite").parquet(f"{base}/changes/version={number}")
+
+    watch.following(spark, base, keep, f"{base}/state", ["digest"], once=True).awaitTermination()
+    return spark.read.parquet(f"{base}/changes").select("number", "path", "change")
 
 
 @query("""SELECT c_custkey AS connection_id FROM customer WHERE (c_custkey % 12) % 4 = 0 AND (c_custkey % 12) % 3 <> 0 AND (c_custkey % 12) IN (SELECT s_suppkey FROM supplier)""")
@@ -513,11 +651,10 @@ def refreshed_links(spark, sf_dir):
 @query("""WITH p AS (SELECT doc_id, 'dir with space/' || doc_id || CASE WHEN doc_id % 9 = 0 THEN '.txt' ELSE '.md' END AS path FROM documents WHERE doc_id % 6 = 5 AND doc_id % 4 <> 1)
 SELECT 'inbox/' || trim(regexp_replace(lower('deletion of ' || path || ' needs confirmation'), '[^a-z0-9]+', '-', 'g'), '-') || '-7.md' AS path,
   '---' || chr(10) || 'title: "deletion of ' || path || ' needs confirmation"' || chr(10) || 'type: project-state' || chr(10) || 'provenance:' || chr(10) || '  actor: "agent:merge-resolver"' || chr(10)
-  || '  source: conversation' || chr(10) || 'confidence: proposed' || chr(10) || '---' || chr(10) || chr(10) || '`' || path || '` was deleted by our side, but the other side''s modification was kept: '
-  || 'a deletion always loses to a modification. Should `' || path || '` still be deleted?' || chr(10) AS text FROM p""")
+  || '  source: conversation' || chr(10) || 'confidence: proposed' || chr(10) || '---' || chr(10) || chr(10) || 'Remove ' || path || '? It is kept with its edits, though one side (modify/delete by ours) removed it.' || chr(10) AS text FROM p""")
 def deletion_questions(spark, sf_dir):
     found = files.unmerged(status_lines(spark, sf_dir)).select("path", merge.conflict_class(F.col("code")).alias("class"))
-    return merge.deletion_questions(found, s(7))
+    return merge.deletion_questions(found, s(7), F.format_string("Remove %s? It is kept with its edits, though one side (%s) removed it.", "path", "class"))
 
 
 #: State of each side by a number's remainder: b(ase), a change of ours or theirs, or - for nothing.

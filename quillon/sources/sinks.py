@@ -7,7 +7,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.operators.history import History
 from quillon.operators.incremental import checked_unique
+from quillon.plans.tables import written
 
 
 def publish(items: DataFrame, root: str) -> str:
@@ -70,6 +72,30 @@ def import_bundle(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return out
 
 
+def export_commits(commits: DataFrame, history: History, refs: DataFrame, path: str, since: DataFrame | None = None) -> None:
+    """A bundle of what is reachable from ``refs`` (name, sha), without what is from ``since`` (sha), and of the refs.
+
+    prerequisites are the parents that the bundle does not hold.
+    """
+    since = since if since is not None else refs.select("sha").limit(0)
+    rows = written(commits.join(history.between(since, refs.select("sha")), "sha", "left_semi"))
+    outside = rows.select(F.explode("parents").alias("sha")).distinct().join(rows, "sha", "left_anti")
+    export_bundle({"commits": rows, "refs": refs.select("name", "sha"), "prerequisites": outside}, path)
+
+
+def import_commits(commits: DataFrame, path: str, own: str) -> tuple[DataFrame, DataFrame]:
+    """``commits`` with those of a bundle that are new, and the refs (name, sha) to merge: all but ``own``.
+
+    A bundle is refused whose counts are wrong or that builds on commits which are not here.
+    """
+    tables = import_bundle(commits.sparkSession, path)
+    missing = tables["prerequisites"].join(commits, "sha", "left_anti").orderBy("sha").first()
+    if missing is not None:
+        raise BadBundle(f"prerequisite {missing.sha} is missing")
+    new = tables["commits"].select(*commits.columns).join(commits.select("sha"), "sha", "left_anti").select(*commits.columns)
+    return commits.unionByName(new), tables["refs"].filter(F.col("name") != own)
+
+
 def json_hits(hits: DataFrame) -> DataFrame:
     """Ranked hits as one JSON object each (six fields), by rank."""
     return hits.select("rank", F.to_json(F.struct("path", "title", "score", "tier", "tokens", "hop_distance")).alias("json"))

@@ -175,7 +175,7 @@ def test_deletions_and_modifications(spark):
     base, ours, theirs = tree(a="1", b="1", c="1", d="1", e="1"), tree(b="2", c="1", e="1"), tree(a="1", b="2", d="2", e="3", f="new")
     got = {r.path: (r.text, r["class"]) for r in merge.merged_trees(base, ours, theirs).collect()}
     assert got == {"b": ("2", None), "d": ("2", "modify/delete by ours"), "e": ("3", None), "f": ("new", None)}
-    asked = merge.deletion_questions(spark.createDataFrame([("d", "modify/delete by ours"), ("b", "content")], "path string, class string"), F.lit(9)).collect()
+    asked = merge.deletion_questions(spark.createDataFrame([("d", "modify/delete by ours"), ("b", "content")], "path string, class string"), F.lit(9), F.concat(F.lit("Remove "), "path", F.lit("?"))).collect()
     assert [r.path for r in asked] == ["inbox/deletion-of-d-needs-confirmation-9.md"]
     assert frontmatter.parse(asked[0].text)["type"] == "project-state" and frontmatter.parse(asked[0].text)["confidence"] == "proposed"
 

@@ -26,26 +26,54 @@ _paths: list[str] = []
 _kept: list[DataFrame] = []
 
 
+Mark = tuple[int, int]
+
+
+def mark() -> Mark:
+    """A place in the list of tables that ``written`` and ``reused`` make, for ``let_go``."""
+    return len(_paths), len(_kept)
+
+
+def let_go(spark: SparkSession, since: Mark, but: DataFrame | None = None) -> None:
+    """Deletes the tables made since ``since`` and frees their shuffle files; those that ``but`` reads stay.
+
+    Whatever else reads them must have run.
+    """
+    paths, kept = since
+    for df in _kept[kept:]:
+        df.unpersist()
+    del _kept[kept:]
+    read = but.inputFiles() if but is not None and _paths[paths:] else []
+    stay = [p for p in _paths[paths:] if any(p.rsplit("/", 1)[-1] in f for f in read)]
+    for path in _paths[paths:]:
+        if path not in stay:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    _paths[paths:] = stay
+    # What no one refers to any more lets go of its shuffle files.
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Deletes the tables that ``written`` and ``reused`` make inside, once the block is left.
 
     What a query returns reads its tables when it runs, so the block must hold the action as well.
     """
-    paths, kept = len(_paths), len(_kept)
+    since = mark()
     try:
         yield
     finally:
-        for df in _kept[kept:]:
-            df.unpersist()
-        del _kept[kept:]
-        for path in _paths[paths:]:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-        del _paths[paths:]
-        # What no one refers to any more lets go of its shuffle files.
-        gc.collect()
-        spark._jvm.System.gc()
+        let_go(spark, since)
+
+
+def alone(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table that ``make`` writes last and returns, without the others that it wrote on the way."""
+    since = mark()
+    out = make()
+    let_go(spark, since, out)
+    return out
 
 
 def fresh(df: DataFrame, name: str) -> str:

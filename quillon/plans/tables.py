@@ -30,26 +30,27 @@ Mark = tuple[int, int]
 
 
 def mark() -> Mark:
-    """A place in the list of tables that ``written`` and ``reused`` make, for ``let_go``."""
+    """A place in the list of tables that ``written`` and ``reused`` make, for ``made``."""
     return len(_paths), len(_kept)
 
 
-def let_go(spark: SparkSession, since: Mark, but: DataFrame | None = None) -> None:
-    """Deletes the tables made since ``since`` and frees their shuffle files; those that ``but`` reads stay.
+def made(since: Mark) -> tuple[list[str], list[DataFrame]]:
+    """The tables made since, for ``delete`` at a later time."""
+    return _paths[since[0] :], _kept[since[1] :]
 
-    Whatever else reads them must have run.
-    """
-    paths, kept = since
-    for df in _kept[kept:]:
+
+def delete(spark: SparkSession, tables: tuple[list[str], list[DataFrame]], but: DataFrame | None = None) -> None:
+    """Deletes ``made`` tables and frees their shuffle files; those that ``but`` reads stay. Whatever else reads them must have run."""
+    paths, kept = tables
+    for df in kept:
         df.unpersist()
-    del _kept[kept:]
-    read = but.inputFiles() if but is not None and _paths[paths:] else []
-    stay = [p for p in _paths[paths:] if any(p.rsplit("/", 1)[-1] in f for f in read)]
-    for path in _paths[paths:]:
-        if path not in stay:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    _paths[paths:] = stay
+    read = but.inputFiles() if but is not None and paths else []
+    gone = [p for p in paths if not any(p.rsplit("/", 1)[-1] in f for f in read)]
+    for path in gone:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    _paths[:] = [p for p in _paths if p not in gone]
+    _kept[:] = [df for df in _kept if not any(df is x for x in kept)]
     # What no one refers to any more lets go of its shuffle files.
     gc.collect()
     spark._jvm.System.gc()
@@ -65,14 +66,14 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     try:
         yield
     finally:
-        let_go(spark, since)
+        delete(spark, made(since))
 
 
 def alone(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
     """The table that ``make`` writes last and returns, without the others that it wrote on the way."""
     since = mark()
     out = make()
-    let_go(spark, since, out)
+    delete(spark, made(since), out)
     return out
 
 

@@ -6,13 +6,15 @@ read again as the next stage's docs. All stages but the last return the columns
 
 from __future__ import annotations
 
+import functools
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import line_templates, mixture, near_copies, packing, quality_cnn
-from quillon.llm.common import fresh, scratch, shared_dir, small, table, text_or_empty, written
+from quillon.llm.common import delete, fresh, made, mark, scratch, shared_dir, small, table, text_or_empty, written
 
 #: A document whose probability of being good is below this goes.
 LEAST_QUALITY = 0.3
@@ -20,6 +22,29 @@ LEAST_QUALITY = 0.3
 SHINGLE, RADIUS = 5, 3
 
 
+#: The tables of the stage that ran last.
+_before: list[tuple[list, list]] = []
+
+
+def staged(stage: Callable) -> Callable:
+    """A stage that first deletes the tables of the stage before, whose result has been written by now.
+
+    Tables that ``docs`` itself still reads stay.
+    """
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        while _before:
+            delete(spark, _before.pop(), docs)
+        since = mark()
+        out = stage(spark, docs, sf_dir)
+        _before.append(made(since))
+        return out
+
+    return run
+
+
+@staged
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the byte network, learnt on this table's labels, does not reject.
 
@@ -34,6 +59,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+@staged
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without recurring template lines; those that lose all their lines go.
 
@@ -46,6 +72,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
 
 
+@staged
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id (null is largest) of each group of near duplicates.
 
@@ -66,6 +93,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return docs.withColumn(name, key()).join(gone, name, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+@staged
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as often as its source's target asks for, to within a document a source.
 
@@ -76,6 +104,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixture.repeated_documents(docs)
 
 
+@staged
 def pack_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with the bins that they go to.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.plans.tables import BROADCAST_ROWS, dropped, fresh, reused, scratch, shared_dir, small, written  # noqa: F401  (for the operators)
+from quillon.plans.tables import BROADCAST_ROWS, alone, delete, dropped, fresh, made, mark, reused, scratch, shared_dir, small, written  # noqa: F401  (for the operators)
 
 #: White space that separates words: space and U+0009 to U+000D.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import bounded_batches, reused, small, tasks, text_bytes, written
+from quillon.llm.common import alone, bounded_batches, reused, small, tasks, text_bytes, written
 from quillon.llm.simhash_pivots import components, fingerprint_of, links, shingle_hashes
 
 #: Least similarity, as a fraction.
@@ -269,10 +269,11 @@ def near_copies(docs: DataFrame, width: int, radius: int, id_col: str | Column =
         every = found[0]
         for x in found[1:]:
             every = every.unionByName(x)
-        return written(components(every), compact=True)
+        return alone(docs.sparkSession, lambda: written(components(every), compact=True))
 
     def verify(pairs: DataFrame) -> None:
-        found.append(verified(pairs, distinct, docs, width, id_col, text_col))
+        # Texts and sets that one step shuffles are gone before the next.
+        found.append(alone(docs.sparkSession, lambda: verified(pairs, distinct, docs, width, id_col, text_col)))
 
     def placed(rows: DataFrame, of: DataFrame, name: str, root: str) -> DataFrame:
         return rows.join(small(of.select(F.col("node").alias(name), F.col("root").alias(root))), name, "left").withColumn(root, F.coalesce(root, name))

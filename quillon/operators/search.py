@@ -8,16 +8,18 @@ their mean length and a term's document count are those of the whole index, what
 
 A stored index grows by segments: a change set adds one with the postings of its own items and the
 paths that it replaces or deletes. What a later segment replaces is taken off as a query reads the
-few postings of its terms; ``write`` to a new place merges the segments.
+few postings of its terms. Segments of about one size are merged in place, into one that covers them.
+A stored index also has the trigrams of its texts, by which substrings are found.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -146,14 +148,102 @@ def _analysed(items: DataFrame, analyser: str) -> DataFrame:
 
 
 def _postings(analysed: DataFrame) -> DataFrame:
-    fields = F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.col(f"t_{n}").alias("terms")) for n in WEIGHTS])).alias("x")
-    each = analysed.select("path", "length", fields).select("path", "length", "x.field", F.posexplode("x.terms").alias("position", "term"))
-    grouped = each.groupBy("term", "path", "field").agg(F.sort_array(F.collect_list("position")).alias("positions"), F.first("length").alias("length"))
-    return grouped.select("term", "path", "field", "positions", "length")
+    """(term, path, field, positions, length): a row for each different term of a field.
+
+    All places of a term in a field stand in one row of the texts, so tokens are grouped batch by
+    batch, without a shuffle.
+    """
+    names = list(WEIGHTS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in names:
+                lists = batch.column(f"t_{name}")
+                codes = lists.flatten().dictionary_encode()
+                offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+                row = np.repeat(np.arange(len(lists)), np.diff(offsets))
+                code = codes.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+                key = row * (len(codes.dictionary) + 1) + code
+                order = np.argsort(key, kind="stable")
+                starts = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1])) if len(key) else np.zeros(0, np.int64)
+                cuts = pa.array(np.append(starts, len(key)).astype(np.int32))
+                positions = pa.ListArray.from_arrays(cuts, pa.array((order - offsets[row[order]]).astype(np.int32)))
+                at, terms = pa.array(row[order][starts]), codes.dictionary.take(pa.array(code[order][starts]))
+                own = [batch.column("path").take(at), pa.array([name] * len(starts), pa.string()), positions, batch.column("length").take(at)]
+                yield pa.RecordBatch.from_arrays([terms.cast(pa.string()), *own], ["term", "path", "field", "positions", "length"])
+
+    lists = [F.coalesce(f"t_{n}", F.array().cast("array<string>")).alias(f"t_{n}") for n in names]
+    return analysed.select("path", "length", *lists).mapInArrow(run, "term string, path string, field string, positions array<int>, length long")
+
+
+GRAM = 3
+#: Documents of a block of the trigram index, about; one task holds a block's different trigrams.
+GRAM_BLOCK = 1024
+
+
+def _searched(path: Column | str = "path") -> Column:
+    """What a substring is looked for in."""
+    return F.lower(F.concat_ws("\n", path, "title", "body"))
+
+
+def _trigrams(text: str) -> np.ndarray:
+    """The different runs of three characters, as numbers of 63 bits."""
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+    return np.unique((points[:-2] << 42) | (points[1:-1] << 21) | points[2:])
+
+
+def _grams(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(gram, block, docs): for each block of documents the numbers of those that hold a run of three characters; and (block, number, path).
+
+    Documents are dealt into blocks by a hash of their path, so a frequent gram has a row a block.
+    """
+    blocks = max(1, -(-items.count() // GRAM_BLOCK))
+
+    def made(block: int, paths: list[str], found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        names = ["gram", "block", "docs", "number", "path"]
+        n = len(paths)
+        none = [pa.nulls(n, pa.string()), pa.array([block] * n, pa.int32()), pa.nulls(n, pa.list_(pa.int32()))]
+        yield pa.RecordBatch.from_arrays([*none, pa.array(range(n), pa.int32()), pa.array(paths, pa.string())], names)
+        grams, docs = np.concatenate(found), np.repeat(np.arange(n, dtype=np.int32), [len(x) for x in found])
+        order = np.argsort(grams, kind="stable")
+        grams, docs = grams[order], docs[order]
+        starts = np.flatnonzero(np.append(True, grams[1:] != grams[:-1])) if len(grams) else np.zeros(0, np.int64)
+        ends = np.append(starts[1:], len(grams))
+        for at in range(0, len(starts), 1 << 14):
+            first, last = starts[at : at + (1 << 14)], ends[at : at + (1 << 14)]
+            g = grams[first]
+            text = np.stack([g >> 42, (g >> 21) & 0x1FFFFF, g & 0x1FFFFF], axis=1).astype(np.uint32).tobytes().decode("utf-32-le")
+            lists = pa.ListArray.from_arrays(pa.array(np.append(first, last[-1:]).astype(np.int32) - np.int32(first[0])), pa.array(docs[first[0] : last[-1]]))
+            k = len(first)
+            own = [pa.array([text[i : i + GRAM] for i in range(0, GRAM * k, GRAM)]), pa.array([block] * k, pa.int32()), lists]
+            yield pa.RecordBatch.from_arrays([*own, pa.nulls(k, pa.int32()), pa.nulls(k, pa.string())], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, paths, found = None, [], []
+        for batch in batches:
+            for block, path, text in zip(batch.column("block").to_pylist(), batch.column("path").to_pylist(), batch.column("text")):
+                if block != now and paths:
+                    yield from made(now, paths, found)
+                    paths, found = [], []
+                now = block
+                paths.append(path)
+                found.append(_trigrams(text.as_py()))
+        if paths:
+            yield from made(now, paths, found)
+
+    block = F.pmod(F.xxhash64("path"), F.lit(blocks)).cast("int")
+    dealt = items.select("path", block.alias("block"), _searched().alias("text")).repartition("block").sortWithinPartitions("block", "path")
+    both = written(dealt.mapInArrow(run, "gram string, block int, docs array<int>, number int, path string"))
+    return both.filter("gram is not null").select("gram", "block", "docs"), both.filter("path is not null").select("block", "number", "path")
 
 
 def _counts(items: DataFrame) -> DataFrame:
-    return items.agg(F.count("*").alias("documents"), F.coalesce(F.sum("length"), F.lit(0)).alias("words"))
+    """documents, words, and size: how many documents a segment touches."""
+    return items.agg(F.count("*").alias("documents"), F.coalesce(F.sum("length"), F.lit(0)).alias("words"), F.count("*").alias("size"))
+
+
+#: Segments of about one size that ``append`` merges into one.
+FAN = 4
 
 
 @dataclass
@@ -164,6 +254,9 @@ class Index:
     counts: DataFrame
     #: Whether a scan of the postings is a scan of stored files, and not an analysis of all texts.
     stored: bool = False
+    #: Trigrams of a stored index and the documents' paths, for ``substring``.
+    grams: DataFrame | None = None
+    members: DataFrame | None = None
 
     @staticmethod
     def of(items: DataFrame, analyser: str = "stemmed") -> Index:
@@ -183,35 +276,55 @@ class Index:
         self._add_segment(path, 0, items, Index.of(items, self.analyser).postings if not self.stored else self.postings, None, _counts(items))
 
     @staticmethod
-    def _add_segment(path: str, n: int, items: DataFrame, postings: DataFrame, replaced: DataFrame | None, counts: DataFrame) -> None:
-        items.write.parquet(f"{path}/items/segment={n}")
+    def _add_segment(path: str, n: int, items: DataFrame, postings: DataFrame, replaced: DataFrame | None, counts: DataFrame, covers: int | None = None) -> None:
+        # Ranges of paths: hits are looked up in the row groups of theirs.
+        items.repartitionByRange("path").sortWithinPartitions("path").write.parquet(f"{path}/items/segment={n}")
         # Ranges of terms: a hot term's rows spread over neighbouring files through the path.
+        # Written before, as finding the ranges runs the plan once more.
+        postings = written(postings)
         postings.repartitionByRange("term", "path").sortWithinPartitions("term", "path").write.parquet(f"{path}/postings/segment={n}")
+        grams, members = _grams(items)
+        grams.repartitionByRange("gram", "block").sortWithinPartitions("gram", "block").write.parquet(f"{path}/grams/segment={n}")
+        members.write.parquet(f"{path}/members/segment={n}")
         if replaced is not None:
-            replaced.select("path").hint("rebalance").write.parquet(f"{path}/replaced/segment={n}")
+            replaced.select("path").distinct().hint("rebalance").write.parquet(f"{path}/replaced/segment={n}")
         # The counts come last: a segment without them is not read, so a failed change changes nothing.
-        counts.coalesce(1).write.parquet(f"{path}/counts/segment={n}")
+        counts.withColumn("covers", F.lit(n if covers is None else covers)).coalesce(1).write.parquet(f"{path}/counts/segment={n}")
+
+    @staticmethod
+    def segments(spark: SparkSession, path: str) -> list[tuple[int, int, int]]:
+        """(segment, documents touched, first segment covered) of those that are read, oldest first: what a later one covers is not."""
+        rows = spark.read.parquet(f"{path}/counts").select("segment", "covers", "size").distinct().orderBy(F.desc("segment")).collect()
+        out, below = [], None
+        for r in rows:
+            if below is None or r.segment < below:
+                out.append((r.segment, r.size, r.covers))
+                below = r.covers
+        return out[::-1]
 
     @staticmethod
-    def read(spark: SparkSession, path: str, analyser: str = "stemmed") -> Index:
-        counts = spark.read.parquet(f"{path}/counts")
-        segments = sorted(r[0] for r in counts.select("segment").distinct().collect())
+    def read(spark: SparkSession, path: str, analyser: str = "stemmed", only: list[int] | None = None) -> Index:
+        """The stored index as it is now: later changes make segments of their own, which this does not see."""
+        live_segments = only or [n for n, *_ in Index.segments(spark, path)]
+
+        def of(name: str, numbers: list[int]) -> DataFrame:
+            return spark.read.option("basePath", f"{path}/{name}").parquet(*[f"{path}/{name}/segment={n}" for n in numbers])
 
         def live(name: str) -> DataFrame:
-            rows = spark.read.option("basePath", f"{path}/{name}").parquet(*[f"{path}/{name}/segment={n}" for n in segments])
-            if len(segments) > 1:
-                later = spark.read.option("basePath", f"{path}/replaced").parquet(*[f"{path}/replaced/segment={n}" for n in segments[1:]])
+            rows = of(name, live_segments)
+            if len(live_segments) > 1:
+                later = of("replaced", live_segments[1:])
                 later = small(later.groupBy("path").agg(F.max("segment").alias("since"))).alias("l")
                 rows = rows.alias("r").join(later, (F.col("r.path") == F.col("l.path")) & (F.col("r.segment") < F.col("l.since")), "left_anti")
             return rows.drop("segment")
 
-        return Index(live("items"), analyser, live("postings"), counts.drop("segment"), stored=True)
+        return Index(live("items"), analyser, live("postings"), of("counts", live_segments).select("documents", "words"), stored=True, grams=of("grams", live_segments), members=of("members", live_segments))
 
     def changed(self, upserts: DataFrame, deleted: DataFrame) -> tuple[Index, DataFrame, DataFrame]:
         """The index of the last of each upserted path, the paths that go, and what the counts change by."""
         fresh = Index.of(incremental.applied(self.items.limit(0).drop("length"), upserts, deleted), self.analyser)
         touched = upserts.select("path").unionByName(deleted.select("path")).distinct()
-        gone = _counts(self.items.join(touched, "path", "left_semi")).select((-F.col("documents")).alias("documents"), (-F.col("words")).alias("words"))
+        gone = _counts(self.items.join(touched, "path", "left_semi")).select(F.lit(0).cast("long").alias("size"), (-F.col("documents")).alias("documents"), (-F.col("words")).alias("words"))
         return fresh, touched, fresh.counts.unionByName(gone).agg(F.sum("documents").alias("documents"), F.sum("words").alias("words"))
 
     def refreshed(self, upserts: DataFrame, deleted: DataFrame) -> Index:
@@ -224,20 +337,53 @@ class Index:
         def renewed(old: DataFrame, new: DataFrame) -> DataFrame:
             return old.join(touched, "path", "left_anti").unionByName(new.select(*old.columns))
 
-        return Index(renewed(self.items, fresh.items), self.analyser, renewed(self.postings, fresh.postings), self.counts.unionByName(counts), self.stored)
+        return Index(renewed(self.items, fresh.items), self.analyser, renewed(self.postings, fresh.postings), self.counts.select("documents", "words").unionByName(counts.select("documents", "words")), self.stored)
 
-    def append(self, path: str, upserts: DataFrame, deleted: DataFrame) -> Index:
+    def append(self, path: str, upserts: DataFrame, deleted: DataFrame, merge: bool = True) -> Index:
         """Adds a change set to the index that was read from ``path``, as a segment; work grows with the change set.
 
-        One writer at a time: a second one with the same segment number fails at its first table.
+        A segment's number is claimed by a file that only one of several writers can create, so
+        none loses its change; of two that change a path the larger number counts. With ``merge``
+        FAN neighbouring segments of about one size then become one, so their number grows with the
+        logarithm of the changes. Who has read the index goes on reading what was there.
         """
         spark = self.items.sparkSession
         fresh, touched, counts = self.changed(upserts, deleted)
-        n = spark.read.parquet(f"{path}/counts").agg(F.max("segment")).first()[0] + 1
-        items = written(fresh.items)
-        self._add_segment(path, n, items, Index.of(items, self.analyser).postings, touched, counts)
+        items, touched = written(fresh.items), written(touched, compact=True)
+        n = _claimed(spark, path, spark.read.parquet(f"{path}/counts").agg(F.max("segment")).first()[0] + 1)
+        self._add_segment(path, n, items, Index.of(items, self.analyser).postings, touched, counts.withColumn("size", F.lit(touched.count())))
+        while merge and Index._merged(spark, path, self.analyser):
+            pass
         return Index.read(spark, path, self.analyser)
 
+    @staticmethod
+    def _merged(spark: SparkSession, path: str, analyser: str) -> bool:
+        """Merges the newest FAN segments whose sizes are within a factor of FAN, behind the first one; whether there were such."""
+        found = Index.segments(spark, path)[1:]
+        tail = found[-FAN:]
+        sizes = [x for _, x, _ in tail]
+        if len(tail) < FAN or max(sizes) > FAN * max(1, min(sizes)):
+            return False
+        numbers = [n for n, *_ in tail]
+        n = _claimed(spark, path, spark.read.parquet(f"{path}/counts").agg(F.max("segment")).first()[0] + 1)
+        if n != numbers[-1] + 1:
+            # Another writer was faster; its segment must not be covered by what does not hold it.
+            return False
+        both = Index.read(spark, path, analyser, numbers)
+        replaced = spark.read.parquet(*[f"{path}/replaced/segment={k}" for k in numbers])
+        counts = both.counts.agg(F.sum("documents").alias("documents"), F.sum("words").alias("words")).withColumn("size", F.lit(sum(sizes)))
+        Index._add_segment(path, n, both.items, both.postings, replaced, counts, covers=tail[0][2])
+        return True
+
+
+def _claimed(spark: SparkSession, path: str, n: int) -> int:
+    """The first number from ``n`` on that no other writer has: its file is created only if it is not there."""
+    while True:
+        p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/claims/{n}")
+        if p.getFileSystem(spark._jsc.hadoopConfiguration()).createNewFile(p):
+            return n
+        n += 1
+
 
 def _leaves(q) -> list:
     if isinstance(q, (All, Any)):
@@ -481,6 +627,11 @@ def search(index: Index, query, where: Filter = Filter()) -> DataFrame:
     if where.limit is not None and where.takes_all():
         # Only the rows that stay are looked up.
         found = found.orderBy(*order).limit(where.limit)
+        if where.limit <= LISTED and index.stored:
+            # Few hits are looked up by a list of their paths, which skips row groups of others.
+            best = found.collect()
+            found = index.items.sparkSession.createDataFrame(best, "path string, score double")
+            index = replace(index, items=index.items.filter(F.col("path").isin([r.path for r in best])))
         found = F.broadcast(found) if where.limit <= BROADCAST_ROWS else found
     meta = index.items.filter(where.condition()).select("path", "title", "tier", "tokens")
     found = meta.join(found, "path").withColumn("hop_distance", F.lit(0))
@@ -508,10 +659,40 @@ def search_batch(index: Index, queries: DataFrame, limit: int = 10) -> DataFrame
     return each.filter("met = needed").select("query_id", "path", "score", F.row_number().over(order).alias("rank")).filter(F.col("rank") <= limit)
 
 
-def substring(items: DataFrame, text: str, limit: int | None = None) -> DataFrame:
-    """Items whose path, title or body holds ``text`` of three characters or more, in any case; by path."""
-    whole = F.lower(F.concat_ws("\n", "path", "title", "body"))
-    found = items.filter(whole.contains(text.lower()) if len(text) >= 3 else F.lit(False))
+def candidates(index: Index, text: str) -> DataFrame:
+    """(path) of the stored documents that hold all trigrams of ``text``: few more than hold the text.
+
+    Only rows of these grams are read; in each block their lists are intersected, the shortest
+    first. Paths that a later segment replaced may be among them.
+    """
+    low = text.lower()
+    grams = sorted({low[i : i + GRAM] for i in range(len(low) - GRAM + 1)})
+    rows = index.grams.filter(F.col("gram").isin(grams)).withColumn("n", F.size("docs"))
+    lists = rows.groupBy("segment", "block").agg(F.sort_array(F.collect_list(F.struct("n", "gram", "docs"))).alias("x"), F.count_distinct("gram").alias("grams"))
+    lists = lists.filter(F.col("grams") == len(grams))
+    every = F.aggregate(F.slice("x", 2, 1 << 30), F.col("x")[0]["docs"], lambda left, g: F.array_intersect(left, g["docs"]))
+    found = written(lists.select("segment", "block", F.explode(every).alias("number")), compact=True)
+    return index.members.join(small(found), ["segment", "block", "number"]).select("path").distinct()
+
+
+#: Paths that are looked up by a list of them, which skips row groups; more are joined.
+LISTED = 1000
+
+
+def substring(source: Index | DataFrame, text: str, limit: int | None = None) -> DataFrame:
+    """Items whose path, title or body holds ``text`` of three characters or more, in any case; by path.
+
+    A stored index finds candidates by their trigrams and reads the texts of these alone; from a
+    table of items all texts are read.
+    """
+    items = source if isinstance(source, DataFrame) else source.items
+    if len(text) < GRAM:
+        items = items.limit(0)
+    elif isinstance(source, Index) and source.grams is not None:
+        some = written(candidates(source, text), compact=True)
+        first = [r.path for r in some.limit(LISTED + 1).collect()]
+        items = items.filter(F.col("path").isin(first)) if len(first) <= LISTED else items.join(small(some), "path", "left_semi")
+    found = items.filter(_searched().contains(text.lower()))
     zero = found.select("path", "title", F.lit(0.0).alias("score"), F.lit(0).alias("tier"), F.lit(0).cast("long").alias("tokens"), F.lit(0).alias("hop_distance"))
     return ranked(zero, [F.asc("path")], limit).select(*HIT)
 

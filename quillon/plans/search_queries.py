@@ -209,7 +209,7 @@ def postings_statistics(spark, sf_dir):
 
 @query(f"WITH {ITEMS_SQL} SELECT path, title FROM items WHERE contains(lower(path || chr(10) || title || chr(10) || body), 'mit lic') ")
 def search_substring(spark, sf_dir):
-    return search.substring(items(spark, sf_dir), "MIT Lic").select("path", "title")
+    return search.substring(stored_index(spark, sf_dir), "MIT Lic").select("path", "title")
 
 
 @query(f"WITH {ITEMS_SQL} SELECT path, tier, tokens, coalesce(left(expires, 10) < '2024-05-01', false) AS expired FROM items")

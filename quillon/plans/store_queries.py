@@ -116,6 +116,25 @@ def secret_findings(spark, sf_dir):
     return found.select("doc_id", *[F.array_contains("f", n).alias(n.replace("-", "_")) for n in secrets.RULES], "excerpt")
 
 
+_ENTROPY_SQL = """log2(length(t)) - list_sum(list_transform(list_distinct(string_split(t, '')), lambda c: (length(t) - length(replace(t, c, ''))) * log2(length(t) - length(replace(t, c, ''))))) / length(t)"""
+
+
+@query(f"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN coalesce(text, '') || ' ' || to_base64(CAST(sha256('k' || doc_id) AS BLOB)) ELSE coalesce(text, '') END AS text FROM documents),
+t AS (SELECT doc_id, unnest(regexp_extract_all(text, '{secrets.TOKEN}')) AS t FROM d),
+b AS (SELECT *, {_ENTROPY_SQL} AS bits FROM t),
+f AS (SELECT *, CASE WHEN regexp_matches(t, '{secrets.HEX}') THEN length(t) >= {secrets.HEX_LENGTH} AND length(t) NOT IN {secrets.DIGESTS} AND bits >= {secrets.HEX_BITS}
+  ELSE length(t) >= {secrets.MIXED_LENGTH} AND regexp_matches(t, '[a-z]') AND regexp_matches(t, '[A-Z]') AND regexp_matches(t, '[0-9]') AND bits >= {secrets.MIXED_BITS} END AS found FROM b)
+SELECT d.doc_id, count(t) AS tokens, count(*) FILTER (WHERE found) AS found, round(coalesce(max(bits), 0), 6) AS most_bits FROM d LEFT JOIN f ON f.doc_id = d.doc_id GROUP BY d.doc_id""")
+def entropy_findings(spark, sf_dir):
+    """Keys without a known form: every fourth document gets one, made from its number."""
+    text, k = F.coalesce("text", s("")), F.col("doc_id")
+    key = F.base64(F.sha2(F.concat(s("k"), k), 256).cast("binary"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.when(k % 4 == 0, F.concat(text, s(" "), F.replace(key, s("\r\n"), s("")))).otherwise(text).alias("text"))
+    tokens = F.regexp_extract_all("text", F.lit(secrets.TOKEN), F.lit(0))
+    most = F.round(F.coalesce(F.array_max(F.transform(tokens, secrets.entropy)), s(0.0)), 6)
+    return d.select("doc_id", F.size(tokens).cast("long").alias("tokens"), F.size(secrets.random_tokens(F.col("text"))).cast("long").alias("found"), most.alias("most_bits"))
+
+
 def status_lines(spark, sf_dir) -> DataFrame:
     d, k = table(spark, sf_dir, "documents"), F.col("doc_id")
     path = F.concat(s("dir with space/"), k, F.when(k % 9 == 0, ".txt").otherwise(".md"))

@@ -200,3 +200,50 @@ def test_stems_of_tokens_of_any_kind():
             db.execute("insert into t values (?)", [w])
             assert analyze.stem(w) == db.execute("select term from v").fetchone()[0], w
     assert analyze.stem("y" * 2000 + "ness") and analyze.stem("y" * 5001 + "ing") and analyze.terms("y" * 100_000)
+
+
+def test_substrings_by_trigrams(spark, index, tmp_path, monkeypatch):
+    """A stored index finds what a scan of all texts finds, over several blocks and segments."""
+    monkeypatch.setattr(search, "GRAM_BLOCK", 17)
+    path, r = str(tmp_path / "g"), random.Random(6)
+    index.write(path)
+    items = index.items.drop("length")
+    changed = items.filter("tier = 1").withColumn("body", F.concat(F.lit("Straße ÉTÉ \n 100% "), "body")).withColumn("ordinal", F.lit(1))
+    grown = Index.read(spark, path).append(path, changed, items.filter("tokens = 20 and tier = 0").select("path"))
+    now = grown.items.persist()
+    texts = [r_.body for r_ in now.collect()]
+    asked = ["ry ", "RUST", "straße été", "d/00", ".md\n", "absent", "a-b", "ab", "100% r", "don_t", "\n\n"]
+    for _ in range(12):
+        t = r.choice(texts)
+        at = r.randrange(len(t))
+        asked.append(t[at : at + r.randint(3, 12)].upper())
+    for text in asked:
+        want = [x.path for x in search.substring(now, text).collect()]
+        assert [x.path for x in search.substring(grown, text).collect()] == want, text
+    monkeypatch.setattr(search, "LISTED", 3)
+    assert [x.path for x in search.substring(grown, "rust").collect()] == [x.path for x in search.substring(now, "rust").collect()]
+    plan = grown.grams.filter(F.col("gram").isin(["rus", "ust"]))._jdf.queryExecution().toString()
+    assert "PushedFilters: [In(gram" in plan
+
+
+def test_segments_merge_in_place(spark, tmp_path):
+    """Many appends keep few segments; an older reader goes on; of two writers none loses its change."""
+    schema = "path string, title string, body string, tags array<string>, tier int, tokens long"
+    rows = lambda names, text: spark.createDataFrame([(n, n, f"{text} {n}", ["t"], 0, 1) for n in names], schema)
+    path = str(tmp_path / "m")
+    Index.of(rows([f"p{i}" for i in range(30)], "old"), "plain").write(path)
+    first = index = Index.read(spark, path, "plain")
+    change = lambda k: rows([f"p{k}", f"new{k}"], f"change{k}").withColumn("ordinal", F.lit(1))
+    gone = lambda *names: spark.createDataFrame([(n,) for n in names], "path string")
+    for k in range(9):
+        index = index.append(path, change(k), gone(f"p{20 + k}"))
+    assert len(Index.segments(spark, path)) <= 1 + 2 * 3
+    found = lambda i, word: sorted(x.path for x in search.search(i, Term(word)).collect())
+    assert found(index, "old") == sorted(f"p{i}" for i in [*range(9, 20), 29]) and found(index, "change3") == ["new3", "p3"] and index.statistics()[0] == 30
+    assert len(found(first, "old")) == 30
+    # Both start from the same state.
+    a, b = Index.read(spark, path, "plain"), Index.read(spark, path, "plain")
+    a.append(path, change(100), gone("p9"), merge=False)
+    after = b.append(path, change(101), gone("p10"), merge=False)
+    assert found(after, "change100") == ["new100", "p100"] and found(after, "change101") == ["new101", "p101"] and not {"p9", "p10"} & set(found(after, "old"))
+    assert after.statistics()[0] == 32

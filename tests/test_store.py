@@ -263,3 +263,27 @@ def test_forgetting(spark):
     with pytest.raises(incremental.NotForgotten):
         incremental.forgotten_device(left, "two", items)
     assert incremental.purged(items, "a.md").count() == 1
+
+
+def test_keys_without_a_known_form(spark):
+    """Made keys of several alphabets are found; words, paths, numbers, digests and identifiers are not."""
+    import base64
+    import hashlib
+    import math
+    from collections import Counter
+
+    r = random.Random(3)
+    keys = [base64.b64encode(r.randbytes(n)).decode() for n in (24, 32, 48)] + ["".join(r.choice("0123456789abcdef") for _ in range(n)) for n in (48, 72)] + ["".join(r.choice("ABCDEFabcdefghijKLMN0123456789_-xyzXYZ") for _ in range(36))]
+    prose = [
+        "internationalization-of-documentation and antidisestablishmentarianism", "/usr/local/share/application/config/settings", hashlib.sha256(b"x").hexdigest(), hashlib.sha1(b"x").hexdigest(),
+        "000000000000000000000000000000000000000000000000", "1234567890123456789012345678901234567890", "SomeVeryLongClassNameForTesting", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaA1", "", None,
+    ]
+    rows = [(i, f"the value is {k} here") for i, k in enumerate(keys)] + [(100 + i, p) for i, p in enumerate(prose)]
+    x = spark.createDataFrame(rows, "i int, text string")
+    got = {row.i: row for row in x.select("i", secrets.findings(F.col("text")).alias("f"), secrets.excerpt(F.col("text"), secrets.ENTROPY).alias("e"), secrets.entropy(F.col("text")).alias("h")).collect()}
+    assert all(secrets.ENTROPY in got[i].f and got[i].e == keys[i][:4] + "***" for i in range(len(keys)))
+    assert all(secrets.ENTROPY not in got[100 + i].f for i in range(len(prose)))
+    for i, text in rows:
+        if text:
+            want = -sum(n / len(text) * math.log2(n / len(text)) for n in Counter(text).values())
+            assert abs(got[i].h - want) < 1e-9

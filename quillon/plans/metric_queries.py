@@ -126,6 +126,22 @@ def streamed_rings(spark, sf_dir):
     return found.select("name", "tier", "bucket", "n", F.round("sum", 6).alias("total"), F.round("last", 6).alias("last"))
 
 
+@query(SQL["metric_rings"])
+def ringed_stream(spark, sf_dir):
+    """The rings with their slots as a stream of several batches leaves them."""
+    import uuid
+
+    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    x = samples(spark, sf_dir).select("name", "value", "at", "arrival")
+    least, most = x.agg(F.min("arrival"), F.max("arrival")).first()
+    part = F.floor((F.col("arrival") - least) * 4 / (most - least + 1))
+    for k in range(4):  # one after the other, in the order of arrival
+        x.filter(part == k).coalesce(1).write.mode("append").parquet(f"{path}/given")
+    stream = spark.readStream.schema(x.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/given")
+    streaming.ring_forward(stream, path).awaitTermination()
+    return streaming.ringed(spark, path).select("name", "tier", "slot", "bucket", "n", F.round("sum", 6).alias("total"), F.round("last", 6).alias("last"), "open")
+
+
 @query("SELECT strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M') AS minute, event_type AS name, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
 def windowed_events(spark, sf_dir):
     found = streaming.tumbling(spark.read.parquet(f"{sf_dir}/events.parquet"))

@@ -74,6 +74,23 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == {(r.name, r.tier, r.bucket): (r.n, r["sum"], r["min"], r["max"], r["last"]) for r in batch.collect()}
 
 
+def test_rings_of_a_stream_stay_bounded(spark, tmp_path):
+    """Small rings over many batches: equal to the batch's, with no more rows than slots, and two states on disk."""
+    tiers = (Tier(60, 7), Tier(300, 5), Tier(1000, 3))
+    streams = {f"m{i}": stream_of(200 + i) for i in range(5)}
+    rows = sorted(((n, "counter", v, at, k) for n, x in streams.items() for k, (v, at) in enumerate(x)), key=lambda r: r[4])
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for part in range(5):
+        cut = rows[part * len(rows) // 5 : (part + 1) * len(rows) // 5]
+        spark.createDataFrame(cut, SCHEMA).coalesce(1).write.mode("append").parquet(source)
+    given = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(source)
+    streaming.ring_forward(given, out, tiers).awaitTermination()
+    columns = ["name", "tier", "slot", "bucket", *metrics.AGGREGATES, "open"]
+    got = {tuple(r) for r in streaming.ringed(spark, out).select(*columns).collect()}
+    assert got == {tuple(r) for r in metrics.rings(spark.createDataFrame(rows, SCHEMA), ["name"], tiers).select(*columns).collect()}
+    assert len(got) <= 5 * (7 + 5 + 3) and len([x for x in (tmp_path / "out" / "rings").iterdir() if x.name.startswith("batch=")]) == 2
+
+
 def ring(spark, samples, kind="counter", name="m"):
     return metrics.rings(spark.createDataFrame([(name, kind, float(v), at, i) for i, (v, at) in enumerate(samples)], SCHEMA), ["name"])
 

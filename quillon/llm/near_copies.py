@@ -226,9 +226,13 @@ def verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, width: int,
     read = texts_of(docs, id_col, text_col).join(ids, "doc_id", "left_semi").select("text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Repeated rows give their set once a task; what is left of them gives links twice, which does no harm.
+        seen: set[int] = set()
         for batch in batches:
-            found = [shingle_set(x.as_py(), width) for x in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([pa.array([signature(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["sig", "s"])
+            found = {signature(x): x for x in (shingle_set(t.as_py(), width) for t in batch.column("text"))}
+            new = [k for k in found if k not in seen]
+            seen.update(new)
+            yield pa.RecordBatch.from_arrays([pa.array(new, pa.int64()), pa.array([found[k].tobytes() for k in new], pa.binary())], ["sig", "s"])
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, x = None, None
@@ -242,11 +246,13 @@ def verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, width: int,
                     keep.append(i)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    found = written(read.mapInArrow(sets, "sig long, s binary").dropDuplicates(["sig"]))
+    found = written(read.mapInArrow(sets, "sig long, s binary"))
     counts = left.groupBy("a").agg(F.ceil(F.count("*") / TILE).alias("chunks"))
-    dealt = left.join(counts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("chunks")).alias("chunk"), "b")
-    members = dealt.join(found, F.col("b") == F.col("sig")).select("a", "chunk", "b", "s")
-    hubs = dealt.select("a", "chunk").distinct().join(found, F.col("a") == F.col("sig")).select("a", "chunk", F.lit(None).cast("long").alias("b"), "s")
+    # Pairs go to the sets where they are few, so that sets are shuffled once.
+    dealt = written(left.join(counts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("chunks")).alias("chunk"), "b"), compact=True)
+    members = small(dealt).join(found, F.col("b") == F.col("sig")).select("a", "chunk", "b", "s")
+    first = small(written(dealt.select("a", "chunk").distinct(), compact=True))
+    hubs = first.join(found, F.col("a") == F.col("sig")).select("a", "chunk", F.lit(None).cast("long").alias("b"), "s")
     both = hubs.unionByName(members).repartition(tasks(docs.sparkSession), "a", "chunk").sortWithinPartitions("a", "chunk", F.asc_nulls_first("b"))
     return written(both.select("a", "b", "s").mapInArrow(similar, "a long, b long"), compact=True)
 

@@ -111,14 +111,24 @@ def with_embeddings(items: DataFrame, vectors: DataFrame) -> DataFrame:
     return both.select(*items.columns)
 
 
-def embedded_by(items: DataFrame, embed: Callable[[list[str]], list[list[float] | None]]) -> DataFrame:
+def embedded_by(items: DataFrame, embed: Callable[[list[str]], list[list[float] | None]], warning: str | None = None) -> DataFrame:
     """``items`` with embeddings of "title, blank line, body" by ``embed``, which gets a batch of texts in a task.
 
-    A text that it cannot embed (None) stays without a vector.
+    A text that it cannot embed (None) stays without a vector. If a batch fails its texts are tried
+    one by one, and those that fail stay without one too. ``warning`` names a column that says why.
     """
 
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def tried(texts: list[str]) -> list[tuple[list[float] | None, str | None]]:
+        try:
+            return [(v, None if v is not None else "no embedding") for v in embed(texts)]
+        except Exception as failed:
+            return [(None, str(failed) or type(failed).__name__)] if len(texts) == 1 else [x for t in texts for x in tried([t])]
+
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for t in texts:
-            yield pd.Series(embed(list(t)), dtype=object)
+            found = tried(list(t)) if len(t) else []
+            yield pd.DataFrame({"v": pd.Series([v for v, _ in found], dtype=object), "w": pd.Series([w for _, w in found], dtype=object)})
 
-    return items.withColumn("embedding", F.pandas_udf(run, "array<float>")(F.concat("title", F.lit("\n\n"), "body")))
+    made = F.pandas_udf(run, "v array<float>, w string")(F.concat("title", F.lit("\n\n"), "body"))
+    x = items.withColumn("__embedded", made).withColumn("embedding", F.col("__embedded.v"))
+    return (x.withColumn(warning, F.col("__embedded.w")) if warning else x).drop("__embedded")

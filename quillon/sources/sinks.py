@@ -107,10 +107,16 @@ COUNTER_LINE = "%-20s %6d calls  %4d errors  avg %7.2fms  min %7.2fms  max %7.2f
 GAUGE_LINE = "%-20s %6d samples  last=%.2f  min=%.2f  max=%.2f"
 
 
+#: What stands for an empty list of hits (fixed value).
+NO_HITS = "(no results)"
+
+
 def text_hits(hits: DataFrame) -> DataFrame:
+    """(rank, line): two lines of text for each hit, by rank; one row of rank 0 that says so if there are none."""
     hop = F.when(F.col("hop_distance") > 0, F.concat(F.lit(" +"), F.col("hop_distance"))).otherwise("")
     line = F.format_string(HIT_LINE, "tier", hop, "title", "score", "tokens", "path")
-    return hits.select("rank", line.alias("line"))
+    none = hits.agg(F.count("*").alias("n")).filter("n = 0").select(F.lit(0).cast("long").alias("rank"), F.lit(NO_HITS).alias("line"))
+    return hits.select(F.col("rank").cast("long").alias("rank"), line.alias("line")).unionByName(none)
 
 
 def text_usage(report: DataFrame) -> DataFrame:

@@ -247,3 +247,17 @@ def test_segments_merge_in_place(spark, tmp_path):
     after = b.append(path, change(101), gone("p10"), merge=False)
     assert found(after, "change100") == ["new100", "p100"] and found(after, "change101") == ["new101", "p101"] and not {"p9", "p10"} & set(found(after, "old"))
     assert after.statistics()[0] == 32
+
+
+def test_texts_that_cannot_be_embedded(spark):
+    """A batch that fails is tried text by text; each failure has its warning and nothing else is lost."""
+    items = spark.createDataFrame([(t, t) for t in ("a", "bad", "ccc", "none")], "title string, body string")
+
+    def embed(texts):
+        if any("bad" in t for t in texts):
+            raise ValueError("refused")
+        return [None if "none" in t else [float(len(t))] for t in texts]
+
+    got = {r.title: (r.embedding, r.why) for r in vector.embedded_by(items.coalesce(1), embed, "why").collect()}
+    assert got == {"a": ([4.0], None), "bad": (None, "refused"), "ccc": ([8.0], None), "none": (None, "no embedding")}
+    assert vector.embedded_by(items.limit(0), embed).collect() == []

@@ -237,6 +237,7 @@ def test_change_records(spark):
 
 def test_formats(spark):
     hits = spark.createDataFrame([("p.md", 'T "q"', 1.23456, 1, 7, 2, 1)], "path string, title string, score double, tier int, tokens long, hop_distance int, rank int")
+    assert [(r["rank"], r.line) for r in sinks.text_hits(hits.limit(0)).collect()] == [(0, "(no results)")] and sinks.text_hits(hits).count() == 1
     assert sinks.text_hits(hits).first().line == '[T1 +2] T "q"  (score=1.235, ~7t)\n     p.md'
     assert sinks.json_hits(hits).first().json == '{"path":"p.md","title":"T \\"q\\"","score":1.23456,"tier":1,"tokens":7,"hop_distance":2}'
 

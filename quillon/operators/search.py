@@ -10,6 +10,10 @@ A stored index grows by segments: a change set adds one with the postings of its
 paths that it replaces or deletes. What a later segment replaces is taken off as a query reads the
 few postings of its terms. Segments of about one size are merged in place, into one that covers them.
 A stored index also has the trigrams of its texts, by which substrings are found.
+
+Its postings lie in blocks of documents of about one length, and a table of blocks holds for each
+term and block the number of documents, the most hits and the least length. The best hits of a
+query of words are looked for in the blocks that can hold them only.
 """
 
 from __future__ import annotations
@@ -237,6 +241,40 @@ def _grams(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     return both.filter("gram is not null").select("gram", "block", "docs"), both.filter("path is not null").select("block", "number", "path")
 
 
+#: Documents of a block of postings, about; steps of a block's lengths in a doubling.
+BLOCK, STEPS = 128, 8
+
+
+def _dealt(items: DataFrame, segment: int) -> Column:
+    """The block of a posting, from its length and path: documents of about one length, dealt by a hash of the path.
+
+    The table of lengths has STEPS rows a doubling, however many documents there are.
+    """
+    step = F.floor(F.log2(F.coalesce("length", F.lit(0)) + 1) * STEPS).cast("int")
+    sizes = {r[0]: r[1] for r in items.groupBy(step.alias("step")).count().collect()}
+    parts, at = [], segment << 40
+    for k in sorted(sizes):
+        slots = -(-sizes[k] // BLOCK)
+        parts += [F.lit(k), F.struct(F.lit(at).alias("at"), F.lit(slots).cast("long").alias("slots"))]
+        at += slots
+    if not parts:
+        return F.lit(at)
+    own = F.create_map(*parts)[step]
+    return own["at"] + F.pmod(F.xxhash64("path"), own["slots"])
+
+
+def _weight(field: Column | str = "field") -> Column:
+    of = F.create_map(*[x for k, w in WEIGHTS.items() for x in (F.lit(k), F.lit(w))])
+    return of[F.col(field) if isinstance(field, str) else field]
+
+
+def _blocks(postings: DataFrame) -> DataFrame:
+    """(term, block, n, f, length): the documents of a term in a block, the most weighted hits and the least length among them."""
+    hits = postings.select("term", "block", "path", "length", (_weight() * F.size("positions")).alias("f")).repartitionByRange("term", "block")
+    each = hits.groupBy("term", "block", "path").agg(F.sum("f").alias("f"), F.first("length").alias("length"))
+    return each.groupBy("term", "block").agg(F.count("*").alias("n"), F.max("f").alias("f"), F.min("length").alias("length")).sortWithinPartitions("term", "block")
+
+
 def _counts(items: DataFrame) -> DataFrame:
     """documents, words, and size: how many documents a segment touches."""
     return items.agg(F.count("*").alias("documents"), F.coalesce(F.sum("length"), F.lit(0)).alias("words"), F.count("*").alias("size"))
@@ -257,6 +295,9 @@ class Index:
     #: Trigrams of a stored index and the documents' paths, for ``substring``.
     grams: DataFrame | None = None
     members: DataFrame | None = None
+    #: What a stored index's blocks of postings can hold, of all segments, and whether no document in them was replaced.
+    blocks: DataFrame | None = None
+    whole: bool = False
 
     @staticmethod
     def of(items: DataFrame, analyser: str = "stemmed") -> Index:
@@ -279,10 +320,11 @@ class Index:
     def _add_segment(path: str, n: int, items: DataFrame, postings: DataFrame, replaced: DataFrame | None, counts: DataFrame, covers: int | None = None) -> None:
         # Ranges of paths: hits are looked up in the row groups of theirs.
         items.repartitionByRange("path").sortWithinPartitions("path").write.parquet(f"{path}/items/segment={n}")
-        # Ranges of terms: a hot term's rows spread over neighbouring files through the path.
+        # Ranges of terms: a hot term's rows spread over neighbouring files through the block.
         # Written before, as finding the ranges runs the plan once more.
-        postings = written(postings)
-        postings.repartitionByRange("term", "path").sortWithinPartitions("term", "path").write.parquet(f"{path}/postings/segment={n}")
+        postings = written(postings.drop("block").withColumn("block", _dealt(items, n)))
+        postings.repartitionByRange("term", "block").sortWithinPartitions("term", "block", "path").write.parquet(f"{path}/postings/segment={n}")
+        _blocks(postings).write.parquet(f"{path}/blocks/segment={n}")
         grams, members = _grams(items)
         grams.repartitionByRange("gram", "block").sortWithinPartitions("gram", "block").write.parquet(f"{path}/grams/segment={n}")
         members.write.parquet(f"{path}/members/segment={n}")
@@ -318,7 +360,7 @@ class Index:
                 rows = rows.alias("r").join(later, (F.col("r.path") == F.col("l.path")) & (F.col("r.segment") < F.col("l.since")), "left_anti")
             return rows.drop("segment")
 
-        return Index(live("items"), analyser, live("postings"), of("counts", live_segments).select("documents", "words"), stored=True, grams=of("grams", live_segments), members=of("members", live_segments))
+        return Index(live("items"), analyser, live("postings"), of("counts", live_segments).select("documents", "words"), stored=True, grams=of("grams", live_segments), members=of("members", live_segments), blocks=of("blocks", live_segments).drop("segment"), whole=len(live_segments) == 1)
 
     def changed(self, upserts: DataFrame, deleted: DataFrame) -> tuple[Index, DataFrame, DataFrame]:
         """The index of the last of each upserted path, the paths that go, and what the counts change by."""
@@ -335,6 +377,7 @@ class Index:
         fresh, touched, counts = self.changed(upserts, deleted)
 
         def renewed(old: DataFrame, new: DataFrame) -> DataFrame:
+            old = old.drop("block")
             return old.join(touched, "path", "left_anti").unionByName(new.select(*old.columns))
 
         return Index(renewed(self.items, fresh.items), self.analyser, renewed(self.postings, fresh.postings), self.counts.select("documents", "words").unionByName(counts.select("documents", "words")), self.stored)
@@ -428,8 +471,7 @@ def _active(q, ids: dict[int, list[int]], above: Column) -> dict[int, Column]:
 
 def _weighted(places: Column) -> Column:
     """The sum of the hits of ``places`` (field, positions), by the weights of their fields."""
-    of = F.create_map(*[x for k, w in WEIGHTS.items() for x in (F.lit(k), F.lit(w))])
-    return F.aggregate(places, F.lit(0.0), lambda s, p: s + of[p["field"]] * F.size(p["positions"]))
+    return F.aggregate(places, F.lit(0.0), lambda s, p: s + _weight(p["field"]) * F.size(p["positions"]))
 
 
 def _positions(term: str, field: str) -> Column:
@@ -563,11 +605,12 @@ def _score(idf: Column, f: Column, mean: float) -> Column:
     return idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("length") / F.lit(float(mean or 1.0))))
 
 
-def matches(index: Index, query) -> DataFrame:
+def matches(index: Index, query, known: list[int] | None = None) -> DataFrame:
     """(path, score) of the documents that match ``query``, a text or one of the classes above.
 
     One scan of the postings of the query's terms gives a row for each document that has any; all
-    parts of the query are expressions over that row.
+    parts of the query are expressions over that row. ``known``: the document counts of the query's
+    words, for a query of nothing else; otherwise they are counted.
     """
     query = _query(query)
     leaves = [q for q in _leaves(query) if not isinstance(q, Nothing)]
@@ -590,7 +633,7 @@ def matches(index: Index, query) -> DataFrame:
     total, mean = index.statistics()
     if not columns:
         return each.select("path", F.lit(0.0).alias("score")).filter(F.lit(False))
-    n = each.agg(*[F.count_if(f"c{i}").alias(f"c{i}") for i in range(len(columns))]).first()
+    n = known or each.agg(*[F.count_if(f"c{i}").alias(f"c{i}") for i in range(len(columns))]).first()
     ids |= {id(q): [] for q in _leaves(query) if isinstance(q, Nothing)}
     score = F.lit(0.0)
     for q, active in _active(query, ids, F.lit(True)).items():
@@ -618,20 +661,90 @@ def _phrase(words: Words, analyser: str) -> list[tuple[str, bool]]:
     return out
 
 
+def _only_words(q, analyser: str) -> list[str] | None:
+    """The term of each leaf, in order, if the query is nothing but single words in any field, joined by AND and OR."""
+    if isinstance(q, (All, Any)):
+        parts = [_only_words(p, analyser) for p in q.parts]
+        return None if None in parts else [t for p in parts for t in p]
+    if isinstance(q, Term) and q.field is None:
+        terms = [(t, False) for t in analyze.query_terms(q.text, analyser)]
+    elif isinstance(q, Group) and len(q.phrases) == 1 and q.fields is None and not q.first:
+        terms = _phrase(q.phrases[0], analyser)
+    else:
+        return None
+    return [terms[0][0]] if len(terms) == 1 and not terms[0][1] else None
+
+
+#: Postings of a query's words up to which all are scored, as further jobs would cost more.
+SCORED = 1 << 16
+
+
+def best(index: Index, query, limit: int, scored: int = SCORED) -> DataFrame:
+    """(path, score): the first ``limit`` of ``matches``, best first, equal scores by path.
+
+    A query of words on a stored index scores the blocks of postings with the largest bounds first;
+    their last hit is what other blocks must be able to reach to be read. A bound is the sum of what
+    the words would add to a document with a block's most hits and least length. Other queries, and
+    words with no more than ``scored`` postings, score all documents that have the words.
+    """
+    query, order = _query(query), [F.desc("score"), F.asc("path")]
+    terms = _only_words(query, index.analyser) if index.blocks is not None and 0 < limit <= LISTED else None
+    if not terms:
+        return matches(index, query).orderBy(*order).limit(limit)
+    rows = index.blocks.filter(F.col("term").isin(sorted(set(terms))))
+    if index.whole:
+        counted = rows.groupBy("term").agg(F.sum("n").alias("n"))
+    else:
+        counted = index.postings.filter(F.col("term").isin(sorted(set(terms)))).select("term", "path").distinct().groupBy("term").agg(F.count("*").alias("n"))
+    have = {r.term: r.n for r in counted.collect()}
+    known = [have.get(t, 0) for t in terms]
+    if sum(have.values()) <= scored:
+        return matches(index, query, known).orderBy(*order).limit(limit)
+    total, mean = index.statistics()
+    reach = [F.coalesce(F.max(F.when(F.col("term") == t, _score(_idf(total, F.lit(n)), F.col("f"), mean))), F.lit(0.0)) for t, n in zip(terms, known)]
+    blocks = rows.groupBy("block").agg(*[x.alias(f"f{i}") for i, x in enumerate(reach)], F.max("n").alias("n"))
+    ids = {id(q): [i] for i, q in enumerate(_leaves(query))}
+    bound = sum((F.col(f"f{i}") for i in range(len(terms))), F.lit(0.0)) * (1 + 1e-9)
+    blocks = written(blocks.filter(_condition(query, ids)).select("block", "n", bound.alias("bound")), compact=True)
+    first, found = [], 0
+    for r in blocks.orderBy(F.desc("bound"), "block").limit(limit).collect():
+        if found < 2 * limit:
+            first, found = [*first, r.block], found + r.n
+
+    def of(some: list[int]) -> DataFrame:
+        return matches(replace(index, postings=index.postings.filter(F.col("block").isin(some))), query, known).orderBy(*order).limit(limit)
+
+    hits = of(first).collect()
+    rest = blocks.filter(~F.col("block").isin(first))
+    rest = rest.filter(F.col("bound") >= hits[-1].score) if len(hits) == limit else rest
+    listed = [r.block for r in rest.select("block").limit(LISTED + 1).collect()]
+    spark = index.items.sparkSession
+    now = spark.createDataFrame(hits, "path string, score double")
+    if not listed:
+        return now.orderBy(*order)
+    if len(listed) <= LISTED:
+        more = of(listed)
+    else:
+        more = matches(replace(index, postings=index.postings.join(small(rest.select("block")), "block", "left_semi")), query, known)
+    return now.unionByName(more).orderBy(*order).limit(limit)
+
+
 HIT = ["path", "title", "score", "tier", "tokens", "hop_distance", "rank"]
 
 
 def search(index: Index, query, where: Filter = Filter()) -> DataFrame:
     """Ranked hits; equal scores stand by path."""
-    found, order = matches(index, query), [F.desc("score"), F.asc("path")]
-    if where.limit is not None and where.takes_all():
+    order = [F.desc("score"), F.asc("path")]
+    if where.limit is None or not where.takes_all():
+        found = matches(index, query)
+    else:
         # Only the rows that stay are looked up.
-        found = found.orderBy(*order).limit(where.limit)
+        found = best(index, query, where.limit)
         if where.limit <= LISTED and index.stored:
             # Few hits are looked up by a list of their paths, which skips row groups of others.
-            best = found.collect()
-            found = index.items.sparkSession.createDataFrame(best, "path string, score double")
-            index = replace(index, items=index.items.filter(F.col("path").isin([r.path for r in best])))
+            hits = found.collect()
+            found = index.items.sparkSession.createDataFrame(hits, "path string, score double")
+            index = replace(index, items=index.items.filter(F.col("path").isin([r.path for r in hits])))
         found = F.broadcast(found) if where.limit <= BROADCAST_ROWS else found
     meta = index.items.filter(where.condition()).select("path", "title", "tier", "tokens")
     found = meta.join(found, "path").withColumn("hop_distance", F.lit(0))
@@ -641,20 +754,24 @@ def search(index: Index, query, where: Filter = Filter()) -> DataFrame:
 def search_batch(index: Index, queries: DataFrame, limit: int = 10) -> DataFrame:
     """(query_id, path, score, rank): the best ``limit`` documents with all words of each query (query_id, text).
 
-    Many queries share one scan of the postings; scores are those of ``search``. A word that a
-    query repeats counts as often. Queries without words have no hits.
+    Many queries share one scan of the postings; scores are those of ``search``. A query's
+    candidates are the documents of its rarest word, so it does not meet all those of a frequent
+    one. A word that a query repeats counts as often. Queries without words have no hits.
     """
     run = analyze.ANALYSERS[index.analyser]
     asked = queries.select("query_id", F.explode(run(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     asked = written(asked.withColumn("needed", F.count("*").over(Window.partitionBy("query_id"))), compact=True)
     terms = small(written(asked.select("term").distinct(), compact=True))
-    of = F.create_map(*[x for k, w in WEIGHTS.items() for x in (F.lit(k), F.lit(w))])
-    found = index.postings.join(terms, "term").groupBy("term", "path").agg(F.sum(of[F.col("field")] * F.size("positions")).alias("f"), F.first("length").alias("length"))
+    found = index.postings.join(terms, "term").groupBy("term", "path").agg(F.sum(_weight() * F.size("positions")).alias("f"), F.first("length").alias("length"))
     found = written(found, compact=True)
     total, mean = index.statistics()
     n = small(written(found.groupBy("term").agg(F.count("*").alias("n")), compact=True))
     scored = found.join(n, "term").select("term", "path", _score(_idf(total, F.col("n")), F.col("f"), mean).alias("s"))
-    each = scored.join(small(asked), "term").groupBy("query_id", "path").agg(F.sum(F.col("s") * F.col("times")).alias("score"), F.count("*").alias("met"), F.first("needed").alias("needed"))
+    # A word that no document has leaves its query without candidates.
+    known = asked.join(n, "term", "left").groupBy("query_id").agg(F.min_by("term", F.struct(F.coalesce("n", F.lit(0)), "term")).alias("term"))
+    met = found.select("term", "path").join(small(written(known, compact=True)), "term").select("query_id", "path")
+    wanted = met.join(small(asked), "query_id")
+    each = wanted.join(scored, ["term", "path"]).groupBy("query_id", "path").agg(F.sum(F.col("s") * F.col("times")).alias("score"), F.count("*").alias("met"), F.first("needed").alias("needed"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("path"))
     return each.filter("met = needed").select("query_id", "path", "score", F.row_number().over(order).alias("rank")).filter(F.col("rank") <= limit)
 

@@ -226,6 +226,45 @@ def test_substrings_by_trigrams(spark, index, tmp_path, monkeypatch):
     assert "PushedFilters: [In(gram" in plan
 
 
+def test_best_hits_read_few_blocks(spark, tmp_path, monkeypatch):
+    """The first hits equal those of scoring all documents, ties included; blocks that cannot reach them are not read."""
+    monkeypatch.setattr(search, "BLOCK", 8)
+    r, path = random.Random(9), str(tmp_path / "b")
+    rows = []
+    for i in range(900):
+        text = " ".join(r.choices(["hot", "warm", "cold", "rare"], [60, 20, 6, 1], k=r.randint(1, 12) ** 2))
+        rows.append((f"p{i:03d}", r.choice(["hot", "x"]), text, ["t"], 0, 1))
+    rows += [("q0", "", "", [], 0, 1), ("q1", None, None, None, 0, 1)] + [(f"same{i}", "warm", "warm cold", ["t"], 0, 1) for i in range(30)]
+    items = spark.createDataFrame(rows, "path string, title string, body string, tags array<string>, tier int, tokens long")
+    Index.of(items, "plain").write(path)
+    stored = Index.read(spark, path, "plain")
+    upserts = items.filter("path like 'p%7'").withColumn("body", F.lit("warm hot")).withColumn("ordinal", F.lit(1))
+    read, matches = [], search.matches
+
+    def counting(index, query, known=None):
+        read.append(index.postings.filter(F.col("term").isin("hot", "warm", "cold", "rare")).count())
+        return matches(index, query, known)
+
+    for index in (stored, stored.append(path, upserts, items.filter("path like 'p%3'").select("path"))):
+        every = index.postings.filter(F.col("term").isin("hot", "warm", "cold", "rare")).count()
+        for query, limit in (("hot", 5), ("warm cold", 40), ("(rare cold) OR warm", 10), ("absent hot", 3)):
+            want = matches(index, query).orderBy(F.desc("score"), "path").limit(limit).collect()
+            monkeypatch.setattr(search, "matches", counting)
+            read.clear()
+            assert search.best(index, query, limit, scored=0).collect() == want, query
+            assert limit > 5 or "absent h" in query or sum(read) < every / 2, (query, read, every)
+            monkeypatch.setattr(search, "matches", matches)
+    # More blocks than are listed, and more hits than there are.
+    monkeypatch.setattr(search, "LISTED", 40)
+    want = matches(stored, "warm").orderBy(F.desc("score"), "path").limit(40).collect()
+    assert search.best(stored, "warm", 40, scored=0).collect() == want
+    assert search.best(stored, "hot rare", 5000, scored=0).count() == matches(stored, "hot rare").count()
+    assert search.best(stored, "hot OR absent", 0).collect() == [] and search.best(Index.of(items.limit(0), "plain"), "hot", 3).collect() == []
+    empty = str(tmp_path / "e")
+    Index.of(items.limit(0), "plain").write(empty)
+    assert search.best(Index.read(spark, empty, "plain"), "hot", 3, scored=0).collect() == []
+
+
 def test_segments_merge_in_place(spark, tmp_path):
     """Many appends keep few segments; an older reader goes on; of two writers none loses its change."""
     schema = "path string, title string, body string, tags array<string>, tier int, tokens long"

@@ -98,8 +98,8 @@ def test_scores_of_any_size(spark):
     want = []
     for i in whole:
         if i % 3 == 0:
-            scores = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(whole[i], whole[j])))), j) for j in whole if j != i)[:6]
-            want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(scores)]
+            scores = sorted((-sum(a * b for a, b in zip(whole[i], whole[j])), j) for j in whole if j != i)[:6]
+            want += [(i, n + 1, j, max(-(2**63), min(2**63 - 1, -s))) for n, (s, j) in enumerate(scores)]
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in found) == sorted(want)
 
 
@@ -111,6 +111,28 @@ def test_blocks_are_bounded_by_bytes(spark, monkeypatch, vectors):
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in found) == brute_best(vectors[:160], 9, 10)
 
 
+def test_one_very_long_vector(spark, monkeypatch, vectors):
+    """Each length has its own grid: a long row, alone or with others of its length, changes nothing for the rest."""
+    seen = []
+    monkeypatch.setattr(grid, "small", lambda df: seen.append(df) or df)
+    r = np.random.default_rng(8)
+    more = [(2000 + i, r.normal(size=20000).astype(np.float32).tolist()) for i in range(3)] + [(3000, [1.0] * 50000), (3001, [2.0] * 700)]
+    table = spark.createDataFrame(rows_of(vectors[:200] + more), SCHEMA)
+    for run, brute in ((ann_blocks.nearest, brute_nearest), (exact_topk.best, brute_best)):
+        found = run(table, k=5, every=10).collect()
+        got, want = sorted((x.query_id, x["rank"], x.vec_id, x.score) for x in found), brute(vectors[:200] + more, 5, 10)
+        assert [x[:3] for x in got] == [x[:3] for x in want] and np.allclose([x[3] for x in got], [x[3] for x in want], rtol=1e-9)
+        shapes = {x.d: (x.columns, x.lines) for x in seen[-1].collect()}
+        assert shapes[17] == (1, 1) and 700 not in shapes
+
+
+def test_keys_of_whole_numbers():
+    r = random.Random(4)
+    some = [0, 1, -1, 255, 256, -255, -256, 2**63, -(2**63)] + [r.choice([1, -1]) * r.getrandbits(r.randint(1, 2200)) for _ in range(300)]
+    assert [exact_topk.number(exact_topk.key(s)) for s in some] == some
+    assert sorted(some, key=exact_topk.key) == sorted(some)
+
+
 def test_components_beyond_exact_sums(spark):
     vectors = [(0, [3e17, -2e17]), (1, [2e10, 1.0]), (2, [1.0, 5e9]), (3, [0.5, 0.25])]
     found = exact_topk.best(spark.createDataFrame([(i, v) for i, v in vectors], "vec_id long, embedding array<double>"), k=3, every=20).collect()

@@ -772,7 +772,8 @@ def search_batch(index: Index, queries: DataFrame, limit: int = 10) -> DataFrame
     met = found.select("term", "path").join(small(written(known, compact=True)), "term").select("query_id", "path")
     wanted = met.join(small(asked), "query_id")
     each = wanted.join(scored, ["term", "path"]).groupBy("query_id", "path").agg(F.sum(F.col("s") * F.col("times")).alias("score"), F.count("*").alias("met"), F.first("needed").alias("needed"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("path"))
+    # Sums differ in their last digits by the order of their parts; equal ones stand by path.
+    order = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), F.asc("path"))
     return each.filter("met = needed").select("query_id", "path", "score", F.row_number().over(order).alias("rank")).filter(F.col("rank") <= limit)
 
 

@@ -5,19 +5,19 @@ n - ceil(SHARE n) + 1 of each, in any one order of all shingles. Those leading s
 keys that candidates share, so no pair is missed, whatever the fingerprints' distance. The order
 puts shingles last that recur in a sample of the texts: the sample changes how many candidates
 there are, and not what is found. Sizes, places of the shared shingle and a parity sketch (its
-differing bits are at most the differing shingles) discard candidates without losing a pair; the
-rest are verified on their sets.
+differing bits are at most the differing shingles, and it has a bit a shingle, so it tells long
+texts apart as well) discard candidates without losing a pair; the rest are verified on their sets.
 
 A text is verified first against one other: of the smallest ones of each of its FIRST_KEYS first
 keys, that which it shares most of them with; and against what SimHash fingerprints within the
 radius link to it. Then against all such, and the next one in size. Last, all texts that share any
 key and that are still apart are compared pair by pair, so nothing hangs on the first keys. So a group of near copies
-costs a few verifications a member, and a set travels once for each.
+costs a few verifications a member, and a set travels once for each. The keys of all texts are shuffled once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import alone, bounded_batches, reused, small, tasks, text_bytes, written
+from quillon.llm.common import alone, bounded_batches, dropped, small, tasks, text_bytes, written
 from quillon.llm.simhash_pivots import components, fingerprint_of, links, shingle_hashes
 
 #: Least similarity, as a fraction.
@@ -35,7 +35,7 @@ SHARE = (4, 5)
 SAMPLE = 10_000
 #: Keys of a text by which links are looked for first.
 FIRST_KEYS = 8
-#: Bits of the parity sketch.
+#: Least bits of a parity sketch, a power of two.
 SKETCH = 512
 #: Texts of a key that one task compares directly; larger keys are dealt into tiles.
 TILE = 1024
@@ -68,7 +68,9 @@ def leading(shingles: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.
 
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
-    odd = np.bincount((shingles % SKETCH).astype(np.int64), minlength=SKETCH) % 2
+    """Parities of the shingles by their hash modulo the next power of two; half as many are the halves' XOR."""
+    bits = max(SKETCH, 1 << (len(shingles) - 1).bit_length()) if len(shingles) else SKETCH
+    odd = np.bincount((shingles % np.uint64(bits)).astype(np.int64), minlength=bits) % 2
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -194,31 +196,86 @@ def apart(n: np.ndarray, sig: np.ndarray, at: np.ndarray, root: np.ndarray) -> n
     return np.concatenate(out, axis=1)
 
 
-def tiles(placed: DataFrame) -> DataFrame:
-    """(tile, n, sig, at, root) of the keys that texts of several components share: two texts of a key share a tile at least.
+def settled(rows: DataFrame) -> DataFrame:
+    """(a, b): all pairs of different components of a key. Where b is null, (a, key, n, at, root) is a row whose key is left to ``tiles``.
 
-    ``placed`` has a text's keys in one row; only components are counted for all keys.
+    Those are keys that may lie in several tasks, and keys of several components and more than TILE
+    texts. Rows are dealt by ranges of keys and sizes, so no task gets more than its share.
     """
-    each = placed.select(F.explode("keys").alias("key"), "root")
-    mixed = each.groupBy("key").agg(F.count("*").alias("c"), F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most")
+    most = TILE
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(x: np.ndarray, first: bool, last: bool) -> Iterator[pa.RecordBatch]:
+            starts = np.flatnonzero(np.r_[True, x[0, 1:] != x[0, :-1]])
+            ends = np.r_[starts[1:], x.shape[1]]
+            mixed = np.minimum.reduceat(x[4], starts) < np.maximum.reduceat(x[4], starts)
+            left = mixed & (ends - starts > most)
+            left[0] |= first
+            left[-1] |= last
+            here = mixed & ~left
+            pairs = np.concatenate([np.zeros((2, 0), np.int64), *[apart(*x[1:, i:j]) for i, j in zip(starts[here], ends[here])]], axis=1)
+            names = ["a", "b", "key", "n", "at", "root"]
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), *[pa.nulls(pairs.shape[1], pa.int64())] * 4], names)
+            key, n, sig, at, root = x[:, np.repeat(left, ends - starts)]
+            yield pa.RecordBatch.from_arrays([pa.array(sig), pa.nulls(len(sig), pa.int64()), *map(pa.array, (key, n, at, root))], names)
+
+        held, first = np.zeros((5, 0), np.int64), True
+        for batch in batches:
+            held = np.concatenate([held, np.stack([batch.column(c).to_numpy() for c in ("key", "n", "sig", "at", "root")])], axis=1)
+            cut = int(np.searchsorted(held[0], held[0, -1])) if held.shape[1] else 0
+            if cut:
+                yield from made(held[:, :cut], first, False)
+                held, first = held[:, cut:], False
+        if held.shape[1]:
+            yield from made(held, first, True)
+
+    dealt = rows.select("key", "n", "sig", "at", "root").repartitionByRange(tasks(rows.sparkSession), "key", "n", "sig").sortWithinPartitions("key", "n", "sig")
+    return dealt.mapInArrow(run, "a long, b long, key long, n long, at long, root long")
+
+
+def tiles(rows: DataFrame) -> DataFrame:
+    """(tile, n, sig, at, root) of the keys that texts of several components share: two texts of a key share a tile at least."""
+    mixed = rows.groupBy("key").agg(F.count("*").alias("c"), F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most")
     mixed = small(written(mixed.select("key", F.ceil(F.col("c") / TILE).alias("chunks")), compact=True))
-    rows = placed.select("sig", "n", "root", F.posexplode("keys").alias("at", "key")).withColumn("at", F.col("at").cast("long"))
     chunk = F.pmod(F.xxhash64("sig"), F.col("chunks"))
     both = F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda x: F.xxhash64("key", F.least(x, chunk), F.greatest(x, chunk)))
     return rows.join(mixed, "key").withColumn("tile", F.explode(F.when(F.col("chunks") == 1, F.array("key")).otherwise(both)))
 
 
+def pairs_apart(rows: DataFrame) -> DataFrame:
+    """(a, b): all pairs of different components of each key of ``rows`` (key, n, sig, at, root)."""
+    found = alone(rows.sparkSession, lambda: written(settled(rows)))
+    left = found.filter("b is null").select("key", "n", F.col("a").alias("sig"), "at", "root")
+    return found.filter("b is not null").select("a", "b").unionByName(in_groups(tiles(left), "tile", ["n", "sig", "at", "root"], apart))
+
+
+def plausible(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b: signatures) whose sizes and sketches may be of similar sets."""
+    p, q = SHARE
+    pairs = pairs.filter("a <> b").distinct()
+    for c, s, n in (("a", "x", "n"), ("b", "y", "m")):
+        pairs = pairs.join(distinct.select(F.col("sig").alias(c), F.col("sketch").alias(s), F.col("n").alias(n)), c)
+
+    def xor(x: Column, y: Column) -> Column:
+        return F.zip_with(x, y, lambda u, v: u.bitwiseXOR(v))
+
+    def no_longer(x: str, y: str) -> Column:
+        # Sizes that may be similar differ by less than two, so one halving makes the sketches equally long.
+        half = F.floor(F.size(x) / 2).cast("int")
+        return F.when(F.size(x) > F.size(y), xor(F.slice(x, 1, half), F.slice(x, half + 1, half))).otherwise(F.col(x))
+
+    bits = F.aggregate(xor(no_longer("x", "y"), no_longer("y", "x")), F.lit(0).cast("long"), lambda z, u: z + F.bit_count(u).cast("long"))
+    alike = q * F.least("n", "m") >= p * F.greatest("n", "m")
+    return pairs.filter(alike).filter(bits * (p + q) <= (q - p) * (F.col("n") + F.col("m"))).select("a", "b")
+
+
 def verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, width: int, id_col: str | Column, text_col: str) -> DataFrame:
     """Those of ``pairs`` (a, b: signatures) whose sets are similar.
 
     The sets of all b of an a, in chunks of TILE, come to one task behind the set of a.
     """
-    bits = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")), F.lit(0).cast("long"), lambda x, y: x + y)
     p, q = SHARE
-    pairs = pairs.filter("a <> b").distinct()
-    for c, s, n in (("a", "x", "n"), ("b", "y", "m")):
-        pairs = pairs.join(distinct.select(F.col("sig").alias(c), F.col("sketch").alias(s), F.col("n").alias(n)), c)
-    left = written(pairs.filter(bits * (p + q) <= (q - p) * (F.col("n") + F.col("m"))).select("a", "b"), compact=True)
+    left = written(plausible(pairs, distinct), compact=True)
     if left.isEmpty():
         return left
     ids = left.select(F.col("a").alias("sig")).unionByName(left.select(F.col("b").alias("sig"))).distinct()
@@ -267,8 +324,10 @@ def near_copies(docs: DataFrame, width: int, radius: int, id_col: str | Column =
     ignored. An empty table gives no rows.
     """
     bounded_batches(docs.sparkSession)
-    each = reused(described(docs, width, id_col, text_col))
-    distinct = written(each.groupBy("sig").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("fp", "n", "keys", "sketch")]))
+    every = written(described(docs, width, id_col, text_col))
+    each = written(every.select("doc_id", "sig"))
+    distinct = alone(docs.sparkSession, lambda: written(every.groupBy("sig").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("fp", "n", "keys", "sketch")])))
+    dropped(every)  # keys and sketches are the bulk of what this stage stores
     found: list[DataFrame] = []
 
     def roots() -> DataFrame:
@@ -277,9 +336,9 @@ def near_copies(docs: DataFrame, width: int, radius: int, id_col: str | Column =
             every = every.unionByName(x)
         return alone(docs.sparkSession, lambda: written(components(every), compact=True))
 
-    def verify(pairs: DataFrame) -> None:
+    def verify(pairs: Callable[[], DataFrame]) -> None:
         # Texts and sets that one step shuffles are gone before the next.
-        found.append(alone(docs.sparkSession, lambda: verified(pairs, distinct, docs, width, id_col, text_col)))
+        found.append(alone(docs.sparkSession, lambda: verified(pairs(), distinct, docs, width, id_col, text_col)))
 
     def placed(rows: DataFrame, of: DataFrame, name: str, root: str) -> DataFrame:
         return rows.join(small(of.select(F.col("node").alias(name), F.col("root").alias(root))), name, "left").withColumn(root, F.coalesce(root, name))
@@ -293,11 +352,13 @@ def near_copies(docs: DataFrame, width: int, radius: int, id_col: str | Column =
     rows = distinct.select("sig", "n", F.posexplode(F.slice("keys", 1, FIRST_KEYS)).alias("at", "key")).withColumn("at", F.col("at").cast("long"))
     wheel = written(hubs(rows), compact=True)
     best = wheel.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b")
-    verify(best.unionByName(close).unionByName(equal))
+    verify(lambda: best.unionByName(close).unionByName(equal))
     of = roots()
     more = placed(placed(wheel.select("a", "b"), of, "a", "x"), of, "b", "y").filter("x <> y").select("a", "b")
-    verify(more.unionByName(neighbours(placed(rows, of, "sig", "root"))))
-    verify(in_groups(tiles(placed(distinct.select("sig", "n", "keys"), roots(), "sig", "root")), "tile", ["n", "sig", "at", "root"], apart))
+    nearest = neighbours(placed(rows, of, "sig", "root"))
+    verify(lambda: more.unionByName(nearest))
+    of = roots()
+    verify(lambda: pairs_apart(placed(distinct.select("sig", "n", "keys"), of, "sig", "root").select("sig", "n", "root", F.posexplode("keys").alias("at", "key")).withColumn("at", F.col("at").cast("long"))))
 
     of = roots()
     members = of.select(F.col("node").alias("sig"), "root").unionByName(of.select(F.col("root").alias("sig"), "root").distinct())

@@ -14,12 +14,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.plans.tables import dropped, written
+from quillon.plans.tables import BROADCAST_ROWS, dropped, written
 
 
 @dataclass
 class History:
-    """nodes (sha, run, place from the run's oldest) and runs (run, generation, parents, newest)."""
+    """nodes (sha, run, place from the run's oldest) and runs (run, generation, parents, newest); runs are numbers."""
 
     nodes: DataFrame
     runs: DataFrame
@@ -27,23 +27,27 @@ class History:
     @staticmethod
     def of(commits: DataFrame) -> History:
         """The graph of commits (sha, parents); parents that are no commits here count as none, as behind a shallow end."""
-        known = written(commits.select("sha", F.array_distinct(F.coalesce("parents", F.array().cast("array<string>"))).alias("parents")).dropDuplicates(["sha"]))
-        links = known.select("sha", F.explode("parents").alias("parent")).join(known.select(F.col("sha").alias("parent")), "parent", "left_semi")
-        children = links.groupBy("parent").agg(F.count("*").alias("children"))
-        alone = links.join(children, "parent").groupBy("sha").agg(F.count("*").alias("n"), F.first("parent").alias("to"), F.max("children").alias("children")).filter("n = 1 and children = 1")
-        at = written(known.select("sha").join(alone, "sha", "left").select("sha", F.coalesce("to", "sha").alias("run"), F.col("to").isNotNull().cast("long").alias("place")))
+        known = commits.select("sha", F.array_distinct(F.coalesce("parents", F.array().cast("array<string>"))).alias("parents")).dropDuplicates(["sha"])
+        # From here on commits and runs are numbers, which are written once.
+        known = written(known.withColumn("id", F.monotonically_increasing_id()))
+        links = known.select("id", F.explode("parents").alias("sha")).join(known.select("sha", F.col("id").alias("parent")), "sha").select("id", "parent")
+        links = written(links)
+        single = links.groupBy("id").agg(F.count("*").alias("n"), F.first("parent").alias("to")).filter("n = 1").select("id", "to")
+        only = links.groupBy(F.col("parent").alias("to")).agg(F.count("*").alias("n")).filter("n = 1").select("to")
+        at = written(known.select("id", "sha").join(single.join(only, "to", "left_semi"), "id", "left").select("id", "sha", F.coalesce("to", "id").alias("run"), F.col("to").isNotNull().cast("long").alias("place")))
         while True:
             # Everyone's pointer jumps to where its target points; a run's oldest commit points to itself.
-            far = at.select(F.col("sha").alias("run"), F.col("run").alias("further"), F.col("place").alias("more")).filter("more > 0")
-            if at.join(far, "run", "left_semi").isEmpty():
+            far = at.select(F.col("id").alias("run"), F.col("run").alias("further"), F.col("place").alias("more")).filter("more > 0")
+            if at.filter("place > 0").join(far, "run", "left_semi").isEmpty():
                 break
-            after = written(at.join(far, "run", "left").select("sha", F.coalesce("further", "run").alias("run"), (F.col("place") + F.coalesce("more", F.lit(0))).alias("place")))
+            after = written(at.join(far, "run", "left").select("id", "sha", F.coalesce("further", "run").alias("run"), (F.col("place") + F.coalesce("more", F.lit(0))).alias("place")))
             dropped(at)
             at = after
-        above = links.join(at.filter("place = 0").select("sha"), "sha", "left_semi").join(at.select(F.col("sha").alias("parent"), F.col("run").alias("above")), "parent")
-        above = written(above.select(F.col("sha").alias("run"), "above"), compact=True)
+        above = links.join(at.filter("place > 0").select("id"), "id", "left_anti").join(at.select(F.col("id").alias("parent"), F.col("run").alias("above")), "parent")
+        above = above.groupBy(F.col("id").alias("run")).agg(F.collect_set("above").alias("parents"))
         newest = at.groupBy("run").agg(F.max("place").alias("newest"))
-        return History(at, written(_generations(newest, above), compact=True))
+        runs = written(newest.join(above, "run", "left").select("run", F.coalesce("parents", F.array().cast("array<bigint>")).alias("parents"), "newest"))
+        return History(at.select("sha", "run", "place"), _generations(runs))
 
     def write(self, path: str) -> None:
         self.nodes.write.parquet(f"{path}/nodes")
@@ -109,38 +113,76 @@ class History:
     def merge_bases(self, pairs: DataFrame) -> DataFrame:
         """(pair, sha): the best common ancestors of the two sides of each pair (pair, side 0 or 1, sha); a side may have several commits.
 
-        A common ancestor is a best one if no other common one has it as an ancestor. Common
-        ancestors are closed under parents, so within a run it is the newest, and of runs those
-        that are no parent of a common run.
+        A common ancestor is a best one if no other common one has it as an ancestor. All pairs walk
+        from the largest generation down, so a run is met once, after all that lead to it, and no
+        pair's past is kept: a run that both sides lead to is a best one unless a common one led to
+        it as well (``stale``). A pair whose runs are all stale has met all of its bases.
         """
-        starts = pairs.select(F.struct("pair", F.col("side").cast("int").alias("side")).alias("name"), "sha")
-        reach = self.reached(starts)
-        common = reach.groupBy(F.col("name.pair").alias("pair"), "run").agg(F.count_distinct("name.side").alias("sides"), F.min("upto").alias("upto")).filter("sides = 2")
-        common = written(common.select("pair", "run", "upto"))
-        below = common.select("pair", "run").join(self.runs.select("run", F.explode("parents").alias("above")), "run").select("pair", F.col("above").alias("run"))
-        best = common.join(below, ["pair", "run"], "left_anti")
-        return self.nodes.join(best, "run").filter("place = upto").select("pair", "sha")
-
-
-def _generations(newest: DataFrame, above: DataFrame) -> DataFrame:
-    """(run, generation, parents, newest): a round for each generation of runs, over those that are left."""
-    parents = above.groupBy("run").agg(F.collect_set("above").alias("parents"), F.count("*").alias("waits"))
-    first = written(newest.join(parents, "run", "left_anti").select("run", F.lit(1).alias("generation")), compact=True)
-    waits, done, last, n = written(parents.select("run", "waits")), [first], first, 1
+        part = lambda n: F.max(F.when(F.col("side") == n, F.col("place")))
+        rows = written(pairs.select("pair", "side", "sha").join(self.nodes, "sha").groupBy("pair", "run").agg(part(0).alias("left"), part(1).alias("right")))
+        rows = rows.select(*rows.columns, F.lit(False).alias("stale"), F.lit(False).alias("best"))
+        last = rows.select("run").distinct().join(self.runs, "run").agg(F.max("generation")).first()[0] or 0
+        # The numbers of runs tell how many generations one job can walk.
+        sizes = {r[0]: r[1] for r in self.runs.filter(F.col("generation") <= last).groupBy("generation").count().collect()}
+        out, before = None, None
+        while last > 0:
+            room, steps = BROADCAST_ROWS, 0
+            while steps < WALKED and last > 0 and (not steps or sizes.get(last, 0) <= room):
+                runs = self.runs.filter(F.col("generation") == last).select("run", "parents", "newest")
+                rows = _walked(rows, F.broadcast(runs) if sizes.get(last, 0) <= BROADCAST_ROWS else runs)
+                room, steps, last = room - sizes.get(last, 0), steps + 1, last - 1
+            done = written(rows)
+            found = done.filter("best").select("pair", "run", F.col("left").alias("place"))
+            out = found if out is None else out.unionByName(found)
+            rows = done.filter("not best").withColumn("open", F.max(~F.col("stale")).over(Window.partitionBy("pair"))).filter("open").drop("open")
+            if rows.isEmpty():
+                break
+        out = pairs.select("pair", F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("place")).limit(0) if out is None else out
+        return self.nodes.join(out, ["run", "place"]).select("pair", "sha")
+
+
+#: Generations that one job walks at most.
+WALKED = 8
+#: A place that stands for a run's newest.
+WHOLE = 1 << 62
+
+
+def _walked(rows: DataFrame, level: DataFrame) -> DataFrame:
+    """``rows`` (pair, run, left, right, stale, best) a generation further: those in a run of ``level`` go to its parents.
+
+    left and right are the newest places that the sides lead to. A common run that is not stale
+    stays, as a best one. Partitions by pair stay, so steps that broadcast their level shuffle once.
+    """
+    both = F.col("left").isNotNull() & F.col("right").isNotNull()
+    own = ["run", "left", "right", "stale", "best"]
+    whole = lambda side: F.when(F.col(side).isNotNull(), F.lit(WHOLE))
+    up = F.transform("parents", lambda p: F.struct(p.alias("run"), whole("left").alias("left"), whole("right").alias("right"), both.alias("stale"), F.lit(False).alias("best")))
+    base = F.least("left", "right", "newest")
+    base = F.struct("run", base.alias("left"), base.alias("right"), F.lit(False).alias("stale"), F.lit(True).alias("best"))
+    after = F.when(F.col("parents").isNull() | F.col("best"), F.array(F.struct(*own))).when(both & ~F.col("stale"), F.concat(F.array(base), up)).otherwise(up)
+    each = rows.repartition("pair").join(level, "run", "left").select("pair", F.explode(after).alias("x")).select("pair", "x.*")
+    return each.groupBy("pair", "run", "best").agg(F.max("left").alias("left"), F.max("right").alias("right"), F.max("stale").alias("stale")).select("pair", *own)
+
+
+def _generations(runs: DataFrame) -> DataFrame:
+    """(run, generation, parents, newest) of ``runs`` without generation: a round for each generation.
+
+    A round takes the links to what the last one has found. Runs that wait for more parents are
+    kept with how many they have met; all others are not touched.
+    """
+    links = written(runs.filter(F.size("parents") > 0).select("run", "parents", "newest", F.explode("parents").alias("above")))
+    own, n = ["run", "parents", "newest"], 1
+    last, waiting = runs.filter(F.size("parents") == 0), None
+    every = last.select(*own, F.lit(n).alias("generation"))
     while True:
-        ready = above.join(last.select(F.col("run").alias("above")), "above", "left_semi").groupBy("run").agg(F.count("*").alias("met"))
-        after = written(waits.join(ready, "run", "left").select("run", (F.col("waits") - F.coalesce("met", F.lit(0))).alias("waits")))
-        last = written(after.filter("waits = 0").select("run", F.lit(n + 1).alias("generation")), compact=True)
+        met = links.join(last.select(F.col("run").alias("above")), "above", "left_semi").select(*own, F.lit(1).cast("long").alias("met"))
+        met = met if waiting is None else met.unionByName(waiting)
+        now = written(met.groupBy("run").agg(F.first("parents").alias("parents"), F.first("newest").alias("newest"), F.sum("met").alias("met")), compact=True)
+        last, waiting, n = now.filter(F.col("met") == F.size("parents")).drop("met"), now.filter(F.col("met") < F.size("parents")), n + 1
         if last.isEmpty():
             break
-        dropped(waits)
-        waits, n = written(after.filter("waits > 0")), n + 1
-        dropped(after)
-        done.append(last)
-    every = done[0]
-    for x in done[1:]:
-        every = every.unionByName(x)
-    return newest.join(every, "run").join(parents.select("run", "parents"), "run", "left").select("run", "generation", F.coalesce("parents", F.array().cast("array<string>")).alias("parents"), "newest")
+        every = every.unionByName(last.select(*own, F.lit(n).alias("generation")))
+    return written(every.select("run", "generation", "parents", "newest"))
 
 
 def newest_first(history: History, shas: DataFrame) -> DataFrame:

@@ -65,6 +65,42 @@ def test_ranges_ancestors_and_bases(spark, seed):
     assert found == {"one": ancestors(parents, "c20"), "two": ancestors(parents, "c59", "c7")}
 
 
+def bases(parents, left, right):
+    common = ancestors(parents, *left) & ancestors(parents, *right)
+    return {c for c in common if not any(c in ancestors(parents, d) and c != d for d in common)}
+
+
+def found_bases(spark, h, pairs):
+    rows = [(k, side, x) for k, both in pairs.items() for side, own in enumerate(both) for x in own]
+    out = {k: set() for k in pairs}
+    for x in h.merge_bases(spark.createDataFrame(rows, "pair int, side int, sha string")).collect():
+        assert x.sha not in out[x.pair]
+        out[x.pair].add(x.sha)
+    return out
+
+
+def test_merge_bases_walk_no_further_than_the_bases(spark, monkeypatch):
+    """Each commit merges the two before, so all are generations of their own; two late ones meet in a few steps, not in all 40."""
+    parents = {f"c{i}": [f"c{x}" for x in (i - 1, i - 2) if x >= 0] for i in range(40)}
+    h, made = History.of(frame(spark, parents)), []
+    plain = history.written
+    monkeypatch.setattr(history, "written", lambda *a, **k: made.append(1) or plain(*a, **k))
+    assert found_bases(spark, h, {1: (["c39"], ["c37"])}) == {1: {"c37"}} and len(made) <= 3
+
+
+@pytest.mark.parametrize("walked, broadcast", [(1, 0), (3, 20), (8, 500_000)])
+def test_merge_bases_of_several_commits(spark, monkeypatch, walked, broadcast):
+    """Sides of several commits, of none that is known, and equal ones, in steps of any number and by shuffles."""
+    monkeypatch.setattr(history, "WALKED", walked)
+    monkeypatch.setattr(history, "BROADCAST_ROWS", broadcast)
+    parents = graph(11, n=50, merges=0.6, forks=0.7)
+    h, r, names = History.of(frame(spark, parents)), random.Random(5), list(parents)
+    pairs = {k: (r.sample(names, r.randint(1, 3)), r.sample(names, r.randint(1, 3))) for k in range(10)}
+    pairs |= {10: (["c49"], ["c49"]), 11: (["c0"], ["c49"]), 12: (["none"], ["c49"]), 13: (["c7", "none"], ["c7"])}
+    assert found_bases(spark, h, pairs) == {k: bases(parents, *both) for k, both in pairs.items()}
+    assert found_bases(spark, h, {1: (["none"], ["other"])}) == {1: set()}
+
+
 def test_long_chains_take_few_rounds(spark, monkeypatch, tmp_path):
     """A line of 3000 commits with one fork is three runs; a range at its end never opens the rest."""
     parents = {f"c{i}": [f"c{i - 1}"] if i else [] for i in range(3000)} | {"side": ["c1500"], "end": ["c2999", "side"]}

@@ -180,6 +180,35 @@ def _postings(analysed: DataFrame) -> DataFrame:
     return analysed.select("path", "length", *lists).mapInArrow(run, "term string, path string, field string, positions array<int>, length long")
 
 
+def _asked(texts: DataFrame, exact: list[str], prefixes: list[str]) -> tuple[DataFrame, int, float]:
+    """The stemmed postings of some terms, the number of documents and their mean length, by one pass over the texts that makes no others."""
+    names, wanted, begun = list(WEIGHTS), frozenset(exact), tuple(prefixes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        documents = words = 0
+        for batch in batches:
+            rows = []
+            for path, *fields in zip(*[batch.column(n).to_pylist() for n in ("path", *names)]):
+                own = [analyze.places(x or "", wanted, begun) for x in fields]
+                length = sum(n for n, _ in own)
+                documents, words = documents + 1, words + length
+                rows += [(t, path, name, at, length) for name, (_, found) in zip(names, own) for t, at in found.items()]
+            yield made(rows)
+        # What a task has read stands in a row without a term.
+        yield made([(None, None, None, [documents], words)])
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        types = [pa.string(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.int64()]
+        columns = list(zip(*rows)) or [()] * len(types)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["term", "path", "field", "positions", "length"])
+
+    tags = F.array_join("tags", " ") if "tags" in texts.columns else F.lit("")
+    rows = texts.select("path", "title", "body", tags.alias("tags"))
+    both = written(rows.mapInArrow(run, "term string, path string, field string, positions array<int>, length long"), compact=True)
+    n, words = both.filter("term is null").agg(F.sum(F.col("positions")[0].cast("long")), F.sum("length")).first()
+    return both.filter("term is not null"), n or 0, (words or 0) / n if n else 0.0
+
+
 GRAM = 3
 #: Documents of a block of the trigram index, about; one task holds a block's different trigrams.
 GRAM_BLOCK = 1024
@@ -298,13 +327,15 @@ class Index:
     #: What a stored index's blocks of postings can hold, of all segments, and whether no document in them was replaced.
     blocks: DataFrame | None = None
     whole: bool = False
+    #: The texts of an index that is not stored, from which a search reads its own words alone.
+    texts: DataFrame | None = None
 
     @staticmethod
     def of(items: DataFrame, analyser: str = "stemmed") -> Index:
         """An index that analyses the texts anew for each query; ``write`` and ``read`` it for many of them."""
         x = _analysed(items, analyser)
         plain = x.select(*items.columns, "length") if "length" not in items.columns else x.select(*items.columns)
-        return Index(plain, analyser, _postings(x), _counts(plain))
+        return Index(plain, analyser, _postings(x), _counts(plain), texts=items)
 
     def statistics(self) -> tuple[int, float]:
         """Number of documents and their mean length."""
@@ -618,10 +649,15 @@ def matches(index: Index, query, known: list[int] | None = None) -> DataFrame:
     analysed = {id(q): analyze.query_terms(f"{q.left} {q.right}" if isinstance(q, Near) else q.text, index.analyser) for q in leaves if id(q) not in groups}
     found = [t for phrases in groups.values() for p in phrases for t in p]
     exact = sorted({t for q in leaves if not isinstance(q, (Prefix, Group)) for t in analysed[id(q)]} | {t for t, prefix in found if not prefix})
-    wanted = F.col("term").isin(exact) if exact else F.lit(False)
-    for p in sorted({analyze.folded(q.text) for q in leaves if isinstance(q, Prefix)} | {t for t, prefix in found if prefix}):
-        wanted |= F.col("term").startswith(p)
-    each = index.postings.filter(wanted).groupBy("path").agg(F.collect_list(F.struct("term", "field", "positions")).alias("places"), F.first("length").alias("length"))
+    prefixes = sorted({analyze.folded(q.text) for q in leaves if isinstance(q, Prefix)} | {t for t, prefix in found if prefix})
+    if index.texts is not None and index.analyser == "stemmed":
+        postings, total, mean = _asked(index.texts, exact, prefixes)
+    else:
+        wanted = F.col("term").isin(exact) if exact else F.lit(False)
+        for p in prefixes:
+            wanted |= F.col("term").startswith(p)
+        postings, (total, mean) = index.postings.filter(wanted), index.statistics()
+    each = postings.groupBy("path").agg(F.collect_list(F.struct("term", "field", "positions")).alias("places"), F.first("length").alias("length"))
     ids, columns = {}, []
     for q in leaves:
         own = _group_hits(q, groups[id(q)]) if id(q) in groups else _hits(q, analysed[id(q)])
@@ -630,7 +666,6 @@ def matches(index: Index, query, known: list[int] | None = None) -> DataFrame:
     each = each.select("path", "length", *[f.alias(f"f{i}") for i, (f, _) in enumerate(columns)], *[c.alias(f"c{i}") for i, (_, c) in enumerate(columns)])
     if not index.stored:
         each = written(each, compact=True)
-    total, mean = index.statistics()
     if not columns:
         return each.select("path", F.lit(0.0).alias("score")).filter(F.lit(False))
     n = known or each.agg(*[F.count_if(f"c{i}").alias(f"c{i}") for i in range(len(columns))]).first()

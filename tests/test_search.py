@@ -226,6 +226,39 @@ def test_substrings_by_trigrams(spark, index, tmp_path, monkeypatch):
     assert "PushedFilters: [In(gram" in plan
 
 
+def test_a_search_of_texts_reads_them_once(spark, index, tmp_path, monkeypatch):
+    """An index that is not stored has the hits of a stored one from one pass, without the postings of other words."""
+    path = str(tmp_path / "o")
+    index.write(path)
+    stored = Index.read(spark, path)
+    asked = ["running policies", "pol*", "^rust", '"static rust" NOT memory', "NEAR(rust memory, 2) OR café", "title:r* OR absent", "absent", "café naïve"]
+    want = [{r.path: r.score for r in search.matches(stored, q).collect()} for q in asked]
+
+    def read(*_):
+        raise AssertionError("a second pass over the texts")
+
+    monkeypatch.setattr(Index, "statistics", read)
+    for q, scores in zip(asked, want):
+        assert {r.path: r.score for r in search.matches(index, q).collect()} == pytest.approx(scores), q
+    rows = [("a", None, "Été étés e\u0301te\u0301 running", None), ("b", "runs", "", [])]
+    found = search.matches(Index.of(spark.createDataFrame(rows, "path string, title string, body string, tags array<string>")), "run OR ete")
+    assert sorted(r.path for r in found.collect()) == ["a", "b"]
+
+
+def test_places_are_those_of_the_terms():
+    """Words that are passed over by their first letter are no others than those with another stem."""
+    r, ends = random.Random(2), ["", "s", "ies", "ying", "ed", "y", "ational", "é", "\u0327", "sses", "eed"]
+    for _ in range(300):
+        text = " ".join("".join(r.choice("aeyslÉßİ5") for _ in range(r.randint(1, 5))) + r.choice(ends) for _ in range(30))
+        every = analyze.terms(text)
+        exact, prefixes = frozenset(r.sample(every, 2)), (r.choice(every)[:2],) if r.random() < 0.5 else ()
+        want = {}
+        for at, t in enumerate(every):
+            if t in exact or t.startswith(prefixes):
+                want.setdefault(t, []).append(at)
+        assert analyze.places(text, exact, prefixes) == (len(every), want)
+
+
 def test_best_hits_read_few_blocks(spark, tmp_path, monkeypatch):
     """The first hits equal those of scoring all documents, ties included; blocks that cannot reach them are not read."""
     monkeypatch.setattr(search, "BLOCK", 8)

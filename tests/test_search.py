@@ -226,6 +226,37 @@ def test_substrings_by_trigrams(spark, index, tmp_path, monkeypatch):
     assert "PushedFilters: [In(gram" in plan
 
 
+def size(folder):
+    return sum(os.path.getsize(os.path.join(at, f)) for at, _, names in os.walk(folder) for f in names)
+
+
+def test_a_build_keeps_little_on_disk(spark, index, tmp_path, monkeypatch):
+    """Terms are sorted range by range, each deleted before the next; nothing but the index stays, and no text is shuffled for trigrams."""
+    whole, parts = str(tmp_path / "w"), str(tmp_path / "p")
+    index.write(whole)
+    monkeypatch.setattr(search, "PART_WORDS", 500)
+    shared, left, kept = tables.shared_dir(spark), [], search._kept
+    before, known = size(shared), list(tables._paths)
+
+    def counted(df, path, *mode):
+        if "/postings/" in path:
+            left.append(size(shared))
+        kept(df, path, *mode)
+
+    monkeypatch.setattr(search, "_kept", counted)
+    index.write(parts)
+    assert len(left) == len(search._cuts(Index.read(spark, parts).items, "stemmed")) + 1 > 3 and left == sorted(left, reverse=True) and left[-1] < left[0]
+    assert size(shared) == before and tables._paths == known
+    for name in ("items", "postings", "blocks", "grams", "members", "counts"):
+        a, b = spark.read.parquet(f"{whole}/{name}"), spark.read.parquet(f"{parts}/{name}")
+        assert a.count() == b.count() and a.exceptAll(b).isEmpty(), name
+    terms = [[r.term for r in spark.read.parquet(f).select("term").collect()] for f in Index.read(spark, parts).postings.inputFiles()]
+    ranges = sorted((min(t), max(t)) for t in terms if t)
+    assert all(a[1] <= b[0] for a, b in zip(ranges, ranges[1:])) and len(ranges) > 3
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        index.write(parts)
+
+
 def test_a_search_of_texts_reads_them_once(spark, index, tmp_path, monkeypatch):
     """An index that is not stored has the hits of a stored one from one pass, without the postings of other words."""
     path = str(tmp_path / "o")

@@ -235,6 +235,7 @@ def test_a_build_keeps_little_on_disk(spark, index, tmp_path, monkeypatch):
     whole, parts = str(tmp_path / "w"), str(tmp_path / "p")
     index.write(whole)
     monkeypatch.setattr(search, "PART_WORDS", 500)
+    monkeypatch.setattr(search, "PART_DOCUMENTS", 30)
     shared, left, kept = tables.shared_dir(spark), [], search._kept
     before, known = size(shared), list(tables._paths)
 
